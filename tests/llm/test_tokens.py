@@ -28,7 +28,8 @@ def test_cached_encoding_equals_the_library(text):
 
 
 def test_cache_overflow_keeps_results(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 2)
+    monkeypatch.setattr(tokens, "STRETCHES", 2)
+    monkeypatch.setattr(tokens, "PIECES", 1)
     enc = tokens.Encoder(tokens.default_tokenizer())
     for text in ("a b c d", "c d e f g", "a z"):
         assert enc.encode([text]) == [library([text])[0].tobytes()]

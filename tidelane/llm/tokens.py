@@ -2,8 +2,8 @@
 
 The tokenizer's normaliser and splitter act on each white-space-free stretch of a
 text alone, so ids of a text are the ids of its stretches in order. Python workers
-keep what they have seen of stretches and pieces, and only new pieces reach the
-tokenizers library. Texts outside a conservative set of characters, where lower
+keep what they have seen of stretches and pieces, and only new pieces reach the BPE
+model of the tokenizers library. Texts outside a conservative set of characters, where lower
 case or splitting could depend on context, go through the library whole.
 """
 
@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
-#: Entries that a Python worker keeps; beyond these, new words are encoded for each batch anew.
-CACHE_ENTRIES = 400_000
+#: Stretches and pieces that a Python worker keeps; beyond these, new ones are encoded each time.
+STRETCHES, PIECES = 700_000, 500_000
 
 # How word_bpe_49k.json splits lower-case text, and the characters for which this holds in re as it does there.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -31,6 +32,43 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> list[str]:
+    """The letter of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the other bytes for U+0100 onwards."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
+
+class _Pieces(dict):
+    """Ids of split pieces, by the BPE model of the tokenizers library."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        ids = [x.id for x in self.model.tokenize(spelt)]
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < PIECES:
+            self[piece] = found
+        return found
+
+
+class _Stretches(dict):
+    """Ids of lower-case stretches without white space."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.pieces = _Pieces(model)
+
+    def __missing__(self, stretch: str) -> bytes:
+        found = b"".join(map(self.pieces.__getitem__, PIECE.findall(stretch)))
+        if len(self) < STRETCHES:
+            self[stretch] = found
+        return found
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, without special tokens."""
 
@@ -41,51 +79,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.by_words = os.path.basename(path) == "word_bpe_49k.json"
-        self.stretches: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.stretches = _Stretches(self.tokenizer.model)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [x or "" for x in texts]
-        out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, x in enumerate(texts) if self.by_words and SPECIAL not in x and PLAIN.fullmatch(x)]
-        split = [texts[i].lower().split() for i in plain]
-        known = self.stretches
-        new = set().union(*split).difference(known)
-        if new:
-            cut = {x: PIECE.findall(x) for x in new}
-            missing = list(set().union(*cut.values()).difference(self.pieces))
-            encoded = dict(zip(missing, self._library(missing), strict=True))
-            fresh = {x: b"".join([self.pieces.get(p) or encoded.get(p, b"") for p in ps]) for x, ps in cut.items()}
-            if len(self.pieces) < CACHE_ENTRIES:
-                self.pieces.update(encoded)
-            if len(known) < CACHE_ENTRIES:
-                known.update(fresh)
-            else:
-                known = _Chain(known, fresh)
-        get = known.__getitem__
-        for i, s in zip(plain, split, strict=True):
-            out[i] = b"".join(map(get, s))
+        get = self.stretches.__getitem__
+        out = [b"".join(map(get, x.lower().split())) if self.by_words and SPECIAL not in x and PLAIN.fullmatch(x) else None for x in texts]
         rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._library([texts[i] for i in rest]) if rest else (), strict=True):
-            out[i] = ids
+        if rest:
+            for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = np.array(x.ids, "<u4").tobytes()
         return out
 
 
-class _Chain(dict):
-    """A frozen large dict behind a small one of one batch."""
-
-    def __init__(self, large: dict, small: dict):
-        super().__init__(small)
-        self.large = large
-
-    def __getitem__(self, key):
-        found = self.large.get(key)
-        return found if found is not None else dict.__getitem__(self, key)
-
-
 def encoder(path: str) -> Encoder:
     """This process's encoder for a tokenizer file."""
     if path not in _ENCODERS:
