@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module that defines a function of that name. Modules load on first use.
 _MODULES = {
     "op1_token_files": "token_files",
+    "op2_ngram_jaccard": "ngram_join",
     "op3_warc": "warc",
     "op6_exact_topk": "topk",
     "op7_best_fit_packing": "packing",
