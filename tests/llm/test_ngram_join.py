@@ -76,7 +76,7 @@ def test_words_match_the_pattern_on_any_batch_cut():
     import pyarrow as pa
 
     data, offsets = textops.utf8(pa.array(texts).slice(1))
-    hashes, starts, first = textops.words(data, offsets)
+    hashes, _, _, first = textops.words(data, offsets)
     found = [WORD.findall((t or "").encode()) for t in texts[1:]]
     assert np.diff(first).tolist() == [len(x) for x in found]
     flat = [w.lower() for x in found for w in x]

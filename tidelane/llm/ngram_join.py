@@ -38,7 +38,7 @@ def text_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np.nd
     """(row, sorted distinct shingle hashes) of a string column."""
     data, offsets = textops.utf8(column)
     for a, b in textops.chunks(offsets):
-        hashes, _, first = textops.words(data, offsets[a : b + 1])
+        hashes, _, _, first = textops.words(data, offsets[a : b + 1])
         for i, own in enumerate(textops.shingles(hashes, first, width)):
             yield a + i, own
 

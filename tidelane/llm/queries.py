@@ -12,6 +12,7 @@ _MODULES = {
     "op6_exact_topk": "topk",
     "op7_best_fit_packing": "packing",
     "op9_chat_format": "chat",
+    "op10_substring_dedup": "unit_dedup",
 }
 
 

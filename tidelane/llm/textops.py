@@ -55,8 +55,8 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         at = min(to, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hashes, starts, first)``: a 64-bit hash and byte position of each word, and for each text the index of its first word.
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(hashes, starts, ends, first)``: a 64-bit hash and the byte range of each word, and for each text the index of its first word.
 
     A word is a run of bytes other than space and 0x09-0x0D; with ``lower``, A-Z count as a-z. ``first`` has one entry more than texts.
     """
@@ -80,7 +80,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[part] * power, out=sums[1:])
     inverse = np.cumprod(np.full(len(part), _R_INV, np.uint64)) if len(part) else power
     hashes = mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return hashes, starts + base, np.searchsorted(starts, bounds)
+    return hashes, starts + base, ends + base, np.searchsorted(starts, bounds)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:
