@@ -9,6 +9,8 @@ _MODULES = {
     "op1_token_files": "token_files",
     "op2_ngram_jaccard": "ngram_join",
     "op3_warc": "warc",
+    "op4_decontamination": "decontam",
+    "op5_language_id": "langid",
     "op6_exact_topk": "topk",
     "op7_best_fit_packing": "packing",
     "op9_chat_format": "chat",

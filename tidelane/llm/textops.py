@@ -25,6 +25,9 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE_LOWER = _BYTE[_LOWER]
+#: Delimiters of words of letters and digits; bytes of multi-byte characters count as letters.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -55,15 +58,15 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         at = min(to, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(hashes, starts, ends, first)``: a 64-bit hash and the byte range of each word, and for each text the index of its first word.
 
-    A word is a run of bytes other than space and 0x09-0x0D; with ``lower``, A-Z count as a-z. ``first`` has one entry more than texts.
+    A word is a run of bytes that ``space`` doesn't mark - by default space and 0x09-0x0D; A-Z count as a-z. ``first`` has one entry more than texts.
     """
     base = int(offsets[0])
     part = data[base : int(offsets[-1])]
     bounds = offsets - base
-    inside = ~_SPACE[part]
+    inside = ~space[part]
     edge = np.empty(len(part) + 1, bool)
     edge[0] = True
     edge[1:] = ~np.append(inside[:-1], False) if len(part) else True
@@ -77,7 +80,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     ends = np.flatnonzero(inside & after) + 1
     power = np.cumprod(np.full(len(part), _R, np.uint64)) if len(part) else np.zeros(0, np.uint64)
     sums = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[part] * power, out=sums[1:])
+    np.cumsum(_BYTE_LOWER[part] * power, out=sums[1:])
     inverse = np.cumprod(np.full(len(part), _R_INV, np.uint64)) if len(part) else power
     hashes = mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     return hashes, starts + base, ends + base, np.searchsorted(starts, bounds)
