@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.llm import textops
+from tidelane.llm.annotate import add_columns, parse
 
 THRESHOLD, OVERLAP, WIDTH = 0.6, 0.6, 5
 BLOCK_ITEMS = 8
@@ -150,13 +151,12 @@ class Index:
                     yield a + r, out
 
 
-def _annotate(index, threshold: float, overlap: float, text: int):
-    def run(batches):
-        for batch in batches:
-            out: list[list] = [[] for _ in range(batch.num_rows)]
-            for row, leaks in index.value.leaks(batch.column(text), threshold, overlap):
-                out[row] = leaks
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(_LEAK))], names=[*(f"c{i}" for i in range(batch.num_columns)), "leaks"])
+def _find(index, threshold: float, overlap: float, text: int):
+    def run(batch):
+        out: list[list] = [[] for _ in range(batch.num_rows)]
+        for row, found in index.value.leaks(batch.column(text).cast(pa.string()), threshold, overlap):
+            out[row] = found
+        return [pa.array(out, pa.list_(_LEAK))]
 
     return run
 
@@ -184,21 +184,14 @@ def annotate(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", thres
     rows are judged each. With an empty benchmark or table the arrays or the result are empty.
     """
     spark = docs.sparkSession
-    fields = [f for f in docs.schema.fields if f.name.lower() != column.lower()]
-    names = [f.name for f in fields]
-    at = [x.lower() for x in names].index("text")
-    out = docs.select([F.col(f"`{c}`") for c in names])
-    inner = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
-    for k, items in enumerate(_items(benchmark, max_bytes)):
+    out = docs.drop(column)
+    kind = "array<struct<" + ",".join(x.replace(" ", ":") for x in LEAK.split(", ")) + ">>"
+    found = []
+    for items in _items(benchmark, max_bytes):
         index = spark.sparkContext.broadcast(Index(items))
-        plain = out.select([F.col(f"`{c}`") for c in names]) if not k else out
-        if not k:
-            out = plain.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(_annotate(index, threshold, overlap, at), f"{inner}, leaks array<struct<{LEAK.replace(' ', ':').replace(',:', ',')}>>")
-        else:
-            held = out.withColumnRenamed("leaks", f"c{len(names)}")
-            more = held.mapInArrow(_annotate(index, threshold, overlap, at), f"{inner}, c{len(names)} array<struct<{LEAK.replace(' ', ':').replace(',:', ',')}>>, leaks array<struct<{LEAK.replace(' ', ':').replace(',:', ',')}>>")
-            out = more.withColumn("leaks", F.concat(f"c{len(names)}", "leaks")).drop(f"c{len(names)}")
-    return out.toDF(*names, column)
+        found.append(f"_tidelane_leaks_{len(found)}")
+        out = add_columns(out, _find(index, threshold, overlap, [c.lower() for c in out.columns].index("text")), parse(f"{found[-1]} {kind}"))
+    return out.withColumn(column, F.concat(*found)).drop(*found)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

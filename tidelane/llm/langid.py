@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelane.llm import textops
+from tidelane.llm.annotate import add_columns, parse
 
 TRAIN_ROWS, LEAST_ROWS = 2400, 20
 BUCKETS, ORDERS = 1 << 13, (1, 2, 3)
@@ -192,12 +193,16 @@ def _features(batches):
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model from ``labelled`` (doc_id, text, lang) of at most ``rows`` rows, but LEAST_ROWS of each language; null text or lang are left out."""
     known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("_h"))
-    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
+    rows_of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(rows_of)
     if not languages:
         return Model([], np.zeros((0, 0), np.int8), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros(0))
     each = max(LEAST_ROWS, rows // len(languages))
-    first = Window.partitionBy("lang").orderBy("_h")
-    chosen = known.select("lang", "_h").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each).select("lang", "_h")
+    # rows whose hash is below twice the share that is wanted, then the smallest of these: no task gets more than a few samples' rows
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, (2 * each + 50) / rows_of[lang]))])
+    near = known.select("lang", "_h").where(F.pmod("_h", F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
+    first = Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h")
+    chosen = near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each).select("lang", "_h")
     sample = known.join(F.broadcast(chosen.distinct()), ["lang", "_h"], "left_semi").dropDuplicates(["_h"])
     got = sample.select("lang", "text").mapInArrow(_features, "lang string, x binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
@@ -215,17 +220,23 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(languages, code, weights, bias.astype(float), np.maximum(2 * right - 1, 0.01))
 
 
-def _predict(model):
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            names, score, ambiguous = model.value.predict(batch.column("text"))
-            held_out = [zlib.crc32(str("" if i is None else i).encode()) % 5 == 0 for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held_out), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous)], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
+def _predict(model, doc_id: int, text: int):
+    def run(batch):
+        ids = batch.column(doc_id).to_pylist()
+        names, score, ambiguous = model.value.predict(batch.column(text).cast(pa.string()))
+        held_out = [zlib.crc32(str("" if i is None else i).encode()) % 5 == 0 for i in ids]
+        return [pa.array(held_out), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous)]
 
     return run
 
 
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with _held_out, _lang, _score and _ambiguous appended: see identify."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [c.lower() for c in docs.columns]
+    return add_columns(docs, _predict(shared, names.index("doc_id"), names.index("text")), parse("_held_out boolean, _lang string, _score double, _ambiguous boolean"))
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     """The rows that are not held out: crc32 of doc_id as text is not divisible by 5. A null doc_id counts as an empty text and is held out."""
     return docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 0)
@@ -237,9 +248,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Null texts and texts without a letter are ``und`` with score 0 and ambiguous; so is all if the model knows no language. With one language, it is
     predicted with score 1. Ties go to the first language by name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    rows = annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
+    return rows.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_ambiguous").alias("ambiguous"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

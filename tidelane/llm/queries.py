@@ -13,6 +13,7 @@ _MODULES = {
     "op5_language_id": "langid",
     "op6_exact_topk": "topk",
     "op7_best_fit_packing": "packing",
+    "op8_license_scan": "licenses",
     "op9_chat_format": "chat",
     "op10_substring_dedup": "unit_dedup",
 }
@@ -26,8 +27,12 @@ def _lazy(name: str):
     return run
 
 
+def _pipeline(spark, sf_dir):
+    return import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: _lazy(name) for name in _MODULES}
+    return {name: _lazy(name) for name in _MODULES} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

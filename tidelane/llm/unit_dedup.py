@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.llm import textops
+from tidelane.llm.annotate import add_columns, parse
 from tidelane.storage import materialize, shuffle_partitions
 
 MIN_WORDS = 8
@@ -147,62 +148,75 @@ def _later(batches):
         yield pa.RecordBatch.from_arrays([pa.array(doc[a:b]), pa.array(pos[a:b]), pa.array(mark[a:b])], names=["doc_id", "pos", "mark"])
 
 
-def _cut(kind: str, min_words: int):
+def _cut(kind: str, min_words: int, at_text: int, at_marks: int):
     """Texts without their marked units, and the spans that were kept and removed."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches):
-        for batch in batches:
-            text = batch.column("text")
-            marked = batch.column("marked").to_pylist()
-            n = batch.num_rows
-            clean = text.to_pylist()
-            units, gone = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            removed: list[list] = [[] for _ in range(n)]
-            kept: list[list] = [[{"start": 0, "end": len(t)}] if t else [] for t in clean]
-            data, offsets = textops.utf8(text)
-            for a, count, row, pos, begin, _last, window, k1, _k2, starts, _ends in keyed_units(text, kind, min_words):
-                cuts = np.searchsorted(row, np.arange(count + 1))
-                units[a : a + count] = np.diff(cuts)
-                for i in range(count):
-                    if not marked[a + i]:
-                        continue
-                    c, d = int(cuts[i]), int(cuts[i + 1])
-                    drop = np.zeros(d - c, bool)
-                    for m in marked[a + i]:
-                        u = c + m["pos"]
-                        if u < d and window[u] >= 0 and int(k1[u] & np.uint64(0x7FFFFFFF)) == m["mark"]:
-                            drop[window[u] - c : m["pos"] + 1] = True
-                    at = np.flatnonzero(drop)
-                    if not len(at):
-                        continue
-                    lo, hi = int(offsets[a + i]), int(offsets[a + i + 1])
-                    edges = np.append(starts[begin[c:d]], hi) - lo  # a unit reaches to the next one's start
-                    whole = data[lo:hi].tobytes()
-                    out, done, spans, rest = [], 0, [], []
-                    for g in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                        spans.append((int(edges[g[0]]), int(edges[g[-1] + 1])))
-                    chars = 0
-                    for x, y in [*spans, (hi - lo, hi - lo)]:
-                        piece = whole[done:x].decode()
-                        if piece:
-                            rest.append({"start": chars, "end": chars + len(piece)})
-                        chars += len(piece)
-                        out.append(piece)
-                        cut = len(whole[x:y].decode())
-                        if cut:
-                            removed[a + i].append({"start": chars, "end": chars + cut})
-                        chars += cut
-                        done = y
-                    clean[a + i], kept[a + i], gone[a + i] = "".join(out), rest, len(at)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(clean, pa.string()), pa.array(units), pa.array(gone), pa.array(removed, span), pa.array(kept, span)],
-                names=["doc_id", "text", "n_units", "n_removed", "removed", "kept"],
-            )
+    def run(batch):
+        text = batch.column(at_text).cast(pa.string())
+        marked = batch.column(at_marks).to_pylist()
+        n = batch.num_rows
+        clean = text.to_pylist()
+        units, gone = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        removed: list[list] = [[] for _ in range(n)]
+        kept: list[list] = [[{"start": 0, "end": len(t)}] if t else [] for t in clean]
+        data, offsets = textops.utf8(text)
+        for a, count, row, pos, begin, _last, window, k1, _k2, starts, _ends in keyed_units(text, kind, min_words):
+            cuts = np.searchsorted(row, np.arange(count + 1))
+            units[a : a + count] = np.diff(cuts)
+            for i in range(count):
+                if not marked[a + i]:
+                    continue
+                c, d = int(cuts[i]), int(cuts[i + 1])
+                drop = np.zeros(d - c, bool)
+                for m in marked[a + i]:
+                    u = c + m["pos"]
+                    if u < d and window[u] >= 0 and int(k1[u] & np.uint64(0x7FFFFFFF)) == m["mark"]:
+                        drop[window[u] - c : m["pos"] + 1] = True
+                at = np.flatnonzero(drop)
+                if not len(at):
+                    continue
+                lo, hi = int(offsets[a + i]), int(offsets[a + i + 1])
+                edges = np.append(starts[begin[c:d]], hi) - lo  # a unit reaches to the next one's start
+                whole = data[lo:hi].tobytes()
+                out, done, spans, rest = [], 0, [], []
+                for g in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                    spans.append((int(edges[g[0]]), int(edges[g[-1] + 1])))
+                chars = 0
+                for x, y in [*spans, (hi - lo, hi - lo)]:
+                    piece = whole[done:x].decode()
+                    if piece:
+                        rest.append({"start": chars, "end": chars + len(piece)})
+                    chars += len(piece)
+                    out.append(piece)
+                    cut = len(whole[x:y].decode())
+                    if cut:
+                        removed[a + i].append({"start": chars, "end": chars + cut})
+                    chars += cut
+                    done = y
+                clean[a + i], kept[a + i], gone[a + i] = "".join(out), rest, len(at)
+        return [pa.array(clean, pa.string()), pa.array(units), pa.array(gone), pa.array(removed, span), pa.array(kept, span)]
 
     return run
 
 
+SPANS = "array<struct<start:long,end:long>>"
+
+
+def cut_units(docs: DataFrame, kind: str = "phrase", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with _clean, _units, _gone, _removed and _kept appended: see dedup_units."""
+    if kind not in KINDS:
+        raise ValueError(f"kind is one of {KINDS}")
+    parts = shuffle_partitions(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    late = rows.where("doc_id IS NOT NULL").mapInArrow(_emit(kind, min_words, parts), _BLOBS).repartition(parts, "part").mapInArrow(_later, "doc_id long, pos int, mark int")
+    marked = materialize(late.groupBy(F.col("doc_id").alias("_marked_id")).agg(F.collect_set(F.struct("pos", "mark")).alias("_marks")), "dedup-marked")
+    joined = docs.join(marked, F.col("doc_id").cast("long") == F.col("_marked_id"), "left").drop("_marked_id")
+    names = [c.lower() for c in joined.columns]
+    added = parse(f"_clean string, _units long, _gone long, _removed {SPANS}, _kept {SPANS}")
+    return add_columns(joined, _cut(kind, min_words, names.index("text"), names.index("_marks")), added).drop("_marks")
+
+
 def dedup_units(docs: DataFrame, kind: str = "phrase", min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, text without repeated units, n_units, n_removed, removed and kept spans.
 
@@ -210,14 +224,9 @@ def dedup_units(docs: DataFrame, kind: str = "phrase", min_words: int = MIN_WORD
     units; rows of null doc_id are returned as they are. Rows that repeat a doc_id and a text are ranked alike: what is removed from
     one is removed from each, and a passage first seen in them stays in each. Empty tables give empty results.
     """
-    if kind not in KINDS:
-        raise ValueError(f"kind is one of {KINDS}")
-    parts = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    late = rows.where("doc_id IS NOT NULL").mapInArrow(_emit(kind, min_words, parts), _BLOBS).repartition(parts, "part").mapInArrow(_later, "doc_id long, pos int, mark int")
-    marked = late.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "mark")).alias("marked"))
-    cut = "doc_id long, text string, n_units long, n_removed long, removed array<struct<start:long,end:long>>, kept array<struct<start:long,end:long>>"
-    return rows.join(materialize(marked, "dedup-marked"), "doc_id", "left").mapInArrow(_cut(kind, min_words), cut)
+    cut = cut_units(rows, kind, min_words)
+    return cut.select("doc_id", F.col("_clean").alias("text"), F.col("_units").alias("n_units"), F.col("_gone").alias("n_removed"), F.col("_removed").alias("removed"), F.col("_kept").alias("kept"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
