@@ -54,7 +54,7 @@ def near(rng, words, edits):
 @pytest.mark.parametrize("block", [4, 512])
 def test_join_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
-    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    monkeypatch.setattr(ngram_join, "_FLUSH", 50 * block)
     rng = random.Random(block)
     base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(6, 90))] for _ in range(12)]
     shared = " ".join(f"s{i}" for i in range(14))

@@ -2,10 +2,10 @@
 
 1. Each text becomes its set of word shingles. Documents with equal sets are one class, a row of the incidence matrix.
 2. Of two sets that reach the threshold, a size-derived bound says that they share one of the first |s| - ceil(t |s|) + 1 shingles of
-   each in any common order. Shingles that stand early in many documents (counted over all documents) come last in that order; what is
-   left is ordered by hash. Classes that share such a prefix shingle are joined into families: no product between families can reach
-   the threshold. Prefix postings meet by shingle; each is linked to the smallest class of its shingle only, so a shingle of
-   n classes makes n - 1 edges, and postings of frequent shingles are dealt over many tasks and meet in a second step.
+   each in any common order. That order is rare first: shingles are counted over all documents, in packed batches whose distinct shingles
+   go to their range of hashes once and whose counts come back, so a shingle of any frequency is one entry a batch. A shingle of
+   one document meets no other, so most documents have no posting at all. Classes that share a prefix shingle are joined into
+   families: no product between families can reach the threshold. A posting makes an edge to the smallest class of its shingle only.
 3. Within a family the incidence matrix is cut into blocks of rows; a task multiplies two blocks over blocks of n-gram columns,
    accumulating overlap counts, and discards pairs whose sizes or counts are below the bound. It returns for each row its links and
    its smallest reachable row in the block, never pairs. Small families share a task.
@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +28,10 @@ from tidelane.llm.components import components
 from tidelane.storage import materialize, shuffle_partitions
 
 WIDTH, PERCENT = 5, 80
-#: A shingle is frequent if more prefixes hold it; at most so many of the most frequent ones are broadcast (8 bytes each). Both only order shingles.
-FREQUENT, MOST_FREQUENT = 32, 1 << 18
 #: Rows and shingles of a block, at most.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
-_FLUSH = 1 << 20
+#: Shingles and documents of a batch that is counted at once, at most (a longer document is a batch of its own).
+_FLUSH, _FLUSH_DOCS = 1 << 20, (1 << 16) - 1
 
 
 def text_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray]]:
@@ -48,7 +48,7 @@ def set_digest(own: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def prefix_size(n: int, percent: int) -> int:
+def prefix_size(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
@@ -66,136 +66,146 @@ def _signatures(width: int):
     return run
 
 
-def _deal(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """(part, bytes of each column's rows there)."""
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    cuts = np.flatnonzero(np.diff(part, prepend=-1))
-    columns = [x[order] for x in columns]
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
-        yield int(part[a]), *(x[a:b].tobytes() for x in columns)
+_BATCH = ("part", "batch", "tokens", "counts", "refs", "sizes", "classes")
 
 
-def _range_of(tokens: np.ndarray, parts: int) -> np.ndarray:
-    return ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _batches(width: int, parts: int):
+    """Rows of a packed batch of sets: its distinct shingles by range of hashes, with the batch's counts, and one row of what stays with the batch - which documents hold its shingles, in their order, and the documents' sizes and classes."""
 
-
-def _count_prefixes(width: int, percent: int, parts: int):
-    """Rows (part, tokens, counts) of the first shingles by hash, twice the prefix of each text; counts are of this task."""
-
-    def flush(held):
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        rows = list(_deal(_range_of(tokens, parts), tokens, counts.astype(np.uint32)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "tokens", "counts"])
+    def flush(sets, classes):
+        tokens = np.concatenate(sets)
+        sizes = np.array([len(x) for x in sets], np.int64)
+        order = np.argsort(tokens, kind="stable")
+        refs = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)[order]
+        tokens, counts = np.unique(tokens, return_counts=True)
+        counts = counts.astype(np.uint16)
+        part = (tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        low = _within(tokens, parts)
+        cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        batch = uuid.uuid4().bytes
+        rows = [(p, batch, low[a:b].view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes(), counts[a:b].tobytes(), None, None, None) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+        rows.append((batch[0] * parts >> 8, batch, None, counts.tobytes(), refs.tobytes(), sizes.tobytes(), np.array(classes, np.int64).tobytes()))
+        kinds = (pa.int32(), *[pa.binary()] * 6)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(_BATCH))
 
     def run(batches):
-        held, size = [], 0
+        sets, classes, size, seen = [], [], 0, set()
         for batch in batches:
             for _, own in text_sets(batch.column("text"), width):
-                if len(own):
-                    held.append(own[: 2 * prefix_size(len(own), percent)])
-                    size += len(held[-1])
-                    if size >= _FLUSH:
-                        yield from flush(held)
-                        held, size = [], 0
-        if held:
-            yield from flush(held)
+                if not len(own):
+                    continue
+                digest = set_digest(own)
+                if digest in seen:  # a copy of what this task has sent
+                    continue
+                if len(seen) < 1 << 17:
+                    seen.add(digest)
+                if sets and (size + len(own) > _FLUSH or len(sets) >= _FLUSH_DOCS):
+                    yield flush(sets, classes)
+                    sets, classes, size = [], [], 0
+                sets.append(own)
+                classes.append(digest)
+                size += len(own)
+        if sets:
+            yield flush(sets, classes)
 
     return run
 
 
-def _joined(batches, *names: str) -> list[tuple[np.ndarray, ...]]:
-    """The whole blobs of a task's rows."""
-    held: list[list[bytes]] = [[] for _ in names]
-    for batch in batches:
-        for own, name in zip(held, names, strict=True):
-            own.extend(batch.column(name).to_pylist())
-    return [b"".join(x) for x in held]
-
-
-def _frequent(least: int):
-    def run(batches):
-        tokens, counts = _joined(batches, "tokens", "counts")
-        tokens, at = np.unique(np.frombuffer(tokens, np.uint64), return_inverse=True)
-        total = np.bincount(at, np.frombuffer(counts, np.uint32), len(tokens)).astype(np.int64)
-        keep = total > least
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(total[keep])], names=["token", "n"])
+def _within(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """A shingle's 40 bits in its range of hashes: with the range, they name it from here on."""
+    return tokens * np.uint64(parts) >> np.uint64(24)
 
-    return run
 
+def _unplaned(planes: bytes) -> np.ndarray:
+    out = np.zeros((len(planes) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(planes, np.uint8).reshape(5, -1).T
+    return out.view(np.uint64).ravel()
 
-def _postings(width: int, percent: int, parts: int, frequent):
-    """Rows (part, tokens, classes, hot) of prefix shingles; those of frequent shingles are dealt by class too."""
 
-    def flush(tokens, classes, hot):
-        tokens, classes, hot = np.concatenate(tokens), np.concatenate(classes), np.concatenate(hot)
-        part = _range_of(np.where(hot, textops.mix64(tokens ^ classes), tokens), parts)
-        rows = list(_deal(part, tokens, classes, hot))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "tokens", "classes", "hot"])
+def _counted(batches):
+    """For each batch and range, which of its shingles are in several documents, their bits and counts; rows of what stays with a batch pass."""
+    by_part: dict[int, list] = {}
+    names = ["batch", "part", "shared", "tokens", "counts", "refs", "sizes", "classes"]
+    kinds = [pa.binary(), pa.int32(), *[pa.binary()] * 6]
+    for batch in batches:
+        kept = []
+        for part, name, tokens, counts, refs, sizes, classes in zip(*(batch.column(c).to_pylist() for c in _BATCH), strict=True):
+            if tokens is None:
+                kept.append((name, None, None, None, counts, refs, sizes, classes))
+            else:
+                low = _unplaned(tokens)
+                by_part.setdefault(part, []).append((name, low, np.frombuffer(counts, np.uint16)))
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*kept, strict=True), kinds, strict=True)], names=names)
+    for part, held in by_part.items():
+        tokens, at = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([x[2] for x in held]), len(tokens)).astype(np.int64)
+        end = 0
+        for name, low, _ in held:
+            n = total[at[end : end + len(low)]]
+            end += len(low)
+            shared = n > 1
+            row = (name, part, np.packbits(shared).tobytes() + len(low).to_bytes(8, "little"), low[shared].view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes(), np.minimum(n[shared], 0xFFFF).astype(np.uint16).tobytes(), None, None, None)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+
+
+def _prefixes(percent: int):
+    """A row for each class whose prefix, rare first, holds a shingle of several documents: c1, c2, n, those shingles, and all of its shingles that are in several documents."""
+
+    def one(rows):
+        base = next(r for r in rows if r["part"] is None)
+        times = np.frombuffer(base["counts"], np.uint16)
+        refs, sizes, classes = np.frombuffer(base["refs"], np.uint16), np.frombuffer(base["sizes"], np.int64), np.frombuffer(base["classes"], np.int64).reshape(-1, 2)
+        shared, tokens, df = [], [], []
+        for r in sorted((r for r in rows if r["part"] is not None), key=lambda r: r["part"]):
+            n = int.from_bytes(r["shared"][-8:], "little")
+            shared.append(np.unpackbits(np.frombuffer(r["shared"][:-8], np.uint8), count=n).astype(bool))
+            tokens.append(_unplaned(r["tokens"]).view(np.int64) | np.int64(r["part"]) << 40)
+            df.append(np.frombuffer(r["counts"], np.uint16))
+        shared = np.concatenate(shared)
+        own = np.repeat(shared, times)
+        k = times[shared]
+        refs, tokens, df = refs[own], np.repeat(np.concatenate(tokens), k), np.repeat(np.concatenate(df), k)
+        single = sizes - np.bincount(refs, minlength=len(sizes))
+        room = prefix_size(sizes, percent) - single
+        some = room[refs] > 0
+        refs, tokens, df = refs[some], tokens[some], df[some]
+        order = np.lexsort((tokens, df, refs))
+        refs, tokens = refs[order], tokens[order]
+        cuts = np.flatnonzero(np.diff(refs.astype(np.int64), prepend=-1))
+        ends = np.append(cuts[1:], len(refs))[: len(cuts)]
+        own = refs[cuts]
+        prefix = [tokens[i : min(j, i + k)] for i, j, k in zip(cuts.tolist(), ends.tolist(), room[own].tolist(), strict=True)]
+        blobs = [np.sort(tokens[i:j]).tobytes() for i, j in zip(cuts.tolist(), ends.tolist(), strict=True)]
+        values = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
+        offsets = np.append(0, np.cumsum([len(x) for x in prefix])).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        return pa.RecordBatch.from_arrays([pa.array(classes[own, 0]), pa.array(classes[own, 1]), pa.array(sizes[own]), lists, pa.array(blobs, pa.binary())], names=["c1", "c2", "n", "prefix", "own"])
 
     def run(batches):
-        late = frequent.value
-        tokens, classes, hot, size, seen = [], [], [], 0, set()
+        held: dict[bytes, list] = {}
         for batch in batches:
-            for _, own in text_sets(batch.column("text"), width):
-                if not len(own):
-                    continue
-                digest = set_digest(own)
-                if digest in seen:  # a copy of what this task has sent
-                    continue
-                if len(seen) < 1 << 17:
-                    seen.add(digest)
-                is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own if len(late) else np.zeros(len(own), bool)
-                order = np.concatenate([np.flatnonzero(~is_late), np.flatnonzero(is_late)])[: prefix_size(len(own), percent)]
-                tokens.append(own[order])
-                classes.append(np.full(len(order), digest[0], np.int64).view(np.uint64))
-                hot.append(is_late[order])
-                size += len(order)
-                if size >= _FLUSH:
-                    yield from flush(tokens, classes, hot)
-                    tokens, classes, hot, size = [], [], [], 0
-        if tokens:
-            yield from flush(tokens, classes, hot)
+            for r in batch.to_pylist():
+                held.setdefault(r["batch"], []).append(r)
+        for rows in held.values():
+            yield one(rows)
 
     return run
 
 
-def _lead(batches):
-    """Rows (a, b, token): an edge from each class to the smallest of its shingle's; for a frequent shingle also its smallest here."""
-    tokens, classes, hot = _joined(batches, "tokens", "classes", "hot")
-    tokens, classes, hot = np.frombuffer(tokens, np.uint64), np.frombuffer(classes, np.int64), np.frombuffer(hot, bool)
-    order = np.lexsort((classes, tokens))
-    tokens, classes, hot = tokens[order], classes[order], hot[order]
-    starts = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] + np.uint64(1)) != 0) if len(tokens) else np.zeros(0, np.int64)
-    least = np.repeat(classes[starts], np.diff(starts, append=len(tokens)))
-    edges = np.unique(np.stack([classes, least])[:, classes != least], axis=1)
-    own = starts[hot[starts]]
-    n, k = edges.shape[1], len(own)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([edges[0], classes[own]])),
-            pa.array(np.concatenate([edges[1], np.zeros(k, np.int64)]), mask=np.arange(n + k) >= n),
-            pa.array(np.concatenate([np.zeros(n, np.int64), tokens[own].view(np.int64)]), mask=np.arange(n + k) < n),
-        ],
-        names=["a", "b", "token"],
-    )
+def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Stored rows (c1, c2, n, prefix, own) of classes that may link with others; a class may come once for each batch that holds it."""
+    parts = shuffle_partitions(docs.sparkSession)
+    sent = docs.select("text").mapInArrow(_batches(width, parts), "part int, batch binary, tokens binary, counts binary, refs binary, sizes binary, classes binary")
+    answered = sent.repartition(parts, "part").mapInArrow(_counted, "batch binary, part int, shared binary, tokens binary, counts binary, refs binary, sizes binary, classes binary")
+    return materialize(answered.repartition(parts, "batch").mapInArrow(_prefixes(percent), "c1 long, c2 long, n long, prefix array<long>, own binary"), "join-candidates")
 
 
-def families(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(c1, family) of the classes that share a prefix shingle with another."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    texts = docs.select("text")
-    counted = texts.mapInArrow(_count_prefixes(width, percent, parts), "part int, tokens binary, counts binary")
-    heavy = counted.repartition(parts, "part").mapInArrow(_frequent(FREQUENT), "token long, n long")
-    top = heavy.orderBy(F.col("n").desc(), "token").limit(MOST_FREQUENT).select("token").toArrow()
-    late = spark.sparkContext.broadcast(np.sort(np.asarray(top.column(0)).astype(np.int64).view(np.uint64)))
-    posted = texts.mapInArrow(_postings(width, percent, parts, late), "part int, tokens binary, classes binary, hot binary")
-    led = materialize(posted.repartition(parts, "part").mapInArrow(_lead, "a long, b long, token long"), "join-edges")
-    hot = led.where("token IS NOT NULL").select("token", "a")
-    least = hot.groupBy("token").agg(F.min("a").alias("b"))
-    edges = led.where("token IS NULL").select("a", "b").union(hot.join(least, "token").select("a", "b"))
+def families(found: DataFrame) -> DataFrame:
+    """(c1, family) of the candidates that share a prefix shingle with another class."""
+    posted = found.select(F.explode("prefix").alias("token"), "c1")
+    least = posted.groupBy("token").agg(F.min("c1").alias("b"), F.max("c1").alias("_most")).where("b <> _most").select("token", "b")
+    edges = posted.join(materialize(least, "join-least"), "token").select(F.col("c1").alias("a"), "b")
     return components(edges).select(F.col("id").alias("c1"), F.col("label").alias("family"))
 
 
@@ -230,17 +240,17 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None, columns: in
     return out
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
-    """Whether the pairs of two blocks of sets reach the threshold; a block with itself has no links on its diagonal."""
-    sizes = [np.array([len(s) for s in x], np.int64) for x in (left, left if right is None else right)]
-    low, high = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
-    can = 100 * low >= percent * high
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, sizes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether the pairs of two blocks reach the threshold; a block with itself has no links on its diagonal. ``sizes`` are those of the whole
+    sets; the arrays may leave out shingles that are in no other set."""
+    low, high, both = np.minimum.outer(*sizes), np.maximum.outer(*sizes), np.add.outer(*sizes)
+    most = np.minimum.outer(np.array([len(x) for x in left]), np.array([len(x) for x in (left if right is None else right)]))
+    can = (100 * low >= percent * high) & ((100 + percent) * most >= percent * both)
     if right is None:
         np.fill_diagonal(can, False)
     if not can.any():
         return can
-    common = overlaps(left, right).astype(np.int64)
-    return can & ((100 + percent) * common >= percent * np.add.outer(*sizes))
+    return can & ((100 + percent) * overlaps(left, right).astype(np.int64) >= percent * both)
 
 
 def _least_reachable(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -259,20 +269,21 @@ def _multiply(percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         family, block, left, right, rep, weight = (np.asarray(table.column(c)) for c in ("family", "block", "left", "right", "rep", "weight"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("own").to_pylist()]
+        n = np.asarray(table.column("n"))
+        sets = [np.frombuffer(x, np.int64) for x in table.column("own").to_pylist()]
         order = np.lexsort((rep, family))
         out = []
         cuts = np.flatnonzero(np.diff(family[order], prepend=family[order[:1]] - 1 if len(order) else 0))
         for own in np.split(order, cuts[1:]) if len(order) else ():
             if left[own[0]] == right[own[0]]:
-                links = linked([sets[i] for i in own], None, percent)
+                links = linked([sets[i] for i in own], None, percent, (n[own], n[own]))
                 ids = own
             else:
                 ids = np.concatenate([own[block[own] == left[own[0]]], own[block[own] != left[own[0]]]])
                 k = int((block[own] == left[own[0]]).sum())
                 links = np.zeros((len(ids), len(ids)), bool)
                 if 0 < k < len(ids):
-                    links[:k, k:] = linked([sets[i] for i in ids[:k]], [sets[i] for i in ids[k:]], percent)
+                    links[:k, k:] = linked([sets[i] for i in ids[:k]], [sets[i] for i in ids[k:]], percent, (n[ids[:k]], n[ids[k:]]))
                     links |= links.T
             out.append((rep[ids], _least_reachable(links, rep[ids]), links @ weight[ids]))
         columns = [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
@@ -281,23 +292,6 @@ def _multiply(percent: int):
     return run
 
 
-def _wanted_sets(width: int):
-    """Sets of the documents that represent a class; rows of other texts under the same id fall away."""
-
-    def run(batches):
-        for batch in batches:
-            keep, blobs = [], []
-            c1, c2 = batch.column("c1").to_pylist(), batch.column("c2").to_pylist()
-            for i, own in text_sets(batch.column("text"), width):
-                if len(own) and set_digest(own) == (c1[i], c2[i]):
-                    keep.append(i)
-                    blobs.append(own.tobytes())
-            kept = batch.drop_columns(["text", "c2"]).take(pa.array(keep, pa.int64()))
-            yield kept.append_column("own", pa.array(blobs, pa.binary()))
-
-    return run
-
-
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links.
 
@@ -312,15 +306,15 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     signed = materialize(rows.mapInArrow(_signatures(width), "doc_id long, n long, c1 long, c2 long"), "join-signatures")
     some = signed.where("doc_id IS NOT NULL AND n > 0")
     classes = materialize(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n")), "join-classes")
-    active = materialize(classes.join(families(rows, width, percent), "c1"), "join-active")
+    found = candidates(rows, width, percent)
+    sets = found.select("c1", "c2", "n", "own").dropDuplicates(["c1", "c2"]).join(families(found), "c1")
+    active = materialize(sets.join(classes.drop("n"), ["c1", "c2"]), "join-active")
     room = active.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("cells"))
     room = room.select("family", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("cells") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     bins = max(1, -(-active.count() // BLOCK_ROWS))
-    placed = active.join(room, "family").withColumn("block", F.pmod(F.xxhash64("c1", "c2"), F.col("blocks")).cast("int"))
-    members = rows.join(placed.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "c1", "c2", "family", "blocks", "block", F.col("doc_id").alias("rep"), "weight")
-    held = members.mapInArrow(_wanted_sets(width), "c1 long, family long, blocks int, block int, rep long, weight long, own binary")
+    held = active.join(room, "family").withColumn("block", F.pmod(F.xxhash64("c1", "c2"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right")))
-    tiles = held.select("*", F.explode(others).alias("tile")).select("family", "blocks", "block", "rep", "weight", "own", "tile.left", "tile.right")
+    tiles = held.select("*", F.explode(others).alias("tile")).select("family", "blocks", "block", "rep", "weight", "n", "own", "tile.left", "tile.right")
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.xxhash64("family", "left", "right"))
     tiles = tiles.withColumn("task", F.struct(F.col("blocks") == 1, task.alias("at")))
     product = tiles.groupBy("task").applyInArrow(_multiply(percent), "rep long, least long, links long")
