@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from tidelane.plans import registry, relational_queries, timeline_queries  # noqa: F401
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return relational_queries.cost_analysis(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
