@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelane.functions import lexicons as lex
 
@@ -29,8 +30,8 @@ def strip_punctuation(word: Column) -> Column:
 def drop_repeats(text) -> Column:
     """A text without words that repeat the word before, but for case and outer punctuation; words of punctuation only stay. Texts of one word or none are left as they are."""
     w = split_words(text)
-    key = F.transform(w, strip_punctuation)
-    kept = F.filter(F.zip_with(w, F.transform(w, lambda x, i: i), lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda s: ~F.coalesce((s["i"] > 0) & (F.get(key, s["i"]) == F.get(key, s["i"] - 1)) & (F.get(key, s["i"]) != ""), F.lit(False)))
+    pairs = F.zip_with(w, F.concat(F.array(F.lit(None).cast("string")), w), lambda x, before: F.struct(x.alias("w"), strip_punctuation(x).alias("k"), strip_punctuation(before).alias("b")))
+    kept = F.filter(pairs, lambda s: s["w"].isNotNull() & ~F.coalesce((s["k"] == s["b"]) & (s["k"] != ""), F.lit(False)))
     return F.when(F.size(w) <= 1, F.col(text) if isinstance(text, str) else text).otherwise(F.array_join(F.transform(kept, lambda s: s["w"]), " "))
 
 
@@ -104,7 +105,7 @@ def mask_text(text: str | None) -> str | None:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _mask(texts: pd.Series) -> pd.Series:
     return texts.map(mask_text)
 
