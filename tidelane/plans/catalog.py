@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidelane.plans import registry, relational_queries, text_queries, timeline_queries  # noqa: F401
+from tidelane.plans import media_queries, registry, relational_queries, text_queries, timeline_queries  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    return relational_queries.cost_analysis(spark, sf_dir)
+    """Word streams to segments, scores, merged and selected highlights."""
+    return text_queries.selected_highlights(spark, sf_dir)
 
 
 def queries() -> dict:
