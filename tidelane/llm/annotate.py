@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidelane.llm import textops
+
 
 def add_columns(df: DataFrame, compute: Callable[[pa.RecordBatch], list[pa.Array]], fields: T.StructType) -> DataFrame:
     """``df`` with ``fields`` (new names) appended. ``compute`` gets a batch of all of ``df``'s columns, by position and by name, and returns their arrays."""
@@ -18,7 +20,7 @@ def add_columns(df: DataFrame, compute: Callable[[pa.RecordBatch], list[pa.Array
         raise ValueError(f"columns {sorted(taken)} are there already")
 
     def run(batches):
-        for batch in batches:
+        for batch in textops.released(batches):
             made = compute(batch.rename_columns(names))
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*inner, *(f"x{i}" for i in range(len(made)))])
 

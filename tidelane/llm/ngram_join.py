@@ -31,7 +31,7 @@ WIDTH, PERCENT = 5, 80
 #: Rows and shingles of a block, at most.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 #: Shingles and documents of a batch that is counted at once, at most (a longer document is a batch of its own).
-_FLUSH, _FLUSH_DOCS = 1 << 20, (1 << 16) - 1
+_FLUSH, _FLUSH_DOCS = 1 << 19, (1 << 16) - 1
 
 
 def text_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray]]:
@@ -54,7 +54,7 @@ def prefix_size(n, percent: int):
 
 def _signatures(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in textops.released(batches):
             n, c1, c2 = [], [], []
             for _, own in text_sets(batch.column("text"), width):
                 a, b = set_digest(own) if len(own) else (None, None)
@@ -90,7 +90,7 @@ def _batches(width: int, parts: int):
 
     def run(batches):
         sets, classes, size, seen = [], [], 0, set()
-        for batch in batches:
+        for batch in textops.released(batches):
             for _, own in text_sets(batch.column("text"), width):
                 if not len(own):
                     continue
@@ -127,7 +127,7 @@ def _counted(batches):
     by_part: dict[int, list] = {}
     names = ["batch", "part", "shared", "tokens", "counts", "refs", "sizes", "classes"]
     kinds = [pa.binary(), pa.int32(), *[pa.binary()] * 6]
-    for batch in batches:
+    for batch in textops.released(batches):
         kept = []
         for part, name, tokens, counts, refs, sizes, classes in zip(*(batch.column(c).to_pylist() for c in _BATCH), strict=True):
             if tokens is None:
@@ -184,11 +184,11 @@ def _prefixes(percent: int):
 
     def run(batches):
         held: dict[bytes, list] = {}
-        for batch in batches:
+        for batch in textops.released(batches):
             for r in batch.to_pylist():
                 held.setdefault(r["batch"], []).append(r)
-        for rows in held.values():
-            yield one(rows)
+        for name in list(held):
+            yield one(held.pop(name))
 
     return run
 

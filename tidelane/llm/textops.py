@@ -7,12 +7,14 @@ single text.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,5 +104,16 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> Iterator[
             yield rolled[:0]
 
 
-def as_long(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def released(batches: Iterator) -> Iterator:
+    """The same batches, in a worker that gives memory back: before the first, token caches of earlier tasks go; after the last, what was freed returns to the system, as workers stay for later tasks."""
+    tokens = sys.modules.get("tidelane.llm.tokens")
+    if tokens:
+        tokens.forget()
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass

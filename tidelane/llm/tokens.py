@@ -16,7 +16,7 @@ import struct
 import numpy as np
 
 #: Stretches and pieces that a Python worker keeps; beyond these, new ones are encoded each time.
-STRETCHES, PIECES = 700_000, 500_000
+STRETCHES, PIECES = 500_000, 400_000
 
 # How word_bpe_49k.json splits lower-case text, and the characters for which this holds in re as it does there.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -99,6 +99,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drops this process's encoders and all they keep."""
+    _ENCODERS.clear()
+
+
 def groups(texts: list, limit: int = 1 << 20):
     """Slices of a list of about ``limit`` characters."""
     at, size = 0, 0

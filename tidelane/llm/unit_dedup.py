@@ -9,7 +9,7 @@ Lines and paragraphs miss a passage that was pasted into a line, so phrases are
 or ``?``, and after words that a hash picks (one in sixteen), which are the same words wherever a passage stands.
 
 Each task keeps only the first of its occurrences of a key and knows the others to be removable at once; just the firsts, packed by range
-of keys, are shuffled. A key that a third of all documents hold thus reaches its reducer once for each batch of a million units.
+of keys, are shuffled. A key that a third of all documents hold thus reaches its reducer once for each batch of half a million units.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tidelane.llm.annotate import add_columns, parse
 from tidelane.storage import materialize, shuffle_partitions
 
 MIN_WORDS = 8
-_FLUSH = 1 << 20
+_FLUSH = 1 << 19
 _STRONG = np.zeros(256, bool)
 _STRONG[[ord(c) for c in ".!?"]] = True
 _BREAK = np.zeros(256, bool)
@@ -116,7 +116,7 @@ def _emit(kind: str, min_words: int, parts: int):
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in textops.released(batches):
             ids = np.asarray(batch.column("doc_id"))
             for a, _n, row, pos, _b, _l, window, k1, k2, _s, _e in keyed_units(batch.column("text"), kind, min_words):
                 own = np.flatnonzero(window >= 0)
@@ -135,7 +135,7 @@ def _emit(kind: str, min_words: int, parts: int):
 def _later(batches):
     """Rows (doc_id, pos, mark) of units whose key has an earlier occurrence; mark is part of the key, to know the text by."""
     held: dict[str, list[bytes]] = {c: [] for c in _NAMES[1:]}
-    for batch in batches:
+    for batch in textops.released(batches):
         for c, own in held.items():
             own.extend(batch.column(c).to_pylist())
     kinds = {"k1": np.uint64, "k2": np.uint32, "doc": np.int64, "pos": np.int32, "dead_doc": np.int64, "dead_pos": np.int32, "dead_k1": np.uint64}
@@ -204,10 +204,11 @@ SPANS = "array<struct<start:long,end:long>>"
 
 
 def cut_units(docs: DataFrame, kind: str = "phrase", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with _clean, _units, _gone, _removed and _kept appended: see dedup_units."""
+    """``docs`` (doc_id, text and any others) with _clean, _units, _gone, _removed and _kept appended (replaced, if there): see dedup_units."""
     if kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}")
     parts = shuffle_partitions(docs.sparkSession)
+    docs = docs.drop("_clean", "_units", "_gone", "_removed", "_kept", "_marks", "_marked_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     late = rows.where("doc_id IS NOT NULL").mapInArrow(_emit(kind, min_words, parts), _BLOBS).repartition(parts, "part").mapInArrow(_later, "doc_id long, pos int, mark int")
     marked = materialize(late.groupBy(F.col("doc_id").alias("_marked_id")).agg(F.collect_set(F.struct("pos", "mark")).alias("_marks")), "dedup-marked")
