@@ -6,6 +6,8 @@ returns the packed pieces. An empty table passes through every stage; other colu
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +15,30 @@ from tidelane.llm import decontam, langid, ngram_join, packing, unit_dedup
 from tidelane.storage import materialize
 
 _KEY = "_tidelane_key"
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _key():
     return F.col("doc_id").cast("long")
 
 
+def _shielded(stage):
+    """A stage on documents whose other columns have names that nothing inside uses; they get their own names back."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        held = [c if c in DOCUMENT else f"_extra_{i}" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*held), sf_dir)
+        return out.toDF(*docs.columns) if out.columns == held else out
+
+    return run
+
+
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
+@_shielded
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known: texts that are null, have no letter, or are ambiguous between languages go.
 
@@ -33,6 +49,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*_columns(docs))
 
 
+@_shielded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of linked ones: the smallest doc_id, once. Wordless texts and null doc_ids are in no group."""
     found = materialize(ngram_join.jaccard_join(docs), "pipeline-near")
@@ -43,6 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates())
 
 
+@_shielded
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated units out of the texts; n_chars, if there, is their new length. Documents of which nothing but white space is left go."""
     cut = unit_dedup.cut_units(docs)
@@ -53,11 +71,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.select(*_columns(docs))
 
 
+@_shielded
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item's question and answer."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_shielded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all tokens of all documents into sequences: see packing.pack."""
     return packing.pack(materialize(packing.cut_pieces(docs), "pipeline-pieces"))

@@ -24,8 +24,8 @@ def test_stages_decide_as_planted(spark, tmp_path):
     texts[20], texts[21] = "123 ... 456", None
     texts[30] = texts[30] + " " + item
     texts[40], texts[41] = texts[40] + "\n" + passage, texts[41] + "\n" + passage
-    rows = [(d, texts[d], lang[d], "s", len(texts[d] or ""), "x") for d in texts] + [(50, texts[50], lang[50], "s", len(texts[50]), "x"), (None, say(rng, "en", 40), "en", None, 1, None)]
-    fields = "doc_id long, text string, lang string, source string, n_chars long, c1 string"
+    rows = [(d, texts[d], lang[d], "s", len(texts[d] or ""), "x", "y", 1) for d in texts] + [(50, texts[50], lang[50], "s", len(texts[50]), "x", "y", 1), (None, say(rng, "en", 40), "en", None, 1, None, None, None)]
+    fields = "doc_id long, text string, lang string, source string, n_chars long, c1 string, _lang string, _clean int"
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, out = spark.createDataFrame(rows, fields), {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
