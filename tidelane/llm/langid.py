@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidelane.llm import textops
 from tidelane.llm.annotate import add_columns, parse
 
-TRAIN_ROWS, LEAST_ROWS = 2400, 20
+TRAIN_ROWS, LEAST_ROWS = 1200, 20
 BUCKETS, ORDERS = 1 << 13, (1, 2, 3)
 AMBIGUOUS = 0.05  # probability by which the nearest codeword must lead
 USUAL_MARGIN = 3.0  # the median margin of training rows is brought down to this, so that mixed texts come out as uncertain
@@ -165,12 +165,13 @@ class Model:
         return names, np.where(letters, p[np.arange(n), best], 0.0), (lead < AMBIGUOUS) | ~letters
 
 
-def fit_bits(x: np.ndarray, target: np.ndarray, steps: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regressions for all columns of ``target`` (+1, -1) at once, by accelerated gradient steps on scaled features; rows of rare sides weigh more."""
-    scale = 1 / (np.sqrt((x**2).mean(axis=0)) + 1e-4)
-    z = x * scale
+def fit_bits(x: np.ndarray, target: np.ndarray, steps: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regressions for all columns of ``target`` (+1, -1) at once, by accelerated gradient steps on scaled features; rows of rare sides weigh more. Scales ``x`` in place; returns weights, biases and margins."""
+    scale = 1 / (np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-4)
+    x *= scale
+    z = x
     weight = np.where(target > 0, 0.5 / np.maximum((target > 0).mean(axis=0), 1e-9), 0.5 / np.maximum((target < 0).mean(axis=0), 1e-9)) / len(x)
-    norm = float((z**2).sum(axis=1).mean())
+    norm = float(np.einsum("ij,ij->", z, z) / len(z))
     rate = 4.0 / (norm * 2 + 1)
     w, b = np.zeros((x.shape[1], target.shape[1]), np.float32), np.zeros(target.shape[1], np.float32)
     v, c = w.copy(), b.copy()
@@ -180,7 +181,7 @@ def fit_bits(x: np.ndarray, target: np.ndarray, steps: int = 300, l2: float = 1e
         w_new, b_new = v - rate * (z.T @ pull + l2 * v), c - rate * pull.sum(axis=0)
         v, c = w_new + t / (t + 3) * (w_new - w), b_new + t / (t + 3) * (b_new - b)
         w, b = w_new, b_new
-    return (w * scale[:, None]).astype(np.float32), b
+    return (w * scale[:, None]).astype(np.float32), b, z @ w + b
 
 
 def _features(batches):
@@ -210,10 +211,13 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     code = codewords(len(languages))
     if not code.shape[1]:
         return Model(languages, code, np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros(0))
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(len(got), BUCKETS)
+    x = np.empty((len(got), BUCKETS), np.float32)
+    while got:
+        x[len(got) - 1] = np.frombuffer(got.pop()["x"], np.float32)
     target = code[y].astype(np.float32)
-    weights, bias = fit_bits(x, target)
-    margin = (x @ weights + bias) * target
+    weights, bias, margin = fit_bits(x, target)
+    del x
+    margin = margin * target
     soften = min(1.0, USUAL_MARGIN / max(float(np.median(abs(margin))), 1e-9))
     weights, bias = weights * np.float32(soften), bias * soften
     right = (margin > 0).mean(axis=0)
@@ -231,8 +235,9 @@ def _predict(model, doc_id: int, text: int):
 
 
 def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with _held_out, _lang, _score and _ambiguous appended: see identify."""
+    """``docs`` (doc_id, text and any others) with _held_out, _lang, _score and _ambiguous appended (replaced, if there): see identify."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("_held_out", "_lang", "_score", "_ambiguous")
     names = [c.lower() for c in docs.columns]
     return add_columns(docs, _predict(shared, names.index("doc_id"), names.index("text")), parse("_held_out boolean, _lang string, _score double, _ambiguous boolean"))
 
