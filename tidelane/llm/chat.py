@@ -98,7 +98,7 @@ def _format(tokenizer: str):
         enc = tokens.encoder(tokenizer)
         visitor = PartVisitor(lambda text: len(enc.encode([text])[0]) // 4)
         schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("formatted", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("n_tokens", pa.int64()), ("attachments", pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("position", pa.int32()), ("tokens", pa.int64())])))])
-        for batch in batches:
+        for batch in tokens.trimmed(batches):
             for at in range(0, batch.num_rows, 512):
                 rows = []
                 for conv_id, turn, role, text, parts in zip(*(batch.column(i).slice(at, 512).to_pylist() for i in range(5)), strict=True):

@@ -109,7 +109,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
         enc = tokens.encoder(tokenizer)
         tail = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
-        for batch in batches:
+        for batch in tokens.trimmed(batches):
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in tokens.groups(texts):
                 out = [[], [], [], [], [], []]

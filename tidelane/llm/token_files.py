@@ -45,7 +45,7 @@ def _writer(path: str, tokenizer: str, end_id: int):
         nulls: list[np.ndarray] = []
         lengths: list[int] = []
         out = None
-        for batch in batches:
+        for batch in tokens.trimmed(batches):
             if not batch.num_rows:
                 continue
             if out is None:

@@ -12,11 +12,12 @@ from __future__ import annotations
 import os
 import re
 import struct
+from itertools import islice
 
 import numpy as np
 
-#: Stretches and pieces that a Python worker keeps; beyond these, new ones are encoded each time.
-STRETCHES, PIECES = 500_000, 400_000
+#: Stretches and pieces that a task keeps; beyond these, new ones are encoded each time. Between tasks a worker keeps the first KEPT of each.
+STRETCHES, PIECES, KEPT = 500_000, 400_000, 60_000
 
 # How word_bpe_49k.json splits lower-case text, and the characters for which this holds in re as it does there.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -99,6 +100,19 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def trimmed(batches):
+    """The same batches; at their end, encoders keep only what they saw first, as idle workers stay for later tasks."""
+    try:
+        yield from batches
+    finally:
+        for enc in _ENCODERS.values():
+            for held in (enc.stretches, enc.stretches.pieces):
+                if len(held) > KEPT:
+                    first = list(islice(held.items(), KEPT))
+                    held.clear()
+                    held.update(first)
+
+
 def forget() -> None:
     """Drops this process's encoders and all they keep."""
     _ENCODERS.clear()
