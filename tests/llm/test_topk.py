@@ -38,3 +38,38 @@ def test_selection_breaks_ties_by_id():
     scores, ids = np.array([5, 9, 5, 5, 1]), np.array([2, 3, 4, 6, 8])
     assert sorted(ids[topk.select_top(scores, ids, 99, 3)].tolist()) == [2, 3, 4]
     assert sorted(ids[topk.select_top(scores, ids, 3, 2)].tolist()) == [2, 4]
+
+
+def _exact(rows, k):
+    whole = {i: [math.floor(256 * x) for x in v] for i, v, *_ in rows}
+    out = set()
+    for q in (i for i in whole if i % 50 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], c, strict=False)), i) for i, c in whole.items() if i != q)
+        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])}
+    return out
+
+
+def test_long_vectors_and_great_components_take_part(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(rng.choice([64, 768, 1536]))], "x", 1) for i in range(120)]
+    rows += [(200, [6e5, *[0.5] * 767], None, None), (201, [-2e6] * 3, None, None), (250, [3.0, -3e9, 3e9, 0.25], None, None), (251, [0.0, 4e9, 4e9, 1.0], None, None)]
+    vectors = spark.createDataFrame(rows, FIELDS)
+    got = {tuple(r) for r in topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors).collect()}
+    assert got == _exact(rows, 5) and {200, 250} <= {r[0] for r in got} and any(r[2] == 251 for r in got)
+
+
+def test_scores_beyond_a_long(spark):
+    def top(rows, k):
+        vectors = spark.createDataFrame([(i, v, None, None) for i, v in rows], FIELDS)
+        return [tuple(r) for r in topk.top_k(vectors.where("vec_id = 0"), vectors, k).orderBy("rank").collect()]
+
+    great = 2.0**26
+    low = [(0, [great, great]), (1, [1.0, 0.0]), (2, [-great, 0.0]), (3, [great, -great])]
+    assert top(low, 2) == [(0, 1, 1, 2**42), (0, 2, 3, 0)]  # the third is under a long, but not asked for
+    for rows, k in ((low, 3), ([*low, (4, [great, 0.0])], 1)):
+        try:
+            top(rows, k)
+        except Exception as e:  # noqa: BLE001 - of Spark or of Python
+            assert "not fit a long" in str(e)
+        else:
+            raise AssertionError("no error")

@@ -17,25 +17,44 @@ from pyspark.sql import functions as F
 from tidelane.storage import open_store, scratch
 
 BLOCK_ROWS = 1 << 15
+#: A block ends early at about so many components, so that long vectors make smaller blocks.
+BLOCK_CELLS = 1 << 22
 BLOCK_QUERIES = 64
-#: Components at or beyond this, or vectors with more components, could overflow a 64-bit score; they take no part.
-LARGEST, LONGEST = 1 << 27, 512
+#: Weights at or beyond this are no longs; vectors that have any take no part.
+LARGEST = 1 << 63
 
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, weights array<long>) of usable vectors: floor(scale * x) of each component as double."""
     weights = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
     fine = F.forall(F.col("embedding"), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < LARGEST / scale))
-    usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine & (F.size("embedding") <= LONGEST)
+    usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine
     return vectors.select("vec_id", "embedding").where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), weights.alias("weights"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of an array column, padded with zeros."""
-    lengths = np.diff(np.asarray(column.offsets))
-    out = np.zeros((len(column), int(lengths.max(initial=0))), np.int64)
-    out[np.arange(out.shape[1]) < lengths[:, None]] = np.asarray(column.flatten())
-    return out
+class Postings:
+    """The nonzero components of ``rows`` rows by term: rows ascend within a term, and each term has its greatest size."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int):
+        order = np.lexsort((row, term))
+        self.rows, self.row, self.weight, term = rows, row[order], weight[order], term[order]
+        head = np.flatnonzero(np.diff(term, prepend=-1))
+        self.terms, self.at = term[head], np.append(head, len(term))
+        self.peak = np.maximum.reduceat(np.abs(self.weight), head).astype(float) if len(head) else np.zeros(0)
+
+    def of(self, row: int) -> dict[int, int]:
+        own = np.flatnonzero(self.row == row)
+        return dict(zip(self.terms[np.searchsorted(self.at, own, "right") - 1].tolist(), self.weight[own].tolist(), strict=True))
+
+
+def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and weight of each nonzero component of an array column."""
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    weight = np.asarray(column.flatten())
+    row = np.repeat(np.arange(len(column)), np.diff(offsets))
+    term = np.arange(len(weight)) - (offsets[:-1] - offsets[0])[row]
+    own = np.flatnonzero(weight)
+    return row[own], term[own], weight[own]
 
 
 def _query_blocks(path: str):
@@ -44,24 +63,44 @@ def _query_blocks(path: str):
     store, root = open_store(path)
     for batch in ds.dataset(root, filesystem=store, format="parquet").to_batches(batch_size=BLOCK_QUERIES, columns=["vec_id", "weights"]):
         if batch.num_rows:
-            yield np.asarray(batch.column(0)), _matrix(batch.column(1))
-
-
-def accumulate(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
-    """Scores of ``queries`` (a row each) against ``rows`` rows, term at a time."""
-    scores = np.zeros((len(queries), rows), np.int64)
-    for term in range(min(queries.shape[1], len(postings))):
-        own = np.flatnonzero(queries[:, term])
-        at, weight = postings[term]
-        if not len(own) or not len(at):
-            continue
-        if len(at) == rows:
-            scores[own] += queries[own, term, None] * weight
+            yield np.asarray(batch.column(0)), Postings(*_cells(batch.column(1)), batch.num_rows)
+
+
+def accumulate(queries: Postings, postings: Postings, of=lambda weight: weight) -> np.ndarray:
+    """Scores of ``queries`` (a row each) against the rows of ``postings``, term at a time; sums of longs are modulo 2^64."""
+    scores = np.zeros((queries.rows, postings.rows), of(np.zeros(0, np.int64)).dtype)
+    for i, j in zip(*np.intersect1d(queries.terms, postings.terms, assume_unique=True, return_indices=True)[1:], strict=True):
+        a, b = slice(*queries.at[i : i + 2]), slice(*postings.at[j : j + 2])
+        own, factor, at, weight = queries.row[a], of(queries.weight[a]), postings.row[b], of(postings.weight[b])
+        if len(at) == postings.rows:
+            scores[own] += factor[:, None] * weight
         else:
-            scores[np.ix_(own, at)] += queries[own, term, None] * weight
+            scores[np.ix_(own, at)] += factor[:, None] * weight
     return scores
 
 
+def beyond(queries: Postings, postings: Postings) -> np.ndarray | None:
+    """1 where a score is over a long, -1 where it is under, else 0; None if the terms' greatest weights prove that all fit.
+
+    A sum in doubles with its error bound tells nearly all; the others are summed in Python's integers.
+    """
+    _, i, j = np.intersect1d(queries.terms, postings.terms, assume_unique=True, return_indices=True)
+    limit = float(1 << 63)
+    if (queries.peak[i] * postings.peak[j]).sum() * (1 + 1e-6) < limit:
+        return None
+    error = accumulate(queries, postings, lambda w: np.abs(w).astype(float)) * ((len(i) + 8) * 2.0**-52)
+    near = accumulate(queries, postings, lambda w: w.astype(float))
+    out = np.where(near - error >= limit, 1, np.where(near + error < -limit, -1, 0)).astype(np.int8)
+    unsure = (out == 0) & ((near + error >= limit) | (near - error < -limit))
+    rows = {c: postings.of(c) for c in np.flatnonzero(unsure.any(0)).tolist()}
+    for q in np.flatnonzero(unsure.any(1)).tolist():
+        own = queries.of(q)
+        for c in np.flatnonzero(unsure[q]).tolist():
+            score = sum(w * own.get(t, 0) for t, w in rows[c].items())
+            out[q, c] = (score >= 1 << 63) - (score < -(1 << 63))
+    return out
+
+
 def select_top(scores: np.ndarray, ids: np.ndarray, query_id: int, k: int) -> np.ndarray:
     """Positions of the k best scores, ties to smaller ids; ``ids`` ascend. Rows of the query's own id are left out."""
     a, b = np.searchsorted(ids, query_id), np.searchsorted(ids, query_id, "right")
@@ -74,36 +113,53 @@ def select_top(scores: np.ndarray, ids: np.ndarray, query_id: int, k: int) -> np
     return fit
 
 
+def _best(scores: np.ndarray, out: np.ndarray | None, ids: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the k best, and whether their scores are under a long; those come last, in any order."""
+    if out is None or not out.any():
+        best = select_top(scores, ids, query_id, k)
+        return best, np.zeros(len(best), bool)
+    if k > 0 and (out[ids != query_id] > 0).any():
+        raise ValueError(f"a score of query {query_id} does not fit a long")
+    fit = np.flatnonzero(out == 0)
+    best = fit[select_top(scores[fit], ids[fit], query_id, k)]
+    under = np.flatnonzero((out < 0) & (ids != query_id))[: k - len(best)]
+    return np.append(best, under), np.arange(len(best) + len(under)) >= len(best)
+
+
 def _search(path: str, k: int):
     def search(batches):
-        held_ids, held, n = [], [], 0
+        held, rows, size = [], 0, 0
 
         def block():
-            order = np.argsort(np.concatenate(held_ids), kind="stable")
-            ids = np.concatenate(held_ids)[order]
-            width = max(x.shape[1] for x in held)
-            weights = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in held])[order]
-            postings = [(at := np.flatnonzero(weights[:, term]), weights[at, term]) for term in range(width)]
+            ids = np.concatenate([x[0] for x in held])
+            order = np.argsort(ids, kind="stable")
+            ids, place = ids[order], np.argsort(order)
+            row, term, weight = (np.concatenate([x[c] for x in held]) for c in (1, 2, 3))
+            postings = Postings(place[row], term, weight, len(ids))
             for query_ids, queries in _query_blocks(path):
-                scores = accumulate(queries, postings, len(ids))
-                out = [[], [], []]
-                for query_id, row in zip(query_ids.tolist(), scores, strict=True):
-                    best = select_top(row, ids, query_id, k)
-                    out[0].append(np.full(len(best), query_id))
-                    out[1].append(ids[best])
-                    out[2].append(row[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["query_id", "vec_id", "score"])
+                scores, out = accumulate(queries, postings), beyond(queries, postings)
+                found = [[], [], [], []]
+                for q, query_id in enumerate(query_ids.tolist()):
+                    best, under = _best(scores[q], None if out is None else out[q], ids, query_id, k)
+                    for column, own in zip(found, (np.full(len(best), query_id), ids[best], scores[q, best], under), strict=True):
+                        column.append(own)
+                query, vec, score, under = (np.concatenate(x) for x in found)
+                columns = [pa.array(query.astype(np.int64)), pa.array(vec.astype(np.int64)), pa.array(score, mask=under)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                held_ids.append(np.asarray(part.column(0)))
-                held.append(_matrix(part.column(1)))
-                n += part.num_rows
-                if n >= BLOCK_ROWS:
+            cells = len(batch.column(1).flatten())
+            step = max(1, min(BLOCK_ROWS, BLOCK_CELLS * batch.num_rows // max(1, cells)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                row, term, weight = _cells(part.column(1))
+                held.append((np.asarray(part.column(0)), row + rows, term, weight))
+                rows += part.num_rows
+                size += len(weight)
+                if rows >= BLOCK_ROWS or size >= BLOCK_CELLS:
                     yield from block()
-                    held_ids, held, n = [], [], 0
-        if n:
+                    held, rows, size = [], 0, 0
+        if rows:
             yield from block()
 
     return search
@@ -113,8 +169,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """For each of ``queries``, the ``k`` rows of ``vectors`` (both: vec_id, embedding) of highest integer inner product.
 
     Returns query_id, rank from 1, vec_id, score; ties go to the smaller vec_id, and fewer rows if there are fewer. Rows with the
-    query's own id are left out. Null ids, null vectors, those with null or non-finite components and those whose scores could
-    overflow (see LARGEST, LONGEST) take no part; an empty vector scores 0. Repeated queries count once, repeated candidates each.
+    query's own id are left out. Null ids, null vectors and those with null or non-finite components or weights that are no longs
+    (see LARGEST) take no part; an empty vector scores 0. Scores are exact; one of the k best that does not fit a long is an error. Repeated queries count once, repeated candidates each.
     Vectors of different lengths meet in the terms that both have. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
@@ -122,7 +178,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     quantized(queries).dropDuplicates(["vec_id"]).write.parquet(path)
     found = quantized(vectors).mapInArrow(_search(path, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    score = F.coalesce("score", F.raise_error(F.lit("a score does not fit a long")).cast("long"))  # null: under a long, ranked last
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
