@@ -92,3 +92,11 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = sorted(((r["doc_id"] or -1, r["text"], r["n_removed"]) for r in unit_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), "line").collect()), key=str)
     assert got == sorted([(-1, line, 0), (3, None, 0), (4, "", 0), (5, line, 0), (5, line, 0), (6, "", 2), (7, "Short.", 0), (8, "Short.", 0)], key=str)
     assert unit_dedup.dedup_units(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_and_paragraphs_go_after_any_text(spark):
+    rows = [(1, "Alpha beta\nof, edti oner.\n"), (2, "Gamma delta\nof, edti oner.\nepsilon"), (3, "of, EDTI  oner."), (4, "say of, edti oner."), (5, "zeta eta\ntheta\n\niota"), (6, "kappa\n\nzeta eta theta\n\nlambda")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in unit_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2] == ("Gamma delta\nepsilon", 1) and got[3] == ("", 1)
+    assert got[4] == (rows[3][1], 0)  # a part of a line
+    assert got[5] == (rows[4][1], 0) and got[6][0] == "kappa\n\nlambda"

@@ -1,12 +1,13 @@
-"""Substring dedup by hashing units: lines, paragraphs, sentences or phrases.
+"""Substring dedup by hashing units: lines, paragraphs, sentences, phrases or passages.
 
 Units are normalised (A-Z as a-z, white space runs as one), and each is keyed by a digest of itself and as many units before it as are
 needed to hold ``min_words`` words, so that short units count only within a repeated passage. Of equal keys, the one that is ranked
 first - by doc_id, then position - stays; for the others, the units under the key are removed. So every removed unit has an equal one
 that is ranked earlier, and what remains keeps its place in the original text as spans.
 
-Lines and paragraphs miss a passage that was pasted into a line, so phrases are the default: units end at line breaks, after ``.``, ``!``
-or ``?``, and after words that a hash picks (one in sixteen), which are the same words wherever a passage stands.
+Lines and paragraphs miss a passage that was pasted into a line. Phrases end at line breaks, after ``.``, ``!`` or ``?``, and after words
+that a hash picks (one in sixteen), which are the same words wherever a passage stands. Passages, the default, end where phrases do, and
+every whole line and paragraph is keyed by its own digest as well, whatever its length and whatever stands before it.
 
 Each task keeps only the first of its occurrences of a key and knows the others to be removable at once; just the firsts, packed by range
 of keys, are shuffled. A key that a third of all documents hold thus reaches its reducer once for each batch of half a million units.
@@ -33,6 +34,7 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[10, 13]] = True
 _R1, _R2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
 KINDS = ("line", "paragraph", "sentence", "phrase")
+PASSAGE = "passage"  # phrases, and whole lines and paragraphs of any length
 
 
 def _unit_ends(data, hashes, starts, ends, first, kind: str) -> np.ndarray:
@@ -47,9 +49,9 @@ def _unit_ends(data, hashes, starts, ends, first, kind: str) -> np.ndarray:
     np.cumsum(data[base : int(ends[-1])] == 10 if kind == "paragraph" else _BREAK[data[base : int(ends[-1])]], out=breaks[1:])
     between = np.diff(breaks[starts - base], append=0)
     last[:-1] |= between[:-1] >= (2 if kind == "paragraph" else 1)
-    if kind in ("sentence", "phrase"):
+    if kind in ("sentence", "phrase", PASSAGE):
         last |= _STRONG[data[ends - 1]]
-    if kind == "phrase":
+    if kind in ("phrase", PASSAGE):
         last |= textops.mix64(hashes ^ _R1) >> np.uint64(60) == 0
     return np.flatnonzero(last)
 
@@ -64,7 +66,10 @@ def _window_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, facto
 
 
 def keyed_units(column: pa.Array, kind: str, min_words: int) -> Iterator[tuple]:
-    """For each chunk of rows: (first row, rows; unit's row, position in its text, first and last word, window's first unit or -1, two key parts; starts, ends)."""
+    """For each chunk of rows: (first row, rows; unit's row, position in its text, first word; keys' first and last unit, two parts; words' starts).
+
+    Keys ascend by last unit.
+    """
     data, offsets = textops.utf8(column)
     for a, b in textops.chunks(offsets):
         hashes, starts, ends, first = textops.words(data, offsets[a : b + 1])
@@ -73,10 +78,15 @@ def keyed_units(column: pa.Array, kind: str, min_words: int) -> Iterator[tuple]:
         row = np.searchsorted(first, begin, "right") - 1
         unit_first = np.searchsorted(begin, first[row])  # the first unit of the same text
         window = np.searchsorted(begin, last + 1 - min_words, "right") - 1
-        window = np.where((last + 1 - min_words >= first[row]) & (window >= unit_first), window, -1)
-        at = np.where(window >= 0, begin[window], 0) if len(last) else begin
-        k1, k2 = (_window_hashes(hashes, at, last + 1, r) for r in (_R1, _R2))
-        yield a, b - a, row, np.arange(len(last)) - unit_first, begin, last, window, k1, (k2 >> np.uint64(32)).astype(np.uint32), starts, ends
+        key_last = np.flatnonzero((last + 1 - min_words >= first[row]) & (window >= unit_first))
+        key_first = window[key_last]
+        if kind == PASSAGE and len(last):
+            for whole in ("line", "paragraph"):
+                end = np.searchsorted(last, _unit_ends(data, hashes, starts, ends, first, whole))
+                key_first, key_last = np.append(key_first, np.append(0, end[:-1] + 1)), np.append(key_last, end)
+            key_last, key_first = np.divmod(np.unique(key_last * len(last) + key_first), len(last))
+        k1, k2 = (_window_hashes(hashes, begin[key_first], last[key_last] + 1, r) for r in (_R1, _R2))
+        yield a, b - a, row, np.arange(len(last)) - unit_first, begin, key_first, key_last, k1, (k2 >> np.uint64(32)).astype(np.uint32), starts
 
 
 def _firsts(k1, k2, doc, pos) -> tuple[np.ndarray, np.ndarray]:
@@ -118,10 +128,9 @@ def _emit(kind: str, min_words: int, parts: int):
         held, size = [], 0
         for batch in textops.released(batches):
             ids = np.asarray(batch.column("doc_id"))
-            for a, _n, row, pos, _b, _l, window, k1, k2, _s, _e in keyed_units(batch.column("text"), kind, min_words):
-                own = np.flatnonzero(window >= 0)
+            for a, _n, row, pos, _b, _f, own, k1, k2, _s in keyed_units(batch.column("text"), kind, min_words):
                 if len(own):
-                    held.append((k1[own], k2[own], ids[a + row[own]].astype(np.int64), pos[own].astype(np.int32)))
+                    held.append((k1, k2, ids[a + row[own]].astype(np.int64), pos[own].astype(np.int32)))
                     size += len(own)
                 if size >= _FLUSH:
                     yield from flush(held)
@@ -161,7 +170,7 @@ def _cut(kind: str, min_words: int, at_text: int, at_marks: int):
         removed: list[list] = [[] for _ in range(n)]
         kept: list[list] = [[{"start": 0, "end": len(t)}] if t else [] for t in clean]
         data, offsets = textops.utf8(text)
-        for a, count, row, pos, begin, _last, window, k1, _k2, starts, _ends in keyed_units(text, kind, min_words):
+        for a, count, row, _pos, begin, key_first, key_last, k1, _k2, starts in keyed_units(text, kind, min_words):
             cuts = np.searchsorted(row, np.arange(count + 1))
             units[a : a + count] = np.diff(cuts)
             for i in range(count):
@@ -171,8 +180,9 @@ def _cut(kind: str, min_words: int, at_text: int, at_marks: int):
                 drop = np.zeros(d - c, bool)
                 for m in marked[a + i]:
                     u = c + m["pos"]
-                    if u < d and window[u] >= 0 and int(k1[u] & np.uint64(0x7FFFFFFF)) == m["mark"]:
-                        drop[window[u] - c : m["pos"] + 1] = True
+                    for key in range(*np.searchsorted(key_last, (u, u + 1))):
+                        if u < d and int(k1[key] & np.uint64(0x7FFFFFFF)) == m["mark"]:
+                            drop[key_first[key] - c : m["pos"] + 1] = True
                 at = np.flatnonzero(drop)
                 if not len(at):
                     continue
@@ -203,10 +213,10 @@ def _cut(kind: str, min_words: int, at_text: int, at_marks: int):
 SPANS = "array<struct<start:long,end:long>>"
 
 
-def cut_units(docs: DataFrame, kind: str = "phrase", min_words: int = MIN_WORDS) -> DataFrame:
+def cut_units(docs: DataFrame, kind: str = PASSAGE, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and any others) with _clean, _units, _gone, _removed and _kept appended (replaced, if there): see dedup_units."""
-    if kind not in KINDS:
-        raise ValueError(f"kind is one of {KINDS}")
+    if kind not in (*KINDS, PASSAGE):
+        raise ValueError(f"kind is one of {(*KINDS, PASSAGE)}")
     parts = shuffle_partitions(docs.sparkSession)
     docs = docs.drop("_clean", "_units", "_gone", "_removed", "_kept", "_marks", "_marked_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -218,7 +228,7 @@ def cut_units(docs: DataFrame, kind: str = "phrase", min_words: int = MIN_WORDS)
     return add_columns(joined, _cut(kind, min_words, names.index("text"), names.index("_marks")), added).drop("_marks")
 
 
-def dedup_units(docs: DataFrame, kind: str = "phrase", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_units(docs: DataFrame, kind: str = PASSAGE, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, text without repeated units, n_units, n_removed, removed and kept spans.
 
     Spans are [start, end) in characters of the original text; a unit reaches to the start of the next. Null texts stay null and have no
