@@ -100,3 +100,47 @@ def test_short_lines_and_paragraphs_go_after_any_text(spark):
     assert got[1] == (rows[0][1], 0) and got[2] == ("Gamma delta\nepsilon", 1) and got[3] == ("", 1)
     assert got[4] == (rows[3][1], 0)  # a part of a line
     assert got[5] == (rows[4][1], 0) and got[6][0] == "kappa\n\nlambda"
+
+
+def _pasted(spark, make, join, size, seed):
+    """Shares of passages of ``size`` that are removed in the second of two texts, each pasted into other text, and texts' own losses."""
+    rng = random.Random(seed)
+    rows, passages = [], []
+    for i in range(0, 200, 2):
+        passages.append(join.join(make(rng) for _ in range(size)))
+        rows += [(i + k, join.join([*(make(rng) for _ in range(40)), passages[-1], *(make(rng) for _ in range(40))])) for k in (0, 1)]
+    texts = dict(rows)
+    shares = []
+    for r in unit_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text, passage = texts[r["doc_id"]], passages[r["doc_id"] // 2]
+        at = text.index(passage)
+        if r["doc_id"] % 2 == 0:
+            assert r["text"] == text
+        else:
+            assert all(at <= s["start"] and s["end"] <= at + len(passage) + len(join) for s in r["removed"])
+            shares.append((len(text) - len(r["text"])) / len(passage))
+    return shares
+
+
+def test_passages_of_51_words_without_punctuation_inside_lines(spark):
+    shares = _pasted(spark, lambda rng: "".join(rng.choice("abcdefghij") for _ in range(6)), " ", 51, 6)
+    assert len(shares) == 100 and min(shares) > 0.6 and sum(shares) / len(shares) > 0.8
+
+
+def test_passages_inside_lines_without_spaces(spark):
+    for first in (0x4E00, 0x0E01):
+        shares = _pasted(spark, lambda rng, first=first: chr(first + rng.randrange(2000 if first > 0x2000 else 46)), "", 120, 7)
+        assert len(shares) == 100 and min(shares) > 0.4
+    shares = _pasted(spark, lambda rng: rng.choice("abcdefghijklmnopqrstuvwxyz0123456789"), "", 500, 8)
+    assert len(shares) == 100 and min(shares) > 0.4
+
+
+def test_ideographic_full_stops_end_units(spark):
+    rows = [(1, "天地玄黄宇宙。洪荒日月！盈昃？辰宿")]
+    import pyarrow as pa
+
+    data, offsets = textops.utf8(pa.array([rows[0][1]]))
+    cut = unit_dedup._cut_words(data, *textops.words(data, offsets))
+    last = unit_dedup._unit_ends(data, *cut, unit_dedup.PASSAGE)
+    ends = {len(data[: cut[2][i]].tobytes().decode()) for i in last}
+    assert {7, 12, 15, 17} <= ends

@@ -6,8 +6,11 @@ first - by doc_id, then position - stays; for the others, the units under the ke
 that is ranked earlier, and what remains keeps its place in the original text as spans.
 
 Lines and paragraphs miss a passage that was pasted into a line. Phrases end at line breaks, after ``.``, ``!`` or ``?``, and after words
-that a hash picks (one in sixteen), which are the same words wherever a passage stands. Passages, the default, end where phrases do, and
-every whole line and paragraph is keyed by its own digest as well, whatever its length and whatever stands before it.
+that a hash picks (one in sixteen), which are the same words wherever a passage stands. Passages, the default, also end at the ideographic
+full stop and full-width marks, and instead at the word of least hash of every eight neighbouring ones, so that equal runs of words have equal
+ends, the first and last within eight words of theirs and the others at most eight apart. Words are cut further for them: in scripts without
+spaces, and where a word is long, after the character of least hash of every few. Every whole line and paragraph is keyed by its own digest
+as well, whatever its length and whatever stands before it.
 
 Each task keeps only the first of its occurrences of a key and knows the others to be removable at once; just the firsts, packed by range
 of keys, are shuffled. A key that a third of all documents hold thus reaches its reducer once for each batch of half a million units.
@@ -34,7 +37,89 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[10, 13]] = True
 _R1, _R2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
 KINDS = ("line", "paragraph", "sentence", "phrase")
-PASSAGE = "passage"  # phrases, and whole lines and paragraphs of any length
+PASSAGE = "passage"  # parts of lines with winnowed ends, and whole lines and paragraphs of any length
+#: Of so many neighbouring words, or characters of a script without spaces or of a word of over _LONG bytes, one is an end.
+_NEAR_WORDS, _NEAR_DENSE, _NEAR_LONG, _LONG = 8, 4, 16, 64
+
+
+def _spaceless() -> np.ndarray:
+    """By the first two bytes of a character: whether its script has no spaces (Thai to Myanmar, Khmer, Han, Kana, full-width forms)."""
+    out = np.zeros((256, 256), bool)
+    for lead, low, high in ((0xE0, 0xB8, 0xBF), (0xE1, 0x80, 0x82), (0xE1, 0x9E, 0x9F), (0xE2, 0xBA, 0xBF), (0xEF, 0xA4, 0xAB), (0xEF, 0xBC, 0xBE), (0xF0, 0xA0, 0xBF)):
+        out[lead, low : high + 1] = True
+    out[0xE3:0xEA, 0x80:0xC0] = True
+    return out.ravel()
+
+
+_DENSE = _spaceless()
+
+
+def _least(hashes: np.ndarray, group: np.ndarray, near: int) -> np.ndarray:
+    """Whether each is the last least one of any ``near`` neighbours of the same group; groups are contiguous."""
+    out = np.zeros(len(hashes), bool)
+    if len(hashes) >= near:
+        n = len(hashes) - near + 1
+        at = np.flatnonzero(group[near - 1 :] == group[:n])
+        best, least = hashes[near - 1 :].copy(), np.full(n, near - 1, np.int8)
+        for k in range(near - 2, -1, -1):
+            less = hashes[k : k + n] < best
+            np.copyto(best, hashes[k : k + n], where=less)
+            least[less] = k
+        out[at + least[at]] = True
+    return out
+
+
+def _full_stop(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether U+3002, U+FF01 or U+FF1F stands before each of ``ends``."""
+    x, y, z = (data[np.maximum(ends - k, 0)] for k in (3, 2, 1))
+    return (ends >= 3) & ((x == 0xE3) & (y == 0x80) & (z == 0x82) | (x == 0xEF) & (y == 0xBC) & ((z == 0x81) | (z == 0x9F)))
+
+
+def _cut_words(data, hashes, starts, ends, first):
+    """The words, with those in scripts without spaces and the long ones cut at characters that are the same wherever a passage stands."""
+    if not len(starts):
+        return hashes, starts, ends, first
+    base, stop = int(starts[0]), int(ends[-1])
+    part = data[base:stop]
+    dense = np.zeros(len(part), bool)
+    lead = np.flatnonzero(part[:-1] >= 0xE0)
+    dense[lead[_DENSE[part[lead].astype(np.int64) * 256 + part[lead + 1]]]] = True
+    word_long = ends - starts > _LONG
+    if not dense.any() and not word_long.any():
+        return hashes, starts, ends, first
+    head = np.flatnonzero((part & 0xC0) != 0x80)  # characters
+    word = np.searchsorted(starts, head + base, "right") - 1
+    word_dense = np.zeros(len(starts), bool)
+    word_dense[word[dense[head]]] = True
+    own = (head + base < ends[word]) & (word_dense | word_long)[word]
+    head, word, size = head[own], word[own], np.diff(head, append=len(part))[own]
+    code = np.zeros(len(head), np.uint64)
+    for k in range(4):
+        code = code << np.uint64(8) | np.where(k < size, textops._LOWER[part[np.minimum(head + k, len(part) - 1)]], 0).astype(np.uint64)
+    code = textops.mix64(code ^ _R2)
+    kind = dense[head]
+    edge = np.append(True, (word[1:] != word[:-1]) | (kind[1:] != kind[:-1]))  # a run of one kind in a word
+    run = np.cumsum(edge) - 1
+    end = np.append(edge[1:], True)
+    end |= kind & (_least(code, run, _NEAR_DENSE) | _full_stop(data, ends=np.minimum(head + 3, len(part)) + base))
+    end |= ~kind & word_long[word] & _least(code, run, _NEAR_LONG)
+    begin = head[np.append(True, end[:-1])] + base
+    new = np.union1d(starts, begin)
+    at = np.searchsorted(starts, new, "right") - 1
+    till = np.minimum(ends[at], np.append(new[1:], stop))
+    bounds = np.append(starts, stop)[first] if len(first) else first
+    return _byte_hashes(data, new, till), new, till, np.append(np.searchsorted(new, bounds[:-1]), len(new))
+
+
+def _byte_hashes(data, starts, ends) -> np.ndarray:
+    """Hashes of the bytes [start, end), A-Z as a-z, as textops.words gives them."""
+    base = int(starts[0])
+    part = data[base : int(ends[-1])]
+    power = np.cumprod(np.full(len(part), textops._R, np.uint64))
+    inverse = np.cumprod(np.full(len(part), textops._R_INV, np.uint64))
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(textops._BYTE_LOWER[part] * power, out=sums[1:])
+    return textops.mix64((sums[ends - base] - sums[starts - base]) * inverse[starts - base] + (ends - starts).astype(np.uint64))
 
 
 def _unit_ends(data, hashes, starts, ends, first, kind: str) -> np.ndarray:
@@ -51,8 +136,11 @@ def _unit_ends(data, hashes, starts, ends, first, kind: str) -> np.ndarray:
     last[:-1] |= between[:-1] >= (2 if kind == "paragraph" else 1)
     if kind in ("sentence", "phrase", PASSAGE):
         last |= _STRONG[data[ends - 1]]
-    if kind in ("phrase", PASSAGE):
+    if kind == "phrase":
         last |= textops.mix64(hashes ^ _R1) >> np.uint64(60) == 0
+    if kind == PASSAGE:
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        last |= _least(textops.mix64(hashes ^ _R1), text, _NEAR_WORDS) | _full_stop(data, ends)
     return np.flatnonzero(last)
 
 
@@ -73,6 +161,8 @@ def keyed_units(column: pa.Array, kind: str, min_words: int) -> Iterator[tuple]:
     data, offsets = textops.utf8(column)
     for a, b in textops.chunks(offsets):
         hashes, starts, ends, first = textops.words(data, offsets[a : b + 1])
+        if kind == PASSAGE:
+            hashes, starts, ends, first = _cut_words(data, hashes, starts, ends, first)
         last = _unit_ends(data, hashes, starts, ends, first, kind)
         begin = np.append(0, last[:-1] + 1) if len(last) else last
         row = np.searchsorted(first, begin, "right") - 1
@@ -172,6 +262,7 @@ def _cut(kind: str, min_words: int, at_text: int, at_marks: int):
         data, offsets = textops.utf8(text)
         for a, count, row, _pos, begin, key_first, key_last, k1, _k2, starts in keyed_units(text, kind, min_words):
             cuts = np.searchsorted(row, np.arange(count + 1))
+            key_at = np.searchsorted(key_last, np.arange(len(begin) + 1)).tolist()
             units[a : a + count] = np.diff(cuts)
             for i in range(count):
                 if not marked[a + i]:
@@ -180,8 +271,8 @@ def _cut(kind: str, min_words: int, at_text: int, at_marks: int):
                 drop = np.zeros(d - c, bool)
                 for m in marked[a + i]:
                     u = c + m["pos"]
-                    for key in range(*np.searchsorted(key_last, (u, u + 1))):
-                        if u < d and int(k1[key] & np.uint64(0x7FFFFFFF)) == m["mark"]:
+                    for key in range(key_at[u], key_at[u + 1]) if u < d else ():
+                        if int(k1[key] & np.uint64(0x7FFFFFFF)) == m["mark"]:
                             drop[key_first[key] - c : m["pos"] + 1] = True
                 at = np.flatnonzero(drop)
                 if not len(at):
