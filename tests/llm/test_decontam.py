@@ -78,3 +78,15 @@ def test_split_item():
     assert decontam.split_item("What is it? A thing.") == ("What is it?", "A thing.")
     assert decontam.split_item("single") == ("single", "single")
     assert decontam.split_item("a b\nc d\n") == ("a b", "c d\n")
+
+
+def test_bare_question_does_not_hide_a_copy_with_answer(spark):
+    rng = random.Random(6)
+    word = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    question, answer = word(30) + "?", word(20) + "."
+    copy = "other " + question.split(" ", 1)[1] + " " + answer
+    docs = spark.createDataFrame([(1, question + " " + word(300) + " " + copy), (2, question + " " + word(300)), (3, copy + " " + word(300) + " " + question)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, question + " " + answer)], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontam.leaks(docs, bench, threshold=0.4).collect()}
+    assert {d for d, r in found.items() if r["contaminated"]} == {1, 3} and found[1]["answer_overlap"] == 1
+    assert [r[0] for r in decontam.decontaminate(docs, bench, threshold=0.4).collect()] == [2]

@@ -139,14 +139,15 @@ class Index:
                     own = {width: _shingles(hashes[i:j], width) for width in {width for width, _ in parts} if width <= j - i}
                     shares = [float(np.isin(x, own.get(width, x[:0]), assume_unique=True).mean()) if len(x) else 1.0 for width, x in parts]
                     best = found.setdefault(int(row[w]), {})
-                    if max(shares) > 0 and (item not in best or (*shares, score) > best[item][:3]):
-                        best[item] = (*shares, score, int(starts[i]), int(ends[j - 1]))
+                    rank = (min(shares) >= overlap, *shares, score)
+                    if max(shares) > 0 and (item not in best or rank > best[item][:4]):
+                        best[item] = (*rank, int(starts[i]), int(ends[j - 1]))
             for r, best in found.items():
                 base = int(offsets[a + r])
                 out = []
-                for item, (question, answer, score, x, y) in sorted(best.items()):
+                for item, (passes, question, answer, score, x, y) in sorted(best.items()):
                     x, y = (len(data[base:z].tobytes().decode()) for z in (x, y))
-                    out.append({"item_id": self.ids[item], "score": score, "question_overlap": question, "answer_overlap": answer, "contaminated": question >= overlap and answer >= overlap, "start": x, "end": y})
+                    out.append({"item_id": self.ids[item], "score": score, "question_overlap": question, "answer_overlap": answer, "contaminated": passes, "start": x, "end": y})
                 if out:
                     yield a + r, out
 
@@ -179,8 +180,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", thres
     """``docs`` with all its columns and, in ``column`` (replaced if there), an array of leaks: see LEAK.
 
     A leak is a pair of a document and an item (item_id, text, or question and answer) whose best passage scores ``threshold`` at least and
-    shares a shingle; it is contaminated if the shares of the question and of the answer both reach ``overlap``. start and end
-    bound the passage, in characters. Null and empty texts have none; null or wordless items match nothing; repeated items and
+    shares a shingle; it is contaminated if the shares of the question and of the answer both reach ``overlap``, and passages where
+    they do come first. start and end bound the passage, in characters. Null and empty texts have none; null or wordless items match nothing; repeated items and
     rows are judged each. With an empty benchmark or table the arrays or the result are empty.
     """
     spark = docs.sparkSession
