@@ -90,3 +90,40 @@ def test_bare_question_does_not_hide_a_copy_with_answer(spark):
     found = {r["doc_id"]: r for r in decontam.leaks(docs, bench, threshold=0.4).collect()}
     assert {d for d, r in found.items() if r["contaminated"]} == {1, 3} and found[1]["answer_overlap"] == 1
     assert [r[0] for r in decontam.decontaminate(docs, bench, threshold=0.4).collect()] == [2]
+
+
+@pytest.mark.parametrize(("asked", "told"), [(12, 3), (12, 5), (16, 10), (20, 16), (30, 17)])
+def test_copies_with_a_changed_word_in_question_and_answer(spark, asked, told):
+    rng = random.Random(asked + told)
+    word = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    question, answer, docs = word(asked), word(told), []
+    for way in range(3):  # changed, left out, put in
+        copy = [[*x[: len(x) // 2], *word(way != 1), *x[len(x) // 2 + (way != 2) :]] for x in (question, answer)]
+        docs.append((way, " ".join([*word(40), *copy[0], *copy[1], *word(40)])))
+    docs.append((3, " ".join([*word(40), *question, *word(40)])))
+    docs.append((4, " ".join([*word(40), *question, *(x for w in answer for x in (w, *word(told)))])))  # the answer's words far apart
+    bench = spark.createDataFrame([(7, " ".join(question), " ".join(answer), None)], "item_id long, question string, answer string, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r[0] for r in decontam.decontaminate(frame, bench).collect()) == [3, 4]
+
+
+def test_in_order_share_equals_brute_force():
+    rng = random.Random(9)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        return row[-1]
+
+    def _next(row, x, b):
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(new[k], row[k + 1]))
+        return new
+
+    for _ in range(300):
+        part, passage = ([rng.randrange(6) for _ in range(n)] for n in (rng.randrange(1, 17), rng.randrange(0, 40)))
+        reach = len(part) + max(1, len(part) // 4)
+        want = max((common(part, passage[a : a + reach]) for a in range(len(passage))), default=0) / len(part)
+        assert decontam._in_order(np.array(part, np.uint64), np.array(passage, np.uint64)) == want

@@ -7,7 +7,8 @@ of twice the longest item's words, half overlapping, so that any copy of an item
 For a passage the pivot test of block-max WAND is taken at all blocks at once: first the sum of its terms' greatest weights, then for each
 block the sum of their greatest weights there; only blocks whose bound reaches the threshold are scored, all items at or above it
 are retrieved, and the others are known not to reach it. What is retrieved is verified by the shares of the question's and of the
-answer's word shingles that stand in the passage. Nothing is shuffled; whole texts are read once.
+answer's word shingles that stand in the passage; for those of fewer than ``SHORT`` words, where one changed word spoils too many
+shingles, by the share of words that stand in order within a stretch of about their length. Nothing is shuffled; whole texts are read once.
 
 The index is broadcast if the items are at most ``MAX_INDEX_BYTES`` of text; beyond that, they are indexed in several parts of at most that
 size, one pass over the documents each.
@@ -26,6 +27,8 @@ from tidelane.llm import textops
 from tidelane.llm.annotate import add_columns, parse
 
 THRESHOLD, OVERLAP, WIDTH = 0.6, 0.6, 5
+#: With so many words, one changed word leaves OVERLAP of the shingles.
+SHORT = 17
 BLOCK_ITEMS = 8
 K1, B = 1.2, 0.75
 MAX_INDEX_BYTES = 64 << 20
@@ -56,6 +59,24 @@ def _verifiable(words: np.ndarray) -> tuple[int, np.ndarray]:
     return width, _shingles(words, width)
 
 
+def _in_order(part: np.ndarray, passage: np.ndarray) -> float:
+    """The greatest share of the words of ``part`` that stand in order in a stretch of ``passage`` a quarter longer at most (by one word at least)."""
+    n = len(part)
+    bits: dict[int, int] = {}
+    for i, word in enumerate(part.tolist()):
+        bits[word] = bits.get(word, 0) | 1 << i
+    at = np.flatnonzero(np.isin(passage, part))
+    words, best, whole = passage[at].tolist(), 0, (1 << n) - 1
+    for a, b in enumerate(np.searchsorted(at, at + n + max(1, n // 4)).tolist()):
+        if b - a > best:
+            row = whole  # longest common subsequence, bit-parallel
+            for word in words[a:b]:
+                own = row & bits[word]
+                row = (row + own | row - own) & whole
+            best = max(best, n - row.bit_count())
+    return best / n
+
+
 class Index:
     """An inverted index of (item_id, question, answer) with block maxima; items of other words than any are left out."""
 
@@ -64,8 +85,9 @@ class Index:
         keep = [i for i, w in enumerate(both) if len(w)]
         self.ids = [items[i][0] for i in keep]
         bags = [both[i] for i in keep]
-        self.question = [_verifiable(w) for w in _words([items[i][1] for i in keep])]
-        self.answer = [_verifiable(w) for w in _words([items[i][2] for i in keep])]
+        parts = [_words([items[i][c] for i in keep]) for c in (1, 2)]
+        self.question, self.answer = ([_verifiable(w) for w in part] for part in parts)
+        self.short = [[w if 0 < len(w) < SHORT else None for w in pair] for pair in zip(*parts, strict=True)]
         self.longest = max(map(len, bags), default=0)
         n = len(bags)
         self.terms, term, item, count = self._cells(bags)
@@ -114,7 +136,7 @@ class Index:
         return [(int(i), float(scores[i])) for i in np.flatnonzero(scores >= slack)]
 
     def leaks(self, column: pa.Array, threshold: float, overlap: float):
-        """For each row with any, (row, leaks): its retrieved items that share a shingle, each with its best passage."""
+        """For each row with any, (row, leaks): its retrieved items that share a shingle or are contaminated, each with its best passage."""
         if not self.ids:
             return
         data, offsets = textops.utf8(column)
@@ -138,9 +160,11 @@ class Index:
                     parts = (self.question[item], self.answer[item])
                     own = {width: _shingles(hashes[i:j], width) for width in {width for width, _ in parts} if width <= j - i}
                     shares = [float(np.isin(x, own.get(width, x[:0]), assume_unique=True).mean()) if len(x) else 1.0 for width, x in parts]
+                    shared = max(shares) > 0
+                    shares = [x if own is None else _in_order(own, hashes[i:j]) for x, own in zip(shares, self.short[item], strict=True)]
                     best = found.setdefault(int(row[w]), {})
                     rank = (min(shares) >= overlap, *shares, score)
-                    if max(shares) > 0 and (item not in best or rank > best[item][:4]):
+                    if (shared or rank[0]) and (item not in best or rank > best[item][:4]):
                         best[item] = (*rank, int(starts[i]), int(ends[j - 1]))
             for r, best in found.items():
                 base = int(offsets[a + r])
@@ -180,7 +204,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", thres
     """``docs`` with all its columns and, in ``column`` (replaced if there), an array of leaks: see LEAK.
 
     A leak is a pair of a document and an item (item_id, text, or question and answer) whose best passage scores ``threshold`` at least and
-    shares a shingle; it is contaminated if the shares of the question and of the answer both reach ``overlap``, and passages where
+    shares a shingle or is contaminated; it is contaminated if the shares of the question and of the answer both reach ``overlap``, and passages where
     they do come first. start and end bound the passage, in characters. Null and empty texts have none; null or wordless items match nothing; repeated items and
     rows are judged each. With an empty benchmark or table the arrays or the result are empty.
     """
