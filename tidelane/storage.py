@@ -49,6 +49,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables of :func:`materialize` that nothing reads any more: all that was derived from them is stored."""
+    for df in tables:
+        spark = df.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        marker = urlparse(shared_root(spark)).path
+        for folder in folders:
+            if urlparse(folder).path.startswith(f"{marker}/"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def open_store(uri: str):
     """``(filesystem, path)`` of a URI, for tasks that read or write whole files."""
     from pyarrow import fs
