@@ -95,3 +95,41 @@ def test_components_of_chains_stars_and_rings(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+
+
+def test_chained_classes_make_small_tiles(spark):
+    """5,000 classes, each sharing a rare shingle with the next and all of them a common one, are neither all pairs nor one family."""
+    from pyspark.sql import functions as F
+
+    n, rng = 5000, random.Random(2)
+    own = [["boilerplate"] for _ in range(n)]
+    for k in range(5 * n):  # a word of two classes
+        for i in (k % n, rng.randrange(n)):
+            own[i].append(f"w{k}")
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(own)], "doc_id long, text string")
+    found = ngram_join.candidates(docs, 1, 80, 11 * n).withColumn("node", F.struct(F.col("c1").alias("rep"), "c1")).withColumn("weight", F.lit(1))
+    edges = found.select("c1", F.explode("prefix").alias("t")).groupBy("t").agg(F.min("c1").alias("a"), F.max("c1").alias("b"))
+    assert components(edges).groupBy("label").count().agg(F.max("count")).first()[0] > 0.8 * n
+    sent = ngram_join.tiles(found, 80)
+    per_tile = sent.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
+    assert per_tile["pairs"] < n * n / 2 / 50 and per_tile["rows"] < 20 * n
+    assert all(r["n_links"] == 0 for r in ngram_join.jaccard_join(docs, width=1).collect())
+
+
+@pytest.mark.parametrize("few", [0, 4, 10**6])
+def test_products_by_scattering_and_by_dense_blocks_agree(few):
+    rng = np.random.default_rng(few)
+    left, right = ([np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(n)] for n in (9, 7))
+    want = np.array([[len(np.intersect1d(a, b)) for b in right] for a in left])
+    assert (ngram_join.overlaps(left, right, columns=8, few=few) == want).all()
+    own = ngram_join.overlaps(left, None, columns=8, few=few)
+    want = np.array([[len(np.intersect1d(a, b)) for b in left] for a in left])
+    np.fill_diagonal(own, 0), np.fill_diagonal(want, 0)
+    assert (own == want).all()
+
+
+def test_repeated_ids_with_other_words_are_classes_of_their_own(spark):
+    a, b, c = ("a b c d e f g h", "k l m n o p q r", "k l m n o p q r s")
+    docs = spark.createDataFrame([(2, a), (5, a), (5, b), (9, c)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["n_links"], r["first"]) for r in ngram_join.jaccard_join(docs, digests=True).collect())
+    assert got == [(2, 2, 1, True), (5, 2, 1, False), (5, 5, 1, True), (9, 5, 1, False)]
