@@ -5,6 +5,8 @@ the rows that hold it and their weights - and streams the stored query rows past
 weight times the postings is scattered into a dense array of scores. A partition selection takes each query's best of the block,
 and a ranked merge over blocks gives the result. Nothing grows with the corpus but the passes themselves: a task holds one
 block of postings, one block of queries and their scores.
+
+Rows with a weight that is no long have postings of their own, in Python's integers.
 """
 
 from __future__ import annotations
@@ -16,20 +18,19 @@ from pyspark.sql import functions as F
 
 from tidelane.storage import open_store, scratch
 
+SCALE = 256
 BLOCK_ROWS = 1 << 15
 #: A block ends early at about so many components, so that long vectors make smaller blocks.
 BLOCK_CELLS = 1 << 22
 BLOCK_QUERIES = 64
-#: Weights at or beyond this are no longs; vectors that have any take no part.
-LARGEST = 1 << 63
+_LIMIT = 1 << 63
 
 
-def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, weights array<long>) of usable vectors: floor(scale * x) of each component as double."""
-    weights = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    fine = F.forall(F.col("embedding"), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < LARGEST / scale))
-    usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine
-    return vectors.select("vec_id", "embedding").where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), weights.alias("weights"))
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding array<double>) of rows with an id and a vector of finite components."""
+    fine = F.forall(F.col("embedding"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
 
 
 class Postings:
@@ -47,60 +48,84 @@ class Postings:
         return dict(zip(self.terms[np.searchsorted(self.at, own, "right") - 1].tolist(), self.weight[own].tolist(), strict=True))
 
 
-def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term and weight of each nonzero component of an array column."""
-    offsets = np.asarray(column.offsets).astype(np.int64)
-    weight = np.asarray(column.flatten())
-    row = np.repeat(np.arange(len(column)), np.diff(offsets))
-    term = np.arange(len(weight)) - (offsets[:-1] - offsets[0])[row]
-    own = np.flatnonzero(weight)
-    return row[own], term[own], weight[own]
+def postings(ids: np.ndarray, vectors: pa.Array) -> list[tuple[np.ndarray, Postings]]:
+    """Ids, ascending, and postings of the rows whose weights floor(SCALE * x) are longs, and of the others, as far as there are any."""
+    offsets = np.asarray(vectors.offsets).astype(np.int64)
+    x = np.asarray(vectors.flatten(), float)
+    row = np.repeat(np.arange(len(vectors)), np.diff(offsets))
+    term = np.arange(len(x)) - (offsets[:-1] - offsets[0])[row]
+    wide = np.zeros(len(vectors), bool)
+    wide[row[np.abs(x) >= _LIMIT / SCALE]] = True
+    out = []
+    for kind in (False, True):
+        rows = np.flatnonzero(wide == kind)
+        if len(rows):
+            rows = rows[np.argsort(ids[rows], kind="stable")]
+            place = np.zeros(len(vectors), np.int64)
+            place[rows] = np.arange(len(rows))
+            own = np.flatnonzero(wide[row] == kind)
+            if kind:  # doubles of that size are whole numbers
+                weight = np.array([int(v) * SCALE if abs(v) >= 1 << 53 else int(np.floor(v * SCALE)) for v in x[own].tolist()], object)
+            else:
+                weight = np.floor(x[own] * SCALE).astype(np.int64)
+            some = weight != 0
+            out.append((ids[rows], Postings(place[row[own]][some], term[own][some], weight[some], len(rows))))
+    return out
 
 
 def _query_blocks(path: str):
     import pyarrow.dataset as ds
 
     store, root = open_store(path)
-    for batch in ds.dataset(root, filesystem=store, format="parquet").to_batches(batch_size=BLOCK_QUERIES, columns=["vec_id", "weights"]):
+    for batch in ds.dataset(root, filesystem=store, format="parquet").to_batches(batch_size=BLOCK_QUERIES, columns=["vec_id", "embedding"]):
         if batch.num_rows:
-            yield np.asarray(batch.column(0)), Postings(*_cells(batch.column(1)), batch.num_rows)
+            yield from postings(np.asarray(batch.column(0)), batch.column(1))
 
 
-def accumulate(queries: Postings, postings: Postings, of=lambda weight: weight) -> np.ndarray:
-    """Scores of ``queries`` (a row each) against the rows of ``postings``, term at a time; sums of longs are modulo 2^64."""
-    scores = np.zeros((queries.rows, postings.rows), of(np.zeros(0, np.int64)).dtype)
-    for i, j in zip(*np.intersect1d(queries.terms, postings.terms, assume_unique=True, return_indices=True)[1:], strict=True):
-        a, b = slice(*queries.at[i : i + 2]), slice(*postings.at[j : j + 2])
-        own, factor, at, weight = queries.row[a], of(queries.weight[a]), postings.row[b], of(postings.weight[b])
-        if len(at) == postings.rows:
+def accumulate(queries: Postings, held: Postings, of=lambda weight: weight) -> np.ndarray:
+    """Scores of ``queries`` (a row each) against the rows of ``held``, term at a time; sums of longs are modulo 2^64."""
+    scores = np.zeros((queries.rows, held.rows), of(np.zeros(0, np.int64)).dtype)
+    for i, j in zip(*np.intersect1d(queries.terms, held.terms, assume_unique=True, return_indices=True)[1:], strict=True):
+        a, b = slice(*queries.at[i : i + 2]), slice(*held.at[j : j + 2])
+        own, factor, at, weight = queries.row[a], of(queries.weight[a]), held.row[b], of(held.weight[b])
+        if len(at) == held.rows:
             scores[own] += factor[:, None] * weight
         else:
             scores[np.ix_(own, at)] += factor[:, None] * weight
     return scores
 
 
-def beyond(queries: Postings, postings: Postings) -> np.ndarray | None:
+def beyond(queries: Postings, held: Postings) -> np.ndarray | None:
     """1 where a score is over a long, -1 where it is under, else 0; None if the terms' greatest weights prove that all fit.
 
     A sum in doubles with its error bound tells nearly all; the others are summed in Python's integers.
     """
-    _, i, j = np.intersect1d(queries.terms, postings.terms, assume_unique=True, return_indices=True)
-    limit = float(1 << 63)
-    if (queries.peak[i] * postings.peak[j]).sum() * (1 + 1e-6) < limit:
+    _, i, j = np.intersect1d(queries.terms, held.terms, assume_unique=True, return_indices=True)
+    limit = float(_LIMIT)
+    if (queries.peak[i] * held.peak[j]).sum() * (1 + 1e-6) < limit:
         return None
-    error = accumulate(queries, postings, lambda w: np.abs(w).astype(float)) * ((len(i) + 8) * 2.0**-52)
-    near = accumulate(queries, postings, lambda w: w.astype(float))
+    error = accumulate(queries, held, lambda w: np.abs(w).astype(float)) * ((len(i) + 8) * 2.0**-52)
+    near = accumulate(queries, held, lambda w: w.astype(float))
     out = np.where(near - error >= limit, 1, np.where(near + error < -limit, -1, 0)).astype(np.int8)
     unsure = (out == 0) & ((near + error >= limit) | (near - error < -limit))
-    rows = {c: postings.of(c) for c in np.flatnonzero(unsure.any(0)).tolist()}
+    rows = {c: held.of(c) for c in np.flatnonzero(unsure.any(0)).tolist()}
     for q in np.flatnonzero(unsure.any(1)).tolist():
         own = queries.of(q)
         for c in np.flatnonzero(unsure[q]).tolist():
             score = sum(w * own.get(t, 0) for t, w in rows[c].items())
-            out[q, c] = (score >= 1 << 63) - (score < -(1 << 63))
+            out[q, c] = (score >= _LIMIT) - (score < -_LIMIT)
     return out
 
 
+def scored(queries: Postings, held: Postings) -> tuple[np.ndarray, np.ndarray | None]:
+    """Scores as longs, and which are beyond a long: see ``beyond``."""
+    if object not in (queries.weight.dtype, held.weight.dtype):
+        return accumulate(queries, held), beyond(queries, held)
+    exact = accumulate(queries, held, lambda w: w.astype(object))
+    out = (exact >= _LIMIT).astype(np.int8) - (exact < -_LIMIT).astype(np.int8)
+    return np.where(out == 0, exact, 0).astype(np.int64), out
+
+
 def select_top(scores: np.ndarray, ids: np.ndarray, query_id: int, k: int) -> np.ndarray:
     """Positions of the k best scores, ties to smaller ids; ``ids`` ascend. Rows of the query's own id are left out."""
     a, b = np.searchsorted(ids, query_id), np.searchsorted(ids, query_id, "right")
@@ -128,37 +153,34 @@ def _best(scores: np.ndarray, out: np.ndarray | None, ids: np.ndarray, query_id:
 
 def _search(path: str, k: int):
     def search(batches):
-        held, rows, size = [], 0, 0
+        ids, vectors, rows, size = [], [], 0, 0
 
         def block():
-            ids = np.concatenate([x[0] for x in held])
-            order = np.argsort(ids, kind="stable")
-            ids, place = ids[order], np.argsort(order)
-            row, term, weight = (np.concatenate([x[c] for x in held]) for c in (1, 2, 3))
-            postings = Postings(place[row], term, weight, len(ids))
+            own = postings(np.concatenate(ids), pa.concat_arrays(vectors))
             for query_ids, queries in _query_blocks(path):
-                scores, out = accumulate(queries, postings), beyond(queries, postings)
-                found = [[], [], [], []]
-                for q, query_id in enumerate(query_ids.tolist()):
-                    best, under = _best(scores[q], None if out is None else out[q], ids, query_id, k)
-                    for column, own in zip(found, (np.full(len(best), query_id), ids[best], scores[q, best], under), strict=True):
-                        column.append(own)
-                query, vec, score, under = (np.concatenate(x) for x in found)
-                columns = [pa.array(query.astype(np.int64)), pa.array(vec.astype(np.int64)), pa.array(score, mask=under)]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+                for held_ids, held in own:
+                    scores, out = scored(queries, held)
+                    found = [[], [], [], []]
+                    for q, query_id in enumerate(query_ids.tolist()):
+                        best, under = _best(scores[q], None if out is None else out[q], held_ids, query_id, k)
+                        for column, part in zip(found, (np.full(len(best), query_id), held_ids[best], scores[q, best], under), strict=True):
+                            column.append(part)
+                    query, vec, score, under = (np.concatenate(x) for x in found)
+                    columns = [pa.array(query.astype(np.int64)), pa.array(vec.astype(np.int64)), pa.array(score, mask=under)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             cells = len(batch.column(1).flatten())
             step = max(1, min(BLOCK_ROWS, BLOCK_CELLS * batch.num_rows // max(1, cells)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                row, term, weight = _cells(part.column(1))
-                held.append((np.asarray(part.column(0)), row + rows, term, weight))
+                ids.append(np.asarray(part.column(0)))
+                vectors.append(part.column(1))
                 rows += part.num_rows
-                size += len(weight)
+                size += len(part.column(1).flatten())
                 if rows >= BLOCK_ROWS or size >= BLOCK_CELLS:
                     yield from block()
-                    held, rows, size = [], 0, 0
+                    ids, vectors, rows, size = [], [], 0, 0
         if rows:
             yield from block()
 
@@ -169,14 +191,15 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """For each of ``queries``, the ``k`` rows of ``vectors`` (both: vec_id, embedding) of highest integer inner product.
 
     Returns query_id, rank from 1, vec_id, score; ties go to the smaller vec_id, and fewer rows if there are fewer. Rows with the
-    query's own id are left out. Null ids, null vectors and those with null or non-finite components or weights that are no longs
-    (see LARGEST) take no part; an empty vector scores 0. Scores are exact; one of the k best that does not fit a long is an error. Repeated queries count once, repeated candidates each.
+    query's own id are left out. Null ids, null vectors and those with null or non-finite components take no part; an empty vector scores 0.
+    Scores are exact for any length and size of components; one of the k best that does not fit a long is an error. Repeated
+    candidates count each. Of a repeated query id, each vector is a query, and its ranks run over the scores of all of them.
     Vectors of different lengths meet in the terms that both have. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
     path = scratch(spark, "topk-queries")
-    quantized(queries).dropDuplicates(["vec_id"]).write.parquet(path)
-    found = quantized(vectors).mapInArrow(_search(path, k), "query_id long, vec_id long, score long")
+    usable(queries).write.parquet(path)
+    found = usable(vectors).mapInArrow(_search(path, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     score = F.coalesce("score", F.raise_error(F.lit("a score does not fit a long")).cast("long"))  # null: under a long, ranked last
@@ -184,6 +207,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """top_k of the embeddings whose vec_id is divisible by 50, against all: query_id, rank, vec_id, score."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
 
