@@ -144,3 +144,25 @@ def test_ideographic_full_stops_end_units(spark):
     last = unit_dedup._unit_ends(data, *cut, unit_dedup.PASSAGE)
     ends = {len(data[: cut[2][i]].tobytes().decode()) for i in last}
     assert {7, 12, 15, 17} <= ends
+
+
+def test_texts_of_one_id_are_judged_each(spark):
+    """A hot doc_id with many texts: each keeps its own marks, and one text of an id is the first of a shared line."""
+    line = "one two three four five six seven eight nine ten"
+    rows = [(1, f"{line}\nown {i} " + " ".join(f"w{i}x{k}" for k in range(9))) for i in range(50)]
+    got = unit_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), "line").collect()
+    assert sorted(r["n_removed"] for r in got) == [0] + [1] * 49
+    assert sorted(r["text"] for r in got if r["n_removed"]) == sorted(t.split("\n")[1] for _, t in rows if t not in [r["text"] for r in got])
+
+
+def test_a_very_long_text_and_ties_across_partitions(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    long = " ".join(word() for _ in range(200_000))
+    rows = [(9, long + "\n" + passage), (3, passage + "\n" + long[: 1 << 20]), *((7, "a b c d e f g h i\n" + passage) for _ in range(40))]
+    got = unit_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), "line").collect()
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["doc_id"], set()).add((r["text"], r["n_removed"]))
+    assert by_id[3] == {(rows[1][1], 0)} and by_id[9] == {(long + "\n", 1)} and by_id[7] == {("a b c d e f g h i\n", 1)}

@@ -13,12 +13,14 @@ spaces, and where a word is long, after the character of least hash of every few
 as well, whatever its length and whatever stands before it.
 
 Each task keeps only the first of its occurrences of a key and knows the others to be removable at once; just the firsts, packed by range
-of keys, are shuffled. A key that a third of all documents hold thus reaches its reducer once for each batch of half a million units.
+of keys, are shuffled. A key that a third of all documents hold thus reaches its reducer once for each batch of half a million units. There are
+``_RANGES`` ranges of keys a partition, sorted in it, and a task holds one at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from tidelane.storage import materialize, shuffle_partitions
 
 MIN_WORDS = 8
 _FLUSH = 1 << 19
+_RANGES = 8
 _STRONG = np.zeros(256, bool)
 _STRONG[[ord(c) for c in ".!?"]] = True
 _BREAK = np.zeros(256, bool)
@@ -179,14 +182,14 @@ def keyed_units(column: pa.Array, kind: str, min_words: int) -> Iterator[tuple]:
         yield a, b - a, row, np.arange(len(last)) - unit_first, begin, key_first, key_last, k1, (k2 >> np.uint64(32)).astype(np.uint32), starts
 
 
-def _firsts(k1, k2, doc, pos) -> tuple[np.ndarray, np.ndarray]:
+def _firsts(k1, k2, doc, text, pos) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the first row of each key, and of the rows that stand at a later rank than it (a repeated row is at the same)."""
-    order = np.lexsort((pos, doc, k2, k1))
+    order = np.lexsort((pos, text, doc, k2, k1))
     a, b = k1[order], k2[order]
     head = np.ones(len(order), bool)
     head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     first = order[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(order) else order
-    later = (doc[order] != doc[first]) | (pos[order] != pos[first])
+    later = (doc[order] != doc[first]) | (text[order] != text[first]) | (pos[order] != pos[first])
     return order[head], order[later]
 
 
@@ -195,14 +198,14 @@ def _pack(rows, names):
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-_NAMES = ("part", "k1", "k2", "doc", "pos", "dead_doc", "dead_pos", "dead_k1")
-_BLOBS = "part int, " + ", ".join(f"{c} binary" for c in _NAMES[1:])
+_PACKED = {"k1": np.uint64, "k2": np.uint32, "doc": np.int64, "digest": np.int32, "pos": np.int32, "dead_doc": np.int64, "dead_digest": np.int32, "dead_pos": np.int32, "dead_k1": np.uint64}
+_BLOBS = "part int, " + ", ".join(f"{c} binary" for c in _PACKED)
 
 
 def _emit(kind: str, min_words: int, parts: int):
     def flush(held):
-        k1, k2, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        live, dead = _firsts(k1, k2, doc, pos)
+        k1, k2, doc, digest, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        live, dead = _firsts(k1, k2, doc, digest, pos)
         live_at = ((k1[live] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         dead_at = (textops.mix64(doc[dead].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
         live, dead = live[np.argsort(live_at, kind="stable")], dead[np.argsort(dead_at, kind="stable")]
@@ -211,16 +214,18 @@ def _emit(kind: str, min_words: int, parts: int):
         for p in range(parts):
             x, y = live[live_cut[p] : live_cut[p + 1]], dead[dead_cut[p] : dead_cut[p + 1]]
             if len(x) or len(y):
-                rows.append((p, *(c[x].tobytes() for c in (k1, k2, doc, pos)), *(c[y].tobytes() for c in (doc, pos, k1))))
-        yield _pack(rows, list(_NAMES))
+                rows.append((p, *(c[x].tobytes() for c in (k1, k2, doc, digest, pos)), *(c[y].tobytes() for c in (doc, digest, pos, k1))))
+        for a in range(0, len(rows), 1024):
+            yield _pack(rows[a : a + 1024], ["part", *_PACKED])
 
     def run(batches):
         held, size = [], 0
         for batch in textops.released(batches):
-            ids = np.asarray(batch.column("doc_id"))
+            ids, digests = np.asarray(batch.column("doc_id")), np.asarray(batch.column("digest"))
             for a, _n, row, pos, _b, _f, own, k1, k2, _s in keyed_units(batch.column("text"), kind, min_words):
                 if len(own):
-                    held.append((k1, k2, ids[a + row[own]].astype(np.int64), pos[own].astype(np.int32)))
+                    at = a + row[own]
+                    held.append((k1, k2, ids[at].astype(np.int64), digests[at].astype(np.int32), pos[own].astype(np.int32)))
                     size += len(own)
                 if size >= _FLUSH:
                     yield from flush(held)
@@ -232,19 +237,17 @@ def _emit(kind: str, min_words: int, parts: int):
 
 
 def _later(batches):
-    """Rows (doc_id, pos, mark) of units whose key has an earlier occurrence; mark is part of the key, to know the text by."""
-    held: dict[str, list[bytes]] = {c: [] for c in _NAMES[1:]}
-    for batch in textops.released(batches):
-        for c, own in held.items():
-            own.extend(batch.column(c).to_pylist())
-    kinds = {"k1": np.uint64, "k2": np.uint32, "doc": np.int64, "pos": np.int32, "dead_doc": np.int64, "dead_pos": np.int32, "dead_k1": np.uint64}
-    x = {c: np.frombuffer(b"".join(own), kinds[c]) for c, own in held.items()}
-    _, late = _firsts(x["k1"], x["k2"], x["doc"], x["pos"])
-    doc, pos, k1 = np.concatenate([x["doc"][late], x["dead_doc"]]), np.concatenate([x["pos"][late], x["dead_pos"]]), np.concatenate([x["k1"][late], x["dead_k1"]])
-    mark = (k1 & np.uint64(0x7FFFFFFF)).astype(np.int32)
-    for a in range(0, max(1, len(doc)), 1 << 16):
-        b = a + (1 << 16)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[a:b]), pa.array(pos[a:b]), pa.array(mark[a:b])], names=["doc_id", "pos", "mark"])
+    """Rows (doc_id, digest, pos, mark) of units whose key has an earlier occurrence; mark is part of the key. Rows come by range."""
+    rows = (row for batch in textops.released(batches) for row in zip(*(batch.column(c).to_pylist() for c in ("part", *_PACKED)), strict=True))
+    for _, own in groupby(rows, key=lambda row: row[0]):
+        blobs = list(zip(*own, strict=True))[1:]
+        x = {c: np.frombuffer(b"".join(b), kind) for (c, kind), b in zip(_PACKED.items(), blobs, strict=True)}
+        _, late = _firsts(x["k1"], x["k2"], x["doc"], x["digest"], x["pos"])
+        doc, digest, pos, k1 = (np.concatenate([x[c][late], x[f"dead_{c}"]]) for c in ("doc", "digest", "pos", "k1"))
+        mark = (k1 & np.uint64(0x7FFFFFFF)).astype(np.int32)
+        for a in range(0, len(doc), 1 << 16):
+            b = a + (1 << 16)
+            yield pa.RecordBatch.from_arrays([pa.array(c[a:b]) for c in (doc, digest, pos, mark)], names=["doc_id", "digest", "pos", "mark"])
 
 
 def _cut(kind: str, min_words: int, at_text: int, at_marks: int):
@@ -309,11 +312,16 @@ def cut_units(docs: DataFrame, kind: str = PASSAGE, min_words: int = MIN_WORDS)
     if kind not in (*KINDS, PASSAGE):
         raise ValueError(f"kind is one of {(*KINDS, PASSAGE)}")
     parts = shuffle_partitions(docs.sparkSession)
-    docs = docs.drop("_clean", "_units", "_gone", "_removed", "_kept", "_marks", "_marked_id")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    late = rows.where("doc_id IS NOT NULL").mapInArrow(_emit(kind, min_words, parts), _BLOBS).repartition(parts, "part").mapInArrow(_later, "doc_id long, pos int, mark int")
-    marked = materialize(late.groupBy(F.col("doc_id").alias("_marked_id")).agg(F.collect_set(F.struct("pos", "mark")).alias("_marks")), "dedup-marked")
-    joined = docs.join(marked, F.col("doc_id").cast("long") == F.col("_marked_id"), "left").drop("_marked_id")
+    docs = docs.drop("_clean", "_units", "_gone", "_removed", "_kept", "_marks", "_marked_id", "_marked_digest")
+    digest = F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 33).cast("int")  # tells texts of one doc_id apart
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest"))
+    sent = rows.where("doc_id IS NOT NULL").mapInArrow(_emit(kind, min_words, _RANGES * parts), _BLOBS)
+    sent = sent.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("part")
+    late = sent.mapInArrow(_later, "doc_id long, digest int, pos int, mark int")
+    marked = late.groupBy(F.col("doc_id").alias("_marked_id"), F.col("digest").alias("_marked_digest")).agg(F.collect_set(F.struct("pos", "mark")).alias("_marks"))
+    marked = materialize(marked, "dedup-marked")
+    same = (F.col("doc_id").cast("long") == F.col("_marked_id")) & (digest == F.col("_marked_digest"))
+    joined = docs.join(marked, same, "left").drop("_marked_id", "_marked_digest")
     names = [c.lower() for c in joined.columns]
     added = parse(f"_clean string, _units long, _gone long, _removed {SPANS}, _kept {SPANS}")
     return add_columns(joined, _cut(kind, min_words, names.index("text"), names.index("_marks")), added).drop("_marks")
@@ -324,7 +332,8 @@ def dedup_units(docs: DataFrame, kind: str = PASSAGE, min_words: int = MIN_WORDS
 
     Spans are [start, end) in characters of the original text; a unit reaches to the start of the next. Null texts stay null and have no
     units; rows of null doc_id are returned as they are. Rows that repeat a doc_id and a text are ranked alike: what is removed from
-    one is removed from each, and a passage first seen in them stays in each. Empty tables give empty results.
+    one is removed from each, and a passage first seen in them stays in each; different texts of one doc_id are ranked by a hash of the text. Empty
+    tables give empty results.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = cut_units(rows, kind, min_words)
@@ -332,4 +341,5 @@ def dedup_units(docs: DataFrame, kind: str = PASSAGE, min_words: int = MIN_WORDS
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_units of all documents: doc_id, text, n_units, n_removed, removed, kept."""
     return dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet"))
