@@ -31,22 +31,60 @@ def bag(index, text):
     return np.intersect1d(decontam._words([text])[0], index.terms)
 
 
-def test_block_pruning_loses_nothing(case):
+def weights(index):
+    out = np.zeros((len(index.terms), len(index.ids)))
+    for own in index.classes:
+        for t in range(len(index.terms)):
+            at = slice(own.at[t], own.at[t + 1])
+            out[t, np.array(own.items)[own.item[at]]] = own.weight[at]
+    return out
+
+
+def test_block_max_wand_loses_nothing(case):
     items, docs = case
     index = decontam.Index([(i, *decontam.split_item(t)) for i, t in items])
-    weight = np.zeros((len(index.terms), len(index.ids)))
-    for t in range(len(index.terms)):
-        weight[t, index.item[index.at[t] : index.at[t + 1]]] = index.weight[index.at[t] : index.at[t + 1]]
-    assert np.allclose(weight.sum(axis=0), 1)
+    weight = weights(index)
+    assert np.allclose(weight.sum(axis=0), 1) and len(index.classes) > 1
     for _, text, *_ in docs:
         own = np.searchsorted(index.terms, bag(index, text))
         full = weight[own].sum(axis=0)
-        for threshold in (0.2, 0.6, 0.95):
+        for threshold in (0.05, 0.2, 0.6, 0.95):
             got = dict(index.retrieve(own, threshold))
             assert set(got) == set(np.flatnonzero(full >= threshold - 1e-9).tolist())
             assert all(abs(full[i] - s) < 1e-9 for i, s in got.items())
 
 
+def test_weights_and_results_are_those_of_all_items_in_parts_of_any_size(spark, case):
+    items, docs = case
+    items = [*items, (99, say(random.Random(8), 3000))]  # an item a hundred times as long as the others
+    frame, bench = spark.createDataFrame(docs, FIELDS), spark.createDataFrame(items, "item_id long, text string")
+    whole = decontam.Index([(i, *decontam.split_item(t)) for i, t in items])
+    want = {(i, int(t)): w for k, i in enumerate(whole.ids) for t, w in zip(whole.terms, weights(whole)[:, k], strict=True) if w}
+    got = {}
+    for part in decontam._indexes(bench, 900):
+        got |= {(i, int(t)): w for k, i in enumerate(part.ids) for t, w in zip(part.terms, weights(part)[:, k], strict=True) if w}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+    def found(**options):
+        rows = decontam.leaks(frame, bench, **options).collect()
+        return sorted((r["doc_id"], r["item_id"], round(r["score"], 9), r["contaminated"], r["start"], r["end"]) for r in rows)
+
+    one = found()
+    assert one == found(max_bytes=900) == found(max_bytes=3000) and any(x[3] for x in one)
+    short = decontam.leaks(frame, bench.where("item_id <> 99")).where("contaminated").select("doc_id", "item_id").collect()
+    assert sorted((x[0], x[1]) for x in one if x[3]) == sorted(map(tuple, short))
+
+
+def test_a_very_long_text_and_a_very_long_item(spark):
+    rng = random.Random(11)
+    word = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    question, answer, book = word(20) + ".", word(5) + ".", word(20_000) + ". " + word(30) + "."
+    long = word(100_000)
+    docs = spark.createDataFrame([(1, long[:300_000] + " " + question + " " + answer + " " + long[300_000:]), (2, long), (3, word(50) + " " + book)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, question + " " + answer), (8, book)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).where("contaminated").collect()) == [(1, 7), (3, 8)]
+
+
 def test_planted_items_are_found_and_clean_documents_stay(spark, case):
     items, docs = case
     frame, bench = spark.createDataFrame(docs, FIELDS), spark.createDataFrame(items, "item_id long, text string")

@@ -1,22 +1,27 @@
 """Benchmark decontamination: a BM25 inverted index of test items, queried by every training passage.
 
 Items are bags of words with BM25 weights, each item's divided by its score against itself, so a passage that holds all of an item's
-words scores 1. Postings lie in blocks of neighbouring items, and each term keeps its greatest weight in each block. Passages are windows
-of twice the longest item's words, half overlapping, so that any copy of an item lies whole in one of them.
+words scores 1. Items are indexed by classes of length, from a power of two to under the next. Passages are windows of twice
+the most words of the class, half overlapping, so that any copy of an item lies whole in one of them. Postings are in order of
+items, and each term keeps its greatest weight, and its greatest in each block of ``BLOCK_ITEMS`` neighbouring items.
 
-For a passage the pivot test of block-max WAND is taken at all blocks at once: first the sum of its terms' greatest weights, then for each
-block the sum of their greatest weights there; only blocks whose bound reaches the threshold are scored, all items at or above it
-are retrieved, and the others are known not to reach it. What is retrieved is verified by the shares of the question's and of the
+A passage's terms are cursors in their postings (block-max WAND). In the order of the items they stand at, the pivot is the first item that
+their greatest weights together could bring to the threshold; if their greatest weights in the pivot's block could not, all go past that
+block; else the pivot is scored. So all items at or above the threshold are retrieved, and the others are known not to reach it. Windows
+in which the greatest weights of all words together stay below it have no pivot, which one running sum tells for all windows at once.
+
+What is retrieved is verified by the shares of the question's and of the
 answer's word shingles that stand in the passage; for those of fewer than ``SHORT`` words, where one changed word spoils too many
 shingles, by the share of words that stand in order within a stretch of about their length. Nothing is shuffled; whole texts are read once.
 
-The index is broadcast if the items are at most ``MAX_INDEX_BYTES`` of text; beyond that, they are indexed in several parts of at most that
-size, one pass over the documents each.
+The index is broadcast if the items are at most ``MAX_INDEX_BYTES`` of text. Beyond that there are several, each in tasks of its own. Document
+frequencies, numbers and lengths are those of all items in either case, so that results do not depend on it.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tidelane.llm import textops
 from tidelane.llm.annotate import add_columns, parse
+from tidelane.storage import materialize
 
 THRESHOLD, OVERLAP, WIDTH = 0.6, 0.6, 5
 #: With so many words, one changed word leaves OVERLAP of the shingles.
@@ -77,34 +83,93 @@ def _in_order(part: np.ndarray, passage: np.ndarray) -> float:
     return best / n
 
 
+@dataclass
+class Statistics:
+    """Of all items with words: their number, mean length, and the number of items that hold a term (None: counted in the items given)."""
+
+    items: int
+    length: float
+    frequencies: dict[int, int] | None = None
+
+
+class Postings:
+    """Postings of one class of items, by term of the whole index: item, weight, and greatest weights by term and by block."""
+
+    def __init__(self, items: list[int], term: np.ndarray, item: np.ndarray, weight: np.ndarray, terms: int, longest: int):
+        self.items, self.longest, self.n = items, longest, len(items)
+        order = np.lexsort((item, term))
+        self.term, self.item, self.weight = term[order], item[order], weight[order]
+        self.at = np.searchsorted(self.term, np.arange(terms + 1))
+        self.key = self.term * (self.n + 1) + self.item
+        self.blocks = -(-self.n // BLOCK_ITEMS)
+        block_key = self.term * (self.blocks + 1) + self.item // BLOCK_ITEMS
+        head = np.flatnonzero(np.diff(block_key, prepend=-1))
+        self.block_key, self.block_max = block_key[head], (np.maximum.reduceat(self.weight, head) if len(head) else self.weight)
+        self.greatest = np.zeros(terms)
+        np.maximum.at(self.greatest, self.term, self.weight)
+
+    def retrieve(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """All (item of the index, score) at or above the threshold for a passage of these distinct terms."""
+        slack = threshold - 1e-9
+        terms = terms[self.greatest[terms] > 0]
+        bound, last = self.greatest[terms], self.at[terms + 1]
+        if bound.sum() < slack:
+            return []
+        cursor, out = self.at[terms].copy(), []
+        now = self.item[cursor]
+        while True:
+            order = np.argsort(now, kind="stable")
+            pivot_at = int(np.searchsorted(np.cumsum(bound[order]), slack))
+            if pivot_at == len(order) or now[order[pivot_at]] == self.n:
+                return out
+            pivot = int(now[order[pivot_at]])
+            own = np.flatnonzero(now <= pivot)
+            to, block = pivot, pivot // BLOCK_ITEMS
+            key = terms[own] * (self.blocks + 1) + block
+            at = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+            if self.block_max[at[self.block_key[at] == key]].sum() < slack:
+                after = now[now > pivot]
+                to = min((block + 1) * BLOCK_ITEMS, int(after.min()) if len(after) else self.n)
+            cursor[own] = np.searchsorted(self.key, terms[own] * (self.n + 1) + to)
+            now[own] = np.where(cursor[own] < last[own], self.item[np.minimum(cursor[own], len(self.item) - 1)], self.n)
+            if to == pivot:
+                own = np.flatnonzero(now == pivot)
+                score = float(self.weight[cursor[own]].sum())
+                if score >= slack:
+                    out.append((self.items[pivot], score))
+                cursor[own] += 1
+                now[own] = np.where(cursor[own] < last[own], self.item[np.minimum(cursor[own], len(self.item) - 1)], self.n)
+
+
 class Index:
     """An inverted index of (item_id, question, answer) with block maxima; items of other words than any are left out."""
 
-    def __init__(self, items: list[tuple[int | None, str, str]]):
-        both = _words([f"{q}\n{a}" if q != a else q for _, q, a in items])
-        keep = [i for i, w in enumerate(both) if len(w)]
+    def __init__(self, items: list[tuple[int | None, str, str]], known: Statistics | None = None):
+        bags = _bags(items)
+        keep = [i for i, w in enumerate(bags) if len(w)]
         self.ids = [items[i][0] for i in keep]
-        bags = [both[i] for i in keep]
+        bags = [bags[i] for i in keep]
         parts = [_words([items[i][c] for i in keep]) for c in (1, 2)]
         self.question, self.answer = ([_verifiable(w) for w in part] for part in parts)
         self.short = [[w if 0 < len(w) < SHORT else None for w in pair] for pair in zip(*parts, strict=True)]
-        self.longest = max(map(len, bags), default=0)
-        n = len(bags)
-        self.terms, term, item, count = self._cells(bags)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
         length = np.array([len(w) for w in bags], float)
-        weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[item] / max(1.0, length.mean() if n else 1.0)))
-        weight /= np.bincount(item, weight, n)[item] if n else 1.0
-        order = np.lexsort((item, term))
-        self.item, self.weight, term = item[order], weight[order], term[order]
-        self.at = np.searchsorted(term, np.arange(len(self.terms) + 1))
-        block = self.item // BLOCK_ITEMS
-        head = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-        self.block, self.block_max = block[head], (np.maximum.reduceat(self.weight, head) if len(head) else self.weight)
-        self.block_at = np.searchsorted(term[head], np.arange(len(self.terms) + 1))
-        self.greatest = np.maximum.reduceat(self.weight, self.at[:-1]) if len(self.terms) else np.zeros(0)
-        self.blocks = -(-n // BLOCK_ITEMS)
+        self.terms, term, item, count = self._cells(bags)
+        known = known or Statistics(len(bags), float(length.mean()) if len(bags) else 1.0)
+        if known.frequencies is None:
+            df = np.bincount(term, minlength=len(self.terms))
+        else:
+            df = np.array([known.frequencies[int(t)] for t in self.terms.view(np.int64)], float)
+        idf = np.log1p((known.items - df + 0.5) / (df + 0.5))
+        weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[item] / max(1.0, known.length)))
+        weight /= np.bincount(item, weight, len(bags))[item] if len(bags) else 1.0
+        size = np.array([len(w).bit_length() for w in bags])
+        self.classes = []
+        for k in np.unique(size).tolist():
+            own = np.flatnonzero(size == k)
+            place = np.full(len(bags), -1)
+            place[own] = np.arange(len(own))
+            cells = np.flatnonzero(place[item] >= 0)
+            self.classes.append(Postings(own.tolist(), term[cells], place[item[cells]], weight[cells], len(self.terms), (1 << k) - 1))
 
     @staticmethod
     def _cells(bags):
@@ -114,59 +179,34 @@ class Index:
         pairs, count = np.unique(at.astype(np.int64) * max(1, len(bags)) + item, return_counts=True)
         return terms, pairs // max(1, len(bags)), pairs % max(1, len(bags)), count.astype(float)
 
-    @staticmethod
-    def _ranges(at: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        """Positions of all entries of ``terms`` in lists that begin at ``at``."""
-        n = at[terms + 1] - at[terms]
-        ends = np.cumsum(n)
-        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[terms] - (ends - n), n)
-
     def retrieve(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All (item, score) at or above the threshold for a passage of these distinct terms."""
-        slack = threshold - 1e-9
-        if self.greatest[terms].sum() < slack:
-            return []
-        own = self._ranges(self.block_at, terms)
-        live = np.bincount(self.block[own], self.block_max[own], self.blocks) >= slack
-        if not live.any():
-            return []
-        own = self._ranges(self.at, terms)
-        own = own[live[self.item[own] // BLOCK_ITEMS]]
-        scores = np.bincount(self.item[own], self.weight[own], len(self.ids))
-        return [(int(i), float(scores[i])) for i in np.flatnonzero(scores >= slack)]
+        """All (item, score) of any length at or above the threshold for a passage of these distinct terms."""
+        return [x for own in self.classes for x in own.retrieve(terms, threshold)]
 
     def leaks(self, column: pa.Array, threshold: float, overlap: float):
         """For each row with any, (row, leaks): its retrieved items that share a shingle or are contaminated, each with its best passage."""
         if not self.ids:
             return
         data, offsets = textops.utf8(column)
-        span = 2 * self.longest
         for a, b in textops.chunks(offsets):
             hashes, starts, ends, first = textops.words(data, offsets[a : b + 1], textops.NOT_ALNUM)
             term = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
             known = self.terms[term] == hashes
-            sums = np.zeros(len(hashes) + 1)
-            np.cumsum(np.where(known, self.greatest[term], 0), out=sums[1:])
             n = np.diff(first)
-            windows = np.maximum(1, -(-n // self.longest) - 1)
-            row = np.repeat(np.arange(b - a), windows)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-            begin = first[row] + k * self.longest
-            end = np.minimum(begin + span, first[row + 1])
             found: dict[int, dict[int, tuple]] = {}
-            for w in np.flatnonzero(sums[end] - sums[begin] >= threshold - 1e-9).tolist():
-                i, j = int(begin[w]), int(end[w])
-                for item, score in self.retrieve(np.unique(term[i:j][known[i:j]]), threshold):
-                    parts = (self.question[item], self.answer[item])
-                    own = {width: _shingles(hashes[i:j], width) for width in {width for width, _ in parts} if width <= j - i}
-                    shares = [float(np.isin(x, own.get(width, x[:0]), assume_unique=True).mean()) if len(x) else 1.0 for width, x in parts]
-                    shared = max(shares) > 0
-                    shares = [x if own is None else _in_order(own, hashes[i:j]) for x, own in zip(shares, self.short[item], strict=True)]
-                    best = found.setdefault(int(row[w]), {})
-                    rank = (min(shares) >= overlap, *shares, score)
-                    if (shared or rank[0]) and (item not in best or rank > best[item][:4]):
-                        best[item] = (*rank, int(starts[i]), int(ends[j - 1]))
-            for r, best in found.items():
+            for own in self.classes:
+                sums = np.zeros(len(hashes) + 1)
+                np.cumsum(np.where(known, own.greatest[term], 0), out=sums[1:])
+                windows = np.maximum(1, -(-n // own.longest) - 1)
+                row = np.repeat(np.arange(b - a), windows)
+                k = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+                begin = first[row] + k * own.longest
+                end = np.minimum(begin + 2 * own.longest, first[row + 1])
+                for w in np.flatnonzero(sums[end] - sums[begin] >= threshold - 1e-9).tolist():
+                    i, j = int(begin[w]), int(end[w])
+                    for item, score in own.retrieve(np.unique(term[i:j][known[i:j]]), threshold):
+                        self._verify(found.setdefault(int(row[w]), {}), item, score, hashes[i:j], overlap, (int(starts[i]), int(ends[j - 1])))
+            for r, best in sorted(found.items()):
                 base = int(offsets[a + r])
                 out = []
                 for item, (passes, question, answer, score, x, y) in sorted(best.items()):
@@ -175,6 +215,17 @@ class Index:
                 if out:
                     yield a + r, out
 
+    def _verify(self, best: dict[int, tuple], item: int, score: float, passage: np.ndarray, overlap: float, span: tuple[int, int]) -> None:
+        """Notes in ``best`` the passage if it shares a shingle with the item or is contaminated, and is better than what is noted."""
+        parts = (self.question[item], self.answer[item])
+        own = {width: _shingles(passage, width) for width in {width for width, _ in parts} if width <= len(passage)}
+        shares = [float(np.isin(x, own.get(width, x[:0]), assume_unique=True).mean()) if len(x) else 1.0 for width, x in parts]
+        shared = max(shares) > 0
+        shares = [x if w is None else _in_order(w, passage) for x, w in zip(shares, self.short[item], strict=True)]
+        rank = (min(shares) >= overlap, *shares, score)
+        if (shared or rank[0]) and (item not in best or rank > best[item][:4]):
+            best[item] = (*rank, *span)
+
 
 def _find(index, threshold: float, overlap: float, text: int):
     def run(batch):
@@ -186,8 +237,27 @@ def _find(index, threshold: float, overlap: float, text: int):
     return run
 
 
-def _items(benchmark: DataFrame, max_bytes: int):
-    """Lists of (item_id, question, answer) whose texts have about ``max_bytes`` together at most, unless one item has more."""
+def _bags(items) -> list[np.ndarray]:
+    return _words([f"{q}\n{a}" if q != a else q for _, q, a in items])
+
+
+def _pair(q: str, a: str | None) -> tuple[str, str]:
+    return split_item(q) if a is None else (q, a)
+
+
+def _item_terms(batches):
+    """The distinct terms of each item, with its part, and a row of its length."""
+    for batch in batches:
+        parts = batch.column("part").to_pylist()
+        bags = _bags([(None, *_pair(q, a)) for q, a in zip(batch.column("q").to_pylist(), batch.column("a").to_pylist(), strict=True)])
+        for part, words in zip(parts, bags, strict=True):
+            if len(words):
+                terms = np.unique(words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * (len(terms) + 1), pa.int32()), pa.array([*terms.tolist(), None], pa.int64()), pa.array([None] * len(terms) + [len(words)], pa.int64())], names=["part", "term", "length"])
+
+
+def _indexes(benchmark: DataFrame, max_bytes: int):
+    """Indexes whose texts have about ``max_bytes`` together at most, unless one item has more; statistics are of all items."""
     has = {c.lower() for c in benchmark.columns}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     question = F.coalesce(F.col("question").cast("string"), text) if {"question", "answer"} <= has else text
@@ -195,9 +265,18 @@ def _items(benchmark: DataFrame, max_bytes: int):
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), question.alias("q"), answer.alias("a"))
     size = items.agg(F.sum(F.octet_length("q") + F.coalesce(F.octet_length("a"), F.lit(0)))).first()[0] or 0
     parts = max(1, -(-size * 5 // (4 * max_bytes))) if size > max_bytes else 1
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "q"), F.lit(parts)).cast("int"))
+    if parts > 1:
+        terms = materialize(items.mapInArrow(_item_terms, "part int, term long, length long"), "benchmark-terms")
+        n, length = terms.where("term IS NULL").agg(F.count(F.lit(1)), F.avg("length")).first()
+        counts = materialize(terms.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "benchmark-counts")
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "q"), F.lit(parts)) == part).collect() if parts > 1 else items.collect()
-        yield [(r["item_id"], *(split_item(r["q"]) if r["a"] is None else (r["q"], r["a"]))) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"], r["q"]))]
+        known = None
+        if parts > 1:
+            own = terms.where((F.col("part") == part) & F.col("term").isNotNull()).select("term").distinct()
+            known = Statistics(n, length or 1.0, {r["term"]: r["df"] for r in own.join(counts, "term").collect()})
+        rows = sorted(items.where(F.col("part") == part).collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["q"]))
+        yield Index([(r["item_id"], *_pair(r["q"], r["a"])) for r in rows], known)
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", threshold: float = THRESHOLD, overlap: float = OVERLAP, max_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
@@ -211,12 +290,22 @@ def annotate(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", thres
     spark = docs.sparkSession
     out = docs.drop(column)
     kind = "array<struct<" + ",".join(x.replace(" ", ":") for x in LEAK.split(", ")) + ">>"
-    found = []
-    for items in _items(benchmark, max_bytes):
-        index = spark.sparkContext.broadcast(Index(items))
-        found.append(f"_tidelane_leaks_{len(found)}")
-        out = add_columns(out, _find(index, threshold, overlap, [c.lower() for c in out.columns].index("text")), parse(f"{found[-1]} {kind}"))
-    return out.withColumn(column, F.concat(*found)).drop(*found)
+    at = [c.lower() for c in out.columns].index("text")
+    found = [add_columns(out, _find(spark.sparkContext.broadcast(index), threshold, overlap, at), parse(f"`{column}` {kind}")) for index in _indexes(benchmark, max_bytes)]
+    if len(found) == 1:
+        return found[0]
+    # Each index has tasks of its own; a row meets what they found by its text.
+    text = F.col("text").cast("string")
+    some = [x.where(F.size(column) > 0).select(F.xxhash64(text).alias("_h1"), F.sha1(text.cast("binary")).alias("_h2"), F.col(column).alias("_own")) for x in found]
+    union = some[0]
+    for x in some[1:]:
+        union = union.union(x)
+    # A part's indexes give a text the same leaks in every row that has it.
+    union = union.distinct().groupBy("_h1", "_h2").agg(F.flatten(F.collect_list("_own")).alias("_own"))
+    met = out.withColumns({"_g1": F.xxhash64(text), "_g2": F.sha1(text.cast("binary"))})
+    joined = met.join(union, (F.col("_g1") == F.col("_h1")) & (F.col("_g2") == F.col("_h2")), "left")
+    order = F.array_sort(F.coalesce("_own", F.array().cast(kind)), lambda x, y: F.when(x["item_id"].isNull() & y["item_id"].isNull(), 0).when(x["item_id"].isNull(), 1).when(y["item_id"].isNull(), -1).when(x["item_id"] < y["item_id"], -1).when(x["item_id"] > y["item_id"], 1).otherwise(0))
+    return joined.withColumn(column, order).drop("_g1", "_g2", "_h1", "_h2", "_own")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -232,4 +321,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """leaks of all documents with the benchmark's items: doc_id and LEAK."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
