@@ -29,12 +29,35 @@ def test_cached_encoding_equals_the_library(text):
 
 def test_cache_overflow_keeps_results(monkeypatch):
     monkeypatch.setattr(tokens, "STRETCHES", 2)
-    monkeypatch.setattr(tokens, "PIECES", 1)
     enc = tokens.Encoder(tokens.default_tokenizer())
     for text in ("a b c d", "c d e f g", "a z"):
         assert enc.encode([text]) == [library([text])[0].tobytes()]
 
 
+def test_which_tokenizers_are_cached_by_stretches(tmp_path):
+    """A renamed copy is judged by its settings; one whose pattern looks around, or that doesn't lower-case, goes through the library whole."""
+    import json
+
+    with open(tokens.default_tokenizer(), encoding="utf-8") as f:
+        spec = json.loads(f.read())
+    texts = ["It's 12 O'CLOCK, c_d!\t\xe9\xc9", "a  b", None, "dup dup <|endoftext|>"]
+
+    def made(name, change):
+        own = json.loads(json.dumps(spec))
+        change(own)
+        path = tmp_path / name
+        path.write_text(json.dumps(own), encoding="utf-8")
+        enc = tokens.Encoder(str(path))
+        want = [np.array(x.ids, "<u4").tobytes() for x in enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert enc.encode(texts) == want
+        return enc.by_stretches
+
+    assert made("renamed.json", lambda s: None)
+    assert not made("word_bpe_49k.json", lambda s: s["normalizer"]["normalizers"].pop())
+    assert not made("other.json", lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"\s?\p{L}+|\S"))
+    assert not made("looks.json", lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"\p{L}+(?= )|\S"))
+
+
 def test_files_round_trip(spark, rows, tmp_path):
     path = f"file://{tmp_path}/files"
     manifest = token_files.write_token_files(spark.createDataFrame(rows, DOCS), path)

@@ -1,28 +1,26 @@
-"""Token ids by a public tokenizer file, with a bounded word cache.
+"""Token ids by a public tokenizer file, with a bounded cache of stretches.
 
-The tokenizer's normaliser and splitter act on each white-space-free stretch of a
-text alone, so ids of a text are the ids of its stretches in order. Python workers
-keep what they have seen of stretches and pieces, and only new pieces reach the BPE
-model of the tokenizers library. Texts outside a conservative set of characters, where lower
-case or splitting could depend on context, go through the library whole.
+Where a tokenizer's own settings say that its normaliser and splitter act on each white-space-free stretch of a text alone, ids of a text are
+the ids of its stretches in order: workers keep the ids of stretches that they have seen, and the tokenizers library encodes the new
+ones. Texts outside a conservative set of characters, and all texts of other tokenizers, go through the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
 from itertools import islice
 
 import numpy as np
+import regex
 
-#: Stretches and pieces that a task keeps; beyond these, new ones are encoded each time. Between tasks a worker keeps the first KEPT of each.
-STRETCHES, PIECES, KEPT = 500_000, 400_000, 60_000
+#: Stretches that a task keeps; when there would be more, it begins anew. Between tasks a worker keeps the first KEPT.
+STRETCHES, KEPT = 500_000, 60_000
 
-# How word_bpe_49k.json splits lower-case text, and the characters for which this holds in re as it does there.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Latin-1 without its odd white space, case and number forms: normal forms and lower case act on each of these characters alone.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
-SPECIAL = "<|"
+_PROBES = ["Two words", " it's  WE'LL\tnever\n\r'd ", "a1b22 c_d -- e.f!? \xe9t\xc9 \xa7\xb7x\xdf", "x" * 99 + " <|y|> \xc0\xff'"]
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -33,41 +31,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _byte_letters() -> list[str]:
-    """The letter of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the other bytes for U+0100 onwards."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
-
-
-class _Pieces(dict):
-    """Ids of split pieces, by the BPE model of the tokenizers library."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.letters = model, _byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-        ids = [x.id for x in self.model.tokenize(spelt)]
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < PIECES:
-            self[piece] = found
-        return found
-
-
-class _Stretches(dict):
-    """Ids of lower-case stretches without white space."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.pieces = _Pieces(model)
-
-    def __missing__(self, stretch: str) -> bytes:
-        found = b"".join(map(self.pieces.__getitem__, PIECE.findall(stretch)))
-        if len(self) < STRETCHES:
-            self[stretch] = found
-        return found
+def _splits_at_white_space(spec: dict) -> bool:
+    """Whether a tokenizer's settings lower-case and normalise character by character, and keep just matches of a pattern that no white space is in and that doesn't look around."""
+    normalizer, splitter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = normalizer.get("normalizers", [normalizer])
+    fine = all(x.get("type") in ("NFC", "Lowercase") or x.get("type") == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in steps)
+    cuts = splitter.get("pretokenizers", [splitter])
+    first, rest = cuts[0], cuts[1:]
+    fine &= any(x.get("type") == "Lowercase" for x in steps) and spec.get("post_processor") is None
+    fine &= first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and all(x.get("type") == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest)
+    if not fine or "Regex" not in first["pattern"] or "(?" in first["pattern"]["Regex"]:
+        return False
+    pattern = regex.compile(first["pattern"]["Regex"])
+    return not any(any(c.isspace() for c in m[0]) for text in [*_PROBES, "a \t\n\r b"] for m in pattern.finditer(text.lower()))
 
 
 class Encoder:
@@ -79,17 +55,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.by_words = os.path.basename(path) == "word_bpe_49k.json"
-        self.stretches = _Stretches(self.tokenizer.model)
+        self.stretches: dict[str, bytes] = {}
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.loads(f.read())
+        spec.pop("model")
+        self.by_stretches = _splits_at_white_space(spec) and [self._joined(x) for x in _PROBES] == self._whole(_PROBES)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, text: str) -> bytes:
+        return b"".join(self._whole(text.lower().split()))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [x or "" for x in texts]
+        split = [x.lower().split() if self.by_stretches and PLAIN.fullmatch(x) and not any(t in x for t in self.special) else None for x in texts]
+        new = list(set().union(*(x for x in split if x)).difference(self.stretches))
+        if len(self.stretches) + len(new) > STRETCHES:
+            self.stretches = {}
+            new = list(set().union(*(x for x in split if x)))
+        self.stretches.update(zip(new, self._whole(new), strict=True))
         get = self.stretches.__getitem__
-        out = [b"".join(map(get, x.lower().split())) if self.by_words and SPECIAL not in x and PLAIN.fullmatch(x) else None for x in texts]
+        out = [None if x is None else b"".join(map(get, x)) for x in split]
         rest = [i for i, x in enumerate(out) if x is None]
-        if rest:
-            for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = np.array(x.ids, "<u4").tobytes()
+        for i, x in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
+            out[i] = x
         return out
 
 
@@ -106,11 +97,8 @@ def trimmed(batches):
         yield from batches
     finally:
         for enc in _ENCODERS.values():
-            for held in (enc.stretches, enc.stretches.pieces):
-                if len(held) > KEPT:
-                    first = list(islice(held.items(), KEPT))
-                    held.clear()
-                    held.update(first)
+            if len(enc.stretches) > KEPT:
+                enc.stretches = dict(islice(enc.stretches.items(), KEPT))
 
 
 def forget() -> None:
