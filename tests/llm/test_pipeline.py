@@ -55,3 +55,11 @@ def test_empty_tables_pass_through(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_words(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen and more"
+    rows = [(2, a, {"k": 1}), (5, a, None), (5, b, {"k": 2}), (5, b, {"k": 2}), (5, None, None), (5, " ", None), (7, b + " sixteen", None), (None, a, None), (None, a, None), (9, "", {"k": 3})]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), m) for d, t, m in rows], "doc_id long, text string, lang string, source string, n_chars long, kinds map<string,int>")
+    got = sorted(((r["doc_id"] or -1, r["text"] or "-") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    assert got == sorted([(2, a), (5, b), (5, "-"), (5, " "), (-1, a), (-1, a), (9, "-")])
