@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelane.llm import decontam, langid, ngram_join, packing, unit_dedup
+from tidelane.llm.annotate import add_columns, parse
 from tidelane.storage import materialize
 
 _KEY = "_tidelane_key"
@@ -51,13 +53,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_shielded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked ones: the smallest doc_id, once. Wordless texts and null doc_ids are in no group."""
-    found = materialize(ngram_join.jaccard_join(docs), "pipeline-near")
-    others = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias(_KEY)).distinct(), "pipeline-others")
-    again = materialize(found.where("component_id = doc_id").groupBy(F.col("doc_id").alias(_KEY)).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(_KEY), "pipeline-again")
+    """Keeps one document of each group of linked ones: that of the smallest doc_id, once. Wordless texts and null doc_ids are in no group.
+
+    Rows that repeat a doc_id are judged each by its words; of those with the same words, the first as JSON stays.
+    """
+    found = materialize(ngram_join.jaccard_join(docs, digests=True), "pipeline-near")
+    by_id = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(_KEY)).agg(F.count(F.lit(1)).alias("_rows"), F.bool_or("first").alias("_some"))
+    by_id = materialize(by_id.where("_rows > 1 OR NOT _some"), "pipeline-near-ids")
     same = _key() == F.col(_KEY)
-    kept = docs.join(others, same, "left_anti")
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates())
+    again = by_id.where("_some").select(_KEY)
+    kept = docs.join(by_id.select(_KEY), same, "left_anti")
+    repeated = add_columns(docs.join(again, same, "left_semi"), _digests(docs.columns.index("text")), parse("_c1 long, _c2 long"))
+    firsts = found.where("first").select(F.col("doc_id").alias(_KEY), F.col("c1").alias("_d1"), F.col("c2").alias("_d2")).distinct()
+    chosen = repeated.join(firsts, same & F.col("_c1").eqNullSafe(F.col("_d1")) & F.col("_c2").eqNullSafe(F.col("_d2")), "left_semi")
+    order = F.row_number().over(Window.partitionBy(_key(), "_c1", "_c2").orderBy(F.to_json(F.struct(*_columns(docs)))))
+    once = chosen.where("_c1 IS NOT NULL").withColumn("_n", order).where("_n = 1")
+    return kept.unionByName(once.select(*_columns(docs))).unionByName(chosen.where("_c1 IS NULL").select(*_columns(docs)))
+
+
+def _digests(at: int):
+    return lambda batch: ngram_join.set_digests(batch.column(at).cast(pa.string()))
 
 
 @_shielded
