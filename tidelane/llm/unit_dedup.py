@@ -1,7 +1,8 @@
 """Substring dedup by hashing units: lines, paragraphs, sentences, phrases or passages.
 
 Units are normalised (A-Z as a-z, white space runs as one), and each is keyed by a digest of itself and as many units before it as are
-needed to hold ``min_words`` words, so that short units count only within a repeated passage. Of equal keys, the one that is ranked
+needed to hold ``min_words`` words (by default, one for lines and paragraphs, so that each counts by itself), so that short parts of a line
+count only within a repeated passage. Of equal keys, the one that is ranked
 first - by doc_id, then position - stays; for the others, the units under the key are removed. So every removed unit has an equal one
 that is ranked earlier, and what remains keeps its place in the original text as spans.
 
@@ -31,7 +32,8 @@ from tidelane.llm import textops
 from tidelane.llm.annotate import add_columns, parse
 from tidelane.storage import materialize, shuffle_partitions
 
-MIN_WORDS = 8
+#: Words that a key holds at least, by kind of unit.
+MIN_WORDS = {"line": 1, "paragraph": 1, "sentence": 8, "phrase": 8, "passage": 20}
 _FLUSH = 1 << 19
 _RANGES = 8
 _STRONG = np.zeros(256, bool)
@@ -307,11 +309,11 @@ def _cut(kind: str, min_words: int, at_text: int, at_marks: int):
 SPANS = "array<struct<start:long,end:long>>"
 
 
-def cut_units(docs: DataFrame, kind: str = PASSAGE, min_words: int = MIN_WORDS) -> DataFrame:
+def cut_units(docs: DataFrame, kind: str = PASSAGE, min_words: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text and any others) with _clean, _units, _gone, _removed and _kept appended (replaced, if there): see dedup_units."""
     if kind not in (*KINDS, PASSAGE):
         raise ValueError(f"kind is one of {(*KINDS, PASSAGE)}")
-    parts = shuffle_partitions(docs.sparkSession)
+    parts, min_words = shuffle_partitions(docs.sparkSession), MIN_WORDS[kind] if min_words is None else min_words
     docs = docs.drop("_clean", "_units", "_gone", "_removed", "_kept", "_marks", "_marked_id", "_marked_digest")
     digest = F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 33).cast("int")  # tells texts of one doc_id apart
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest"))
@@ -327,7 +329,7 @@ def cut_units(docs: DataFrame, kind: str = PASSAGE, min_words: int = MIN_WORDS)
     return add_columns(joined, _cut(kind, min_words, names.index("text"), names.index("_marks")), added).drop("_marks")
 
 
-def dedup_units(docs: DataFrame, kind: str = PASSAGE, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_units(docs: DataFrame, kind: str = PASSAGE, min_words: int | None = None) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, text without repeated units, n_units, n_removed, removed and kept spans.
 
     Spans are [start, end) in characters of the original text; a unit reaches to the start of the next. Null texts stay null and have no
