@@ -7,8 +7,9 @@ items, and each term keeps its greatest weight, and its greatest in each block o
 
 A passage's terms are cursors in their postings (block-max WAND). In the order of the items they stand at, the pivot is the first item that
 their greatest weights together could bring to the threshold; if their greatest weights in the pivot's block could not, all go past that
-block; else the pivot is scored. So all items at or above the threshold are retrieved, and the others are known not to reach it. Windows
-in which the greatest weights of all words together stay below it have no pivot, which one running sum tells for all windows at once.
+block; else the pivot is scored. So all items at or above the threshold are retrieved, and the others are known not to reach it. Most windows have
+no pivot, or none whose block could do: running sums, and sums over ``GROUPS`` groups of blocks, tell that for many windows at once, and cursors
+move in the others only.
 
 What is retrieved is verified by the shares of the question's and of the
 answer's word shingles that stand in the passage; for those of fewer than ``SHORT`` words, where one changed word spoils too many
@@ -35,7 +36,7 @@ from tidelane.storage import materialize
 THRESHOLD, OVERLAP, WIDTH = 0.6, 0.6, 5
 #: With so many words, one changed word leaves OVERLAP of the shingles.
 SHORT = 17
-BLOCK_ITEMS = 8
+BLOCK_ITEMS, GROUPS = 8, 256
 K1, B = 1.2, 0.75
 MAX_INDEX_BYTES = 64 << 20
 _ANSWER = re.compile(r"(?<=[.!?])\s+(?=\S)|\n+(?=\s*\S)")
@@ -83,6 +84,11 @@ def _in_order(part: np.ndarray, passage: np.ndarray) -> float:
     return best / n
 
 
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The positions of ranges of ``n`` from ``begin``, one range after another."""
+    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
 @dataclass
 class Statistics:
     """Of all items with words: their number, mean length, and the number of items that hold a term (None: counted in the items given)."""
@@ -107,6 +113,27 @@ class Postings:
         self.block_key, self.block_max = block_key[head], (np.maximum.reduceat(self.weight, head) if len(head) else self.weight)
         self.greatest = np.zeros(terms)
         np.maximum.at(self.greatest, self.term, self.weight)
+        wide = BLOCK_ITEMS * max(1, -(-self.blocks // GROUPS))
+        group_key = self.term * GROUPS + self.item // wide
+        head = np.flatnonzero(np.diff(group_key, prepend=-1))
+        self.group, self.group_max = group_key[head] % GROUPS, (np.maximum.reduceat(self.weight, head) if len(head) else self.weight)
+        self.group_at = np.searchsorted(group_key[head] // GROUPS, np.arange(terms + 1))
+
+    def hopeful(self, term: np.ndarray, known: np.ndarray, begin: np.ndarray, end: np.ndarray, slack: float, step: int = 512):
+        """Which windows [begin, end) of words have a group of items whose greatest weights for their distinct terms reach ``slack`` together."""
+        total = len(self.greatest)
+        for a in range(0, len(begin), step):
+            b, e = begin[a : a + step], end[a : a + step]
+            at = _spread(b, e - b)
+            window = np.repeat(np.arange(len(b)), e - b)[known[at]]
+            key = np.unique(window * total + term[at[known[at]]])
+            window, own = key // total, key % total
+            some = (np.bincount(window, self.greatest[own], len(b)) >= slack)[window]
+            window, own = window[some], own[some]
+            n = self.group_at[own + 1] - self.group_at[own]
+            at = _spread(self.group_at[own], n)
+            bound = np.bincount(np.repeat(window, n) * GROUPS + self.group[at], self.group_max[at], len(b) * GROUPS).reshape(-1, GROUPS)
+            yield from (np.flatnonzero(bound.max(axis=1) >= slack) + a).tolist()
 
     def retrieve(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All (item of the index, score) at or above the threshold for a passage of these distinct terms."""
@@ -202,7 +229,10 @@ class Index:
                 k = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
                 begin = first[row] + k * own.longest
                 end = np.minimum(begin + 2 * own.longest, first[row + 1])
-                for w in np.flatnonzero(sums[end] - sums[begin] >= threshold - 1e-9).tolist():
+                slack = threshold - 1e-9
+                some = np.flatnonzero(sums[end] - sums[begin] >= slack)
+                row, begin, end = row[some], begin[some], end[some]
+                for w in own.hopeful(term, known, begin, end, slack):
                     i, j = int(begin[w]), int(end[w])
                     for item, score in own.retrieve(np.unique(term[i:j][known[i:j]]), threshold):
                         self._verify(found.setdefault(int(row[w]), {}), item, score, hashes[i:j], overlap, (int(starts[i]), int(ends[j - 1])))
