@@ -67,6 +67,7 @@ CONTEXTS = {
 EMPHASIS = ["important", "remember", "key", "critical", "amazing"]
 VIRAL_TAGS = ["fyp", "viral", "trending", "foryou", "explore", "reels"]
 PATTERN_SCORES = {"peak": 0.9, "building": 0.8, "volatile": 0.7, "drop": 0.6, "plateau": 0.4, "low": 0.2}
+LEGACY_KEYWORDS = ["important", "key", "crucial", "amazing", "incredible", "breakthrough", "discovery", "research", "study", "significant", "remarkable", "fascinating", "surprising", "shocking", "revolutionary", "innovative", "groundbreaking", "success", "achievement", "victory", "champion", "excellent", "outstanding", "expert", "professor", "doctor", "scientist", "leader", "authority"]
 SIGNIFICANT_WORDS = ["breakthrough", "discovery", "amazing", "incredible", "important", "crucial"]
 
 TOPICS = {
@@ -82,9 +83,9 @@ TOPICS = {
 ROLES = {
     "expert": r"\b(research shows|studies indicate|data suggests|evidence points|scientifically)\b",
     "host": r"\b(welcome|today we|let me ask|that\'s interesting|tell us about)\b",
-    "guest": r"\b(thank you for having me|great question|in my experience|what i\'ve found)\b",
+    "guest": r"\b(thank you for having me|great question|in my experience|what I\'ve found)\b",
     "interviewer": r"\b(how do you|what about|can you explain|would you say)\b",
-    "storyteller": r"\b(once upon|happened to me|i remember when|let me tell you)\b",
+    "storyteller": r"\b(once upon|happened to me|I remember when|let me tell you)\b",
     "educator": r"\b(the key is|important to understand|fundamental principle|basic concept)\b",
     "motivator": r"\b(you can do|believe in yourself|never give up|achieve your goals)\b",
 }
@@ -96,7 +97,7 @@ HOOKS = [
     r"\b(most people don't|secret to|truth about|hidden)\b",
     r"\b(breakthrough|revolutionary|game.changer|unprecedented)\b",
     r"\b(it all started|began when|first time|years ago)\b",
-    r"\b(little did i know|never imagined|suddenly|one day)\b",
+    r"\b(little did I know|never imagined|suddenly|one day)\b",
     r"\b(let me tell you|here's what happened|story begins)\b",
     r"\b(right now|happening today|urgent|critical moment)\b",
     r"\b(time is running|can't wait|immediate|this instant)\b",

@@ -126,12 +126,12 @@ def pressure(percent: Column) -> Column:
 
 def emotions(df: DataFrame, text: str) -> DataFrame:
     """Adds an intensity for each emotion, primary_emotion, emotional_intensity, valence, arousal and engagement."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    low = F.col("_low")
     made = {}
     for name, (words, pattern, factors) in lex.EMOTIONS.items():
-        found = sum((occurrences(low, w) * (factors.get(w, 1.0) * 0.3) for w in words), F.lit(0.0))
+        found = sum((F.when(low.contains(w), occurrences(low, w) * (factors.get(w, 1.0) * 0.3)).otherwise(0.0) for w in words), F.lit(0.0))
         made[f"e_{name}"] = F.least(F.lit(1.0), found + F.regexp_count(low, F.lit("(?i)" + pattern)) * 0.5)
-    out = df.withColumns(made)
+    out = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumns(made).drop("_low")
     names = list(lex.EMOTIONS)
     most = F.greatest(*[F.col(f"e_{n}") for n in names])
     first = F.coalesce(*[F.when(F.col(f"e_{n}") == F.col("emotional_intensity"), n) for n in names])
@@ -158,7 +158,7 @@ def engagement_type(emotion: Column, pattern: Column) -> Column:
 
 
 def _hits(text: Column, patterns: list[str]) -> Column:
-    return sum((F.regexp_count(F.lower(text), F.lit(p)) for p in patterns), F.lit(0))
+    return sum((F.regexp_count(F.lower(text), F.lit("(?i)" + p)) for p in patterns), F.lit(0))
 
 
 def hook_score(text: Column, start_ms: Column, end_ms: Column, position: Column) -> Column:

@@ -24,15 +24,19 @@ def word_count(text) -> Column:
 
 
 def strip_punctuation(word: Column) -> Column:
-    return F.regexp_replace(F.lower(word), r"^[.,!?;:]+|[.,!?;:]+$", "")
+    return F.btrim(F.lower(word), F.lit(".,!?;:"))
 
 
 def drop_repeats(text) -> Column:
     """A text without words that repeat the word before, but for case and outer punctuation; words of punctuation only stay. Texts of one word or none are left as they are."""
-    w = split_words(text)
-    pairs = F.zip_with(w, F.concat(F.array(F.lit(None).cast("string")), w), lambda x, before: F.struct(x.alias("w"), strip_punctuation(x).alias("k"), strip_punctuation(before).alias("b")))
-    kept = F.filter(pairs, lambda s: s["w"].isNotNull() & ~F.coalesce((s["k"] == s["b"]) & (s["k"] != ""), F.lit(False)))
-    return F.when(F.size(w) <= 1, F.col(text) if isinstance(text, str) else text).otherwise(F.array_join(F.transform(kept, lambda s: s["w"]), " "))
+    column = F.col(text) if isinstance(text, str) else text
+    keyed = F.transform(split_words(text), lambda x: F.struct(x.alias("w"), strip_punctuation(x).alias("k")))
+
+    def joined(words: Column) -> Column:
+        pairs = F.zip_with(words, F.concat(F.array(F.lit(None).cast("struct<w:string,k:string>")), words), lambda x, before: F.when(~F.coalesce((x["k"] == before["k"]) & (x["k"] != ""), F.lit(False)), x["w"]))
+        return F.when(F.size(words) <= 1, column).otherwise(F.array_join(F.filter(pairs, lambda x: x.isNotNull()), " "))
+
+    return F.transform(F.array(keyed), joined)[0]  # a list of one binds the keyed words, which are made once
 
 
 def title(text) -> Column:
@@ -83,31 +87,44 @@ def keywords(df: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "rank", "word", "n")
 
 
+def _java(pattern: str) -> str:
+    """A fixed pattern with Java's Unicode classes, as Python has them for text."""
+    return "(?U)" + pattern.replace(r"\s", r"\s\x1c-\x1f")
+
+
+_FIRST = next(i for i, (_, g) in enumerate(lex.SECRETS) if g)
+_LAST = max(i for i, (_, g) in enumerate(lex.SECRETS) if g) + 1
+_GROUPED = [(re.compile(p), g) for p, g in lex.SECRETS[_FIRST:_LAST]]
+
+
 def mask(text) -> Column:
     """Secrets and personal data masked by the fixed patterns in their order.
 
-    A group's text is masked everywhere inside its match, so matches are rewritten one by one, batch-wise in Python; texts that no pattern
-    could touch stay in the JVM.
+    Patterns whose whole match is masked are replaced in the JVM. For the others, a group's text is masked everywhere inside its match; these go
+    batch-wise to Python, as nulls but for the texts that have a word of theirs.
     """
     column = F.col(text) if isinstance(text, str) else text
-    maybe = column.rlike(r"(?i)\d{3}|@|://|sk-|akia|bearer|api|passw|pwd|token|secret")
-    return F.when(maybe, _mask(column)).otherwise(column)
-
-
-_COMPILED = [(re.compile(p), g) for p, g in lex.SECRETS]
+    for pattern, _ in lex.SECRETS[:_FIRST]:
+        column = F.regexp_replace(column, _java(pattern), lex.MASK.replace("$", r"\$"))
+    maybe = column.rlike(r"(?iU)(api|passw|pwd|token|secret)[^:=]*[:=]|bearer[\s\x1c-\x1f]|://[^@]+@")
+    column = F.coalesce(_mask(F.when(maybe, column)), column)
+    for pattern, _ in lex.SECRETS[_LAST:]:
+        column = F.regexp_replace(column, _java(pattern), lex.MASK.replace("$", r"\$"))
+    return column
 
 
-def mask_text(text: str | None) -> str | None:
-    if text is None:
-        return None
-    for pattern, group in _COMPILED:
+def mask_groups(text: str) -> str:
+    for pattern, group in _GROUPED:
         text = pattern.sub((lambda m, g=group: m[0].replace(m[g], lex.MASK)) if group else lex.MASK, text)
     return text
 
 
 @F.pandas_udf(T.StringType())
 def _mask(texts: pd.Series) -> pd.Series:
-    return texts.map(mask_text)
+    some = texts.notna()
+    out = texts.copy()
+    out[some] = [mask_groups(x) for x in texts[some]]
+    return out
 
 
 def variant_bucket(job: Column, experiment: Column | str) -> Column:

@@ -6,14 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def index_percentile(value: str, p: float) -> Column:
-    """The element at position int(n p) of the sorted values: an aggregate, not interpolated."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.get(ordered, F.least(F.floor(F.size(ordered) * F.lit(p)).cast("int"), F.size(ordered) - 1))
-
-
 def index_percentile_of(df: DataFrame, key: list[str], value: str, p: float, name: str) -> DataFrame:
-    """index_percentile for groups of any size: counts by value and a running sum, no list of the group."""
+    """The element at position int(n p) of the sorted values, not interpolated: counts by value and a running sum, no list of the group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*key)
     run = counts.withColumn("_to", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
@@ -74,7 +68,7 @@ def spread(df: DataFrame, key: list[str], value: str, limit: float = 1.5) -> Dat
 
 
 def json_rows(df: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """All rows of a key as a JSON array, in order."""
+    """All rows of a key as a JSON array, in order: one value, so a key's rows have to fit one row."""
     rows = F.sort_array(F.collect_list(F.struct(*order, *[c for c in columns if c not in order])))
     kept = F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in columns]))
     return df.groupBy(*key).agg(F.to_json(kept).alias("rows"))

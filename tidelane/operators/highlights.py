@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.functions import lexicons as lex
 from tidelane.functions import scoring
-from tidelane.functions.text import drop_repeats, jaccard, title
+from tidelane.functions.text import count_present, drop_repeats, title, word_set
 from tidelane.operators.fold import Row, ordered_fold
 from tidelane.operators.ranking import strategy_order, take_then_time
 
@@ -39,6 +43,25 @@ def segment_words(words: DataFrame, key: list[str], tie: str = "pos", least: flo
     return ordered_fold(words.select(*key, tie, "word", "start", "end"), key, ["start", tie], step, "start double, end double, text string, complete boolean, words int")
 
 
+def legacy_segments(words: DataFrame, key: list[str], energy: str, total: str, tie: str = "pos") -> DataFrame:
+    """Segments of five to ten seconds, scored: two for a sentence's end inside, three for a keyword, and twice the energy at its middle."""
+    kept = words.select(*key, tie, "word", "start", "end", energy, total)
+
+    def step(rows: Iterator[Row]):
+        held: list[Row] = []
+        for r in rows:
+            held.append(r)
+            seconds = r["end"] - held[0]["start"]
+            if seconds >= 10.0 or (seconds >= 5.0 and r["word"].endswith(_CLOSE)):
+                yield held[0]["start"], r["end"], " ".join(x["word"] for x in held), any(x["word"].endswith(_CLOSE) for x in held), held[0][energy], held[0][total]
+                held = []
+
+    closed = ordered_fold(kept, key, ["start", tie], step, "start double, end double, text string, complete boolean, _energy array<double>, _total double")
+    level = scoring.energy_at(F.col("_energy"), (F.col("start") + F.col("end")) / 2, F.col("_total"))
+    score = F.when(F.col("complete"), 2.0).otherwise(0.0) + F.least(count_present(F.col("text"), lex.LEGACY_KEYWORDS) * 3.0, F.lit(3.0)) + level * 2.0
+    return closed.withColumn("score", score).drop("_energy", "_total", "complete")
+
+
 def group_words(words: DataFrame, key: list[str], tie: str = "pos", size: int = 5) -> DataFrame:
     """Transcript segments of up to ``size`` words that close at a sentence's end; times in milliseconds, mean confidence."""
 
@@ -118,44 +141,69 @@ def merge_jitter(words: DataFrame, key: list[str], tie: str = "pos", jitter: flo
 def merge_streams(left: DataFrame, right: DataFrame, key: list[str], tie: str = "pos") -> DataFrame:
     """Two transcripts of the same words: where the heads overlap the surer one is taken (the left on ties) and both go on; else the earlier one.
 
-    Then words that begin before 95 per cent of the last end go, and repeats are merged into the word before them.
+    Then words that begin before 95 per cent of the last end go, and repeats are merged into the word before them. If a key has one side
+    only, its words stay as they are. Both sides come by start, so a head that ends before the next word begins can be taken; of the words taken,
+    those are held that a later one could still go before. Memory is that of the words that overlap.
     """
-    both = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
-
-    def step(rows: Iterator[Row]):
-        sides: tuple[list, list] = ([], [])
-        for r in rows:
-            sides[r["_side"]].append(r)
-        a, b = sides
-        merged, i, j = [], 0, 0
-        while i < len(a) and j < len(b):
-            x, y = a[i], b[j]
-            if x["end"] <= y["start"]:
-                merged.append(x)
-                i += 1
+    both = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1))).select(*key, tie, "word", "start", "end", "confidence", "_side")
+    whole = Window.partitionBy(*key)
+    both = both.withColumn("_both", F.min("_side").over(whole) < F.max("_side").over(whole))
+
+    def taken(rows: Iterator[Row]):
+        """Words in the order in which they are taken, each with the least start that can still come."""
+        queues: tuple[deque, deque] = (deque(), deque())
+        now = next(rows, None)
+        while True:
+            x, y = (q[0] if q else None for q in queues)
+            one = y if x is None else x if y is None else None
+            if x is None and y is None and now is None:
+                return
+            if x is None and y is None or one is not None and now is not None and one["end"] > now["start"]:
+                queues[now["_side"]].append(now)  # what comes may overlap the only head
+                now = next(rows, None)
+                continue
+            if one is not None:
+                word = queues[one["_side"]].popleft()
+            elif x["end"] <= y["start"]:
+                word = queues[0].popleft()
             elif y["end"] <= x["start"]:
-                merged.append(y)
-                j += 1
+                word = queues[1].popleft()
             else:
-                merged.append(x if x["confidence"] >= y["confidence"] else y)
-                i, j = i + 1, j + 1
-        merged += a[i:] + b[j:]
-        if a and b:
-            merged.sort(key=lambda r: r["start"])
-            reached, kept = -1.0, []
-            for r in merged:
-                if r["start"] >= reached * 0.95:
-                    kept.append(r)
-                    reached = r["end"]
-            merged = []
-            for r in kept:
-                if merged and r["word"].lower().strip() == merged[-1]["word"].lower().strip():
-                    merged[-1] = merged[-1] | {"end": r["end"], "confidence": max(r["confidence"], merged[-1]["confidence"])}
-                else:
-                    merged.append(r)
-        yield from ((r["start"], r["end"], r["word"], r["confidence"]) for r in merged)
-
-    return ordered_fold(both.select(*key, tie, "word", "start", "end", "confidence", "_side"), key, ["start", tie], step, "start double, end double, word string, confidence double")
+                queues[0].popleft(), queues[1].popleft()
+                word = x if x["confidence"] >= y["confidence"] else y
+            heads = [q[0]["start"] for q in queues if q] + ([now["start"]] if now is not None else [])
+            yield word, min(heads, default=None)
+
+    def in_order(rows: Iterator[Row]):
+        waiting: list = []
+        for n, (word, least) in enumerate(taken(rows)):
+            heapq.heappush(waiting, (word["start"], n, word))
+            while waiting and (least is None or waiting[0][0] <= least):
+                yield heapq.heappop(waiting)[2]
+        while waiting:
+            yield heapq.heappop(waiting)[2]
+
+    def step(rows: Iterator[Row]):
+        first = next(rows, None)
+        rows = chain([first], rows) if first is not None else rows
+        if first is None or not first["_both"]:
+            yield from ((r["start"], r["end"], r["word"], r["confidence"]) for r in rows)
+            return
+        reached, now = -1.0, None
+        for r in in_order(iter(rows)):
+            if r["start"] < reached * 0.95:
+                continue
+            reached = r["end"]
+            if now is not None and r["word"].lower().strip() == now["word"].lower().strip():
+                now = now | {"end": r["end"], "confidence": max(r["confidence"], now["confidence"])}
+                continue
+            if now is not None:
+                yield now["start"], now["end"], now["word"], now["confidence"]
+            now = r
+        if now is not None:
+            yield now["start"], now["end"], now["word"], now["confidence"]
+
+    return ordered_fold(both, key, ["start", tie, "_side"], step, "start double, end double, word string, confidence double")
 
 
 def absorb_short_turns(turns: DataFrame, key: list[str], least: float = 2.0, gap: float = 0.5) -> DataFrame:
@@ -229,12 +277,13 @@ def merge_payload(df: DataFrame, key: list[str], gap: int = 1000, tie: str = "id
 
 
 def uniqueness(df: DataFrame, key: list[str], text: str = "text", tie: str = "id") -> DataFrame:
-    """1 less 0.3 for each other row's word overlap, 0.1 at least. Keys are one asset's highlights each, so pairs are few."""
-    a = df.select(*key, F.col(tie).alias("_a"), F.col(text).alias("_x"))
-    b = df.select(*key, F.col(tie).alias("_b"), F.col(text).alias("_y"))
-    pairs = a.join(b, key).where("_a <> _b")
-    worst = pairs.groupBy(*key, F.col("_a").alias(tie)).agg(F.sum(jaccard("_x", "_y")).alias("_s"))
-    return df.join(worst, [*key, tie], "left").withColumn("uniqueness", F.greatest(F.lit(0.1), 1.0 - 0.3 * F.coalesce("_s", F.lit(0.0)))).drop("_s")
+    """1 less 0.3 for each other row's word overlap, 0.1 at least. Rows meet in the words that they share, so a large key is many groups."""
+    sets = df.select(*key, F.col(tie).alias("_a"), word_set(text).alias("_w"))
+    words = sets.select(*key, "_a", F.size("_w").alias("_n"), F.explode("_w").alias("_w"))
+    other = words.withColumnsRenamed({"_a": "_b", "_n": "_m"})
+    shared = words.join(other, [*key, "_w"]).where("_a <> _b").groupBy(*key, "_a", "_b").agg(F.count(F.lit(1)).alias("_s"), F.first("_n").alias("_n"), F.first("_m").alias("_m"))
+    total = shared.groupBy(*key, F.col("_a").alias(tie)).agg(F.sum(F.col("_s") / (F.col("_n") + F.col("_m") - F.col("_s"))).alias("_s"))
+    return df.join(total, [*key, tie], "left").withColumn("uniqueness", F.greatest(F.lit(0.1), 1.0 - 0.3 * F.coalesce("_s", F.lit(0.0)))).drop("_s")
 
 
 def close_small_gaps(df: DataFrame, key: list[str], place: str = "place", gap: int = 2000, least: float = 5.0) -> DataFrame:

@@ -108,21 +108,27 @@ def plan_json(df: DataFrame, key: list[str], score: str = "score", start: str =
 
 
 def interleave(df: DataFrame, key: list[str], tie: str = "id") -> DataFrame:
-    """Beats in story order with up to two of the other rows that begin between one's end and the next, and up to two after the last. Without beats, by time."""
+    """Beats in story order with up to two of the other rows that begin between one's end and the next, and up to two after the last. Without beats, by time.
 
-    def step(rows: Iterator[Row]):
-        rows = list(rows)  # a clip list: bounded by what one asset holds
-        order = {b: i for i, b in enumerate(lex.BEAT_ORDER)}
-        beats = sorted((r for r in rows if r["is_beat"]), key=lambda r: order.get(r["beat_type"], len(order)))
-        others = [r for r in rows if not r["is_beat"]]
-        out, reached = [], 0
-        for beat in beats:
-            out += list(islice((r for r in others if reached <= r["start_ms"] < beat["start_ms"]), 2)) + [beat]
-            reached = beat["end_ms"]
-        out += list(islice((r for r in others if r["start_ms"] >= reached), 2)) if beats else others
-        yield from ((i + 1, r[tie]) for i, r in enumerate(out))
-
-    return ordered_fold(df.select(*key, tie, "start_ms", "end_ms", "beat_type", "is_beat"), key, ["start_ms", tie], step, f"place int, {tie} {dict(df.dtypes)[tie]}")
+    A gap's others are found by number: a running count tells how many begin before it, and the next two are joined.
+    """
+    order = F.array_position(F.array(*map(F.lit, lex.BEAT_ORDER)), F.coalesce("beat_type", F.lit("")))
+    w = Window.partitionBy(*key)
+    rows = df.withColumn("_t", F.row_number().over(w.orderBy("start_ms", tie)))
+    beats = rows.where("is_beat").withColumn("_b", F.row_number().over(w.orderBy(F.when(order == 0, len(lex.BEAT_ORDER) + 1).otherwise(order), "_t")))
+    others = rows.where("NOT is_beat").select(*key, F.col(tie).alias("_id"), F.col("start_ms").alias("_at"), "_t", F.row_number().over(w.orderBy("_t")).alias("_k"))
+    none = F.lit(None).cast("long")
+    gaps = beats.select(*key, "_b", F.coalesce(F.lag("end_ms").over(w.orderBy("_b")), F.lit(0)).cast("long").alias("_from"), F.col("start_ms").cast("long").alias("_to"))
+    ends = beats.groupBy(*key).agg((F.max("_b") + 1).alias("_b"), F.max_by("end_ms", "_b").cast("long").alias("_from")).select(*key, "_b", "_from", none.alias("_to"))
+    asked = gaps.where("_from < _to").unionByName(ends)
+    line = asked.select("*", F.lit(0).alias("_other")).unionByName(others.select(*key, F.lit(None).cast("int").alias("_b"), F.col("_at").cast("long").alias("_from"), none.alias("_to"), F.lit(1).alias("_other")))
+    counted = line.withColumn("_k", F.sum("_other").over(w.orderBy("_from", "_other").rowsBetween(Window.unboundedPreceding, 0))).where("_other = 0")
+    pairs = counted.select(*key, "_b", "_to", F.explode(F.array(F.col("_k") + 1, F.col("_k") + 2)).alias("_k")).join(others, [*key, "_k"]).where("_to IS NULL OR _at < _to")
+    made = beats.select(*key, F.col("_b").alias("_p"), F.lit(1).alias("_q"), "_t", F.col(tie))
+    made = made.unionByName(pairs.select(*key, F.col("_b").alias("_p"), F.lit(0).alias("_q"), "_t", F.col("_id").alias(tie)))
+    alone = others.join(ends, key, "left_anti")
+    made = made.unionByName(alone.select(*key, F.lit(0).alias("_p"), F.lit(0).alias("_q"), "_t", F.col("_id").alias(tie)))
+    return made.select(*key, F.row_number().over(w.orderBy("_p", "_q", "_t")).alias("place"), tie)
 
 
 def _resampled(values: list[float], n: int) -> list[float]:
@@ -135,23 +141,38 @@ def _resampled(values: list[float], n: int) -> list[float]:
 
 
 def match_arc(df: DataFrame, key: list[str], value: str, order: list[str], tie: str = "id", arc: str = "cinderella", exhaustive: int = 8) -> DataFrame:
-    """Places rows along a target arc: the permutation of least squared distance for few rows, else the closest row for each point in turn and then the rest."""
-    target = lex.ARCS.get(arc, lex.ARCS["cinderella"])
+    """Places rows along a target arc: the permutation of least squared distance for few rows, else the closest row for each point in turn and then the rest.
 
-    def step(rows: Iterator[Row]):
-        rows = list(rows)
-        values = [r[value] for r in rows]
-        if len(rows) <= exhaustive:
-            best = min(permutations(range(len(rows))), key=lambda p: sum((a - b) ** 2 for a, b in zip(_resampled([values[i] for i in p], len(target)), target, strict=True)))
-        else:
-            left, best = list(range(len(rows))), []
-            for point in target:
-                best.append(min(left, key=lambda i: abs(values[i] - point)))
-                left.remove(best[-1])
-            best += left
-        yield from ((n + 1, rows[i][tie]) for n, i in enumerate(best))
-
-    return ordered_fold(df.select(*key, tie, value, *[o for o in order if o not in (tie, value)]), key, order, step, f"place int, {tie} {dict(df.dtypes)[tie]}")
+    Of many rows, a point takes one of its nearest as many as there are points, so just these reach the fold.
+    """
+    target = lex.ARCS.get(arc, lex.ARCS["cinderella"])
+    w = Window.partitionBy(*key)
+    rows = df.withColumns({"_n": F.count(F.lit(1)).over(w), "_o": F.row_number().over(w.orderBy(*order))}).select(*key, tie, F.col(value).cast("double").alias("_v"), "_n", "_o")
+    few = rows.where(F.col("_n") <= exhaustive)
+    point = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(target)]))
+    near = rows.where(F.col("_n") > exhaustive).select("*", point.alias("_p")).select("*", "_p.i", F.abs(F.col("_v") - F.col("_p.t")).alias("_d"))
+    near = top_per_key(near, [*key, "i"], [F.col("_d"), F.col("_o")], len(target))
+
+    def best(own: Iterator[Row]):
+        own = list(own)  # as many as ``exhaustive``
+        values = [r["_v"] for r in own]
+        places = min(permutations(range(len(own))), key=lambda p: sum((a - b) ** 2 for a, b in zip(_resampled([values[i] for i in p], len(target)), target, strict=True)))
+        yield from ((n + 1, own[i][tie]) for n, i in enumerate(places))
+
+    def in_turn(own: Iterator[Row]):
+        used, at = set(), 0
+        for r in own:  # by point, nearest first
+            if r["i"] == at and r["_o"] not in used:
+                used.add(r["_o"])
+                at += 1
+                yield r["i"] + 1, r["_o"]
+
+    schema = f"place int, {tie} {dict(df.dtypes)[tie]}"
+    placed = ordered_fold(few.select(*key, tie, "_v", "_o"), key, ["_o"], best, schema)
+    chosen = ordered_fold(near.select(*key, "i", "_d", "_o"), key, ["i", "_d", "_o"], in_turn, "_place int, _o int")
+    many = rows.where(F.col("_n") > exhaustive).join(chosen, [*key, "_o"], "left")
+    many = many.select(*key, F.row_number().over(w.orderBy(F.col("_place").asc_nulls_last(), "_o")).alias("place"), tie)
+    return placed.unionByName(many)
 
 
 def _orders(after: list[set[int]], n: int) -> Iterator[list[int]]:

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.storage import materialize
+
 # What an identifier and an ordering may look like.
 IDENTIFIER = re.compile(r"[a-zA-Z][a-zA-Z0-9_]{0,63}")
 ORDERING = re.compile(r"\s*([a-zA-Z][a-zA-Z0-9_]*)(?:\s+(ASC|DESC))?\s*", re.I)
@@ -65,6 +67,26 @@ def upsert(df: DataFrame, rows: DataFrame, key: list[str], update: bool = True)
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def insert_returning(df: DataFrame, rows: DataFrame, id_: str, order: list[str]) -> DataFrame:
+    """``rows`` with ids that go on from the greatest of ``df`` (0 of none), in an order: ranks in range partitions and their prefix sums, no single task."""
+    cut = materialize(rows.drop(id_).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "inserted")
+    w = Window.partitionBy("_p").orderBy(*order)
+    bases = cut.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    base = bases.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row a partition
+    last = df.agg(F.coalesce(F.max(id_), F.lit(0)).cast("long").alias("_last"))
+    numbered = cut.withColumn("_r", F.row_number().over(w)).join(base, "_p").crossJoin(last)  # one row
+    return numbered.withColumn(id_, F.col("_last") + F.col("_base") + F.col("_r")).drop("_p", "_r", "_base", "_last")
+
+
+def restore(first: DataFrame, second: DataFrame, key: list[str], as_of: str) -> tuple[DataFrame, DataFrame]:
+    """Checkpoints (key, data, expires_at, written_at) of two tiers: the newest live one of the first, else of the second; and what has to be written to the first again."""
+    live = first.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(as_of).cast("timestamp")))
+    newest = lambda df: df.groupBy(*key).agg(F.max_by("data", "written_at").alias("data"))
+    missing = newest(second).join(live.select(*key), key, "left_anti")
+    found = newest(live).withColumn("tier", F.lit(1)).unionByName(missing.withColumn("tier", F.lit(2)))
+    return found, missing
+
+
 def update(df: DataFrame, values: Mapping[str, object], where: Mapping[str, object]) -> DataFrame:
     if not where:
         raise ValueError("an update needs a condition")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelane.operators.fold import Row, ordered_fold
+from tidelane.storage import materialize
 
 
 def merge_short(segments: DataFrame, key: list[str], least: float = 0.5, gap: float = 0.3) -> DataFrame:
@@ -104,69 +109,137 @@ def track_boxes(boxes: DataFrame, key: list[str], least: float = 0.3, patience:
     return ordered_fold(boxes.select(*key, tie, "frame", "x", "y", "w", "h"), key, ["frame", tie], step, f"{tie} {dict(boxes.dtypes)[tie]}, track int")
 
 
+def boxes_apart(boxes: DataFrame, key: list[str], tie: str = "id") -> DataFrame:
+    """Of boxes (x, y, w, h) of a key, largest first, those that overlap none kept before. State is what is kept."""
+
+    def step(rows: Iterator[Row]):
+        kept: list[Row] = []
+        for r in rows:
+            if not any(r["x"] < k["x"] + k["w"] and r["x"] + r["w"] > k["x"] and r["y"] < k["y"] + k["h"] and r["y"] + r["h"] > k["y"] for k in kept):
+                kept.append(r)
+                yield (r[tie],)
+
+    rows = boxes.select(*key, tie, "x", "y", "w", "h", (F.col("w") * F.col("h")).alias("_area"))
+    return ordered_fold(rows, key, [F.col("_area").desc(), F.col(tie)], step, f"{tie} {dict(boxes.dtypes)[tie]}")
+
+
 def bridge_gaps(clips: DataFrame, key: list[str], place: str, gap: int = 120000, tie: str = "id") -> DataFrame:
-    """Clips in place with, across a longer gap, the unused clip between that begins soonest after it, if it carries the story on."""
+    """Clips in place with, across a longer gap, the clip not yet used that begins soonest after it and before the next, if it carries the story on.
+
+    A bridge stands in its own place too, and bridges once. Holds one asset's clips, as any later one may be a bridge; those left are found by
+    a search among their starts, where used ones point to the next.
+    """
 
     def step(rows: Iterator[Row]):
-        clips = list(rows)  # one asset's clips
-        out, used = [], set()
+        clips = list(rows)
+        by_start = sorted(range(len(clips)), key=lambda n: (clips[n]["start_ms"], n))
+        starts = [clips[n]["start_ms"] for n in by_start]
+        rank = {n: r for r, n in enumerate(by_start)}
+        left = list(range(len(clips) + 1))  # the next rank that isn't used
+
+        def free(r: int) -> int:
+            while left[r] != r:
+                left[r] = left[left[r]]
+                r = left[r]
+            return r
+
+        number = 0
         for i, now in enumerate(clips):
-            if out and abs(now["start_ms"] - out[-1]["end_ms"]) > gap:
-                last = out[-1]["end_ms"]
-                between = [c for c in clips if c[tie] not in used and c[tie] != now[tie] and last < c["start_ms"] < now["start_ms"]]
-                if between:
-                    bridge = min(between, key=lambda c: abs(c["start_ms"] - last))
-                    if (bridge["role"] or "development") in ("development", "hook"):
-                        out.append(bridge)
-                        used.add(bridge[tie])
-            out.append(now)
-            used.add(now[tie])
-        yield from ((i + 1, c[tie]) for i, c in enumerate(out))
+            left[rank[i]] = rank[i] + 1
+            last = clips[i - 1]["end_ms"] if i else None
+            if i and abs(now["start_ms"] - last) > gap:
+                r = free(bisect_right(starts, last))
+                if r < len(clips) and starts[r] < now["start_ms"] and (clips[by_start[r]]["role"] or "development") in ("development", "hook"):
+                    left[r] = r + 1
+                    number += 1
+                    yield number, clips[by_start[r]][tie]
+            number += 1
+            yield number, now[tie]
 
     return ordered_fold(clips.select(*key, place, tie, "start_ms", "end_ms", "role"), key, [place], step, f"place int, {tie} {dict(clips.dtypes)[tie]}")
 
 
 def two_speakers(segments: DataFrame, key: list[str], features: list[str], tie: str = "id", rounds: int = 5) -> DataFrame:
-    """Two clusters of standardised features, seeded by the rows of greatest and least first feature."""
+    """Two clusters of standardised features, seeded by the rows of greatest and least first feature (of ties the first by ``tie``). A row alone is the first speaker.
+
+    Means, deviations and each round's centres are aggregates by key, joined back; no task holds a key's rows.
+    """
+    of = lambda f: F.col(f).cast("double")
+    first = F.struct(of(features[0]).alias("v"), F.col(tie))
+    stats = segments.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), *[x for i, f in enumerate(features) for x in (F.avg(of(f)).alias(f"_m{i}"), F.stddev_pop(of(f)).alias(f"_s{i}"))], F.max_by(F.struct(*[of(f).alias(f"x{i}") for i, f in enumerate(features)]), F.struct(first["v"], -F.col(tie))).alias("_top"), F.min_by(F.struct(*[of(f).alias(f"x{i}") for i, f in enumerate(features)]), first).alias("_low"))
+    scaled = lambda i, x: (x - F.col(f"_m{i}")) / (F.col(f"_s{i}") + 1e-8)
+    n = len(features)
+    z = materialize(segments.select(*key, tie, *features).join(stats, key).select(*key, tie, "_rows", *[scaled(i, of(f)).alias(f"_z{i}") for i, f in enumerate(features)]), "speakers-scaled")
+    centres = materialize(stats.select(*key, *[scaled(i, F.col(f"{end}.x{i}")).alias(f"{side}{i}") for side, end in (("_a", "_top"), ("_b", "_low")) for i in range(n)]), "speakers-centres")
+    far = lambda side: sum(((F.col(f"_z{i}") - F.col(f"{side}{i}")) * (F.col(f"_z{i}") - F.col(f"{side}{i}")) for i in range(n)), F.lit(0.0))
+    for k in range(rounds):
+        sided = z.join(centres, key).withColumn("_side", F.when(far("_a") <= far("_b"), 0).otherwise(1))
+        if k < rounds - 1:
+            mean = [F.coalesce(F.avg(F.when(F.col("_side") == number, F.col(f"_z{i}"))), F.max(f"{side}{i}")).alias(f"{side}{i}") for number, side in enumerate(("_a", "_b")) for i in range(n)]
+            centres = materialize(sided.groupBy(*key).agg(*mean), "speakers-centres")
+    return sided.select(*key, tie, F.when((F.col("_rows") < 2) | (F.col("_side") == 0), "SPEAKER_00").otherwise("SPEAKER_01").alias("speaker"))
+
+
+def split_monologues(segments: DataFrame, key: list[str], seconds: float = 20.0, pause: float = 1.5, change: float = 0.3, tie: str = "id") -> DataFrame:
+    """The other of two speakers where one has spoken for long: after more than ``seconds`` in more than three segments of one speaker, a pause of
+    more than ``pause`` seconds and a change of energy by more than that share, the next segment is the other speaker's. Looks one row ahead."""
 
     def step(rows: Iterator[Row]):
-        import numpy as np
+        speaker, spoken, since, given = None, 0.0, 0, None
+        for i, (now, after) in enumerate(_with_next(rows)):
+            who, given = given or now["speaker"], None
+            length = now["end"] - now["start"]
+            speaker, spoken, since = (speaker, spoken + length, since) if who == speaker else (who, length, i)
+            yield now[tie], who
+            quiet = after is not None and after["start"] - now["end"] > pause
+            if spoken > seconds and i - since > 2 and quiet and abs(now["energy"] - after["energy"]) / (now["energy"] + 1e-8) > change:
+                speaker = given = "SPEAKER_01" if speaker == "SPEAKER_00" else "SPEAKER_00"
+                spoken, since = 0.0, i + 1
+
+    return ordered_fold(segments.select(*key, tie, "speaker", "start", "end", "energy"), key, ["start", tie], step, f"{tie} {dict(segments.dtypes)[tie]}, speaker string")
 
-        rows = list(rows)  # one recording's segments
-        x = np.array([[r[f] for f in features] for r in rows], float)
-        if len(rows) < 2:
-            yield from ((r[tie], "SPEAKER_00") for r in rows)
-            return
-        z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-8)
-        centres = z[[x[:, 0].argmax(), x[:, 0].argmin()]]
-        for _ in range(rounds):
-            side = ((z[None] - centres[:, None]) ** 2).sum(axis=2).argmin(axis=0)
-            centres = np.array([z[side == k].mean(axis=0) if (side == k).any() else centres[k] for k in (0, 1)])
-        yield from ((r[tie], f"SPEAKER_{k:02d}") for r, k in zip(rows, side, strict=True))
 
-    return ordered_fold(segments.select(*key, tie, *features), key, [tie], step, f"{tie} {dict(segments.dtypes)[tie]}, speaker string")
+def _with_next(rows: Iterator[Row]):
+    now = next(rows, None)
+    while now is not None:
+        after = next(rows, None)
+        yield now, after
+        now = after
 
 
 def pack_sentences(docs: DataFrame, key: list[str], text: str, max_tokens: int = 7000) -> DataFrame:
-    """Chunks of sentences of up to four characters a token; a longer sentence is cut once, and its rest begins the next chunk. A text is a row, so this is a map."""
-    import re
+    """Chunks of sentences of up to four characters a token: a sentence joins the chunk while the chunk so far and it fit, its full stop not counted.
 
+    A sentence alone that doesn't fit is cut once, and its rest begins the next chunk. A text is a row, so this is a map: nothing is shuffled.
+    """
     limit = 4 * max_tokens
-
-    def step(rows: Iterator[Row]):
-        for r in rows:
-            held, n = "", 0
-            for sentence in re.split(r"[.!?]+", r[text] or ""):
-                if len(held) + len(sentence) <= limit:
-                    held += sentence + ". "
-                    continue
-                n += 1
-                yield n, held.strip() if held else sentence[:limit]
-                held = sentence if held else sentence[limit:]
-            if held:
-                yield n + 1, held.strip()
-
-    return ordered_fold(docs.select(*key, text), key, [text], step, "chunk int, content string")
+    schema = T.StructType([docs.schema[k] for k in key] + [T.StructField("chunk", T.IntegerType()), T.StructField("content", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            rows, numbers, texts = [], [], []
+            for i, t in enumerate(batch.column(len(key)).to_pylist()):
+                for n, chunk in enumerate(_chunks(t or "", limit)):
+                    rows.append(i)
+                    numbers.append(n + 1)
+                    texts.append(chunk)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(key))), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=schema.names)
+
+    return docs.select(*key, text).mapInArrow(run, schema)
+
+
+def _chunks(text: str, limit: int) -> Iterator[str]:
+    begun = ""
+    for sentence in re.split(r"[.!?]+", text):
+        if len(begun) + len(sentence) > limit:
+            whole = bool(begun)
+            yield begun.strip() if whole else sentence[:limit]
+            begun = sentence if whole else sentence[limit:]
+        else:
+            begun = f"{begun}{sentence}. "
+    if begun:
+        yield begun.strip()
 
 
 def once_each(words: DataFrame, key: list[str], tie: str = "pos") -> DataFrame:

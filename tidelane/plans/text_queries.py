@@ -159,9 +159,9 @@ def caption_styles(s, d):
     return source(s, d, "conversations").select("conv_id", "turn", scoring.caption_style(F.col("text")).alias("style"))
 
 
-@query("r14_hashtag_scores", f"WITH h AS (SELECT doc_id, unnest({_words_sql()}[1:5]) AS tag FROM documents), c AS (SELECT doc_id, tag, lower(tag) AS c FROM h WHERE NOT starts_with(tag, '#') AND NOT ends_with(tag, '#')) SELECT doc_id, tag, CASE WHEN c IN ('fyp', 'viral', 'trending', 'foryou', 'explore', 'reels') THEN 3.0 ELSE 1.0 END * CASE WHEN length(c) > 20 THEN 0.5 ELSE 1.0 END + CASE WHEN length(c) BETWEEN 8 AND 15 THEN 0.5 ELSE 0 END AS score FROM c")
+@query("r14_hashtag_scores", f"WITH h AS (SELECT doc_id, unnest({_words_sql()}) AS tag FROM documents), c AS (SELECT doc_id, tag, lower(trim(tag, '#')) AS c FROM h) SELECT doc_id, tag, CASE WHEN c IN ('fyp', 'viral', 'trending', 'foryou', 'explore', 'reels') THEN 3.0 ELSE 1.0 END * CASE WHEN length(c) > 20 THEN 0.5 ELSE 1.0 END + CASE WHEN length(c) BETWEEN 8 AND 15 THEN 0.5 ELSE 0 END AS score FROM c")
 def hashtag_scores(s, d):
-    h = source(s, d, "documents").select("doc_id", F.explode(F.slice(text.split_words("text"), 1, 5)).alias("tag")).where(~F.col("tag").startswith("#") & ~F.col("tag").endswith("#"))
+    h = source(s, d, "documents").select("doc_id", F.explode(text.split_words("text")).alias("tag"))
     return h.select("doc_id", "tag", scoring.hashtag_score(F.col("tag")).alias("score"))
 
 
@@ -183,7 +183,7 @@ def emotions(s, d):
 
 
 def _regexes(patterns: list[str]) -> str:
-    return " + ".join(f"len(regexp_extract_all(low, '{p.replace(chr(39), chr(39) * 2)}'))" for p in patterns)
+    return " + ".join(f"len(regexp_extract_all(low, '(?i){p.replace(chr(39), chr(39) * 2)}'))" for p in patterns)
 
 
 @query("r22_hooks", "WITH " + _TURNS + f", x AS (SELECT *, ({_regexes(lex.HOOKS)}) * 0.3 * CASE WHEN p < 0.3 THEN 3.0 WHEN p < 0.7 THEN 1.0 ELSE 0.5 END * CASE WHEN length(text) * 60 < 8000 THEN 1.2 ELSE 1 END * CASE WHEN turn * 10000 < 30000 THEN 1.5 ELSE 1 END AS h, (({_regexes(lex.CLIMAXES)}) * 0.4 * CASE WHEN p < 0.3 THEN 0.8 WHEN p < 0.8 THEN 2.5 ELSE 2.0 END + p) AS c FROM t) SELECT conv_id, turn, round(h, 6) AS hook_score, round(c, 6) AS climax_score FROM x")
@@ -211,7 +211,14 @@ def interactions(s, d):
     return n.groupBy(F.least("role", "nr").alias("a"), F.greatest("role", "nr").alias("b")).agg(F.count(F.lit(1)).alias("interactions"), F.round(F.avg(F.col("ne") - F.col("e")), 4).alias("mean_change"))
 
 
-@query("r24_topics_and_roles")
+def _cases(patterns: dict[str, str]) -> str:
+    """Names of the patterns found in low, with word bounds that know all letters."""
+    bound = r"[^\p{L}\p{N}_]"
+    said = {n: p.replace(r"\b(", f"(^|{bound})(").replace(r")\b", f")($|{bound})").replace("\\'", "'").replace("'", "''") for n, p in patterns.items()}
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN '{n}' END" for n, p in said.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query("r24_topics_and_roles", f"SELECT conv_id, turn, {_cases(lex.TOPICS)} AS topics, {_cases(lex.ROLES)} AS roles FROM (SELECT *, lower(text) AS low FROM conversations)")
 def topics_and_roles(s, d):
     return source(s, d, "conversations").select("conv_id", "turn", scoring.matching(F.col("text"), lex.TOPICS).alias("topics"), scoring.matching(F.col("text"), lex.ROLES).alias("roles"))
 
@@ -300,9 +307,9 @@ def selected_highlights(s, d):
     return hl.select_highlights(_scored(s, d), ["conv_id"])
 
 
-@query("u1_union_sources", "SELECT doc_id, 'local' AS source, NULL AS score FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'model', quality * 1.0 FROM labels")
+@query("u1_union_sources", "SELECT doc_id, 'local' AS source, NULL AS score FROM documents UNION ALL SELECT doc_id, 'model', quality * 1.0 FROM labels")
 def union_sources(s, d):
-    local = source(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit("local").alias("source"))
+    local = source(s, d, "documents").select("doc_id", F.lit("local").alias("source"))
     model = source(s, d, "labels").select("doc_id", F.lit("model").alias("source"), (F.col("quality") * 1.0).cast("double").alias("score"))
     return local.unionByName(model, allowMissingColumns=True)
 
@@ -317,16 +324,16 @@ def turn_similarity(s, d):
 @query("j14_dependencies", f"""WITH w AS (SELECT conv_id, turn, lower(text) AS low, list_distinct({_words_sql('lower(text)')}) AS w FROM conversations)
 SELECT b.conv_id, b.turn, a.turn AS depends_on FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE {_any('b.low', lex.REFERENCES)} AND len(list_intersect(a.w, b.w)) > 3""")
 def dependencies(s, d):
-    c = source(s, d, "conversations").select("conv_id", "turn", "text", text.word_set("text").alias("w"))
-    a = c.select("conv_id", F.col("turn").alias("depends_on"), F.col("w").alias("v"))
-    b = c.where(text.contains_any(F.col("text"), lex.REFERENCES))
-    return b.join(a, "conv_id").where((F.col("depends_on") < F.col("turn")) & (F.size(F.array_intersect("w", "v")) > 3)).select("conv_id", "turn", "depends_on")
+    c = source(s, d, "conversations").select("conv_id", "turn", "text", F.explode(text.word_set("text")).alias("w"))
+    a = c.select("conv_id", F.col("turn").alias("depends_on"), "w")
+    b = c.where(text.contains_any(F.col("text"), lex.REFERENCES)).select("conv_id", "turn", "w")
+    shared = b.join(a, ["conv_id", "w"]).where("depends_on < turn").groupBy("conv_id", "turn", "depends_on").agg(F.count(F.lit(1)).alias("n"))
+    return shared.where("n > 3").drop("n")
 
 
 @query("o15_story_order")
 def story_order(s, d):
-    t = ranking.top_per_key(_turns(s, d), ["conv_id"], [F.col("turn")], 6)
-    t = t.select("conv_id", "turn", scoring.story_beat(F.col("text"), F.col("p")).alias("beat"), scoring.polarity(F.col("text")).alias("emotion"), scoring.tension(F.col("text"), F.col("p")).alias("tension"), F.array().cast("array<int>").alias("deps"))
+    t = _turns(s, d).select("conv_id", "turn", scoring.story_beat(F.col("text"), F.col("p")).alias("beat"), scoring.polarity(F.col("text")).alias("emotion"), scoring.tension(F.col("text"), F.col("p")).alias("tension"), F.array().cast("array<int>").alias("deps"))
     return ranking.story_order(t, ["conv_id"], ["turn"], tie="turn")
 
 

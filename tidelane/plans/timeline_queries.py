@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelane.functions import scoring
 from tidelane.functions.text import cosine, srt_time
 from tidelane.operators import intervals as iv
-from tidelane.operators import ranking, stateful
+from tidelane.operators import ranking, stateful, vectors
 from tidelane.plans.registry import query
 from tidelane.plans.relational_queries import _d
 from tidelane.sources.tables import cte, source, table
@@ -209,10 +209,14 @@ def positional_join(s, d):
 s AS (SELECT v.vec_id, c.label AS speaker, list_cosine_similarity(v.embedding::DOUBLE[], c.e::DOUBLE[]) AS score FROM embeddings v, c) SELECT vec_id, speaker, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, speaker) AS r FROM s WHERE score > 0.2) WHERE r = 1""")
 def nearest_vector(s, d):
     v = source(s, d, "embeddings")
-    known = ranking.top_per_key(v, ["label"], [F.col("vec_id")], 1).agg(F.sort_array(F.collect_list(F.struct("label", "embedding"))).alias("known"))  # a vector a speaker
-    pairs = v.crossJoin(F.broadcast(known)).select("vec_id", "embedding", F.explode("known").alias("k")).select("vec_id", F.col("k.label").alias("speaker"), "embedding", F.col("k.embedding").alias("e"))
-    hit = pairs.withColumn("score", cosine("embedding", "e")).where("score > 0.2")
-    return hit.groupBy("vec_id").agg(F.max_by(F.struct("speaker", "score"), F.struct("score", -F.col("speaker"))).alias("m")).select("vec_id", "m.speaker", F.round("m.score", 6).alias("score"))
+    known = ranking.top_per_key(v, ["label"], [F.col("vec_id")], 1).withColumnRenamed("label", "speaker")  # a vector a speaker
+    return vectors.nearest(v, known, "vec_id", "embedding", "speaker", 0.2).withColumn("score", F.round("score", 6))
+
+
+@query("f16_neighbour_cosine", "WITH n AS (SELECT vec_id, embedding AS a, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) SELECT vec_id, round(list_cosine_similarity(a::DOUBLE[], b::DOUBLE[]), 6) AS score FROM n WHERE b IS NOT NULL")
+def neighbour_cosine(s, d):
+    v = source(s, d, "embeddings").withColumn("b", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).where("b IS NOT NULL")
+    return v.select("vec_id", F.round(cosine("embedding", "b"), 6).alias("score"))
 
 
 @query("j19_rank_merge", "WITH a AS (SELECT user_id, count(*) / 100.0 AS l FROM events WHERE event_type = 'view' GROUP BY 1), b AS (SELECT user_id, count(*) / 2.0 AS r FROM events WHERE event_type = 'purchase' AND value > 150 GROUP BY 1) SELECT coalesce(a.user_id, b.user_id) AS user_id, round(least(coalesce(l, 0) * 0.7 + coalesce(r, 0) * 0.3, 1.0), 6) AS importance FROM a FULL JOIN b ON a.user_id = b.user_id")
@@ -307,8 +311,8 @@ def interleave(s, d):
 
 @query("o16_match_arc")
 def match_arc(s, d):
-    few = ranking.top_per_key(table(s, d, "span"), ["key"], [F.col("value").desc(), F.col("id")], 6).withColumn("emotion", F.col("k") / 50.0 - 1)
-    return ranking.match_arc(few, ["key"], "emotion", ["start_ms", "id"])
+    x = table(s, d, "span").withColumn("emotion", F.col("k") / 50.0 - 1)
+    return ranking.match_arc(x, ["key"], "emotion", ["start_ms", "id"])
 
 
 # --- event time ---

@@ -10,9 +10,9 @@ from tidelane.functions.text import srt_time
 PLAN_SCHEMA = "version string, source string, actions array<struct<type:string,start_ms:bigint,end_ms:bigint,score:double,style:string,duration_ms:bigint>>, render struct<format:string,codec:string,crf:bigint>"
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A row for each document, which may run over lines."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A row for each document: a file, which may run over lines, or with ``lines`` a line, which Spark can split."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
@@ -83,8 +83,17 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of file,commit_count."""
-    return spark.read.schema("file string, commit_count bigint").csv(path, header=True)
+    return spark.read.schema("file string, commit_count bigint").csv(path, header=True, escape='"')
 
 
 def write_counts(df: DataFrame, path: str, name: str, count: str) -> None:
-    df.orderBy(F.col(count).desc(), name).write.csv(path, header=True)
+    df.orderBy(F.col(count).desc(), name).write.csv(path, header=True, escape='"')
+
+
+def exposition(df: DataFrame, name: str, value: str, labels: list[str], kind: str = "gauge") -> DataFrame:
+    """Samples of a long metric table as text lines ``name{label="value",...} number``, each metric's type before its samples: name, place (0: the type), line."""
+    text = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
+    parts = F.concat_ws(",", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f'{c}="'), text(c), F.lit('"'))) for c in labels])
+    line = F.concat(F.col(name), F.when(parts == "", F.lit("")).otherwise(F.concat(F.lit("{"), parts, F.lit("}"))), F.lit(" "), F.col(value).cast("string"))
+    samples = df.select(F.col(name).alias("name"), F.lit(1).alias("place"), line.alias("line"))
+    return df.select(F.col(name).alias("name")).distinct().select("name", F.lit(0).alias("place"), F.concat(F.lit("# TYPE "), "name", F.lit(f" {kind}")).alias("line")).unionByName(samples)
