@@ -258,5 +258,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by a classifier of their own labels: doc_id, held_out, lang_pred, score."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, train(learnable(docs)))

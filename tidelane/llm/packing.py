@@ -151,11 +151,13 @@ def _local_ranks(batches):
         yield batch.append_column("_local", pa.array(local))
 
 
-def _place(bases: dict[tuple[int, int], int], runs: np.ndarray):
-    """runs: sorted by (length, first rank); bases: by (partition, length), the rank of its first row."""
-    at = {int(x): (int(a), int(b)) for x, a, b in zip(*np.unique(runs[:, 0], return_index=True), np.append(np.unique(runs[:, 0], return_index=True)[1][1:], len(runs)), strict=True)} if len(runs) else {}
+def _place(plan):
+    """``plan``, broadcast: bases by (partition, length), the rank of its first row, and runs, sorted by (length, first rank)."""
 
     def place(batches):
+        bases, runs = plan.value
+        lengths, first = np.unique(runs[:, 0], return_index=True)
+        at = {x: (a, b) for x, a, b in zip(lengths.tolist(), first.tolist(), [*first[1:].tolist(), len(runs)], strict=True)} if len(runs) else {}
         for batch in batches:
             n = batch.num_rows
             lengths, parts, local = (np.asarray(batch.column(c)) for c in ("length", "_part", "_local"))
@@ -196,8 +198,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         bases[part, length] = histogram[length]
         histogram[length] += n
     runs = np.array(sorted(plan_runs(histogram, capacity)), np.int64).reshape(-1, 6)
-    return dealt.mapInArrow(_place(bases, runs), fields + ", sequence_id long, offset long")
+    plan = spark.sparkContext.broadcast((bases, runs))
+    return dealt.mapInArrow(_place(plan), fields + ", sequence_id long, offset long")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return pack(materialize(cut_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pack-pieces"))

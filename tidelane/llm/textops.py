@@ -8,8 +8,7 @@ single text.
 from __future__ import annotations
 
 import ctypes
-import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,11 +103,18 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> Iterator[
             yield rolled[:0]
 
 
+_HELD: list[Callable[[], None]] = []
+
+
+def on_release(drop: Callable[[], None]) -> None:
+    """Registers what drops a cache that a worker keeps between tasks."""
+    _HELD.append(drop)
+
+
 def released(batches: Iterator) -> Iterator:
-    """The same batches, in a worker that gives memory back: before the first, token caches of earlier tasks go; after the last, what was freed returns to the system, as workers stay for later tasks."""
-    tokens = sys.modules.get("tidelane.llm.tokens")
-    if tokens:
-        tokens.forget()
+    """The same batches, in a worker that gives memory back: before the first, registered caches of earlier tasks go; after the last, what was freed returns to the system, as workers stay for later tasks."""
+    for drop in _HELD:
+        drop()
     try:
         yield from batches
     finally:

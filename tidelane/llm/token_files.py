@@ -104,13 +104,27 @@ def read_manifest(path: str) -> dict:
         return json.loads(f.read())
 
 
-def map_file(path: str, dtype: str) -> np.ndarray:
-    """A file as an array: memory-mapped where the store is a file system, else read."""
+class RangedFile:
+    """A file of a store that can't be mapped, as an array whose slices are read when they are asked for."""
+
+    def __init__(self, store, path: str, dtype: str):
+        self.file, self.dtype = store.open_input_file(path), np.dtype(dtype)
+        self.size = self.file.size() // self.dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        a, b, _ = part.indices(self.size)
+        return np.frombuffer(self.file.read_at(max(0, b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
+
+
+def map_file(path: str, dtype: str) -> np.ndarray | RangedFile:
+    """A file as an array: memory-mapped where the store is a file system, else read by ranges."""
     store, at = open_store(path)
     if store.type_name == "local":
         return np.memmap(at, dtype, "r") if store.get_file_info(at).size else np.zeros(0, dtype)
-    with store.open_input_file(at) as f:
-        return np.frombuffer(f.read(), dtype)
+    return RangedFile(store, at, dtype)
 
 
 def open_shard(path: str, shard: dict, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +141,8 @@ def _reader(path: str, dtype: str, rows_a_batch: int = 4096):
                 ids, doc_ids, offsets, nulls = open_shard(path, shard, dtype)
                 for a in range(0, shard["docs"], rows_a_batch):
                     b = min(a + rows_a_batch, shard["docs"])
-                    crc = [zlib.crc32(ids[offsets[i] : offsets[i + 1]].astype("<u4").tobytes()) for i in range(a, b)]
+                    block, first = ids[int(offsets[a]) : int(offsets[b])], int(offsets[a])
+                    crc = [zlib.crc32(block[int(offsets[i]) - first : int(offsets[i + 1]) - first].astype("<u4").tobytes()) for i in range(a, b)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.asarray(doc_ids[a:b]), pa.int64(), mask=np.asarray(nulls[a:b]) == 1),
@@ -151,9 +166,10 @@ def read_token_files(spark: SparkSession, path: str, manifest: dict | None = Non
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to token files and read back: doc_id, start, n_tokens, ids_crc32."""
     path = scratch(spark, "token-files")
     manifest = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return read_token_files(spark, path, manifest).drop("shard")
 
 
-__all__ = ["map_file", "op1_token_files", "open_shard", "read_manifest", "read_token_files", "write_token_files"]
+__all__ = ["RangedFile", "map_file", "op1_token_files", "open_shard", "read_manifest", "read_token_files", "write_token_files"]

@@ -15,6 +15,8 @@ from itertools import islice
 import numpy as np
 import regex
 
+from tidelane.llm import textops
+
 #: Stretches that a task keeps; when there would be more, it begins anew. Between tasks a worker keeps the first KEPT.
 STRETCHES, KEPT = 500_000, 60_000
 
@@ -106,6 +108,9 @@ def forget() -> None:
     _ENCODERS.clear()
 
 
+textops.on_release(forget)
+
+
 def groups(texts: list, limit: int = 1 << 20):
     """Slices of a list of about ``limit`` characters."""
     at, size = 0, 0

@@ -5,7 +5,8 @@ columns are pushed into the scan: headers are parsed first, and the payload of a
 option ``payload=false`` - is skipped without being decoded. Gzip members written here carry their length in the ``sl`` extra field,
 so skipping is a seek; members of other writers are inflated to their end. Plain ``.warc`` files are read by Content-Length.
 
-Writing rolls files at ``rollBytes``; tasks write under temporary names and the driver renames what they commit.
+Writing rolls files at ``rollBytes``. Tasks write files of new names, and a commit writes one manifest of those that finished tasks returned: until
+it is there, none of them is read, and what failed or repeated tasks left never is. Files of other names are read as they stand.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -65,11 +67,28 @@ def record_block(row: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+_OWN, _MANIFEST = "part-", "_manifest-"
+
+
 class _Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
+    def __init__(self, files: list[str]):
         self.files = files
 
 
+def _listing(store, root: str) -> tuple[list, list]:
+    """The archive files of a folder that count, by path, and its manifests."""
+    from pyarrow import fs
+
+    found = [x for x in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)) if x.is_file]
+    manifests = [x for x in found if x.base_name.startswith(_MANIFEST) and x.base_name.endswith(".json")]
+    listed: set[str] = set()
+    for x in manifests:
+        with store.open_input_stream(x.path) as f:
+            listed.update(json.loads(f.read()))
+    archives = [x for x in found if x.base_name.endswith((".warc", ".warc.gz")) and (x.base_name in listed or not x.base_name.startswith(_OWN))]
+    return sorted(archives, key=lambda x: x.path), manifests
+
+
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
@@ -78,17 +97,16 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = open_store(self.path)
-        files: list[tuple[str, str]] = []
+        files: list[str] = []
         out, size = None, 0
         for batch in iterator:
             names = batch.schema.names
             for at in range(0, batch.num_rows, 256):
                 for values in zip(*(batch.column(c).slice(at, 256).to_pylist() for c in names), strict=True):
                     if out is None:
-                        store.create_dir(f"{root}/_temporary", recursive=True)
-                        name = f"{uuid.uuid4().hex}.warc" + ".gz" * self.gzip
-                        files.append((f"{root}/_temporary/{name}", f"{root}/{name}"))
-                        out, size = store.open_output_stream(files[-1][0], compression=None), 0
+                        store.create_dir(root, recursive=True)
+                        files.append(f"{_OWN}{uuid.uuid4().hex}.warc" + ".gz" * self.gzip)
+                        out, size = store.open_output_stream(f"{root}/{files[-1]}", compression=None), 0
                     block = record_block(dict(zip(names, values, strict=True)))
                     size += out.write(gzip_member(block) if self.gzip else block)
                     if size >= self.roll:
@@ -99,23 +117,23 @@ class WarcWriter(DataSourceArrowWriter):
         return _Written(files)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        from pyarrow import fs
-
         store, root = open_store(self.path)
         store.create_dir(root, recursive=True)
+        files = [x for message in messages if message for x in message.files]
         if self.overwrite:
-            for x in store.get_file_info(fs.FileSelector(root)):
-                if x.is_file and x.base_name.endswith((".warc", ".warc.gz")):
-                    store.delete_file(x.path)
-        for message in messages:
-            for held, final in message.files if message else ():
-                store.move(held, final)
+            archives, manifests = _listing(store, root)
+            for x in [*manifests, *archives]:
+                store.delete_file(x.path)
+        name = f"{root}/{_MANIFEST}{uuid.uuid4().hex}.json"
+        with store.open_output_stream(f"{name}.unfinished") as f:
+            f.write(json.dumps(files).encode())
+        store.move(f"{name}.unfinished", name)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, _ = open_store(self.path)
+        store, root = open_store(self.path)
         for message in messages:
-            for held, _final in message.files if message else ():
-                store.delete_file(held)
+            for x in message.files if message else ():
+                store.delete_file(f"{root}/{x}")
 
 
 class _Files(InputPartition):
@@ -145,12 +163,8 @@ class WarcReader(DataSourceReader):
                 yield x
 
     def partitions(self):
-        from pyarrow import fs
-
-        store, root = open_store(self.path)
-        found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         out, size = [], self.split
-        for x in sorted((x for x in found if x.is_file and "/_temporary/" not in x.path and x.base_name.endswith((".warc", ".warc.gz"))), key=lambda x: x.path):
+        for x in _listing(*open_store(self.path))[0]:
             if size + x.size > self.split:
                 out.append(_Files([]))
                 size = 0
@@ -383,6 +397,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     path = scratch(spark, "warc")
     archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_pages(spark, path).drop("target_uri")
