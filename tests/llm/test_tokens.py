@@ -132,3 +132,13 @@ def test_packed_pieces_hold_every_token_once(spark, rows):
             assert offset == end
             end += length
         assert end <= 64
+
+
+def test_stores_that_cannot_be_mapped_are_read_by_ranges(spark, rows, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/files"
+    manifest = token_files.write_token_files(spark.createDataFrame(rows, DOCS), path)
+    for x in manifest["shards"]:
+        mapped = token_files.open_shard(path, x, manifest["dtype"])
+        store, at = token_files.open_store(f"{path}/{x['name']}.ids")
+        ranged = token_files.RangedFile(store, at, manifest["dtype"])
+        assert len(ranged) == len(mapped[0]) and (ranged[:] == mapped[0]).all() and (ranged[3:9] == mapped[0][3:9]).all() and len(ranged[5:5]) == 0

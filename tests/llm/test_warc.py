@@ -66,3 +66,30 @@ def test_small_payloads_are_all_responses(spark, tmp_path):
     at = f"file://{tmp_path}/least"
     warc.archive_pages(spark.createDataFrame(ROWS, FIELDS), at, min_bytes=12)
     assert {r["record_type"] for r in warc.read_pages(spark, at).collect()} == {"response"}
+
+
+def test_only_what_a_commit_lists_is_read(spark, tmp_path):
+    """Leftovers of failed tasks don't count, appended archives do, files of other writers stand, and overwriting clears the folder."""
+    import os
+    import shutil
+
+    at = f"file://{tmp_path}/w"
+    warc.archive_pages(spark.createDataFrame([(1, "u", "one")], "page_id long, url string, html string"), at)
+    own = next(x for x in os.listdir(tmp_path / "w") if x.startswith("part-"))
+    shutil.copy(tmp_path / "w" / own, tmp_path / "w" / "part-lost.warc.gz")
+    assert [r["page_id"] for r in warc.read_pages(spark, at).collect()] == [1]
+    warc.archive_pages(spark.createDataFrame([(2, "u", "two")], "page_id long, url string, html string"), at)
+    assert sorted(r["page_id"] for r in warc.read_pages(spark, at).collect()) == [1, 2]
+    shutil.copy(tmp_path / "w" / own, tmp_path / "w" / "crawl.warc.gz")
+    assert sorted(r["page_id"] for r in warc.read_pages(spark, at).collect()) == [1, 1, 2]
+    rows = spark.createDataFrame([("response", "<urn:page:5>", b"five")], "record_type string, record_id string, payload binary")
+    full = rows.selectExpr(*[f"`{c}`" if c in rows.columns else f"CAST(NULL AS {k}) AS {c}" for c, k in (x.split() for x in warc.SCHEMA.split(", "))])
+    full.write.format(warc.NAME).mode("overwrite").save(at)
+    assert [(r["record_id"], bytes(r["payload"])) for r in spark.read.format(warc.NAME).load(at).collect()] == [("<urn:page:5>", b"five")]
+
+
+def test_a_payload_larger_than_a_batch(spark, tmp_path):
+    at = f"file://{tmp_path}/w"
+    large = "abcdefgh" * (1 << 20)
+    warc.archive_pages(spark.createDataFrame([(1, "u", large), (2, "u", "x"), (3, "u", large)], "page_id long, url string, html string"), at)
+    assert sorted(map(key, warc.read_pages(spark, at).collect())) == [(1, 8 << 20, warc.payload_digest(large.encode()), "response", None), (2, 1, warc.payload_digest(b"x"), "response", None), (3, 8 << 20, warc.payload_digest(large.encode()), "revisit", 1)]
