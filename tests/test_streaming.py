@@ -40,10 +40,23 @@ def test_cooldown_and_bucket_equal_batch(spark, folder, tmp_path):
     assert sorted((r["event_id"], r["allowed"]) for r in got.collect()) == sorted((r["event_id"], r["allowed"]) for r in want.collect())
 
 
-def test_totals_are_upserted(spark, folder, tmp_path):
-    out = f"{tmp_path}/totals"
-    q = st.running_totals(st.read_events(spark, folder)).writeStream.outputMode("update").foreachBatch(st.upsert_sink(out, "user_id")).option("checkpointLocation", f"{tmp_path}/k").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    last = max(os.listdir(out))
-    got = {r["user_id"]: r["n"] for r in spark.read.parquet(f"{out}/{last}").collect()}
+@pytest.mark.parametrize("compact", [2, 32])
+def test_totals_are_upserted(spark, folder, tmp_path, compact):
+    out, many = f"{tmp_path}/totals", f"{tmp_path}/many"
+    spark.read.parquet(folder).repartitionByRange(9, "ts").write.parquet(many)
+    totals = st.running_totals(st.read_events(spark, many, 1))
+    q = totals.writeStream.outputMode("update").foreachBatch(st.upsert_sink(out, "user_id", compact)).option("checkpointLocation", f"{tmp_path}/k").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert len(st._versions(out, "version")) == 9 and len(st._versions(out, "base")) == (4 if compact == 2 else 0)
+    got = {r["user_id"]: r["n"] for r in st.read_upserts(spark, out, "user_id", totals.schema).collect()}
     assert got == {r["user_id"]: r["count"] for r in spark.read.parquet(folder).groupBy("user_id").count().collect()}
+    st.upsert_sink(out, "user_id", compact)(spark.createDataFrame([(1, -1.0, 0)], totals.schema), 9)
+    again = {r["user_id"]: r["total"] for r in st.read_upserts(spark, out, "user_id", totals.schema).collect()}
+    assert again[1] == -1.0 and set(again) == set(got) | {1}
+
+
+def test_sessions_equal_batch(spark, folder, tmp_path):
+    got = run(st.sessions(st.read_events(spark, folder)), "append", tmp_path, "s1").collect()
+    batch = st.sessions(spark.read.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))).collect()
+    key = lambda r: (r["session_window"]["start"], r["session_window"]["end"], r["user_id"], r["n"])
+    assert set(map(key, got)) <= set(map(key, batch)) and len(got) > 0.9 * len(batch)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidelane.storage import open_store
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -35,20 +37,36 @@ def running_totals(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-def upsert_sink(path: str, key: str):
-    """A foreachBatch function that keeps the newest row of each key as a Parquet table of versions: the reader takes the latest folder.
+def _versions(path: str, kind: str) -> list[int]:
+    from pyarrow import fs
+
+    store, root = open_store(path)
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(int(x.base_name.partition("=")[2]) for x in found if x.base_name.startswith(f"{kind}="))
+
+
+def read_upserts(spark: SparkSession, path: str, key: str, schema: T.StructType, upto: int | None = None) -> DataFrame:
+    """The newest row of each key of what :func:`upsert_sink` wrote, of all micro-batches or of those up to one."""
+    bases = [x for x in _versions(path, "base") if upto is None or x <= upto]
+    since = bases[-1] if bases else -1
+    folders = [(x, f"{path}/version={x}") for x in _versions(path, "version") if x > since and (upto is None or x <= upto)] + [(since, f"{path}/base={since}") for _ in bases[-1:]]
+    rows = spark.createDataFrame([], schema).withColumn("_version", F.lit(0))
+    for version, folder in folders:
+        rows = rows.unionByName(spark.read.schema(schema).parquet(folder).withColumn("_version", F.lit(version)))
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*schema.names), "_version").alias("_row"))
+    return newest.select("_row.*")
+
 
-    A batch that is repeated writes the same version again.
+def upsert_sink(path: str, key: str, compact: int = 32):
+    """A foreachBatch function that keeps the newest row of each key: a micro-batch writes its own rows only, and every ``compact`` of them are merged
+    into a base that the reader starts from. See :func:`read_upserts`. A batch that is repeated writes the same files again.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = f"{path}/version={epoch - 1}"
-        merged = batch
-        if epoch > 0:
-            old = spark.read.schema(batch.schema).parquet(before)
-            merged = old.join(batch.select(key), key, "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        batch.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        if (epoch + 1) % compact == 0:
+            merged = read_upserts(batch.sparkSession, path, key, batch.schema, epoch)
+            merged.write.mode("overwrite").parquet(f"{path}/base={epoch}")
 
     return write
 
