@@ -63,24 +63,20 @@ def legacy_segments(words: DataFrame, key: list[str], energy: str, total: str, t
 
 
 def group_words(words: DataFrame, key: list[str], tie: str = "pos", size: int = 5) -> DataFrame:
-    """Transcript segments of up to ``size`` words that close at a sentence's end; times in milliseconds, mean confidence."""
+    """Transcript segments of up to ``size`` words that close at a sentence's end; times in milliseconds, mean confidence.
 
-    def made(held):
-        text = _unrepeated([x["word"].strip() for x in held]).strip()
-        if text:
-            yield text, int(held[0]["start"] * 1000), int(held[-1]["end"] * 1000), sum(x["confidence"] for x in held) / len(held)
-
-    def step(rows: Iterator[Row]):
-        held: list[Row] = []
-        for r in rows:
-            held.append(r)
-            if r["word"].strip().endswith(_CLOSE) or len(held) >= size:
-                yield from made(held)
-                held = []
-        if held:
-            yield from made(held)
-
-    return ordered_fold(words.select(*key, tie, "word", "start", "end", "confidence"), key, ["start", tie], step, "text string, start_ms int, end_ms int, confidence double")
+    A group is a sentence's number and a word's place in it by ``size``; words that repeat the one before them in the group, but for case, go.
+    """
+    w = Window.partitionBy(*key).orderBy("start", tie)
+    said = words.withColumn("_w", F.trim("word"))
+    closed = said.withColumn("_last", F.col("_w").rlike(r"[.!?]$").cast("int"))
+    numbered = closed.withColumn("_s", F.coalesce(F.sum("_last").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sentence = Window.partitionBy(*key, "_s").orderBy("start", tie)
+    grouped = numbered.withColumn("_g", F.floor((F.row_number().over(sentence) - 1) / size))
+    whole = grouped.groupBy(*key, "_s", "_g").agg(F.sort_array(F.collect_list(F.struct("start", tie, "end", F.col("_w").alias("w")))).alias("_l"), F.avg("confidence").alias("confidence"))  # up to ``size`` words
+    kept = F.filter("_l", lambda x, i: (i == 0) | (F.lower(x["w"]) != F.lower(F.get(F.col("_l"), i - 1)["w"])))
+    out = whole.select(*key, F.trim(F.array_join(F.transform(kept, lambda x: x["w"]), " ")).alias("text"), (F.col("_l")[0]["start"] * 1000).cast("int").alias("start_ms"), (F.element_at("_l", -1)["end"] * 1000).cast("int").alias("end_ms"), "confidence")
+    return out.where("text <> ''")
 
 
 def subtitle_lines(words: DataFrame, key: list[str], tie: str = "pos") -> DataFrame:
@@ -207,23 +203,17 @@ def merge_streams(left: DataFrame, right: DataFrame, key: list[str], tie: str =
 
 
 def absorb_short_turns(turns: DataFrame, key: list[str], least: float = 2.0, gap: float = 0.5) -> DataFrame:
-    """Turns shorter than ``least`` that follow closely join the turn before them, which takes their speaker."""
-
-    def step(rows: Iterator[Row]):
-        now = None
-        for r in rows:
-            short = r["end"] - r["start"] < least
-            if now and short and r["start"] - now["end"] < gap:
-                joined = now | {"end": r["end"]}
-                now = joined | {"speaker": r["speaker"]} if r["end"] - r["start"] > (r["end"] - r["start"]) / 2 else joined
-                continue
-            if now:
-                yield now["speaker"], now["start"], now["end"]
-            now = r
-        if now:
-            yield now["speaker"], now["start"], now["end"]
+    """Turns shorter than ``least`` that follow closely join the turn before them, which takes their speaker (but that of one of no length).
 
-    return ordered_fold(turns.select(*key, "speaker", "start", "end"), key, ["start", "end"], step, "speaker string, start double, end double")
+    Whether a turn joins depends on the turn before it alone, so joined turns are islands.
+    """
+    w = Window.partitionBy(*key).orderBy("start", "end")
+    length, pause = F.col("end") - F.col("start"), F.col("start") - F.lag("end").over(w)
+    rows = turns.select(*key, "speaker", "start", "end", (~F.coalesce((length < least) & (pause < gap), F.lit(False))).cast("int").alias("_new"), F.row_number().over(w).alias("_n"))
+    rows = rows.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    named = F.when((F.col("_new") == 1) | (F.col("end") > F.col("start")), F.col("_n"))
+    out = rows.groupBy(*key, "_g").agg(F.max_by("speaker", named).alias("speaker"), F.min_by("start", "_n").alias("start"), F.max_by("end", "_n").alias("end"))
+    return out.drop("_g")
 
 
 def score_segments(segments: DataFrame, energy: str, total: str, least: float = 4.0) -> DataFrame:
