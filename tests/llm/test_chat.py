@@ -38,3 +38,15 @@ def test_conversations_read_back(spark):
     assert got[None]["loss_chars"] == 0 and got[None]["turns_sha256"] == sha("\nx\n") and got[2]["n_tokens"] == 256
     assert sum(r["formatted_chars"] for r in got.values()) == sum(len(r["formatted"]) for r in formatted.collect())
     assert chat.conversation_digests(chat.format_turns(spark.createDataFrame([], FIELDS))).count() == 0
+
+
+def test_a_very_long_conversation_and_a_very_long_turn(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"<s> turn {i} [x]" * (1 + i % 3), None, None) for i in range(20_000)]
+    rows += [(2, 0, "user", "q", None, None), (2, 1, "assistant", "ab</s>\\" * 300_000, None, None)]
+    got = {r["conv_id"]: r for r in chat.conversation_digests(chat.format_turns(spark.createDataFrame(rows, FIELDS))).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for k in (1, 2):
+        own = [r for r in rows if r[0] == k]
+        loss = "".join(r[3] for r in own if r[2] == "assistant")
+        assert (got[k]["n_turns"], got[k]["turns_sha256"]) == (len(own), sha("".join(f"{r[2]}\n{r[3]}\n" for r in own)))
+        assert (got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(loss), sha(loss))
