@@ -36,7 +36,7 @@ def drop_repeats(text) -> Column:
         pairs = F.zip_with(words, F.concat(F.array(F.lit(None).cast("struct<w:string,k:string>")), words), lambda x, before: F.when(~F.coalesce((x["k"] == before["k"]) & (x["k"] != ""), F.lit(False)), x["w"]))
         return F.when(F.size(words) <= 1, column).otherwise(F.array_join(F.filter(pairs, lambda x: x.isNotNull()), " "))
 
-    return F.transform(F.array(keyed), joined)[0]  # a list of one binds the keyed words, which are made once
+    return _bound(keyed, joined)
 
 
 def title(text) -> Column:
@@ -105,14 +105,27 @@ def mask(text) -> Column:
     """
     column = F.col(text) if isinstance(text, str) else text
     for pattern, _ in lex.SECRETS[:_FIRST]:
-        column = F.regexp_replace(column, _java(pattern), lex.MASK.replace("$", r"\$"))
-    maybe = column.rlike(r"(?iU)(api|passw|pwd|token|secret)[^:=]*[:=]|bearer[\s\x1c-\x1f]|://[^@]+@")
-    column = F.coalesce(_mask(F.when(maybe, column)), column)
+        column = _replaced(column, pattern)
+    grouped = r"(?iU)(api|passw|pwd|token|secret)[^:=]*[:=]|bearer[\s\x1c-\x1f]|://[^@]+@"
+    column = _bound(column, lambda c: F.struct(c.alias("t"), F.when(c.rlike(grouped), c).alias("g")))
+    column = F.coalesce(_mask(column["g"]), column["t"])
     for pattern, _ in lex.SECRETS[_LAST:]:
-        column = F.regexp_replace(column, _java(pattern), lex.MASK.replace("$", r"\$"))
+        column = _replaced(column, pattern)
     return column
 
 
+def _bound(column: Column, use) -> Column:
+    """``use`` of a column that is computed once."""
+    return F.transform(F.array(column), use)[0]
+
+
+def _replaced(column: Column, pattern: str) -> Column:
+    """The text with whole matches masked; texts without what every match has are not searched."""
+    some = {"sk-": lambda c: c.contains("sk-"), "AKIA": lambda c: c.contains("AKIA"), "@": lambda c: c.contains("@"), r"\d{": lambda c: c.rlike(r"(?U)\d{3}")}
+    may = next(x for sign, x in some.items() if sign in pattern)
+    return _bound(column, lambda c: F.when(may(c), F.regexp_replace(c, _java(pattern), lex.MASK)).otherwise(c))
+
+
 def mask_groups(text: str) -> str:
     for pattern, group in _GROUPED:
         text = pattern.sub((lambda m, g=group: m[0].replace(m[g], lex.MASK)) if group else lex.MASK, text)

@@ -64,8 +64,8 @@ def keywords(s, d):
 
 @query("f6_masking")
 def masking(s, d):
-    masked = text.mask("text")
-    return source(s, d, "documents").select("doc_id", masked.alias("text"), (masked != F.col("text")).alias("changed"))
+    masked = source(s, d, "documents").select("doc_id", "text", text.mask("text").alias("masked"))
+    return masked.select("doc_id", F.col("masked").alias("text"), (F.col("masked") != F.col("text")).alias("changed"))
 
 
 @query("u2_neighbour_jaccard", f"""WITH w AS (SELECT conv_id, turn, list_distinct({_words_sql('lower(text)')}) AS w, lead(list_distinct({_words_sql('lower(text)')})) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
