@@ -13,6 +13,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +47,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    for made in _MADE:
+        made.append(stored)
+    return stored
+
+
+_MADE: list[list[DataFrame]] = []
+
+
+@contextmanager
+def noted():
+    """A list of the tables that :func:`materialize` stores meanwhile, in order, for :func:`discard`."""
+    made: list[DataFrame] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE.pop()
 
 
 def discard(*tables: DataFrame) -> None:
