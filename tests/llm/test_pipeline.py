@@ -63,3 +63,19 @@ def test_rows_that_repeat_an_id_are_judged_by_their_words(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), m) for d, t, m in rows], "doc_id long, text string, lang string, source string, n_chars long, kinds map<string,int>")
     got = sorted(((r["doc_id"] or -1, r["text"] or "-") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))
     assert got == sorted([(2, a), (5, b), (5, "-"), (5, " "), (-1, a), (-1, a), (9, "-")])
+
+
+def test_a_run_leaves_its_last_stage_only(spark, tmp_path):
+    import os
+
+    from tidelane.storage import noted
+
+    rng = random.Random(3)
+    rows = [(d, say(rng, lang, 30), lang, "s", 1) for d in range(40) for lang in [rng.choice(["en", "fr"])]]
+    spark.createDataFrame([(1, "one two three four five six. seven eight.")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    with noted() as made:
+        out = corpus_pipeline.run(spark, str(tmp_path))
+    n = out.count()
+    held = [x for x in made if os.path.isdir(x.inputFiles()[0].removeprefix("file://").rpartition("/")[0])] if n else []
+    assert n > 0 and [x.columns for x in held] == [out.columns] and len(made) > 10
