@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelane.llm import decontam, langid, ngram_join, packing, unit_dedup
 from tidelane.llm.annotate import add_columns, parse
-from tidelane.storage import materialize
+from tidelane.storage import discard, materialize, noted
 
 _KEY = "_tidelane_key"
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -110,7 +110,11 @@ ORACLE_SQL = None  # classifiers, retrieval and packing are beyond SQL; tests co
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents, each stored for the next; what a stage stored for itself goes when its result is stored, and its input with it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with noted() as made:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*before, *made[:-1])
+        before = made[-1:]
     return docs
