@@ -1,8 +1,8 @@
-"""Token ids by a public tokenizer file, with a bounded cache of stretches.
+"""Token ids by a public tokenizer file, with bounded caches.
 
 Where a tokenizer's own settings say that its normaliser and splitter act on each white-space-free stretch of a text alone, ids of a text are
-the ids of its stretches in order: workers keep the ids of stretches that they have seen, and the tokenizers library encodes the new
-ones. Texts outside a conservative set of characters, and all texts of other tokenizers, go through the library whole.
+the ids of its stretches in order, and those of a stretch are the ids of the pieces that the tokenizer's pattern finds in it. Workers keep the ids of
+stretches and pieces that they have seen, and the tokenizers library encodes the new pieces. Texts outside a conservative set of characters, and all texts of other tokenizers, go through the library whole.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ import regex
 
 from tidelane.llm import textops
 
-#: Stretches that a task keeps; when there would be more, it begins anew. Between tasks a worker keeps the first KEPT.
-STRETCHES, KEPT = 500_000, 60_000
+#: Stretches and pieces that a task keeps; when there would be more, it begins anew. Between tasks a worker keeps the first KEPT of each.
+STRETCHES, PIECES, KEPT = 500_000, 400_000, 60_000
 
 #: Latin-1 without its odd white space, case and number forms: normal forms and lower case act on each of these characters alone.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
@@ -33,8 +33,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _splits_at_white_space(spec: dict) -> bool:
-    """Whether a tokenizer's settings lower-case and normalise character by character, and keep just matches of a pattern that no white space is in and that doesn't look around."""
+def _piece_pattern(spec: dict) -> regex.Pattern | None:
+    """The pattern of a tokenizer whose settings lower-case and normalise character by character and keep just its matches, if it has no white space in
+    them and doesn't look around: then what it finds in a piece alone is that piece."""
     normalizer, splitter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
     steps = normalizer.get("normalizers", [normalizer])
     fine = all(x.get("type") in ("NFC", "Lowercase") or x.get("type") == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in steps)
@@ -42,10 +43,11 @@ def _splits_at_white_space(spec: dict) -> bool:
     first, rest = cuts[0], cuts[1:]
     fine &= any(x.get("type") == "Lowercase" for x in steps) and spec.get("post_processor") is None
     fine &= first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and all(x.get("type") == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest)
-    if not fine or "Regex" not in first["pattern"] or "(?" in first["pattern"]["Regex"]:
-        return False
+    if not fine or any(x in first["pattern"].get("Regex", "(?") for x in ("(?", "\\b", "\\B", "$", "\\A", "\\Z", "\\G", "\\K")):
+        return None
     pattern = regex.compile(first["pattern"]["Regex"])
-    return not any(any(c.isspace() for c in m[0]) for text in [*_PROBES, "a \t\n\r b"] for m in pattern.finditer(text.lower()))
+    found = [m[0] for text in [*_PROBES, "a \t\n\r b"] for m in pattern.finditer(text.lower())]
+    return None if pattern.groups or any(c.isspace() for x in found for c in x) else pattern
 
 
 class Encoder:
@@ -58,17 +60,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.stretches: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             spec = json.loads(f.read())
         spec.pop("model")
-        self.by_stretches = _splits_at_white_space(spec) and [self._joined(x) for x in _PROBES] == self._whole(_PROBES)
+        self.pattern = _piece_pattern(spec)
+        self.by_stretches = self.pattern is not None and [b"".join(self._stretched(x.lower().split())) for x in _PROBES] == self._whole(_PROBES)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, text: str) -> bytes:
-        return b"".join(self._whole(text.lower().split()))
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of a list of pieces, many to a text: the library tells which piece an id is of."""
+        out: list[bytes] = []
+        lines = [pieces[a : a + 512] for a in range(0, len(pieces), 512)]
+        for line, found in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids, word = np.array(found.ids, "<u4"), np.array(found.word_ids)
+            cuts = np.searchsorted(word, np.arange(len(line) + 1))
+            out += [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)] if len(word) and word[-1] == len(line) - 1 else self._whole(line)
+        return out
+
+    def _stretched(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each of a list of lower-case stretches, by pieces."""
+        cut = list(map(self.pattern.findall, stretches))
+        new = set().union(*cut).difference(self.pieces)
+        if len(self.pieces) + len(new) > PIECES:
+            self.pieces = {}
+            new = set().union(*cut)
+        new = list(new)
+        self.pieces.update(zip(new, self._each(new), strict=True))
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, x)) for x in cut]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [x or "" for x in texts]
@@ -77,7 +100,8 @@ class Encoder:
         if len(self.stretches) + len(new) > STRETCHES:
             self.stretches = {}
             new = list(set().union(*(x for x in split if x)))
-        self.stretches.update(zip(new, self._whole(new), strict=True))
+        if new:
+            self.stretches.update(zip(new, self._stretched(new), strict=True))
         get = self.stretches.__getitem__
         out = [None if x is None else b"".join(map(get, x)) for x in split]
         rest = [i for i, x in enumerate(out) if x is None]
@@ -101,6 +125,8 @@ def trimmed(batches):
         for enc in _ENCODERS.values():
             if len(enc.stretches) > KEPT:
                 enc.stretches = dict(islice(enc.stretches.items(), KEPT))
+            if len(enc.pieces) > KEPT:
+                enc.pieces = dict(islice(enc.pieces.items(), KEPT))
 
 
 def forget() -> None:
