@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -124,13 +125,19 @@ def pressure(percent: Column) -> Column:
     return F.when(percent >= 90, "critical").when(percent >= 80, "high").when(percent >= 70, "moderate").otherwise("low")
 
 
+def _fragments(pattern: str) -> list[str]:
+    """For each alternative of a fixed pattern, letters that any of its matches in lower case has: texts without all of them are not searched."""
+    return [max(re.split(r"\\.\+?|\.", x), key=len).lower() for x in pattern.removeprefix(r"\b(").removesuffix(r")\b").split("|")]
+
+
 def emotions(df: DataFrame, text: str) -> DataFrame:
     """Adds an intensity for each emotion, primary_emotion, emotional_intensity, valence, arousal and engagement."""
     low = F.col("_low")
     made = {}
     for name, (words, pattern, factors) in lex.EMOTIONS.items():
         found = sum((F.when(low.contains(w), occurrences(low, w) * (factors.get(w, 1.0) * 0.3)).otherwise(0.0) for w in words), F.lit(0.0))
-        made[f"e_{name}"] = F.least(F.lit(1.0), found + F.regexp_count(low, F.lit("(?i)" + pattern)) * 0.5)
+        said = reduce(lambda a, b: a | b, (low.contains(x) for x in _fragments(pattern)))
+        made[f"e_{name}"] = F.least(F.lit(1.0), found + F.when(said, F.regexp_count(low, F.lit("(?i)" + pattern)) * 0.5).otherwise(0.0))
     out = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumns(made).drop("_low")
     names = list(lex.EMOTIONS)
     most = F.greatest(*[F.col(f"e_{n}") for n in names])

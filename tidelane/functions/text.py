@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -106,8 +107,9 @@ def mask(text) -> Column:
     column = F.col(text) if isinstance(text, str) else text
     for pattern, _ in lex.SECRETS[:_FIRST]:
         column = _replaced(column, pattern)
-    grouped = r"(?iU)(api|passw|pwd|token|secret)[^:=]*[:=]|bearer[\s\x1c-\x1f]|://[^@]+@"
-    column = _bound(column, lambda c: F.struct(c.alias("t"), F.when(c.rlike(grouped), c).alias("g")))
+    signs = ["api", "passw", "pwd", "token", "secret", "bearer", "://", "\u017f"]  # the last is an s to Python, but for case
+    maybe = lambda c: F.transform(F.array(F.lower(c)), lambda low: reduce(lambda x, y: x | y, (low.contains(x) for x in signs)))[0]
+    column = _bound(column, lambda c: F.struct(c.alias("t"), F.when(maybe(c), c).alias("g")))
     column = F.coalesce(_mask(column["g"]), column["t"])
     for pattern, _ in lex.SECRETS[_LAST:]:
         column = _replaced(column, pattern)
