@@ -135,7 +135,8 @@ def emotions(df: DataFrame, text: str) -> DataFrame:
     low = F.col("_low")
     made = {}
     for name, (words, pattern, factors) in lex.EMOTIONS.items():
-        found = sum((F.when(low.contains(w), occurrences(low, w) * (factors.get(w, 1.0) * 0.3)).otherwise(0.0) for w in words), F.lit(0.0))
+        weighed = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(factors.get(w, 1.0) * 0.3).alias("f")) for w in words])
+        found = F.aggregate(weighed, F.lit(0.0), lambda total, x: total + F.when(F.contains(low, x["w"]), occurrences(low, x["w"]) * x["f"]).otherwise(0.0))
         said = reduce(lambda a, b: a | b, (low.contains(x) for x in _fragments(pattern)))
         made[f"e_{name}"] = F.least(F.lit(1.0), found + F.when(said, F.regexp_count(low, F.lit("(?i)" + pattern)) * 0.5).otherwise(0.0))
     out = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumns(made).drop("_low")

@@ -74,9 +74,9 @@ def count_present(text: Column, words: list[str]) -> Column:
     return sum((low.contains(w).cast("int") for w in words), F.lit(0))
 
 
-def occurrences(text: Column, word: str) -> Column:
+def occurrences(text: Column, word: Column) -> Column:
     """Occurrences that don't overlap."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    return ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("int")
 
 
 def keywords(df: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
