@@ -16,6 +16,7 @@ _MODULES = {
     "op8_license_scan": "licenses",
     "op9_chat_format": "chat",
     "op10_substring_dedup": "unit_dedup",
+    "op11_periodic_runs": "runs",
 }
 
 
