@@ -17,6 +17,7 @@ _MODULES = {
     "op9_chat_format": "chat",
     "op10_substring_dedup": "unit_dedup",
     "op11_periodic_runs": "runs",
+    "op12_vector_codes": "vector_codes",
 }
 
 
