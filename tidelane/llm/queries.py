@@ -18,6 +18,7 @@ _MODULES = {
     "op10_substring_dedup": "unit_dedup",
     "op11_periodic_runs": "runs",
     "op12_vector_codes": "vector_codes",
+    "op13_toxicity": "toxicity",
 }
 
 
