@@ -4,12 +4,14 @@ import itertools
 import math
 import os
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
 from tidelane.functions import lexicons as lex
+from tidelane.operators import ranking, stories, tracks
 from tidelane.plans import catalog, media_queries, text_queries, timeline_queries
 from tidelane.sources.tables import source, table
 
@@ -311,32 +313,143 @@ def test_small_arcs(spark):
     assert got == [(1, 2), (1, 4), (1, 5), (1, 1), (1, 3), (1, 0), (2, 7)]
 
 
+BEATS = ["hook", "setup", "context", "rising_action", "climax", "falling_action", "resolution", "call_to_action"]
+
+
+def best_story(rows, deps):
+    """The best of the first hundred orders, by trying permutations; by beats if there is none."""
+    n, best = len(rows), None
+    fit = (p for p in itertools.permutations(range(n)) if all(p.index(d) < p.index(i) for i in range(n) for d in deps[i]))
+    for p in itertools.islice(fit, 100):
+        o = [rows[i] for i in p]
+        at = {b: [r["beat"] for r in o].index(b) for b in {r["beat"] for r in o}}
+        s = 10.0 * sum(at[a] < at[b] for a, b in zip(BEATS, BEATS[1:]) if a in at and b in at)
+        for a, b in zip(o, o[1:]):
+            s -= abs(a["emotion"] - b["emotion"]) * 2.0
+        s -= 0.5 * abs(max(range(n), key=lambda i: (o[i]["tension"], -i)) - 0.7 * n)
+        if best is None or s > best[0]:
+            best = (s, p)
+    return best[1] if best else sorted(range(n), key=lambda i: (BEATS + [rows[i]["beat"]]).index(rows[i]["beat"]))
+
+
+def plain_orders(before):
+    """All orders, smallest first, by recursion."""
+
+    def walk(chosen):
+        if len(chosen) == len(before):
+            yield chosen
+        for i in range(len(before)):
+            if i not in chosen and all(d in chosen for d in before[i]):
+                yield from walk([*chosen, i])
+
+    return walk([])
+
+
 def test_story_orders(spark):
-    from tidelane.functions import scoring
     from pyspark.sql import functions as F
 
+    from tidelane.functions import scoring
+
     t = text_queries._turns(spark, SF).select("conv_id", "turn", scoring.story_beat(F.col("text"), F.col("p")).alias("beat"), scoring.polarity(F.col("text")).alias("emotion"), scoring.tension(F.col("text"), F.col("p")).alias("tension"))
-    beats = ["hook", "setup", "context", "rising_action", "climax", "falling_action", "resolution", "call_to_action"]
+    depends = defaultdict(set)
+    for r in catalog.queries()["j14_dependencies"](spark, SF).collect():
+        depends[r.conv_id, r.turn].add(r.depends_on)
+    assert sum(map(len, depends.values())) > 10
     want = []
     for k, rows in by_key(t, "conv_id", ["turn"]).items():
-        n, best = len(rows), None
-        for p in itertools.islice(itertools.permutations(rows), 100):
-            at = {b: [r["beat"] for r in p].index(b) for b in {r["beat"] for r in p}}
-            s = 10.0 * sum(at[a] < at[b] for a, b in zip(beats, beats[1:]) if a in at and b in at)
-            s -= 2.0 * sum(abs(a["emotion"] - b["emotion"]) for a, b in zip(p, p[1:]))
-            s -= 0.5 * abs(max(range(n), key=lambda i: (p[i]["tension"], -i)) - 0.7 * n)
-            if best is None or s > best[0]:
-                best = (s, p)
-        want += [(k, i + 1, r["turn"]) for i, r in enumerate(best[1])]
-    check(spark, "o15_story_order", ["conv_id", "place", "turn"], want)
+        at = {r["turn"]: i for i, r in enumerate(rows)}
+        deps = [{at[x] for x in depends[k, r["turn"]]} for r in rows]
+        if len(rows) > 8:
+            rows_of = list(itertools.islice(plain_orders(deps), 100))
+            assert rows_of == list(itertools.islice(stories.orders(deps), 100))
+        want += [(k, i + 1, rows[j]["turn"]) for i, j in enumerate(best_story(rows, deps))] if len(rows) <= 8 else []
+    got = [r for r in map(tuple, catalog.queries()["o15_story_order"](spark, SF).select("conv_id", "place", "turn").collect())]
+    short = {k for k, *_ in want}
+    assert sorted(r for r in got if r[0] in short) == sorted(want) and len(got) == sum(1 for _ in t.collect())
+
+
+def test_orders_equal_recursion():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(0, 7))
+        before = [{int(x) for x in rng.integers(0, n, rng.integers(0, 3)) if x != i or rng.random() < 0.1} for i in range(n)]
+        assert list(stories.orders(before)) == list(plain_orders(before))
+
+
+STORY = "key int, id int, beat string, emotion double, tension double, deps array<int>"
+
+
+def story(spark, rows):
+    return [r.id for r in stories.story_order(spark.createDataFrame(rows, STORY), ["key"], ["id"]).orderBy("place").collect()]
 
 
 def test_dependencies_come_first(spark):
-    from tidelane.operators import ranking
+    assert story(spark, [(1, 0, "resolution", 0.0, 0.1, [1, 2]), (1, 1, "hook", 0.0, 0.2, []), (1, 2, "climax", 0.0, 0.9, [1])]) == [1, 2, 0]
+
 
-    rows = [(1, 0, "resolution", 0.0, 0.1, [1, 2]), (1, 1, "hook", 0.0, 0.2, []), (1, 2, "climax", 0.0, 0.9, [1])]
-    df = spark.createDataFrame(rows, "key int, id int, beat string, emotion double, tension double, deps array<int>")
-    assert [r["id"] for r in ranking.story_order(df, ["key"], ["id"]).orderBy("place").collect()] == [1, 2, 0]
+def test_circles_are_ordered_by_beats(spark):
+    rows = [(1, 0, "other", 0.0, 0.1, [3]), (1, 1, "climax", 0.5, 0.2, None), (1, 2, "climax", 0.0, 0.9, [1, None, 77, -1]), (1, 3, "hook", None, None, [0]), (1, 4, None, 0.0, 0.9, [])]
+    assert story(spark, rows) == [3, 1, 2, 0, 4]
+    assert story(spark, [(1, 0, "climax", 0.0, 0.1, [0]), (1, 1, "hook", 0.0, 0.2, [])]) == [1, 0]
+
+
+def test_a_key_of_many_rows_has_an_order(spark):
+    n = 10_000
+    rows = [(1, i, BEATS[i % 8], (i % 7) / 7, (i % 11) / 11, [i + 1] if i % 2 == 0 else [i - 3] if i > 3 and i % 3 == 0 else []) for i in range(n)]
+    got = story(spark, rows)
+    at = {x: i for i, x in enumerate(got)}
+    assert sorted(got) == list(range(n)) and all(at[d] < at[r[1]] for r in rows for d in r[5])
+    assert story(spark, [(1, i, "hook", 0.0, 0.0, [(i + 1) % n]) for i in range(n)]) == list(range(n))
+
+
+def plain_apart(rows, seconds, most):
+    chosen = []
+    for i, s, e, v in sorted(rows, key=lambda r: (-r[3], r[0])):
+        if any(s < y and e > x for _, x, y in chosen) or seconds is not None and sum(y - x for _, x, y in chosen) + (e - s) > seconds:
+            continue
+        chosen.append((i, s, e))
+        if most is not None and len(chosen) == most:
+            break
+    return [i for i, *_ in chosen]
+
+
+def test_greedy_choices_equal_plain_ones_and_take_many_rows(spark):
+    rng = np.random.default_rng(4)
+    for size in (3, 30):
+        rows = [(k, i, int(s), int(s + rng.integers(-1 if k == 3 else 0, size)), float(rng.integers(0, 5))) for k in range(4) for i, s in enumerate(rng.integers(0, 100, 80))]
+        df = spark.createDataFrame([*rows, (1, 900, None, 5, 9.0), (1, 901, 5, None, 9.0)], "key int, id int, s int, e int, v double")
+        for seconds, most in ((None, None), (60, 5)):
+            got = ranking.greedy_apart(df, ["key"], "v", "s", "e", "id", seconds, most).collect()
+            assert {(r.key, r.id) for r in got} == {(k, i) for k in range(4) for i in plain_apart([r[1:] for r in rows if r[0] == k], seconds, most)}
+        got = {(r.key, r.id) for r in ranking.greedy_gap(df, ["key"], "v", "s", "id", 4, 20).collect()}
+        want = set()
+        for k in range(4):
+            chosen = []
+            for r in sorted((r for r in [*rows, (1, 901, 5, None, 9.0)] if r[0] == k), key=lambda r: (-r[4], r[1])):
+                if all(abs(r[2] - x) >= 4 for x in chosen) and len(chosen) < 20:
+                    chosen.append(r[2])
+                    want.add((k, r[1]))
+        assert got == want
+    taken = ranking.Taken()
+    began = time.perf_counter()
+    for i in range(100_000):
+        if not taken.overlap(i * 7919 % 100_003, i * 7919 % 100_003 + 1):
+            taken.add(i * 7919 % 100_003, i * 7919 % 100_003 + 1)
+    assert len(taken.starts) == 100_000 and time.perf_counter() - began < 20
+
+
+def test_boxes_in_grids_equal_plain_ones(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, i, *map(float, np.round(rng.uniform(-50, 50, 2), 1)), *map(float, np.round(rng.choice([0.5, 5, 40], 2) * rng.uniform(-0.1, 1, 2), 1))) for k in range(3) for i in range(200)]
+    want = set()
+    for k in range(3):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: (-(r[4] * r[5]), r[1])):
+            if not any(r[2] < b[2] + b[4] and r[2] + r[4] > b[2] and r[3] < b[3] + b[5] and r[3] + r[5] > b[3] for b in kept):
+                kept.append(r)
+                want.add((k, r[1]))
+    df = spark.createDataFrame([*rows, (1, 999, None, 1.0, 1.0, 1.0)], "key int, id int, x double, y double, w double, h double")
+    assert {(r.key, r.id) for r in tracks.boxes_apart(df, ["key"]).collect()} == want and 20 < len(want) < 500
 
 
 def test_state_machines(spark, spans):

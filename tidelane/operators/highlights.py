@@ -276,6 +276,25 @@ def uniqueness(df: DataFrame, key: list[str], text: str = "text", tie: str = "id
     return df.join(total, [*key, tie], "left").withColumn("uniqueness", F.greatest(F.lit(0.1), 1.0 - 0.3 * F.coalesce("_s", F.lit(0.0)))).drop("_s")
 
 
+def shared_words(df: DataFrame, key: list[str], words: str, least: int, tie: str = "id", asks: str | None = None) -> DataFrame:
+    """(key, ``tie``, other): rows - those where ``asks`` holds - with each earlier row of the key that has at least ``least`` of their distinct words.
+
+    Of any ``least`` common words, the rarest isn't among either row's ``least`` - 1 most frequent words. So rows meet in their other words only, the key's
+    most frequent ones mostly left out, and the pairs found are counted whole.
+    """
+    rows = df.select(*key, F.col(tie).alias("_id"), F.col(words).alias("_words"), F.coalesce(F.col(asks), F.lit(False)).alias("_asks") if asks else F.lit(True).alias("_asks")).where(F.size("_words") >= least)
+    each = rows.select(*key, "_id", F.explode("_words").alias("_w"))
+    usual = each.groupBy(*key, "_w").agg(F.count(F.lit(1)).alias("_rows"))
+    rank = F.row_number().over(Window.partitionBy(*key, "_id").orderBy(F.col("_rows").desc(), "_w"))
+    rare = each.join(usual.where("_rows > 1"), [*key, "_w"])
+    # words of one row only come last in the order, so leaving them out here changes no rank
+    rare = rare.withColumn("_r", rank).where(F.col("_r") >= least).select(*key, "_id", "_w")
+    later = rare.join(rows.where("_asks").select(*key, "_id"), [*key, "_id"])
+    pairs = later.join(rare.withColumnRenamed("_id", "_other"), [*key, "_w"]).where("_other < _id").select(*key, "_id", "_other").distinct()
+    both = pairs.join(rows.select(*key, "_id", "_words"), [*key, "_id"]).join(rows.select(*key, F.col("_id").alias("_other"), F.col("_words").alias("_others")), [*key, "_other"])
+    return both.where(F.size(F.array_intersect("_words", "_others")) >= least).select(*key, F.col("_id").alias(tie), F.col("_other").alias("other"))
+
+
 def close_small_gaps(df: DataFrame, key: list[str], place: str = "place", gap: int = 2000, least: float = 5.0) -> DataFrame:
     """A segment of more than ``least`` that ends shortly before its successor in place reaches to 100 ms before it."""
     after = F.lead("start_ms").over(Window.partitionBy(*key).orderBy(place))

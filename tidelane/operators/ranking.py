@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import islice, permutations
+from functools import cache
+from itertools import permutations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,40 +66,64 @@ def duration_budget(df: DataFrame, key: list[str], score: str, tie: str, target:
     return top_per_key(df, key, [F.col(score).desc(), F.col(tie)], min(int(target // clip), most))
 
 
+class Taken:
+    """Intervals, none of which overlap, sorted: whether another one overlaps any is a search. Ones that end before they begin are looked through."""
+
+    def __init__(self):
+        self.starts: list = []
+        self.ends: list = []
+        self.odd: list[tuple] = []
+
+    def overlap(self, start, end) -> bool:
+        if start > end:
+            return any(start < e and end > s for s, e in zip(self.starts, self.ends, strict=True)) or any(start < e and end > s for s, e in self.odd)
+        at = bisect_left(self.starts, end) - 1  # what begins before the end; of these, the last ends last
+        return at >= 0 and self.ends[at] > start or any(start < e and end > s for s, e in self.odd)
+
+    def add(self, start, end) -> None:
+        if start > end:
+            self.odd.append((start, end))
+        else:  # sorted by start are sorted by end, as none overlap
+            insort(self.starts, start)
+            insort(self.ends, end)
+
+
 def greedy_apart(df: DataFrame, key: list[str], score: str, start: str, end: str, tie: str, seconds: float | None = None, most: int | None = None) -> DataFrame:
-    """Best first, what overlaps nothing chosen before, while a total length and a number last."""
+    """Best first, what overlaps nothing chosen before, while a total length and a number last. Rows without bounds take no part. State is what is chosen, sorted."""
 
     def step(rows: Iterator[Row]):
-        chosen, total = [], 0.0
+        taken, total, number = Taken(), 0.0, 0
         for r in rows:
-            if any(r[start] < e and r[end] > s for s, e in chosen):
-                continue
-            if seconds is not None and total + (r[end] - r[start]) > seconds:
+            if taken.overlap(r[start], r[end]) or seconds is not None and total + (r[end] - r[start]) > seconds:
                 continue
-            chosen.append((r[start], r[end]))
+            taken.add(r[start], r[end])
             total += r[end] - r[start]
+            number += 1
             yield r[tie], r[start], r[end], r[score]
-            if most is not None and len(chosen) >= most:
+            if most is not None and number >= most:
                 return
 
     kind = dict(df.dtypes)
-    return ordered_fold(df.select(*key, tie, start, end, score), key, [F.col(score).desc(), F.col(tie)], step, f"{tie} {kind[tie]}, {start} {kind[start]}, {end} {kind[end]}, {score} {kind[score]}")
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*key, tie, start, end, score)
+    return ordered_fold(rows, key, [F.col(score).desc(), F.col(tie)], step, f"{tie} {kind[tie]}, {start} {kind[start]}, {end} {kind[end]}, {score} {kind[score]}")
 
 
 def greedy_gap(df: DataFrame, key: list[str], score: str, start: str, tie: str, gap: float, most: int) -> DataFrame:
-    """Best first, what begins at least ``gap`` from all chosen before."""
+    """Best first, what begins at least ``gap`` from all chosen before; of these only the neighbours by start are looked at. Rows without a start take no part."""
 
     def step(rows: Iterator[Row]):
         chosen: list = []
         for r in rows:
-            if all(abs(r[start] - x) >= gap for x in chosen):
-                chosen.append(r[start])
+            at = bisect_left(chosen, r[start])
+            if all(abs(r[start] - x) >= gap for x in chosen[max(0, at - 1) : at + 1]):
+                chosen.insert(at, r[start])
                 yield r[tie], r[start], r[score]
                 if len(chosen) >= most:
                     return
 
     kind = dict(df.dtypes)
-    return ordered_fold(df.select(*key, tie, start, score), key, [F.col(score).desc(), F.col(tie)], step, f"{tie} {kind[tie]}, {start} {kind[start]}, {score} {kind[score]}")
+    rows = df.where(F.col(start).isNotNull()).select(*key, tie, start, score)
+    return ordered_fold(rows, key, [F.col(score).desc(), F.col(tie)], step, f"{tie} {kind[tie]}, {start} {kind[start]}, {score} {kind[score]}")
 
 
 def plan_json(df: DataFrame, key: list[str], score: str = "score", start: str = "start", end: str = "end", tie: str = "id", k: int = 5) -> DataFrame:
@@ -131,13 +158,22 @@ def interleave(df: DataFrame, key: list[str], tie: str = "id") -> DataFrame:
     return made.select(*key, F.row_number().over(w.orderBy("_p", "_q", "_t")).alias("place"), tie)
 
 
-def _resampled(values: list[float], n: int) -> list[float]:
-    out = []
-    for i in range(n):
-        x = i / (n - 1) * (len(values) - 1)
-        j = min(int(x), len(values) - 2) if len(values) > 1 else 0
-        out.append(values[j] + (x - j) * (values[j + 1] - values[j]) if len(values) > 1 else values[0])
-    return out
+@cache
+def _permutations(n: int) -> np.ndarray:
+    """All orders of n rows, a row each, smallest first: at most 40,320 of eight."""
+    return np.array(list(permutations(range(n))), np.int8)
+
+
+def _best_permutation(values: np.ndarray, target: list[float]) -> list[int]:
+    """The first order whose values, resampled to as many points as ``target`` has, are at the least squared distance from it."""
+    orders = _permutations(len(values))
+    held, far = values[orders], np.zeros(len(orders))
+    for i, t in enumerate(target):
+        x = i / (len(target) - 1) * (len(values) - 1)
+        j = min(int(x), len(values) - 2)
+        point = held[:, j] + (x - j) * (held[:, j + 1] - held[:, j]) if len(values) > 1 else held[:, 0]
+        far += (point - t) ** 2
+    return orders[far.argmin()].tolist()
 
 
 def match_arc(df: DataFrame, key: list[str], value: str, order: list[str], tie: str = "id", arc: str = "cinderella", exhaustive: int = 8) -> DataFrame:
@@ -155,8 +191,7 @@ def match_arc(df: DataFrame, key: list[str], value: str, order: list[str], tie:
 
     def best(own: Iterator[Row]):
         own = list(own)  # as many as ``exhaustive``
-        values = [r["_v"] for r in own]
-        places = min(permutations(range(len(own))), key=lambda p: sum((a - b) ** 2 for a, b in zip(_resampled([values[i] for i in p], len(target)), target, strict=True)))
+        places = _best_permutation(np.array([r["_v"] for r in own], float), target)
         yield from ((n + 1, own[i][tie]) for n, i in enumerate(places))
 
     def in_turn(own: Iterator[Row]):
@@ -173,45 +208,3 @@ def match_arc(df: DataFrame, key: list[str], value: str, order: list[str], tie:
     many = rows.where(F.col("_n") > exhaustive).join(chosen, [*key, "_o"], "left")
     many = many.select(*key, F.row_number().over(w.orderBy(F.col("_place").asc_nulls_last(), "_o")).alias("place"), tie)
     return placed.unionByName(many)
-
-
-def _orders(after: list[set[int]], n: int) -> Iterator[list[int]]:
-    """Orders of 0..n-1 in which each comes after all of ``after`` of it."""
-    chosen: list[int] = []
-    left = set(range(n))
-
-    def walk():
-        if not left:
-            yield list(chosen)
-            return
-        for i in sorted(left):
-            if not after[i] & left:
-                left.remove(i)
-                chosen.append(i)
-                yield from walk()
-                chosen.pop()
-                left.add(i)
-
-    yield from walk()
-
-
-def story_order(df: DataFrame, key: list[str], order: list[str], tie: str = "id", beats: tuple[str, ...] = ("hook", "setup", "context", "rising_action", "climax", "falling_action", "resolution", "call_to_action"), tries: int = 100) -> DataFrame:
-    """The best of the first orders that respect dependencies (deps: places, from 0): beats in sequence, smooth emotion, tension at its highest about seven tenths in."""
-
-    def step(rows: Iterator[Row]):
-        rows = list(rows)
-        n = len(rows)
-
-        def score(o):
-            first = {}
-            for i, j in enumerate(o):
-                first.setdefault(rows[j]["beat"], i)
-            s = sum(10.0 for a, b in zip(beats, beats[1:], strict=False) if a in first and b in first and first[a] < first[b])
-            s -= 2.0 * sum(abs(rows[a]["emotion"] - rows[b]["emotion"]) for a, b in zip(o, o[1:], strict=False))
-            top = max(range(n), key=lambda i: rows[o[i]]["tension"])
-            return s - 0.5 * abs(top - 0.7 * n)
-
-        best = max(islice(_orders([set(r["deps"] or ()) for r in rows], n), tries), key=score)
-        yield from ((i + 1, rows[j][tie]) for i, j in enumerate(best))
-
-    return ordered_fold(df.select(*key, tie, "beat", "emotion", "tension", "deps", *[o for o in order if o not in (tie,)]), key, order, step, f"place int, {tie} {dict(df.dtypes)[tie]}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from math import floor, frexp
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -109,17 +110,52 @@ def track_boxes(boxes: DataFrame, key: list[str], least: float = 0.3, patience:
     return ordered_fold(boxes.select(*key, tie, "frame", "x", "y", "w", "h"), key, ["frame", tie], step, f"{tie} {dict(boxes.dtypes)[tie]}, track int")
 
 
+class Boxes:
+    """Boxes (x, y, w, h) in grids of cells, a grid for each power of two of their longer side, so that a box lies in four cells at most."""
+
+    def __init__(self):
+        self.grids: dict[int, dict[tuple[int, int], list[tuple]]] = {}
+        self.all: dict[int, list[tuple]] = {}
+
+    @staticmethod
+    def _cells(size: float, x, y, w, h) -> tuple[int, int, int, int]:
+        low_x, low_y = min(x, x + w), min(y, y + h)
+        return floor(low_x / size), floor((low_x + abs(w)) / size), floor(low_y / size), floor((low_y + abs(h)) / size)
+
+    def overlap(self, x, y, w, h) -> bool:
+        hit = lambda b: x < b[0] + b[2] and x + w > b[0] and y < b[1] + b[3] and y + h > b[1]
+        for level, grid in self.grids.items():
+            a, b, c, d = self._cells(2.0**level, x, y, w, h)
+            own = self.all[level]
+            if (b - a + 1) * (d - c + 1) >= len(own):
+                if any(map(hit, own)):
+                    return True
+            elif any(hit(box) for i in range(a, b + 1) for j in range(c, d + 1) for box in grid.get((i, j), ())):
+                return True
+        return False
+
+    def add(self, x, y, w, h) -> None:
+        level = max(-30, frexp(max(abs(w), abs(h)))[1])
+        grid = self.grids.setdefault(level, {})
+        self.all.setdefault(level, []).append((x, y, w, h))
+        a, b, c, d = self._cells(2.0**level, x, y, w, h)
+        for i in range(a, b + 1):
+            for j in range(c, d + 1):
+                grid.setdefault((i, j), []).append((x, y, w, h))
+
+
 def boxes_apart(boxes: DataFrame, key: list[str], tie: str = "id") -> DataFrame:
-    """Of boxes (x, y, w, h) of a key, largest first, those that overlap none kept before. State is what is kept."""
+    """Of boxes (x, y, w, h) of a key, largest first, those that overlap none kept before. State is what is kept, in grids. Boxes with a null take no part."""
 
     def step(rows: Iterator[Row]):
-        kept: list[Row] = []
+        kept = Boxes()
         for r in rows:
-            if not any(r["x"] < k["x"] + k["w"] and r["x"] + r["w"] > k["x"] and r["y"] < k["y"] + k["h"] and r["y"] + r["h"] > k["y"] for k in kept):
-                kept.append(r)
+            box = (r["x"], r["y"], r["w"], r["h"])
+            if not kept.overlap(*box):
+                kept.add(*box)
                 yield (r[tie],)
 
-    rows = boxes.select(*key, tie, "x", "y", "w", "h", (F.col("w") * F.col("h")).alias("_area"))
+    rows = boxes.dropna(subset=["x", "y", "w", "h"]).select(*key, tie, "x", "y", "w", "h", (F.col("w") * F.col("h")).alias("_area"))
     return ordered_fold(rows, key, [F.col("_area").desc(), F.col(tie)], step, f"{tie} {dict(boxes.dtypes)[tie]}")
 
 

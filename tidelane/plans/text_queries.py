@@ -9,7 +9,7 @@ from tidelane.functions import lexicons as lex
 from tidelane.functions import scoring, text
 from tidelane.operators import highlights as hl
 from tidelane.operators import intervals as iv
-from tidelane.operators import ranking
+from tidelane.operators import stories
 from tidelane.plans.registry import query
 from tidelane.plans.relational_queries import _d
 from tidelane.sources.tables import source
@@ -324,17 +324,16 @@ def turn_similarity(s, d):
 @query("j14_dependencies", f"""WITH w AS (SELECT conv_id, turn, lower(text) AS low, list_distinct({_words_sql('lower(text)')}) AS w FROM conversations)
 SELECT b.conv_id, b.turn, a.turn AS depends_on FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE {_any('b.low', lex.REFERENCES)} AND len(list_intersect(a.w, b.w)) > 3""")
 def dependencies(s, d):
-    c = source(s, d, "conversations").select("conv_id", "turn", "text", F.explode(text.word_set("text")).alias("w"))
-    a = c.select("conv_id", F.col("turn").alias("depends_on"), "w")
-    b = c.where(text.contains_any(F.col("text"), lex.REFERENCES)).select("conv_id", "turn", "w")
-    shared = b.join(a, ["conv_id", "w"]).where("depends_on < turn").groupBy("conv_id", "turn", "depends_on").agg(F.count(F.lit(1)).alias("n"))
-    return shared.where("n > 3").drop("n")
+    c = source(s, d, "conversations").select("conv_id", "turn", text.word_set("text").alias("words"), text.contains_any(F.col("text"), lex.REFERENCES).alias("refers"))
+    return hl.shared_words(c, ["conv_id"], "words", 4, tie="turn", asks="refers").withColumnRenamed("other", "depends_on")
 
 
 @query("o15_story_order")
 def story_order(s, d):
-    t = _turns(s, d).select("conv_id", "turn", scoring.story_beat(F.col("text"), F.col("p")).alias("beat"), scoring.polarity(F.col("text")).alias("emotion"), scoring.tension(F.col("text"), F.col("p")).alias("tension"), F.array().cast("array<int>").alias("deps"))
-    return ranking.story_order(t, ["conv_id"], ["turn"], tie="turn")
+    t = _turns(s, d).select("conv_id", "turn", scoring.story_beat(F.col("text"), F.col("p")).alias("beat"), scoring.polarity(F.col("text")).alias("emotion"), scoring.tension(F.col("text"), F.col("p")).alias("tension"))
+    at = t.select("conv_id", F.col("turn").alias("depends_on"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("at"))
+    deps = dependencies(s, d).join(at, ["conv_id", "depends_on"]).groupBy("conv_id", "turn").agg(F.collect_set("at").alias("deps"))
+    return stories.story_order(t.join(deps, ["conv_id", "turn"], "left"), ["conv_id"], ["turn"], tie="turn")
 
 
 @query("r23_structure", "WITH " + _TURNS + f", b AS (SELECT conv_id, p, {_BEAT_SQL} AS beat FROM t) SELECT conv_id, count(*) FILTER (beat = 'hook' AND p < 0.4) > 0 AS has_hook, count(*) FILTER (beat = 'climax' AND p BETWEEN 0.2 AND 0.9) > 0 AS has_climax, count(*) FILTER (beat = 'resolution' AND p > 0.6) > 0 AS has_resolution FROM b GROUP BY 1")
