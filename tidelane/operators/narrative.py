@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.operators.matching import best_matches, words_present
+
 # Places and priorities of beats.
 BEATS = ["hook", "climax", "resolution"]
 ROLE_PRIORITY = {"hook": 4, "development": 2, "climax": 3, "resolution": 1}
@@ -34,16 +36,14 @@ def merge_titled(segments: DataFrame, titled: DataFrame, key: str, tie: str = "i
     any. That segment, once for each highlight, gains twice the priority of its role; segments that begin where none of these does gain 1.5 for each distinct
     keyword of all highlights in their text, 4 at most. A hook comes first, then the better score; place is by key.
     """
-    low = F.lower("text")
-    count = F.size(F.filter("keywords", lambda k: F.contains(low, F.lower(k)))) + F.when(F.contains(low, F.lower("title")), 3).otherwise(0)
-    pairs = titled.join(segments, key).select(key, "place", "title", "role", tie, "start_ms", "score", count.alias("_hits")).where("_hits > 0")
-    best = Window.partitionBy(key, "place").orderBy(F.col("_hits").desc(), tie)
-    matched = pairs.withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    low = segments.select(key, tie, F.lower("text").alias("text"))
+    lowered = titled.select(key, "place", F.lower("title").alias("title"), F.transform("keywords", F.lower).alias("keywords"))
+    matched = best_matches(low, lowered, key, tie).join(titled.select(key, "place", "title", "role"), [key, "place"]).join(segments.select(key, tie, "start_ms", "score"), [key, tie])
     boost = F.coalesce(F.create_map(*[F.lit(x) for kv in ROLE_PRIORITY.items() for x in kv])[F.col("role")], F.lit(1)) * 2
     enhanced = matched.select(key, tie, "start_ms", (F.col("score") + boost).alias("score"), F.col("title"), F.col("role"), F.col("place").alias("_p"))
     rest = segments.join(matched.select(key, "start_ms"), [key, "start_ms"], "left_anti")
-    keywords = titled.select(key, F.explode("keywords").alias("_k")).distinct()
-    hits = rest.join(keywords, key).where(F.contains(low, F.lower("_k"))).groupBy(key, tie).agg(F.count(F.lit(1)).alias("_hits"))
+    keywords = titled.select(key, F.explode("keywords").alias("_k")).distinct().select(key, F.lower("_k").alias("_k"))
+    hits = words_present(low, keywords, key, "_k", tie).withColumnRenamed("hits", "_hits")
     gained = F.least(F.coalesce("_hits", F.lit(0)) * 1.5, F.lit(4.0))
     plain = rest.join(hits, [key, tie], "left").select(key, tie, "start_ms", (F.col("score") + gained).alias("score"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("int").alias("_p"))
     both = enhanced.unionByName(plain)
