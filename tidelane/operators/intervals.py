@@ -1,6 +1,6 @@
 """Intervals and sequences: islands, sessions, runs, alignment and range joins.
 
-What a window can express is a window; a range join becomes an equi-join on time buckets with the exact predicate on top.
+What a window can express is a window; a range join becomes an equi-join on time buckets of several widths with the exact predicate on top.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.storage import materialize, shuffle_partitions
+
 
 def overlaps(a_start, a_end, b_start, b_end) -> Column:
     """Half-open intervals that share more than a bound."""
@@ -128,21 +130,39 @@ def word_timing(segments: DataFrame, text: str = "text", start: str = "start_ms"
 
 
 # --- range joins ---
+#
+# An interval is one row at the level of its length: levels double in width, and at its level an interval is no longer than a bucket, so a point in it lies in the bucket
+# of its start or in the next. A point asks for two buckets at each level that its key has.
+
+
+def _width(level: Column, width) -> Column:
+    return F.lit(float(width)) * F.pow(F.lit(2.0), level)
 
 
-def _buckets(start: Column, end: Column, width) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
+def held(intervals: DataFrame, start: str, end: str, width) -> DataFrame:
+    """``intervals`` with _level and _bucket, a row each. Level 0 has buckets of ``width``."""
+    length = (F.col(end) - F.col(start)).cast("double")
+    guess = F.greatest(F.lit(0.0), F.ceil(F.log2(F.greatest(length, F.lit(float(width))) / width)))
+    level = F.when(length > _width(guess, width) * 0.999999, guess + 1).otherwise(guess)  # a bucket has room for rounding
+    return intervals.withColumn("_level", level.cast("int")).withColumn("_bucket", F.floor(F.col(start) / _width(F.col("_level"), width)))
+
+
+def _in_held(points: DataFrame, at: Column, right: DataFrame, key: list[str], width) -> DataFrame:
+    """Points with what is :func:`held` of their key in the buckets where what contains them stands."""
+    levels = right.groupBy(*key).agg(F.collect_set("_level").alias("_levels"))
+    asked = F.flatten(F.transform("_levels", lambda n: F.transform(F.array(F.lit(0), F.lit(1)), lambda back: F.struct(n.alias("n"), (F.floor(at / _width(n, width)) - back).alias("b")))))
+    probes = points.join(levels, key).withColumn("_ask", F.explode(asked)).select(*points.columns, F.col("_ask.n").alias("_level"), F.col("_ask.b").alias("_bucket"))
+    return probes.join(right, [*key, "_level", "_bucket"]).drop("_level", "_bucket")
 
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, key, at: str, start: str, end: str, width, tie: list[str], take: list[str]) -> DataFrame:
     """For each point the first interval, by ``tie``, that holds it (both ends count), with its ``take`` columns; nulls if none does.
 
-    ``points`` need a unique ``id``. ``width`` should be near an interval's usual length; a longer one is copied to each bucket that it covers.
+    ``points`` need a unique ``id``. ``width`` should be near a short interval's length; a longer one is a row all the same.
     """
     k = _by(key)
-    left = points.withColumn("_b", F.floor(F.col(at) / width))
-    right = intervals.select(*k, F.col(start).alias("_s"), F.col(end).alias("_e"), *[F.col(c).alias(f"_t_{c}") for c in tie], *[F.col(c).alias(f"_x_{c}") for c in take]).withColumn("_b", _buckets(F.col("_s"), F.col("_e"), width))
-    hits = left.join(right, [*k, "_b"]).where(F.col(at).between(F.col("_s"), F.col("_e")))
+    right = intervals.select(*k, F.col(start).alias("_s"), F.col(end).alias("_e"), *[F.col(c).alias(f"_t_{c}") for c in tie], *[F.col(c).alias(f"_x_{c}") for c in take])
+    hits = _in_held(points, F.col(at), held(right, "_s", "_e", width), k, width).where(F.col(at).between(F.col("_s"), F.col("_e")))
     first = hits.groupBy("id").agg(F.min_by(F.struct(*[F.col(f"_x_{c}").alias(c) for c in take]), F.struct(*[f"_t_{c}" for c in tie])).alias("_m"))
     return points.join(first, "id", "left").select(*points.columns, *[F.col(f"_m.{c}").alias(c) for c in take])
 
@@ -150,19 +170,47 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, key, at: str, sta
 def contained(inner: DataFrame, outer: DataFrame, key, width, inner_bounds=("start", "end"), outer_bounds=("start", "end"), outer_id: str = "outer_id") -> DataFrame:
     """Pairs of an inner interval that lies wholly in an outer one: the inner's columns and the outer's id."""
     k = _by(key)
-    right = outer.select(*k, outer_id, F.col(outer_bounds[0]).alias("_s"), F.col(outer_bounds[1]).alias("_e")).withColumn("_b", _buckets(F.col("_s"), F.col("_e"), width))
-    left = inner.withColumn("_b", F.floor(F.col(inner_bounds[0]) / width))
-    return left.join(right, [*k, "_b"]).where((F.col(inner_bounds[0]) >= F.col("_s")) & (F.col(inner_bounds[1]) <= F.col("_e"))).drop("_b", "_s", "_e")
+    right = held(outer.select(*k, outer_id, F.col(outer_bounds[0]).alias("_s"), F.col(outer_bounds[1]).alias("_e")), "_s", "_e", width)
+    hits = _in_held(inner, F.col(inner_bounds[0]), right, k, width)
+    # an inner one that ends before it begins may begin behind the outer one's end, which no bucket leads to: it lies in none
+    return hits.where((F.col(inner_bounds[0]) >= F.col("_s")) & (F.col(inner_bounds[1]) <= F.col("_e")) & (F.col(inner_bounds[0]) <= F.col("_e"))).drop("_s", "_e")
 
 
 def overlapping(left: DataFrame, right: DataFrame, key, width, left_bounds, right_bounds, right_id: str) -> DataFrame:
-    """Pairs of overlapping half-open intervals: the left's columns and the right's id, each pair once."""
+    """Pairs of overlapping half-open intervals: the left's columns and the right's id, each pair once.
+
+    Of two that overlap, the one that begins later begins in the other: the right ones that begin in left ones (or with them), and the left ones that begin in right ones.
+    """
     k = _by(key)
-    a = left.withColumn("_b", _buckets(F.col(left_bounds[0]), F.col(left_bounds[1]), width))
-    b = right.select(*k, right_id, F.col(right_bounds[0]).alias("_s"), F.col(right_bounds[1]).alias("_e")).withColumn("_b", _buckets(F.col("_s"), F.col("_e"), width))
-    hit = (F.col(left_bounds[0]) < F.col("_e")) & (F.col(left_bounds[1]) > F.col("_s"))
-    first_shared = F.greatest(F.floor(F.col(left_bounds[0]) / width), F.floor(F.col("_s") / width)) == F.col("_b")
-    return a.join(b, [*k, "_b"]).where(hit & first_shared).drop("_b", "_s", "_e")
+    ls, le = (F.col(c) for c in left_bounds)
+    b = right.select(*k, F.col(right_id).alias("_id"), F.col(right_bounds[0]).alias("_s"), F.col(right_bounds[1]).alias("_e"))
+    hit = (ls < F.col("_e")) & (le > F.col("_s"))
+    columns = [*left.columns, F.col("_id").alias(right_id)]
+    later = _in_held(left, ls, held(b, "_s", "_e", width), k, width).where(hit & (F.col("_s") < ls)).select(columns)
+    earlier = _in_held(b, F.col("_s"), held(left, *left_bounds, width), k, width).where(hit & (ls <= F.col("_s"))).select(columns)
+    return later.unionByName(earlier)
+
+
+def as_of(points: DataFrame, states: DataFrame, key, at: str, since: str, value: str, default, tie: str = "id", until: str | None = None) -> DataFrame:
+    """``points`` with ``value`` of the state of their key that began last at or before ``at`` - of several at once the greatest value - or ``default`` if none did, or if it was over (``until``) by then.
+
+    Both sides are laid out by key and time in ranges, so a key of any size is many tasks' work; what a key's last state was is carried from range to range in a table of one
+    row for each range and key. ``points`` need a unique ``tie``. Null times and keys have the default.
+    """
+    k, spark = _by(key), points.sparkSession
+    none = F.lit(None)
+    over = F.col(until) if until else none.cast(dict(states.dtypes)[since])
+    began = states.where(F.col(since).isNotNull()).select(*k, F.col(since).alias("_at"), F.struct(F.col(since).alias("a"), F.col(value).alias("v"), over.alias("u")).alias("_state"), none.cast(dict(points.dtypes)[tie]).alias("_tie"))
+    asked = points.where(F.col(at).isNotNull()).select(*k, F.col(at).cast(dict(states.dtypes)[since]).alias("_at"), none.cast(dict(began.dtypes)["_state"]).alias("_state"), F.col(tie).alias("_tie"))
+    ranged = began.unionByName(asked).repartitionByRange(shuffle_partitions(spark), *k, "_at").withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "as-of")  # a range is the same one in both uses
+    carried = ranged.groupBy(*k, "_range").agg(F.max("_state").alias("_last"))
+    carried = carried.withColumn("_before", F.max("_last").over(Window.partitionBy(*k).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    own = F.max("_state").over(Window.partitionBy(*k, "_range").orderBy("_at"))  # a range of values: states of the same time count
+    found = ranged.withColumn("_own", own).where(F.col("_tie").isNotNull()).join(carried, [*k, "_range"]).select("_tie", "_at", F.coalesce("_own", "_before").alias("_state"))
+    fits = F.col("_state").isNotNull() & (F.lit(True) if until is None else F.coalesce(F.col("_at") <= F.col("_state.u"), F.lit(False)))
+    told = found.select(F.col("_tie").alias(tie), F.when(fits, F.col("_state.v")).alias("_v"))
+    return points.join(told, tie, "left").withColumn(value, F.coalesce("_v", F.lit(default))).drop("_v")
 
 
 def overlap_anti(left: DataFrame, right: DataFrame, key, width, bounds=("start_ms", "end_ms"), left_id: str = "id") -> DataFrame:

@@ -151,7 +151,8 @@ def highlight_summary(jobs: DataFrame, segments: DataFrame) -> DataFrame:
 def global_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """RANK() over the whole table by ``value`` descending, without one task: ranks of distinct values by range partitions and their prefix sums, joined back."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    ordered = counts.repartitionByRange(F.col(value).desc_nulls_first()).withColumn("_p", F.spark_partition_id())
+    # stored, so that a range is the same one in its numbers and in its sum
+    ordered = materialize(counts.repartitionByRange(F.col(value).desc_nulls_first()).withColumn("_p", F.spark_partition_id()), "rank-ranges")
     ordered = ordered.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy(F.col(value).desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     bases = ordered.groupBy("_p").agg(F.sum("_n").alias("_t"))
     base = bases.withColumn("_base", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_base")  # a row a partition

@@ -147,6 +147,15 @@ def point_in_interval(s, d):
     return out.select("id", F.coalesce("turn", F.lit(-1)).alias("turn"))
 
 
+@query("j18_emotion_at", cte("span") + """, p AS (SELECT id, key, start_ms FROM span WHERE kind <> 'error'), t AS (SELECT key, start_ms AS s, max('feeling ' || k % 5) AS emotion, max(struct_pack(v := 'feeling ' || k % 5, e := end_ms + 36000000)).e AS e FROM span WHERE kind = 'error' GROUP BY 1, 2)
+SELECT p.id, CASE WHEN p.start_ms <= t.e THEN t.emotion ELSE 'neutral' END AS emotion FROM p ASOF LEFT JOIN t ON p.key = t.key AND p.start_ms >= t.s""")
+def emotion_at(s, d):
+    x = table(s, d, "span")
+    states = x.where("kind = 'error'").select("key", F.col("start_ms").alias("since"), (F.col("end_ms") + 36000000).alias("until"), F.concat(F.lit("feeling "), (F.col("k") % 5).cast("string")).alias("emotion"))
+    points = x.where("kind <> 'error'").select("id", "key", "start_ms")
+    return iv.as_of(points, states, "key", "start_ms", "since", "emotion", "neutral", until="until").select("id", "emotion")
+
+
 @query("j5_midpoint_in_interval", cte("span") + """, p AS (SELECT id, key, (start_ms + end_ms) / 2.0 AS m FROM span WHERE kind = 'view'), t AS (SELECT id AS tid, key, start_ms AS s, end_ms + 3600000 AS e FROM span WHERE kind = 'click')
 SELECT id, coalesce(speaker, 'UNKNOWN') AS speaker FROM (SELECT p.id, 'S' || t.tid AS speaker, row_number() OVER (PARTITION BY p.id ORDER BY t.s, t.tid) AS r FROM p LEFT JOIN t ON p.key = t.key AND p.m BETWEEN t.s AND t.e) WHERE r = 1""")
 def midpoint_in_interval(s, d):
