@@ -26,24 +26,40 @@ def token_bucket(df: DataFrame, key: list[str], at: str, amount: str, capacity:
     return ordered_fold(df.select(*key, tie, at, amount), key, [at, tie], step, f"{tie} {dict(df.dtypes)[tie]}, allowed boolean, tokens double")
 
 
+class Breaker:
+    """A circuit breaker's steps. State: its name, failures in a row, successes while half open, the last failure's time."""
+
+    first = ("CLOSED", 0, 0, 0.0)
+
+    def __init__(self, failures: int, recovery: float, successes: int):
+        self.failures, self.recovery, self.successes = failures, recovery, successes
+
+    def step(self, held: tuple, at: float, success) -> tuple[tuple, tuple]:
+        """The state after an event, and (executed, name). An event that is turned away changes nothing."""
+        state, failed, good, last = held
+        if state == "OPEN" and at - last >= self.recovery:
+            state, good = "HALF_OPEN", 0
+        executed = state != "OPEN"
+        if executed and success:
+            failed = 0
+            if state == "HALF_OPEN":
+                good += 1
+                state = "CLOSED" if good >= self.successes else state
+        elif executed:
+            failed, last = failed + 1, at
+            state = "OPEN" if failed >= self.failures else state
+        return (state, failed, good, last), (executed, state)
+
+
 def circuit_breaker(df: DataFrame, key: list[str], at: str, success: str, failures: int = 5, recovery: float = 30.0, successes: int = 3, tie: str = "id") -> DataFrame:
     """State after each event, and whether it was let through. An event that is turned away changes nothing."""
+    machine = Breaker(failures, recovery, successes)
 
     def step(rows: Iterator[Row]):
-        state, failed, good, last = "CLOSED", 0, 0, 0.0
+        held = machine.first
         for r in rows:
-            if state == "OPEN" and r[at] - last >= recovery:
-                state, good = "HALF_OPEN", 0
-            executed = state != "OPEN"
-            if executed and r[success]:
-                failed = 0
-                if state == "HALF_OPEN":
-                    good += 1
-                    state = "CLOSED" if good >= successes else state
-            elif executed:
-                failed, last = failed + 1, r[at]
-                state = "OPEN" if failed >= failures else state
-            yield r[tie], executed, state
+            held, told = machine.step(held, r[at], r[success])
+            yield r[tie], *told
 
     return ordered_fold(df.select(*key, tie, at, success), key, [at, tie], step, f"{tie} {dict(df.dtypes)[tie]}, executed boolean, state string")
 
@@ -62,15 +78,31 @@ def cooldown(df: DataFrame, key: list[str], at: str, seconds: float, tie: str =
     return ordered_fold(df.select(*key, tie, at), key, [at, tie], step, f"{tie} {kind[tie]}, {at} {kind[at]}")
 
 
+class Budget:
+    """A budget's steps. State: what has been spent."""
+
+    first = (0.0,)
+
+    def __init__(self, cap: float, overshoot: bool):
+        self.cap, self.overshoot = cap, overshoot
+
+    def step(self, held: tuple, at: float, cost: float) -> tuple[tuple, tuple]:
+        """The state after a call, and (allowed, total)."""
+        (total,) = held
+        ok = total < self.cap if self.overshoot else total + cost <= self.cap
+        total += cost if ok else 0
+        return (total,), (ok, float(total))
+
+
 def budget_guard(df: DataFrame, key: list[str], at: str, cost: str, cap: float = 5.0, overshoot: bool = False, tie: str = "id") -> DataFrame:
     """Whether each call is paid for: if it keeps the total within the cap, or, with ``overshoot``, if the total was below it before. What is refused isn't counted."""
+    machine = Budget(cap, overshoot)
 
     def step(rows: Iterator[Row]):
-        total = 0.0
+        held = machine.first
         for r in rows:
-            ok = total < cap if overshoot else total + r[cost] <= cap
-            total += r[cost] if ok else 0
-            yield r[tie], ok, float(total)
+            held, told = machine.step(held, r[at], r[cost])
+            yield r[tie], *told
 
     return ordered_fold(df.select(*key, tie, at, cost), key, [at, tie], step, f"{tie} {dict(df.dtypes)[tie]}, allowed boolean, total double")
 
@@ -111,6 +143,18 @@ def held_alerts(df: DataFrame, key: list[str], at: str, condition: str, seconds:
     return since.groupBy(*key, F.col("_since").alias("since")).agg(F.min(F.when(F.col(at) - F.col("_since") >= seconds, F.col(at))).alias("fired_at"), F.max(at).alias("last_at")).where("fired_at IS NOT NULL")
 
 
+def timed_alerts(df: DataFrame, key: list[str], at: str, condition: str, seconds: float, tie: str = "id") -> DataFrame:
+    """Spells in which a condition held, from a sample until one that says otherwise, for at least ``seconds``: since when, and fired_at, ``seconds`` later, whether or not there is a sample then.
+
+    A spell that no sample has ended goes on. Of samples of one time the order is that of ``tie``.
+    """
+    w = Window.partitionBy(*key).orderBy(at, tie)
+    holds = F.coalesce(F.col(condition), F.lit(False))
+    edges = df.select(*key, at, tie, holds.alias("_on")).withColumn("_edge", F.col("_on") != F.coalesce(F.lag("_on").over(w), F.lit(False))).where("_edge")
+    spells = edges.withColumn("_until", F.lead(at).over(w)).where("_on")
+    return spells.where(F.col("_until").isNull() | (F.col("_until") - F.col(at) >= seconds)).select(*key, F.col(at).alias("since"), (F.col(at) + seconds).alias("fired_at"))
+
+
 #: Alert rules: name -> (condition, severity, cooldown in seconds)
 ALERT_RULES = {
     "circuit_breaker_open": ("state = 'OPEN'", "critical", 60),

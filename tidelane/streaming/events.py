@@ -32,6 +32,23 @@ def sessions(events: DataFrame, gap: str = "2 hours", lateness: str = "10 minute
     return out
 
 
+def near_events(left: DataFrame, right: DataFrame, seconds: float, key: str = "user_id", lateness: tuple[str, str] = ("10 minutes", "10 minutes")) -> DataFrame:
+    """(key, event_id, ts, near_id, near_ts): pairs of a key's events less than ``seconds`` apart, one of each stream.
+
+    Each stream has its own watermark; a row that is later than its stream's lateness is dropped, and state is kept for ``seconds`` beyond the other's watermark.
+    """
+    a = left.withWatermark("ts", lateness[0]).select(key, "event_id", "ts")
+    b = right.withWatermark("ts", lateness[1]).select(F.col(key).alias("_key"), F.col("event_id").alias("near_id"), F.col("ts").alias("near_ts"))
+    apart = F.expr(f"INTERVAL {seconds} SECONDS")
+    near = (F.col(key) == F.col("_key")) & (F.col("near_ts") > F.col("ts") - apart) & (F.col("near_ts") < F.col("ts") + apart)
+    return a.join(b, near).drop("_key")
+
+
+def insert_if_absent(events: DataFrame, key: list[str], lateness: str = "10 minutes") -> DataFrame:
+    """The first row of each ``key`` to come, while the watermark hasn't passed it by ``lateness``; repeats of a key go, and rows later than ``lateness`` too."""
+    return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(key)
+
+
 def running_totals(events: DataFrame, key: str = "user_id") -> DataFrame:
     """Totals by key in update mode; pair with :func:`upsert_sink`."""
     return events.groupBy(key).agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
