@@ -142,6 +142,14 @@ def _mask(texts: pd.Series) -> pd.Series:
     return out
 
 
+def named_uuid(name: Column) -> Column:
+    """A UUID that follows from a name: its md5 with the version (3) and variant bits set. Equal names have equal UUIDs, on any executor and in any retry."""
+    h = F.md5(name)
+    part = lambda a, n: F.substring(h, a, n)
+    variant = F.substring(F.lit("89ab"), ((F.instr(F.lit("0123456789abcdef"), part(17, 1)) - 1) % 4 + 1), F.lit(1))
+    return F.when(name.isNotNull(), F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("3"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12)))
+
+
 def variant_bucket(job: Column, experiment: Column | str) -> Column:
     """1 to 100 from the md5 of ``job:experiment`` taken as a number."""
     digest = F.md5(F.concat(job.cast("string"), F.lit(":"), F.lit(experiment) if isinstance(experiment, str) else experiment))

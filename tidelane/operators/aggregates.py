@@ -84,6 +84,40 @@ def health(services: DataFrame, alerts: DataFrame) -> DataFrame:
     return both.withColumn("overall_status", F.when(F.col("critical_alerts") > 0, "critical").when(F.col("high_alerts") > 0, "degraded").when(F.col("health_score") < 80, "warning").otherwise("healthy"))
 
 
+#: Of a sketch of this size, a quantile's true rank is within 1.65 hundredths of what was asked for, with 99 % confidence, however many sketches were merged.
+SKETCH, SKETCH_ERROR = 200, 0.0165
+
+
+def quantile_sketches(df: DataFrame, keys: list[str], at: str, value: str, size: int = SKETCH) -> DataFrame:
+    """(keys, hour, n, total, least, most, sketch): what is kept of each hour's values, a few kilobytes whatever their number. Null values don't count."""
+    v = F.col(value).cast("double")
+    hour = F.date_trunc("hour", F.col(at).cast("timestamp")).alias("hour")
+    return df.where(v.isNotNull()).groupBy(*keys, hour).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), F.kll_sketch_agg_double(v, size).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, keys: list[str], quantiles: dict[str, float], since: str | None = None, until: str | None = None) -> DataFrame:
+    """(keys, n, mean, least, most, a column for each of ``quantiles``) over the hours from ``since`` to before ``until``, from their sketches alone. All but the quantiles is exact; for them see SKETCH_ERROR."""
+    own = sketches
+    own = own.where(F.col("hour") >= F.lit(since).cast("timestamp")) if since else own
+    own = own.where(F.col("hour") < F.lit(until).cast("timestamp")) if until else own
+    merged = own.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("_total"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_double("sketch").alias("_sketch"))
+    return merged.select(*keys, "n", (F.col("_total") / F.col("n")).alias("mean"), "least", "most", *[F.kll_sketch_get_quantile_double("_sketch", F.lit(float(q))).alias(name) for name, q in quantiles.items()])
+
+
+def quantile_errors(df: DataFrame, keys: list[str], value: str, estimates: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """``estimates`` with name_error for each of ``quantiles``: how far the estimate's true ranks in ``df`` are from what was asked for, 0 if it stands at that rank."""
+    v = F.col(value).cast("double")
+    e = estimates.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(q).alias(f"_{q}") for q in quantiles])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = df.where(v.isNotNull()).join(e, same)
+    counts = [x for q in quantiles for x in (F.count_if(v < F.col(f"_{q}")).alias(f"_{q}_below"), F.count_if(v <= F.col(f"_{q}")).alias(f"_{q}_upto"))]
+    ranks = joined.groupBy(*[f"_{k}" for k in keys]).agg(F.count(F.lit(1)).alias("_all"), *counts)
+    share = lambda name: F.col(name) / F.col("_all")
+    errors = [F.greatest(share(f"_{q}_below") - p, F.lit(p) - share(f"_{q}_upto"), F.lit(0.0)).alias(f"{q}_error") for q, p in quantiles.items()]
+    back = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return estimates.join(ranks, back).select(*estimates.columns, *errors)
+
+
 def trailing_counts(df: DataFrame, key: list[str], at: str, seconds: dict[str, int]) -> DataFrame:
     """For each event, how many of its key came less than so many seconds before it, itself not counted."""
     micros = F.unix_micros(F.col(at).cast("timestamp"))

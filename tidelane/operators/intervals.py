@@ -38,13 +38,22 @@ def merge_bounds(df: DataFrame, key, start: str = "start_ms", end: str = "end_ms
     return islands(df, k, start, end, gap).groupBy(*k, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("island")
 
 
-def merge_typed(df: DataFrame, key, start: str = "start_ms", end: str = "end_ms", score: str = "value", kind: str = "kind") -> DataFrame:
-    """Strictly overlapping intervals become one, with the greatest score and their common kind or ``mixed``."""
+def merge_typed(df: DataFrame, key, start: str = "start_ms", end: str = "end_ms", score: str = "value", kind: str = "kind", features: str | None = None) -> DataFrame:
+    """Strictly overlapping intervals become one, with the greatest score and their common kind or ``mixed``.
+
+    ``features``: a map column; the merged one has each feature's last value, by the intervals' order (start, end, id). Maps that are null have no features.
+    """
     k = _by(key)
     w = Window.partitionBy(*k).orderBy(start, end, "id")
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     numbered = df.withColumn("_new", ((F.col(start) >= reach) | reach.isNull()).cast("int")).withColumn("island", F.sum("_new").over(w))
-    return numbered.groupBy(*k, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.max(score).alias(score), F.when(F.min(kind) == F.max(kind), F.min(kind)).otherwise("mixed").alias(kind)).drop("island")
+    out = numbered.groupBy(*k, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.max(score).alias(score), F.when(F.min(kind) == F.max(kind), F.min(kind)).otherwise("mixed").alias(kind))
+    if features:
+        each = numbered.select(*k, "island", F.struct(start, end, "id").alias("_o"), F.explode(features).alias("_f", "_v"))
+        last = each.groupBy(*k, "island", "_f").agg(F.max_by("_v", "_o").alias("_v"))
+        maps = last.groupBy(*k, "island").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_f", "_v")))).alias(features))  # as many as a feature has names
+        out = out.join(maps, [*k, "island"], "left").withColumn(features, F.coalesce(features, F.create_map().cast(df.schema[features].dataType)))
+    return out.drop("island")
 
 
 def sessions(df: DataFrame, key, at: str, gap, least=0) -> DataFrame:

@@ -66,6 +66,30 @@ def to_srt(lines: DataFrame, key: list[str], style: str = "srt") -> DataFrame:
     return lines.groupBy(*key).agg(F.concat(F.lit("WEBVTT\n\n") if style == "vtt" else F.lit(""), body).alias("content"))
 
 
+def to_subtitle_json(lines: DataFrame, words: DataFrame, key: list[str], slug: str, tie: str = "pos") -> DataFrame:
+    """A clip's subtitles (lines: line, start, end in seconds, text) with their words (``tie``, word, start, end, confidence) as JSON: one row a key.
+
+    clip_info has the slug, the clip's bounds, which are those of its words, its number of words and their mean confidence; each subtitle its times within the clip, the mean confidence
+    of its words, and the words: those that begin from its start on and before the next line. Words before the first line are in none. A clip without words has no row.
+    """
+    ms = lambda c: F.round(c * 1000).cast("long")
+    w = Window.partitionBy(*key).orderBy("start", "_side", tie)
+    mark = F.struct("line", F.col("start").alias("from"), F.col("end").alias("to"), "text")
+    marks = lines.select(*key, "start", F.lit(0).alias("_side"), F.lit(None).cast(dict(words.dtypes)[tie]).alias(tie), mark.alias("_line"), *[F.lit(None).cast(dict(words.dtypes)[c]).alias(c) for c in ("word", "end", "confidence")])
+    both = words.select(*key, "start", F.lit(1).alias("_side"), tie, F.lit(None).cast(dict(marks.dtypes)["_line"]).alias("_line"), "word", "end", "confidence").unionByName(marks)
+    placed = both.withColumn("_line", F.last("_line", ignorenulls=True).over(w))
+    said = placed.where("_side = 1")
+    word = F.struct("start", F.col(tie).alias("_t"), "word", "end", "confidence")
+    shown = lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end"), x["confidence"].alias("confidence"))
+    per_line = placed.where("_line IS NOT NULL").groupBy(*key, "_line").agg(F.avg(F.when(F.col("_side") == 1, F.col("confidence"))).alias("_c"), F.transform(F.sort_array(F.collect_list(F.when(F.col("_side") == 1, word))), shown).alias("_w"))
+    info = said.groupBy(*key).agg(F.min("start").alias("_a"), F.max("end").alias("_b"), F.count(F.lit(1)).alias("_n"), F.avg("confidence").alias("_mean"))
+    begin = ms(F.col("_a"))
+    cue = per_line.join(info, key).select(*key, F.struct(F.col("_line.line").alias("index"), (ms(F.col("_line.from")) - begin).alias("start_ms"), (ms(F.col("_line.to")) - begin).alias("end_ms"), F.col("_line.text").alias("text"), F.col("_c").alias("confidence"), F.col("_w").alias("words")).alias("_cue"))
+    cues = cue.groupBy(*key).agg(F.sort_array(F.collect_list("_cue")).alias("_cues"))
+    clip = F.struct(F.expr(slug).alias("slug"), begin.alias("start_ms"), ms(F.col("_b")).alias("end_ms"), (ms(F.col("_b")) - begin).alias("duration_ms"), F.col("_n").alias("word_count"), F.col("_mean").alias("average_confidence"))
+    return info.join(cues, key, "left").select(*key, F.to_json(F.struct(clip.alias("clip_info"), F.coalesce("_cues", F.array()).alias("subtitles"))).alias("content"))
+
+
 def write_texts(df: DataFrame, path: str, key: str, content: str = "content") -> None:
     """Texts below a folder for each key."""
     df.select(key, F.col(content).alias("value")).write.partitionBy(key).text(path)
