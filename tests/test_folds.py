@@ -528,7 +528,7 @@ def test_crops(spark):
 def test_bridges(spark, spans):
     want = []
     for k, rows in spans.items():
-        clips = sorted((r for r in rows if r["value"] > 60), key=lambda r: -r["k"] * 100000 + r["id"])
+        clips = sorted(rows, key=lambda r: -r["k"] * 100000 + r["id"])
         out, used = [], set()
         for i, c in enumerate(clips):
             if i and abs(c["start_ms"] - clips[i - 1]["end_ms"]) > 120000:
@@ -655,5 +655,36 @@ def test_subtitle_files(spark):
     check(spark, "s7_parsed_subtitles", ["conv_id", "cue", "start_ms", "end_ms"], [(k, r["line"], ms(r["start"]), ms(r["end"])) for k, rows in lines.items() for r in rows])
 
 
+def test_faulty_subtitles_are_told(spark):
+    lines = by_key(catalog.queries()["i13_subtitle_lines"](spark, SF), "conv_id", ["line"])
+    ms = lambda x: math.floor(x * 1000 + 0.5)
+    want = []
+    for k, rows in lines.items():
+        ends = [max(0.0, r["start"] - 0.25 if r["line"] % 4 == 1 else r["end"] + 30 if r["line"] % 4 == 2 else r["end"]) for r in rows]
+        for i, r in enumerate(rows):
+            want += [(k, r["line"], "Invalid timing")] if ms(r["start"]) >= ms(ends[i]) else []
+            want += [(k, r["line"], "Timing overlap")] if i + 1 < len(rows) and ms(ends[i]) > ms(rows[i + 1]["start"]) else []
+    check(spark, "r17_subtitle_issues", ["conv_id", "cue", "issue"], want)
+    assert len({w[2] for w in want}) == 2
+
+
+def test_nearest_vectors_of_any_length(spark):
+    from tidelane.operators import vectors
+
+    rng = np.random.default_rng(6)
+    known = [(i, rng.normal(size=n).tolist()) for i, n in enumerate([3, 3, 3, 2, 2, 5] * 5)] + [(90, None), (91, [1.0, None, 0.0]), (92, [float("nan"), 1.0]), (93, []), (94, [0.0, 0.0])]
+    rows = [(i, rng.normal(size=n).tolist()) for i, n in enumerate([3, 2, 4, 5, 3] * 20)] + [(500, None), (501, [None, 1.0]), (502, [float("inf"), 1.0]), (503, []), (504, [0.0, 0.0]), (505, known[3][1])]
+    f = "id int, v array<double>"
+    got = {r.id: (r.name, round(r.score, 9)) for r in vectors.nearest(spark.createDataFrame(rows, f), spark.createDataFrame(known, f).withColumnRenamed("id", "name"), "id", "v", "name", 0.2).collect()}
+    good = lambda v: bool(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = {}
+    for i, v in rows:
+        alike = [(-cos(v, w), n) for n, w in known if good(v) and good(w) and len(v) == len(w)]
+        if alike and -min(alike)[0] > 0.2:
+            want[i] = (min(alike)[1], round(-min(alike)[0], 9))
+    assert got == want and len(want) > 50
+
+
 def test_timed_events_feed_the_state_machines(spark, spans):
     assert timeline_queries._timed(spark, SF).count() == sum(map(len, spans.values()))

@@ -37,13 +37,15 @@ def test_query_equals_sql(spark, duck, name):
     want = duck.execute(catalog.oracle_sql()[name])
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
-    assert rows(got.columns, map(tuple, got.collect())) == rows(columns, want.fetchall())
+    found = got.collect()
+    assert rows(got.columns, map(tuple, found)) == rows(columns, want.fetchall())
+    assert found, "a query without rows shows nothing"
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_runs(spark, name):
     df = catalog.queries()[name](spark, SF)
-    assert (df.count() > 0 or name == "r17_subtitle_issues") and len(set(df.columns)) == len(df.columns)  # sound subtitles have no issues: r17_cue_issues has
+    assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
 def test_entry_has_a_stable_schema(spark):

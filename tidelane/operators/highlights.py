@@ -80,20 +80,26 @@ def group_words(words: DataFrame, key: list[str], tie: str = "pos", size: int =
 
 
 def subtitle_lines(words: DataFrame, key: list[str], tie: str = "pos") -> DataFrame:
-    """Subtitle lines of three to five seconds without repeated words, neither overlapping nor shorter than a fifth of a second. ``words`` carry clip_start, in seconds."""
+    """Subtitle lines of three to five seconds without repeated words, neither overlapping nor shorter than a fifth of a second. ``words`` carry clip_start, in seconds. A line waits for the next one only."""
 
     def step(rows: Iterator[Row]):
-        lines: list[list] = []
+        line: list | None = None  # the one whose end may still move
+        number = 0
         held: list[str] = []
         begin = before = last = None
         base = 0.0
         waiting = False  # the next word, repeated or not, gives a line's start
 
         def close(end):
+            nonlocal line, number
             a, b = begin - base, end - base
-            if lines and a < lines[-1][1]:
-                a = lines[-1][1] + 0.1
-            lines.append([a, b if b > a else a + 0.5, _unrepeated(" ".join(held).split())])
+            if line and a < line[1]:
+                a = line[1] + 0.1
+            if line:
+                until = min(line[1], a - 0.05) if line[1] > a else line[1]
+                number += 1
+                yield number, line[0], max(until, line[0] + 0.2) if until - line[0] < 0.2 else until, line[2]
+            line = [a, b if b > a else a + 0.5, _unrepeated(" ".join(held).split())]
 
         for r in rows:
             if begin is None or waiting:
@@ -104,14 +110,12 @@ def subtitle_lines(words: DataFrame, key: list[str], tie: str = "pos") -> DataFr
             held.append(r["word"])
             before = r["word"]
             if (r["end"] - begin >= 3 and r["word"].endswith((*_CLOSE, ","))) or r["end"] - begin >= 5:
-                close(r["end"])
+                yield from close(r["end"])
                 held, waiting = [], True
         if held:
-            close(last)
-        for now, after in zip(lines, lines[1:], strict=False):
-            now[1] = min(now[1], after[0] - 0.05) if now[1] > after[0] else now[1]
-            now[1] = max(now[1], now[0] + 0.2) if now[1] - now[0] < 0.2 else now[1]
-        yield from ((i + 1, *line) for i, line in enumerate(lines))
+            yield from close(last)
+        if line:
+            yield number + 1, *line
 
     return ordered_fold(words.select(*key, tie, "word", "start", "end", "clip_start"), key, ["start", tie], step, "line int, start double, end double, text string")
 

@@ -30,9 +30,11 @@ def parsed_subtitles(s, d):
 
 @query("r17_subtitle_issues")
 def subtitle_issues(s, d):
-    return files.subtitle_issues(files.parse_srt(_subtitles(s, d), ["conv_id"], "content"), ["conv_id"])
-
-
+    """Subtitles of which some lines end before they begin, and some after the next begins."""
+    lines = hl.subtitle_lines(tq._stream(s, d).withColumn("clip_start", F.lit(0.0)), ["conv_id"])
+    wrong = F.when(F.col("line") % 4 == 1, F.col("start") - 0.25).when(F.col("line") % 4 == 2, F.col("end") + 30).otherwise(F.col("end"))
+    faulty = files.to_srt(lines.withColumn("end", F.greatest(wrong, F.lit(0.0))), ["conv_id"])
+    return files.subtitle_issues(files.parse_srt(faulty, ["conv_id"], "content"), ["conv_id"])
 
 
 @query("s6_plan_errors", cte("span") + """SELECT id, list_filter([CASE WHEN k % 7 = 0 THEN 'missing render' END, CASE WHEN k % 7 = 0 THEN 'missing render.format' END, CASE WHEN k % 7 = 0 THEN 'missing render.codec' END, CASE WHEN k % 7 = 0 THEN 'missing render.crf' END, CASE WHEN k % 10 = 0 THEN 'action type' END,
@@ -83,7 +85,7 @@ def tracked_boxes(s, d):
 
 @query("i28_bridged_clips")
 def bridged_clips(s, d):
-    clips = table(s, d, "span").where("value > 60").select("key", "id", "start_ms", "end_ms", F.when(F.col("kind") == "error", "climax").otherwise("development").alias("role"), (-F.col("k") * 100000 + F.col("id")).alias("place"))
+    clips = table(s, d, "span").select("key", "id", "start_ms", "end_ms", F.when(F.col("kind") == "error", "climax").otherwise("development").alias("role"), (-F.col("k") * 100000 + F.col("id")).alias("place"))
     return tracks.bridge_gaps(clips, ["key"], "place")
 
 

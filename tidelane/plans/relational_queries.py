@@ -140,9 +140,14 @@ def violations(s, d):
     return rel.violations(table(s, d, "segment"), rules).select(F.explode("violations").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p16_suspicious_text", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'drop|delete|insert|update|alter|create|exec|union|select|--|/\\*|\\*/|;')")
+#: What documents are held to say, in turn, before their own text.
+_FRAGMENTS = ["plain words", "please select one", "it is done; next", "a UNION of two", "nothing here", "-- a note", "words /* in */ stars", "undeleted", "a quiet day"]
+_SUSPECT = "concat(element_at(array(" + ", ".join(f"'{x}'" for x in _FRAGMENTS) + "), CAST(doc_id % " + str(len(_FRAGMENTS)) + " AS INT) + 1), ' ', text)"
+
+
+@query("p16_suspicious_text", f"WITH t AS (SELECT doc_id, {_SUSPECT.replace('element_at(array(', 'list_extract(list_value(')} AS text FROM documents) SELECT doc_id FROM t WHERE regexp_matches(lower(text), 'drop|delete|insert|update|alter|create|exec|union|select|--|/\\*|\\*/|;')")
 def suspicious_text(s, d):
-    return source(s, d, "documents").where(rel.suspicious(F.col("text"))).select("doc_id")
+    return source(s, d, "documents").selectExpr("doc_id", f"{_SUSPECT} AS text").where(rel.suspicious(F.col("text"))).select("doc_id")
 
 
 @query("p4_case_coalesce", cte("job") + "SELECT CASE WHEN run_seconds IS NULL THEN 'open' WHEN run_seconds < 1800 THEN 'short' ELSE 'long' END AS band, count(*) AS n, sum(coalesce(run_seconds, 0))::BIGINT AS seconds FROM job GROUP BY 1")

@@ -90,23 +90,34 @@ def story_beats(s, d):
     return _turns(s, d).select("conv_id", "turn", scoring.story_beat(F.col("text"), F.col("p")).alias("beat"))
 
 
+#: What turns are held to say, in turn, before their own text: words of beats in and out of their place, and plain ones.
+_SAID = ["imagine the Background", "plain words", "an important question", "suddenly we found it", "in the end, remember", "it started when, at first", "you WON'T believe the summary", "because of a breakthrough", "what I learned finally"]
+_QUOTED = ", ".join("'" + x.replace("'", "''") + "'" for x in _SAID)
+_TOLD = f"u AS (SELECT conv_id, turn, p, lower(concat(list_extract(list_value({_QUOTED}), CAST((conv_id * 2 + turn) % {len(_SAID)} AS INT) + 1), ' ', text)) AS low FROM t)"
+
+
+def _told(s, d):
+    said = F.element_at(F.array(*map(F.lit, _SAID)), ((F.col("conv_id") * 2 + F.col("turn")) % len(_SAID) + 1).cast("int"))
+    return _turns(s, d).withColumn("text", F.concat(said, F.lit(" "), "text"))
+
+
 _BANDS = " ".join(f"WHEN {' AND '.join(x for x in (f'p >= {lo}' if lo is not None else '', f'p < {hi}' if hi is not None else '') if x)} AND {_any('low', w)} THEN " + "'{}|{}'".format(b, c) for b, (lo, hi, w, c) in lex.STORY_BANDS.items())
 
 
-@query("r3_band_beats", "WITH " + _TURNS + f", b AS (SELECT conv_id, turn, CASE {_BANDS} END AS b FROM t) SELECT conv_id, turn, split_part(b, '|', 1) AS beat, split_part(b, '|', 2)::DOUBLE AS confidence FROM b WHERE b IS NOT NULL")
+@query("r3_band_beats", "WITH " + _TURNS + f", {_TOLD}, b AS (SELECT conv_id, turn, CASE {_BANDS} END AS b FROM u) SELECT conv_id, turn, split_part(b, '|', 1) AS beat, split_part(b, '|', 2)::DOUBLE AS confidence FROM b WHERE b IS NOT NULL")
 def band_beats(s, d):
     beat, sure = scoring.band_beat(F.col("text"), F.col("p"))
-    return _turns(s, d).select("conv_id", "turn", beat.alias("beat"), sure.alias("confidence")).where("confidence > 0.4")
+    return _told(s, d).select("conv_id", "turn", beat.alias("beat"), sure.alias("confidence")).where("confidence > 0.4")
 
 
 _PATTERNS = ", ".join(f"CASE WHEN {_any('low', [w for w in words])} THEN '{b}' END" for b, words in lex.BEAT_PATTERNS.items())
 
 
-@query("r4_beat_patterns", "WITH " + _TURNS + f"SELECT conv_id, turn, unnest(list_filter([{_PATTERNS}], lambda x: x IS NOT NULL)) AS beat FROM t")
+@query("r4_beat_patterns", "WITH " + _TURNS + f", {_TOLD} SELECT conv_id, turn, unnest(list_filter([{_PATTERNS}], lambda x: x IS NOT NULL)) AS beat FROM u")
 def beat_patterns(s, d):
     low = F.lower("text")
     hits = F.array_compact(F.array(*[F.when(text.count_present(low, [w for w in words if w == w.lower()]) > 0, b) for b, words in lex.BEAT_PATTERNS.items()]))
-    return source(s, d, "conversations").select("conv_id", "turn", F.explode(hits).alias("beat"))
+    return _told(s, d).select("conv_id", "turn", F.explode(hits).alias("beat"))
 
 
 @query("r6_polarity", f"WITH t AS (SELECT doc_id, {_present('lower(text)', lex.POLARITY[0])} AS p, {_present('lower(text)', lex.POLARITY[1])} AS n FROM documents) SELECT doc_id, CASE WHEN p + n = 0 THEN 0.0 ELSE round((p - n) / (p + n), 8) END AS polarity FROM t")
