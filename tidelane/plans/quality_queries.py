@@ -218,10 +218,10 @@ def restored(s, d):
     return rel.restore(first, c, ["job", "stage"], AS_OF)[0]
 
 
-@query("u5_set_operations", "(SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'error') EXCEPT (SELECT user_id FROM events WHERE value > 150 UNION SELECT user_id FROM events WHERE value < 0.05)")
+@query("u5_set_operations", "(SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'error') EXCEPT (SELECT user_id FROM events WHERE value > 350 UNION SELECT user_id FROM events WHERE value < 0.02)")
 def set_operations(s, d):
     ids = lambda where: source(s, d, "events").where(where).select("user_id")
-    return ids("event_type = 'view'").intersect(ids("event_type = 'error'")).exceptAll(ids("value > 150").union(ids("value < 0.05")).distinct())
+    return ids("event_type = 'view'").intersect(ids("event_type = 'error'")).exceptAll(ids("value > 350").union(ids("value < 0.02")).distinct())
 
 
 @query("s5_json_documents", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_nationkey AS nation FROM customer")
