@@ -116,6 +116,35 @@ def test_chained_classes_make_small_tiles(spark):
     assert all(r["n_links"] == 0 for r in ngram_join.jaccard_join(docs, width=1).collect())
 
 
+def _found(spark, sets):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(sets)], "doc_id long, text string")
+    found = ngram_join.candidates(docs, 1, 80, sum(map(len, sets))).withColumn("node", F.struct(F.col("c1").alias("rep"), "c1")).withColumn("weight", F.lit(1))
+    return docs, found
+
+
+def test_rows_of_one_template_with_words_of_their_own_are_not_sent(spark):
+    """Eight of ten words are common to 16,000 texts: no pair has the nine that it needs."""
+    own = [[*(f"t{k}" for k in range(8)), f"a{i}", f"b{i}"] for i in range(16_000)]
+    own += [[*(f"t{k}" for k in range(8)), "near", "copy", f"c{i}"] for i in range(3)]  # ten of eleven, of twelve together
+    docs, found = _found(spark, own)
+    assert ngram_join.tiles(found, 80).count() < 100
+    linked = {r["doc_id"]: r["n_links"] for r in ngram_join.jaccard_join(docs, width=1).where("n_links > 0").collect()}
+    assert linked == {16_000 + i: 2 for i in range(3)}
+
+
+def test_templates_of_any_size_equal_brute_force(spark):
+    rng = random.Random(9)
+    template = [f"t{k}" for k in range(30)]
+    own = [[*template[: rng.randrange(1, 31)], *(f"w{rng.randrange(40)}" for _ in range(rng.randrange(0, 8)))] for _ in range(400)]
+    docs, _ = _found(spark, own)
+    sets = [set(x) for x in own]
+    want = [sum(100 * len(a & b) >= 80 * len(a | b) for b in sets) - 1 for a in sets]
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.jaccard_join(docs, width=1).collect()}
+    assert [got[i] for i in range(400)] == want and sum(want) > 1000
+
+
 @pytest.mark.parametrize("few", [0, 4, 10**6])
 def test_products_by_scattering_and_by_dense_blocks_agree(few):
     rng = np.random.default_rng(few)

@@ -4,7 +4,7 @@
 2. Of two sets that reach the threshold, a size-derived bound says that they share one of the first |s| - ceil(t |s|) + 1 shingles of
    each in any common order. That order is rare first: shingles are counted over all documents, in packed batches whose distinct shingles
    go to their range of hashes once and whose counts come back, so a shingle of any frequency is one entry a batch. A shingle of
-   one document meets no other, so most documents have no posting at all.
+   one document meets no other, so most documents have no posting at all, nor does a shingle from which on too little is left of every other set.
 3. A class' home is the most frequent of its prefix shingles. The rows of a home are cut into blocks of about equal sizes of sets. Two
    blocks make a tile if rows of them share a prefix shingle and their sizes can reach the threshold, and only those rows go there; so each
    pair that can reach it meets in exactly one tile, and classes that are only chained by others meet in none.
@@ -220,14 +220,34 @@ def _can_reach(n, low, high, percent: int):
     return (percent * n <= 100 * high) & (percent * low <= 100 * n)
 
 
+def _viable(active: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n): the prefix shingles of ``active`` by which a row can reach the threshold with any other row.
+
+    If a pair's first common shingle has ``rest`` shingles of a set from it on, the pair has no more than the lesser rest in common. So a shingle of any number of rows is looked at by
+    classes of about equal sizes, each with its greatest rest: texts of one template and with words of their own before it, in order, meet nowhere.
+    """
+    rest = (F.octet_length("own") / 8).cast("long") - F.col("place")
+    posted = active.select(F.posexplode("prefix").alias("place", "token"), "node", "n", "own").select("token", "node", "n", rest.alias("rest"), F.floor(F.log(F.col("n")) / math.log(1.05)).alias("size"))
+    sizes = posted.groupBy("token", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most"), F.count(F.lit(1)).alias("rows"))
+    by_token = sizes.groupBy("token").agg(F.collect_list(F.struct("size", "low", "high", "most", "rows")).alias("_sizes"), F.sum("rows").alias("_rows")).where("_rows > 1")
+
+    def meets(other):
+        least = F.greatest(other["low"], F.ceil(F.col("n") * percent / 100).cast("long"))
+        enough = (100 + percent) * F.least(F.col("rest"), other["most"]) >= percent * (F.col("n") + least)
+        return ((other["rows"] > 1) | (other["size"] != F.col("size"))) & _can_reach(F.col("n"), other["low"], other["high"], percent) & enough
+
+    return posted.join(by_token, "token").where(F.exists("_sizes", meets)).select("token", "node", "n")
+
+
 def tiles(active: DataFrame, percent: int) -> DataFrame:
     """(x, y, block, node, n, weight, own): the rows of ``active`` (node, n, weight, prefix, own) in each tile of blocks x <= y; block is the row's own, x or y.
 
     Homes are cut by size of sets, so that blocks of far sizes make no tile, and then by hash. Tables of shingles and blocks only carry ids.
     """
-    posted = active.select(F.explode("prefix").alias("token"), "node", "n")
-    common = posted.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    posted = materialize(posted.join(common, "token"), "join-posted")
+    viable = materialize(_viable(active, percent), "join-viable")
+    common = viable.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    posted = materialize(viable.join(common, "token"), "join-posted")
+    discard(viable)
     homes = posted.groupBy("node").agg(F.max(F.struct("times", "token"))["token"].alias("home"), F.first("n").alias("n"))
     homes = materialize(homes, "join-homes")
     whole = homes.groupBy("home").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_cells")).where((F.col("_rows") > BLOCK_ROWS) | (F.col("_cells") > BLOCK_SHINGLES)).select("home", F.lit(True).alias("_large"))
