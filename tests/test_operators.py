@@ -165,3 +165,38 @@ def test_tracks_and_beats(spark):
     t = spark.createDataFrame([("What if we try", 0.9), ("plain", 0.1), ("button", 0.75)], "t string, p double")
     r = t.select(scoring.story_beat(F.col("t"), F.col("p")).alias("b"), scoring.tension(F.col("t"), F.col("p")).alias("x")).collect()
     assert [x["b"] for x in r] == ["hook", "setup", "falling_action"] and abs(r[2]["x"] - 1.0) < 1e-9
+
+
+def test_strategies_can_be_added(spark):
+    from tidelane.operators import ranking
+
+    @ranking.strategy("shortest_first")
+    def _shortest(key, c):
+        return [(F.col(c["end"]) - F.col(c["start"]), False), (F.col(c["tie"]), False)]
+
+    try:
+        rows = spark.createDataFrame([("a", 1, 0, 9, 1.0, None), ("a", 2, 5, 7, 2.0, "hook"), ("b", 3, 0, 1, 0.0, None)], "key string, id int, start_ms int, end_ms int, score double, beat_type string")
+        got = ranking.strategy_order(rows, ["key"], "shortest_first")
+        assert {(r.id, r.place) for r in got.collect()} == {(1, 2), (2, 1), (3, 1)} and got.columns == [*rows.columns, "place"]
+    finally:
+        del ranking.STRATEGIES["shortest_first"]
+
+
+def test_uniqueness_of_many_rows_with_common_words(spark):
+    from tidelane.operators import highlights
+
+    texts = [f"the same few words {i % 40} {i}" for i in range(1500)] + ["alone here", "alone there", "", None]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, i, t) for i, t in enumerate(texts[:3])], "key int, id int, text string")
+    got = {(r.key, r.id): r.uniqueness for r in highlights.uniqueness(rows, ["key"]).collect()}
+    sets = [set((t or "").split()) for t in texts]
+    plain = lambda own, i: max(0.1, 1.0 - 0.3 * sum(len(own[i] & o) / len(own[i] | o) for j, o in enumerate(own) if j != i and own[i] | o))
+    assert all(abs(got[1, i] - plain(sets, i)) < 1e-9 for i in [0, 1, 700, 1499, 1500, 1501, 1502, 1503])
+    assert all(abs(got[2, i] - plain(sets[:3], i)) < 1e-9 for i in range(3))
+
+
+def test_keywords_are_counted_in_their_rows(spark):
+    from tidelane.functions import text
+
+    rows = spark.createDataFrame([(1, "Tempest, tempest! zebras Apple tempest apple zebras lions tigers"), (2, ""), (3, None), (1, "tempest"), (4, "Éclair éclair naïve")], "k int, t string")
+    got = sorted((r.k, r["rank"], r.word, r.n) for r in text.keywords(rows, "k", "t", 3).collect())
+    assert got == [(1, 1, "tempest", 1), (1, 1, "tempest", 3), (1, 2, "zebras", 2), (1, 3, "apple", 2), (4, 1, "éclair", 2), (4, 2, "naïve", 1)]

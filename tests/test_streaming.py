@@ -47,7 +47,9 @@ def test_totals_are_upserted(spark, folder, tmp_path, compact):
     totals = st.running_totals(st.read_events(spark, many, 1))
     q = totals.writeStream.outputMode("update").foreachBatch(st.upsert_sink(out, "user_id", compact)).option("checkpointLocation", f"{tmp_path}/k").trigger(availableNow=True).start()
     q.awaitTermination(240)
-    assert len(st._versions(out, "version")) == 9 and len(st._versions(out, "base")) == (4 if compact == 2 else 0)
+    # of bases at 1, 3, 5 and 7, the last two stay, and the versions behind the first of them
+    assert st._versions(out, "version") == ([6, 7, 8] if compact == 2 else list(range(9))) and st._versions(out, "base") == ([5, 7] if compact == 2 else [])
+    os.makedirs(f"{out}/base=8")  # one that is being written is none
     got = {r["user_id"]: r["n"] for r in st.read_upserts(spark, out, "user_id", totals.schema).collect()}
     assert got == {r["user_id"]: r["count"] for r in spark.read.parquet(folder).groupBy("user_id").count().collect()}
     st.upsert_sink(out, "user_id", compact)(spark.createDataFrame([(1, -1.0, 0)], totals.schema), 9)

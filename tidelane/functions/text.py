@@ -6,7 +6,7 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,12 +80,22 @@ def occurrences(text: Column, word: Column) -> Column:
 
 
 def keywords(df: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
-    """The ``k`` most frequent words of more than three letters that aren't stopwords; of ties those seen first."""
-    found = df.select(key, F.posexplode(F.expr(f"regexp_extract_all(lower({text}), '(?U)\\\\b\\\\w+\\\\b', 0)")).alias("pos", "word"))
-    kept = found.where((F.length("word") > 3) & ~F.col("word").isin(*lex.STOPWORDS))
-    counts = kept.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-    w = Window.partitionBy(key).orderBy(F.col("n").desc(), "pos")
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "rank", "word", "n")
+    """The ``k`` most frequent words of more than three letters that aren't stopwords, of each row; of ties those seen first.
+
+    A text's words are sorted and counted by the lengths of runs inside its row, so nothing is shuffled; rows that repeat a key have their words each.
+    """
+    found = F.expr(f"regexp_extract_all(lower({text}), '(?U)\\\\b\\\\w+\\\\b', 0)")
+    kept = F.filter(found, lambda w: (F.length(w) > 3) & ~w.isin(*lex.STOPWORDS))
+    placed = F.array_sort(F.transform(kept, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def counted(line: Column) -> Column:
+        """Runs of one word in a sorted array: where each begins, then what lies between two begins."""
+        heads = F.filter(F.transform(line, lambda x, i: F.struct(i.alias("at"), x["i"].alias("pos"), x["w"].alias("w"), ((i == 0) | (x["w"] != F.get(line, i - 1)["w"])).alias("new"))), lambda h: h["new"])
+        return _bound(heads, lambda h: F.transform(h, lambda x, i: F.struct((x["at"] - F.coalesce(F.get(h, i + 1)["at"], F.size(line))).alias("less"), x["pos"].alias("pos"), x["w"].alias("w"))))
+
+    best = F.slice(F.array_sort(_bound(placed, counted)), 1, k)  # the most first: less is the number below zero
+    rows = df.select(key, F.posexplode(best).alias("rank", "_b"))
+    return rows.select(key, (F.col("rank") + 1).alias("rank"), F.col("_b.w").alias("word"), (-F.col("_b.less")).cast("long").alias("n"))
 
 
 def _java(pattern: str) -> str:

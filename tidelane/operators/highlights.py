@@ -271,12 +271,22 @@ def merge_payload(df: DataFrame, key: list[str], gap: int = 1000, tie: str = "id
 
 
 def uniqueness(df: DataFrame, key: list[str], text: str = "text", tie: str = "id") -> DataFrame:
-    """1 less 0.3 for each other row's word overlap, 0.1 at least. Rows meet in the words that they share, so a large key is many groups."""
+    """1 less 0.3 for each other row's word overlap (Jaccard), 0.1 at least.
+
+    Rows meet in the words that they share. A row with a word of so many rows that their least possible overlaps sum to three is at 0.1 whatever else it has, and asks for no pairs; so what
+    a row is compared with is bounded by its own and its partners' numbers of words, not by the key's rows.
+    """
     sets = df.select(*key, F.col(tie).alias("_a"), word_set(text).alias("_w"))
     words = sets.select(*key, "_a", F.size("_w").alias("_n"), F.explode("_w").alias("_w"))
+    usual = words.groupBy(*key, "_w").agg(F.count(F.lit(1)).alias("_rows"), F.max("_n").alias("_most")).where("_rows > 1")
+    shared = words.join(usual, [*key, "_w"])
+    full = F.bool_or(F.col("_rows") - 1 >= 3 * (F.col("_n") + F.col("_most") - 1))  # each of these rows overlaps by one word of all of both at least
+    state = shared.groupBy(*key, "_a").agg(full.alias("_full"))
+    asking = shared.join(state.where("NOT _full").select(*key, "_a"), [*key, "_a"]).select(*key, "_a", "_n", "_w")
     other = words.withColumnsRenamed({"_a": "_b", "_n": "_m"})
-    shared = words.join(other, [*key, "_w"]).where("_a <> _b").groupBy(*key, "_a", "_b").agg(F.count(F.lit(1)).alias("_s"), F.first("_n").alias("_n"), F.first("_m").alias("_m"))
-    total = shared.groupBy(*key, F.col("_a").alias(tie)).agg(F.sum(F.col("_s") / (F.col("_n") + F.col("_m") - F.col("_s"))).alias("_s"))
+    pairs = asking.join(other, [*key, "_w"]).where("_a <> _b").groupBy(*key, "_a", "_b").agg(F.count(F.lit(1)).alias("_s"), F.first("_n").alias("_n"), F.first("_m").alias("_m"))
+    total = pairs.groupBy(*key, F.col("_a").alias(tie)).agg(F.sum(F.col("_s") / (F.col("_n") + F.col("_m") - F.col("_s"))).alias("_s"))
+    total = total.unionByName(state.where("_full").select(*key, F.col("_a").alias(tie), F.lit(4.0).alias("_s")))
     return df.join(total, [*key, tie], "left").withColumn("uniqueness", F.greatest(F.lit(0.1), 1.0 - 0.3 * F.coalesce("_s", F.lit(0.0)))).drop("_s")
 
 

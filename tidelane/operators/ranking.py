@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import permutations
 
@@ -28,21 +28,49 @@ def take_then_time(df: DataFrame, key: list[str], score: str, at: str, tie: str,
     return ranked.withColumn("place", place).drop("_r", "_n")
 
 
+#: Named orders: of a key and column names by role, (column, whether descending) in turn. Columns may be windows over the key.
+STRATEGIES: dict[str, Callable[[list[str], dict[str, str]], list[tuple[Column, bool]]]] = {}
+
+
+def strategy(name: str):
+    """Registers an order under a name for :func:`strategy_order`; a later one of the name replaces it."""
+
+    def add(f):
+        STRATEGIES[name] = f
+        return f
+
+    return add
+
+
+@strategy("quality_first")
+def _by_score(key, c):
+    return [(F.col(c["score"]), True), (F.col(c["tie"]), False)]
+
+
+@strategy("timeline_first")
+def _by_time(key, c):
+    return [(F.col(c["start"]), False), (F.col(c["tie"]), False)]
+
+
+@strategy("narrative_flow")
+def _by_beat(key, c):
+    at = F.array_position(F.array(*map(F.lit, lex.STRATEGY_ORDER)), F.coalesce(F.col(c["beat"]), F.lit("other")))
+    return [(F.when(at == 0, len(lex.STRATEGY_ORDER) + 1).otherwise(at), False), (F.col(c["start"]), False), *_by_score(key, c)]
+
+
+@strategy("balanced")
+def _balanced(key, c):
+    last = F.max(c["end"]).over(Window.partitionBy(*key))
+    return [(F.col(c["score"]) * 0.8 + (1.0 - F.col(c["start"]) / last * 0.2) * 0.2, True), (F.col(c["tie"]), False)]
+
+
 def strategy_order(df: DataFrame, key: list[str], strategy: str, score: str = "score", start: str = "start_ms", end: str = "end_ms", beat: str = "beat_type", tie: str = "id") -> DataFrame:
-    """Adds place by a named strategy; unknown names are balanced."""
-    by_score = [F.col(score).desc(), F.col(tie)]
-    if strategy == "quality_first":
-        order = by_score
-    elif strategy == "timeline_first":
-        order = [F.col(start), F.col(tie)]
-    elif strategy == "narrative_flow":
-        at = F.array_position(F.array(*map(F.lit, lex.STRATEGY_ORDER)), F.coalesce(F.col(beat), F.lit("other")))
-        order = [F.when(at == 0, len(lex.STRATEGY_ORDER) + 1).otherwise(at), F.col(start), *by_score]
-    else:
-        last = F.max(end).over(Window.partitionBy(*key))
-        df = df.withColumn("_balanced", F.col(score) * 0.8 + (1.0 - F.col(start) / last * 0.2) * 0.2)
-        order = [F.col("_balanced").desc(), F.col(tie)]
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).drop("_balanced")
+    """Adds place by a named strategy of STRATEGIES; unknown names are balanced."""
+    order = STRATEGIES.get(strategy, _balanced)(key, {"score": score, "start": start, "end": end, "beat": beat, "tie": tie})
+    names = [f"_by{i}" for i in range(len(order))]
+    held = df.withColumns({n: x for n, (x, _) in zip(names, order, strict=True)})
+    by = [F.col(n).desc() if down else F.col(n) for n, (_, down) in zip(names, order, strict=True)]
+    return held.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*by))).drop(*names)
 
 
 def balanced_beats(df: DataFrame, key: list[str], beat: str = "beat_type", confidence: str = "confidence", start: str = "start_ms", tie: str = "id", most: int = 6) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelane.operators.fold import Row, ordered_fold
-from tidelane.storage import materialize
+from tidelane.storage import discard, materialize
 
 
 def merge_short(segments: DataFrame, key: list[str], least: float = 0.5, gap: float = 0.3) -> DataFrame:
@@ -212,8 +212,13 @@ def two_speakers(segments: DataFrame, key: list[str], features: list[str], tie:
         sided = z.join(centres, key).withColumn("_side", F.when(far("_a") <= far("_b"), 0).otherwise(1))
         if k < rounds - 1:
             mean = [F.coalesce(F.avg(F.when(F.col("_side") == number, F.col(f"_z{i}"))), F.max(f"{side}{i}")).alias(f"{side}{i}") for number, side in enumerate(("_a", "_b")) for i in range(n)]
-            centres = materialize(sided.groupBy(*key).agg(*mean), "speakers-centres")
-    return sided.select(*key, tie, F.when((F.col("_rows") < 2) | (F.col("_side") == 0), "SPEAKER_00").otherwise("SPEAKER_01").alias("speaker"))
+            fresh = materialize(sided.groupBy(*key).agg(*mean), "speakers-centres")
+        centres, old = (fresh, centres) if k < rounds - 1 else (centres, None)
+        if old is not None:
+            discard(old)
+    out = materialize(sided.select(*key, tie, F.when((F.col("_rows") < 2) | (F.col("_side") == 0), "SPEAKER_00").otherwise("SPEAKER_01").alias("speaker")), "speakers")
+    discard(z, centres)
+    return out
 
 
 def split_monologues(segments: DataFrame, key: list[str], seconds: float = 20.0, pause: float = 1.5, change: float = 0.3, tie: str = "id") -> DataFrame:

@@ -255,7 +255,7 @@ def _timed_words(s, d):
 
 def _stream(s, d):
     w = _timed_words(s, d)
-    return w.select("conv_id", (F.col("turn") * 100000 + F.col("pos")).alias("pos"), "word", F.col("word_start").alias("start"), F.col("word_end").alias("end"), (F.length("word") / 20).alias("confidence"), (F.col("turn") % 2).cast("string").alias("speaker"))
+    return w.select("conv_id", (F.col("turn") * 2**32 + F.col("pos")).cast("long").alias("pos"), "word", F.col("word_start").alias("start"), F.col("word_end").alias("end"), (F.length("word") / 20).alias("confidence"), (F.col("turn") % 2).cast("string").alias("speaker"))
 
 
 @query("i10_segments")

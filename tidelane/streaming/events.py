@@ -55,11 +55,22 @@ def running_totals(events: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def _versions(path: str, kind: str) -> list[int]:
+    """Numbers of the folders that are written whole."""
     from pyarrow import fs
 
     store, root = open_store(path)
-    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
-    return sorted(int(x.base_name.partition("=")[2]) for x in found if x.base_name.startswith(f"{kind}="))
+    found = [x for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.base_name.startswith(f"{kind}=")]
+    done = store.get_file_info([f"{x.path}/_SUCCESS" for x in found])
+    return sorted(int(x.base_name.partition("=")[2]) for x, mark in zip(found, done, strict=True) if mark.type == fs.FileType.File)
+
+
+def _drop_before(path: str, base: int) -> None:
+    """Deletes what readers that start from ``base`` or a later one don't need."""
+    store, root = open_store(path)
+    for kind in ("version", "base"):
+        for n in _versions(path, kind):
+            if n < base or kind == "version" and n == base:
+                store.delete_dir(f"{root}/{kind}={n}")
 
 
 def read_upserts(spark: SparkSession, path: str, key: str, schema: T.StructType, upto: int | None = None) -> DataFrame:
@@ -76,7 +87,8 @@ def read_upserts(spark: SparkSession, path: str, key: str, schema: T.StructType,
 
 def upsert_sink(path: str, key: str, compact: int = 32):
     """A foreachBatch function that keeps the newest row of each key: a micro-batch writes its own rows only, and every ``compact`` of them are merged
-    into a base that the reader starts from. See :func:`read_upserts`. A batch that is repeated writes the same files again.
+    into a base that the reader starts from. See :func:`read_upserts`. A batch that is repeated writes the same files again. What lies before the base before the last is deleted: a reader
+    that began with the one before can end.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -84,6 +96,8 @@ def upsert_sink(path: str, key: str, compact: int = 32):
         if (epoch + 1) % compact == 0:
             merged = read_upserts(batch.sparkSession, path, key, batch.schema, epoch)
             merged.write.mode("overwrite").parquet(f"{path}/base={epoch}")
+            for base in _versions(path, "base")[-2:-1]:
+                _drop_before(path, base)
 
     return write
 
