@@ -209,6 +209,17 @@ def maintained_totals(jobs: DataFrame, costs: DataFrame) -> DataFrame:
     return jobs.select(F.col("id").alias("job_id")).join(c, "job_id", "left").select(F.col("job_id").alias("id"), F.coalesce("total_cost", F.lit(0)).cast("decimal(22,2)").alias("total_cost"))
 
 
+def apply_changes(totals: DataFrame, changes: DataFrame, key: str = "job_id", total: str = "total_cost") -> DataFrame:
+    """Totals after changes to the rows that they sum (key, before, after: null before is an insert, null after a delete): each total moves by what its rows moved, and no other row is read.
+
+    A row that went to another key is a delete there and an insert here. Keys that have no total yet begin at 0.
+    """
+    kind = totals.schema[total].dataType
+    zero = F.lit(0)
+    moved = changes.groupBy(key).agg(F.sum(F.coalesce("after", zero) - F.coalesce("before", zero)).alias("_moved"))
+    return totals.join(moved, key, "full").select(key, (F.coalesce(total, zero) + F.coalesce("_moved", zero)).cast(kind).alias(total))
+
+
 def last_stage(checkpoints: DataFrame, stages: list[str], key: str = "job_id", stage: str = "stage") -> DataFrame:
     """Each key's furthest stage in a fixed order; unknown stages don't count."""
     at = F.array_position(F.array(*map(F.lit, stages)), F.col(stage))

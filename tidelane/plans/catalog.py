@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelane.plans import media_queries, more_queries, quality_queries, registry, relational_queries, structure_queries, text_queries, timeline_queries  # noqa: F401
+from tidelane.plans import basic_queries, media_queries, more_queries, quality_queries, registry, relational_queries, structure_queries, text_queries, timeline_queries  # noqa: F401
 
 
 def flagship(spark, sf_dir):
