@@ -166,3 +166,60 @@ def test_a_very_long_text_and_ties_across_partitions(spark):
     for r in got:
         by_id.setdefault(r["doc_id"], set()).add((r["text"], r["n_removed"]))
     assert by_id[3] == {(rows[1][1], 0)} and by_id[9] == {(long + "\n", 1)} and by_id[7] == {("a b c d e f g h i\n", 1)}
+
+
+def passage_keys(text):
+    """(first unit, last unit, words) of each key of a text of short words, and where units begin, by the definition of passages."""
+    import pyarrow as pa
+
+    found = list(WORD.finditer(text))
+    n = len(found)
+    words = [m[0].encode().lower().decode() for m in found]
+    hashes = textops.mix64(textops.words(*textops.utf8(pa.array([text])))[0] ^ unit_dedup._R1).tolist()
+    picked = {max(i for i in range(k, k + 8) if hashes[i] == min(hashes[k : k + 8])) for k in range(n - 7)}
+    gap = [text[found[i].end() : found[i + 1].start()] if i + 1 < n else "\n\n" for i in range(n)]
+    last = [i for i in range(n) if i in picked or words[i][-1] in ".!?" or "\n" in gap[i]]
+    begin = [0] + [i + 1 for i in last[:-1]] if last else []
+    keys = set()
+    for u, end in enumerate(last):
+        starts = [s for s in range(u + 1) if end + 1 - begin[s] >= 20]
+        if starts:
+            keys.add((max(starts), u))
+        for feeds in (1, 2):  # a line, a paragraph
+            if gap[end].count("\n") >= feeds:
+                s = u
+                while s and gap[last[s - 1]].count("\n") < feeds:
+                    s -= 1
+                keys.add((s, u))
+    return [(s, u, tuple(words[begin[s] : last[u] + 1])) for s, u in keys], [found[b].start() for b in begin]
+
+
+def plain_passages(rows):
+    first, of = {}, {}
+    for doc_id, text in rows:
+        of[doc_id] = passage_keys(text)
+        for _, u, words in of[doc_id][0]:
+            first[words] = min(first.get(words, (doc_id, u)), (doc_id, u))
+    out = {}
+    for doc_id, text in rows:
+        keys, begin = of[doc_id]
+        drop = {x for s, u, words in keys if (doc_id, u) > first[words] for x in range(s, u + 1)}
+        edges = [*begin, len(text)]
+        clean = text[: edges[0]] + "".join(text[edges[i] : edges[i + 1]] for i in range(len(begin)) if i not in drop)
+        out[doc_id] = (clean, len(begin), len(drop))
+    return out
+
+
+def test_passages_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(unit_dedup, "_FLUSH", 64)
+    rng = random.Random(21)
+    say = lambda n: " ".join(rng.choice(["to", "be", "or", "not", "Be", "wow.", "x", "the", "wh", "of", "an", "in"]) for _ in range(n))
+    shared = [" ".join(f"p{k}w{i}" for i in range(n)) for k, n in enumerate((12, 25, 40, 60))]
+    rows = []
+    for d in range(120):
+        parts = [rng.choice([say(rng.randrange(0, 30)), rng.choice(shared), say(4) + " " + rng.choice(shared) + " " + say(5)]) for _ in range(rng.randrange(0, 6))]
+        rows.append((d, "".join(p + rng.choice([" ", "\n", "\n\n", "\n \n"]) for p in parts)))
+    want = plain_passages(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["text"], r["n_units"], r["n_removed"]) for r in unit_dedup.dedup_units(docs).collect()}
+    assert got == want and sum(w[2] for w in want.values()) > 200
