@@ -15,7 +15,8 @@ as well, whatever its length and whatever stands before it.
 
 Each task keeps only the first of its occurrences of a key and knows the others to be removable at once; just the firsts, packed by range
 of keys, are shuffled. A key that a third of all documents hold thus reaches its reducer once for each batch of half a million units. There are
-``_RANGES`` ranges of keys a partition, sorted in it, and a task holds one at a time.
+at least ``_RANGES`` ranges of keys a partition, and as many as keep each at about ``_RANGE_KEYS`` by the texts' bytes; they are sorted in it, and a task holds one at a time. A document's marks are
+as many as its repeated units, and are held with its text.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from tidelane.storage import materialize, shuffle_partitions
 #: Words that a key holds at least, by kind of unit.
 MIN_WORDS = {"line": 1, "paragraph": 1, "sentence": 8, "phrase": 8, "passage": 20}
 _FLUSH = 1 << 19
-_RANGES = 8
+_RANGES, _RANGE_KEYS = 8, 1 << 21
+_KEY_BYTES = 16  # bytes of text for each key, at least about
 _STRONG = np.zeros(256, bool)
 _STRONG[[ord(c) for c in ".!?"]] = True
 _BREAK = np.zeros(256, bool)
@@ -317,7 +319,9 @@ def cut_units(docs: DataFrame, kind: str = PASSAGE, min_words: int | None = None
     docs = docs.drop("_clean", "_units", "_gone", "_removed", "_kept", "_marks", "_marked_id", "_marked_digest")
     digest = F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 33).cast("int")  # tells texts of one doc_id apart
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest"))
-    sent = rows.where("doc_id IS NOT NULL").mapInArrow(_emit(kind, min_words, _RANGES * parts), _BLOBS)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = parts * max(_RANGES, -(-size // (_KEY_BYTES * _RANGE_KEYS * parts)))
+    sent = rows.where("doc_id IS NOT NULL").mapInArrow(_emit(kind, min_words, ranges), _BLOBS)
     sent = sent.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("part")
     late = sent.mapInArrow(_later, "doc_id long, digest int, pos int, mark int")
     marked = late.groupBy(F.col("doc_id").alias("_marked_id"), F.col("digest").alias("_marked_digest")).agg(F.collect_set(F.struct("pos", "mark")).alias("_marks"))
