@@ -64,3 +64,35 @@ def test_codewords_are_apart():
         code = langid.codewords(n).astype(int)
         apart = [(code[i] != code[j]).sum() for i in range(n) for j in range(i)]
         assert min(apart) >= (1 if n == 2 else 2)
+
+
+def plain_prediction(model, text):
+    """(language, probability, ambiguity) with a loop over n-grams, bits and codewords."""
+    letters = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()]
+    sums, n = np.zeros(len(model.bias)), 0
+    for i in range(len(letters)):
+        for order in langid.ORDERS:
+            h = 0
+            for k in range(order):
+                h = ((h ^ ((letters[i + k] if i + k < len(letters) else 32) + k + 1)) * int(langid._GRAM[k])) & 0xFFFFFFFF
+            bucket = (((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF) >> 19
+            sums += model.weights[bucket]
+            n += 1
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0, True
+    margin = sums / n + model.bias
+    loss = [sum(t * np.log1p(np.exp(-m * c)) for m, c, t in zip(margin, code, model.trust, strict=True)) for code in model.code.astype(float)]
+    p = np.exp(min(loss) - np.array(loss))
+    p /= p.sum()
+    best = int(np.argmax(p))
+    return model.languages[best], float(p[best]), bool(sorted(p)[-1] - sorted(p)[-2] < langid.AMBIGUOUS)
+
+
+def test_predictions_equal_plain_decoding(spark, rows):
+    model = langid.train(spark.createDataFrame(rows, FIELDS))
+    rng = random.Random(11)
+    texts = [None, "", "1 2 3", "é", "thaing OW 7", "a" * 300] + [say(rng, lang, rng.randrange(1, 20)) for lang in SOUNDS for _ in range(6)] + [say(rng, "aa", 5) + " " + say(rng, "bb", 5)]
+    names, score, ambiguous = model.predict(pa.array(texts))
+    for got, text in zip(zip(names, score.tolist(), ambiguous.tolist(), strict=True), texts, strict=True):
+        want = plain_prediction(model, text)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-4 and got[2] == want[2], text
