@@ -70,7 +70,7 @@ def sketched_percentiles(s, d):
     return aggregates.quantile_errors(e, ["event_type"], "value", found, asked).select("event_type", "n", _within("p50"), _within("p95"))
 
 
-@query("a11_sketched_summary", cte("metric") + f"""SELECT component, stage, metric_name, count(*) AS measurement_count, round(avg(value), 4) AS avg_value, min(value) AS min_value, max(value) AS max_value, true AS median_value_within, true AS p95_value_within
+@query("a11_sketched_summary", cte("metric") + f"""SELECT component, stage, metric_name, count(*) AS measurement_count, round(avg(value), 8) AS avg_value, min(value) AS min_value, max(value) AS max_value, true AS median_value_within, true AS p95_value_within
 FROM metric WHERE date_trunc('hour', ts) >= date_trunc('hour', TIMESTAMP '{AS_OF}' - INTERVAL '24 hours') GROUP BY component, stage, metric_name""")
 def sketched_summary(s, d):
     """The performance view over whole hours of the last day, from hourly sketches."""
@@ -79,7 +79,7 @@ def sketched_summary(s, d):
     hours = aggregates.quantile_sketches(m, keys, "ts", "value").where(F.col("hour") >= since)
     found = aggregates.merged_quantiles(hours, keys, asked)
     told = aggregates.quantile_errors(m.where(F.date_trunc("hour", "ts") >= since), keys, "value", found, asked)
-    return told.select(*keys, F.col("n").alias("measurement_count"), F.round("mean", 4).alias("avg_value"), F.col("least").alias("min_value"), F.col("most").alias("max_value"), *map(_within, asked))
+    return told.select(*keys, F.col("n").alias("measurement_count"), F.round("mean", 8).alias("avg_value"), F.col("least").alias("min_value"), F.col("most").alias("max_value"), *map(_within, asked))
 
 
 @query("i17_merged_features", cte("span") + """, r AS (SELECT *, max(end_ms) OVER (PARTITION BY key ORDER BY start_ms, end_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM span), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY start_ms, end_ms, id) AS i FROM r),
