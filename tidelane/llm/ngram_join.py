@@ -221,22 +221,22 @@ def _can_reach(n, low, high, percent: int):
 
 
 def _viable(active: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n): the prefix shingles of ``active`` by which a row can reach the threshold with any other row.
+    """(token, node, n, times): the prefix shingles of ``active`` by which a row can reach the threshold with any other row, and of how many rows each is.
 
     If a pair's first common shingle has ``rest`` shingles of a set from it on, the pair has no more than the lesser rest in common. So a shingle of any number of rows is looked at by
     classes of about equal sizes, each with its greatest rest: texts of one template and with words of their own before it, in order, meet nowhere.
     """
-    rest = (F.octet_length("own") / 8).cast("long") - F.col("place")
-    posted = active.select(F.posexplode("prefix").alias("place", "token"), "node", "n", "own").select("token", "node", "n", rest.alias("rest"), F.floor(F.log(F.col("n")) / math.log(1.05)).alias("size"))
+    numbered = active.select("prefix", "node", "n", (F.octet_length("own") / 8).cast("long").alias("own"), F.floor(F.log(F.col("n")) / math.log(1.05)).alias("size"))
+    posted = numbered.select(F.posexplode("prefix").alias("place", "token"), "node", "n", "own", "size").select("token", "node", "n", (F.col("own") - F.col("place")).alias("rest"), "size")
     sizes = posted.groupBy("token", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most"), F.count(F.lit(1)).alias("rows"))
-    by_token = sizes.groupBy("token").agg(F.collect_list(F.struct("size", "low", "high", "most", "rows")).alias("_sizes"), F.sum("rows").alias("_rows")).where("_rows > 1")
+    by_token = sizes.groupBy("token").agg(F.collect_list(F.struct("size", "low", "high", "most", "rows")).alias("_sizes"), F.sum("rows").alias("times")).where("times > 1")
 
     def meets(other):
         least = F.greatest(other["low"], F.ceil(F.col("n") * percent / 100).cast("long"))
         enough = (100 + percent) * F.least(F.col("rest"), other["most"]) >= percent * (F.col("n") + least)
         return ((other["rows"] > 1) | (other["size"] != F.col("size"))) & _can_reach(F.col("n"), other["low"], other["high"], percent) & enough
 
-    return posted.join(by_token, "token").where(F.exists("_sizes", meets)).select("token", "node", "n")
+    return posted.join(by_token, "token").where(F.exists("_sizes", meets)).select("token", "node", "n", "times")
 
 
 def tiles(active: DataFrame, percent: int) -> DataFrame:
@@ -244,10 +244,7 @@ def tiles(active: DataFrame, percent: int) -> DataFrame:
 
     Homes are cut by size of sets, so that blocks of far sizes make no tile, and then by hash. Tables of shingles and blocks only carry ids.
     """
-    viable = materialize(_viable(active, percent), "join-viable")
-    common = viable.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    posted = materialize(viable.join(common, "token"), "join-posted")
-    discard(viable)
+    posted = materialize(_viable(active, percent), "join-posted")
     homes = posted.groupBy("node").agg(F.max(F.struct("times", "token"))["token"].alias("home"), F.first("n").alias("n"))
     homes = materialize(homes, "join-homes")
     whole = homes.groupBy("home").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_cells")).where((F.col("_rows") > BLOCK_ROWS) | (F.col("_cells") > BLOCK_SHINGLES)).select("home", F.lit(True).alias("_large"))
