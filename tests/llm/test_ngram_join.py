@@ -162,3 +162,20 @@ def test_repeated_ids_with_other_words_are_classes_of_their_own(spark):
     docs = spark.createDataFrame([(2, a), (5, a), (5, b), (9, c)], "doc_id long, text string")
     got = sorted((r["doc_id"], r["component_id"], r["n_links"], r["first"]) for r in ngram_join.jaccard_join(docs, digests=True).collect())
     assert got == [(2, 2, 1, True), (5, 2, 1, False), (5, 5, 1, True), (9, 5, 1, False)]
+
+
+def test_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join.textops, "SLICE_BYTES", 1 << 16)
+    rng = random.Random(31)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(300_000)]
+    near, far = list(long), list(long)
+    for _ in range(4_000):
+        near[rng.randrange(len(near))] = "changed"
+    for _ in range(20_000):
+        far[rng.randrange(len(far))] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far)), (4, "\n".join(long).upper()), (5, "x" * 2_000_000)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (long, near, far)]
+    alike = [[100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets]
+    assert alike[0][1] and not alike[0][2] and not alike[1][2]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (len(sets[0]), 1), 2: (len(sets[1]), 1), 3: (len(sets[2]), 3), 4: (len(sets[0]), 1), 5: (1, 5)}
