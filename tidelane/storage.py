@@ -19,6 +19,8 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+#: Spark's setting to delete an execution's shuffle files at its end, not when the driver next collects garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -43,10 +45,15 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage is cut and the rows survive lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it again: lineage is cut and the rows survive lost executors. Shuffle files that the write needed go with it."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     stored = spark.read.schema(df.schema).parquet(path)
     for made in _MADE:
         made.append(stored)
