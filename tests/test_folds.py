@@ -9,8 +9,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelane.functions import lexicons as lex
+from tidelane.operators import highlights as hl
 from tidelane.operators import ranking, stories, tracks
 from tidelane.plans import catalog, media_queries, text_queries, timeline_queries
 from tidelane.sources.tables import source, table
@@ -688,3 +690,16 @@ def test_nearest_vectors_of_any_length(spark):
 
 def test_timed_events_feed_the_state_machines(spark, spans):
     assert timeline_queries._timed(spark, SF).count() == sum(map(len, spans.values()))
+
+
+def test_legacy_segments_sort_words_alone(spark):
+    """What a key has once - its samples and its last end - isn't carried and sorted with each of its words."""
+    rows = [(k, i, "end." if i % 7 == 6 else f"w{i}", i * 1.0, i + 1.0) for k in (1, None) for i in range(20)]
+    words = spark.createDataFrame(rows, "key int, pos int, word string, start double, end double")
+    energy = F.array(F.lit(0.0), F.lit(0.5), F.coalesce("key", F.lit(0)).cast("double"))
+    df = hl.legacy_segments(words, ["key"], energy)
+    got = sorted(tuple(r) for r in df.select(F.coalesce("key", F.lit(0)), "start", "end", F.round("score", 6)).collect())
+    assert got == [(0, 0.0, 7.0, 2.0), (0, 7.0, 14.0, 3.0), (1, 0.0, 7.0, 2.0), (1, 7.0, 14.0, 3.0)]
+    plan = catalog.queries()["i11_legacy_segments"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    fold = plan[plan.index("MapInArrow") :]
+    assert "Window" not in plan and "transform(" not in fold

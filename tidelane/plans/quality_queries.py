@@ -174,9 +174,8 @@ def merged_titles(s, d):
 
 @query("i11_legacy_segments")
 def legacy_segments(s, d):
-    w = _stream(s, d)
     energy = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: ((F.col("conv_id") + i) % 10) / 10.0)
-    return hl.legacy_segments(w.withColumns({"energy": energy, "total": F.max("end").over(Window.partitionBy("conv_id"))}), ["conv_id"], "energy", "total")
+    return hl.legacy_segments(_stream(s, d), ["conv_id"], energy)
 
 
 _SAID = "CASE kind WHEN 'view' THEN 'an amazing key question' WHEN 'click' THEN 'the first and best answer' WHEN 'signup' THEN 'wow, great show' ELSE 'nothing' END"
