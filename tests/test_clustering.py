@@ -78,3 +78,14 @@ def test_components_of_chains_rings_and_stars(spark):
     got = {(r.key, r.id): r.root for r in connected(spark.createDataFrame(pairs, "key string, a int, b int"), ["key"], "a", "b").collect()}
     assert all(got["x", i] == 0 for i in range(301)) and all(got["z", i] == 0 for i in range(50))
     assert {i: r for (k, i), r in got.items() if k == "y"} == {5: 5, 9: 5, 7: 5, 1: 1, 20: 20, 30: 20}
+
+
+def test_pairs_of_a_tile_by_products():
+    rng = np.random.default_rng(4)
+    x = rng.integers(-3, 4, (300, 8)) / 4.0
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for limit in (0.5, 0.75, 1.0):  # many pairs are exactly so far apart: such may count as near, nearer ones must
+        near = C._near(x, limit * (1 + 1e-9))
+        assert near[apart < limit].all() and not near[apart > limit * (1 + 1e-6)].any() and (near == near.T).all()
+    assert C._near(np.array([[1e200], [2e200], [0.0]]), 0.5)[0, 1]  # no distance in doubles: left to the clustering
+    assert C.TILE >= 2048

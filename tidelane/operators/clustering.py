@@ -21,7 +21,7 @@ from tidelane.operators.fold import Row, ordered_fold
 from tidelane.operators.graphs import connected
 from tidelane.storage import discard, materialize
 
-TILE = 512
+TILE = 2048
 #: Numbers that a component's task may keep of distance sums; sums beyond are computed again when a chain comes back.
 KEPT_SUMS = 1 << 24
 
@@ -30,23 +30,33 @@ def _roots(near: np.ndarray) -> np.ndarray:
     """The least connected row for each row of a symmetric table of neighbours."""
     root = np.arange(len(near))
     while True:
-        least = np.minimum(root, np.where(near, root[None, :], len(near)).min(axis=1))
+        least = root.copy()
+        for at in range(0, len(near), 128):
+            least[at : at + 128] = np.minimum(root[at : at + 128], np.where(near[at : at + 128], root[None, :], len(near)).min(axis=1))
         least = least[least]
         if (least == root).all():
             return root
         root = least
 
 
+def _near(x: np.ndarray, limit: float) -> np.ndarray:
+    """Whether rows are nearer than ``limit``, by a matrix product; where its rounding leaves doubt they are, as clusters stay inside of greater components too."""
+    near = np.zeros((len(x), len(x)), bool)
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm = (x**2).sum(axis=1)
+        for at in range(0, len(x), 128):
+            both = norm[at : at + 128, None] + norm[None]
+            near[at : at + 128] = ~(both - 2 * (x[at : at + 128] @ x.T) >= limit**2 + 1e-12 * both)
+    return near | near.T
+
+
 def _spanning(limit: float):
     """Rows (key..., tile, id, vector) of whole tiles to pairs (key..., a, b) that connect what is nearer than ``limit`` in a tile."""
 
     def run(_, table):
         ids, vectors = table.column("_id"), table.column("_v").combine_chunks()
         x = np.asarray(vectors.flatten(), float).reshape(len(ids), -1)
-        near = np.zeros((len(x), len(x)), bool)
-        for at in range(0, len(x), 128):
-            near[at : at + 128] = np.sqrt(((x[at : at + 128, None, :] - x[None]) ** 2).sum(axis=2)) < limit
-        root = _roots(near)
+        root = _roots(_near(x, limit))
         some = pa.array(np.flatnonzero(root != np.arange(len(x))))
         out = table.drop_columns(["_v", "_tile"]).take(some)
         return out.append_column("_root", ids.take(pa.array(root[np.asarray(some)])))
