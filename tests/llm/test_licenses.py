@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -196,3 +197,35 @@ def test_nulls_repeats_long_texts_and_empty_tables(spark, model):
     assert got == [(-1, 0, "mit"), (3, 30000, "mit"), (4, 0, "mit"), (4, 0, "mit")]
     assert licenses.scan(docs.limit(0), model).count() == 0
     assert licenses.train(docs.limit(0)).families[-1] == licenses.NONE
+
+
+def test_every_window_of_every_document_counts_in_gradients_and_thresholds(spark):
+    rng = random.Random(19)
+    texts = ["\n".join(rng.choice(["", say(rng, rng.randrange(1, 80)), "the old boats may be distributed freely " + say(rng, 3), "Under the MIT license " + say(rng, 2)]) for _ in range(3)) for _ in range(1300)]
+    texts += ["Permission is hereby granted, free of charge, to any person obtaining a copy", None, "", "caf\xe9 \n\n x"]
+    docs = spark.createDataFrame([(x,) for x in texts], "text string")
+    built = licenses.Builtin()
+    blocks = licenses.windows(docs.repartition(5), built)
+    plain = []
+    for line in "\n".join(x or "" for x in texts[:1300] + texts[1301:]).split("\n"):
+        words = [] if re.search(licenses._NAMES, line) else re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", line)
+        plain += [" ".join(words[i : i + licenses.WINDOW]) for i in range(0, len(words), licenses.WINDOW)]
+    k, n = len(built.families), len(built.used) + 1
+    w, b = np.random.default_rng(4).normal(0, 0.3, (k, n)).astype(np.float32), np.linspace(-1, 1, k)[:, None]
+    want, naming = np.zeros((k, n + 1)), []
+    for v in licenses._vectors(plain):
+        x = np.bincount(built.feature[v], minlength=n) / np.sqrt(len(v) + licenses.SHORT)
+        x[0] = 0  # what no built-in text says
+        p = licenses._softmax(w @ x + b[:, 0])
+        want += np.outer(p - np.eye(k)[-1], np.append(x, 1))
+        naming.append((1 - p[-1], p[-2]))
+    got = licenses.whole_gradient(blocks, w, b)
+    assert np.allclose(got, want, atol=len(plain) * 100 / licenses.UNIT)
+    assert (got == licenses.whole_gradient(licenses.windows(docs.repartition(2), built), w, b)).all()
+    for counts, scores in zip(licenses.score_counts(blocks, w, b), np.array(naming).T, strict=True):
+        assert counts.sum() == len(plain)
+        for share in (0.5, 0.01, 0.0002):
+            assert abs(licenses._counted_share(counts, share) - licenses._share(scores, share)) < 2 / licenses.BINS
+    model = licenses.train(docs)
+    assert model.seen == len(plain) > 2000
+    assert not list(model.scan(pa.array(["the old boats may be distributed freely", "th er on an"])))

@@ -9,26 +9,31 @@ template's (or of the window's, if it has fewer): by number, and by weight, wher
 What names a licence but isn't confirmed is reported as unconfirmed ``unknown``. Of overlapping findings that with most in common stays.
 
 Positives are the templates below and variants of them, with names, years and versions exchanged, words dropped and the sentence embedded in
-other words; the class of other licences has notices of some, and sentences about licences of invented names. Negatives are at most ``NEGATIVE_LINES`` windows of lines of at most ``NEGATIVE_DOCS`` documents, the smallest by a hash, that have no word of licences;
-copies of some of them in shuffled letters, so that unseen words speak for no family; and prose that speaks of licences and grants none.
+invented words; the class of other licences has notices of some, and sentences about licences of invented names. Negatives are all windows of ``WINDOW`` words, end to end, of all lines
+of all documents, but for lines with a word of licences and windows that a template confirms; and prose that speaks of licences and grants none, which has ``PROSE`` of their weight.
+
+N-grams that two or more of the built-in texts have are features; others have no weight, but count in a window's length. So a window is its few features, and
+all windows are stored as such (once, repeated ones too). Each step of the descent is by the gradient over all of them: tasks add up theirs in fixed point, so sums don't depend on partitions,
+and the driver receives one gradient, whose size is that of the model.
 
 Calibration: a family's least share beside the class of other licences is the least that at most ``FALSE_SHARE`` of held-out other licences reach, within 0.3 and 0.8. On
-``CALIBRATION_LINES`` other negatives and on held-out prose about licences, the thresholds are the least probabilities that at most ``FALSE_SHARE``
+all negative windows, counted by their scores to 1 / ``BINS``, and on held-out prose about licences, the thresholds are the least probabilities that at most ``FALSE_SHARE``
 (for what a template confirms; within 0.5 and 0.6) and ``FALSE_UNKNOWN`` (for the unknown class) of them reach, counted with one false one more than seen. All
 documents, whole, are scanned.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.llm import textops
+from tidelane.storage import materialize
 
 # Well-known licence notices, by family.
 TEMPLATES = {
@@ -99,7 +104,11 @@ BUCKETS = 1 << BUCKET_BITS
 SHORT = 6  # counts as so many more n-grams, so that a few words are little evidence
 WINDOW, STRIDE = 32, 8
 VARIANTS, OTHER_ROWS = 24, 400
-NEGATIVE_DOCS, NEGATIVE_LINES, CALIBRATION_LINES = 1000, 1200, 20_000
+INVENTED, PROSE = 2000, 0.4
+STEPS, RATE = 30, 0.7
+FEW_PAIRS = 3  # bigrams of one family alone from which a window is compared with templates before it is a negative
+BINS, UNIT = 1 << 16, 1 << 24  # of score counts; of sums in fixed point
+BLOCK, SLABS = 1 << 14, 16  # windows of a stored block; parts of a gradient
 FALSE_SHARE, FALSE_UNKNOWN = 0.01, 0.0002
 CONFIRM, FEW = 0.6, 5  # share of n-grams in common of a confirmed family; fewer n-grams count as FEW
 NAMED, FEW_NAMED, NUMBER = 0.55, 1.5, 0.05  # the same by weight; a number's weight
@@ -174,6 +183,7 @@ class Model:
     numbers: np.ndarray  # of these n-grams those with a number
     margin: float = 0.5  # what a family's probability must be of its own and UNKNOWN's
     strange: float = 0.5  # probability of UNKNOWN from which a window is reported as such
+    seen: int = 0  # windows of the documents that it learnt from
 
     def __post_init__(self):
         sizes = [len(g) for _, g in self.templates]
@@ -299,10 +309,6 @@ def _other(rng: np.random.Generator, number: int, fill: list[str]) -> str:
     return variants(rng, _OTHER_FRAMES[number % len(_OTHER_FRAMES)].format(name.title(), int(rng.integers(1, 5))), fill)
 
 
-def _shuffled(rng: np.random.Generator, text: str) -> str:
-    return " ".join("".join(w[i] for i in rng.permutation(len(w))) for w in text.split())
-
-
 def _about(rng: np.random.Generator, sentence: str, fill: list[str]) -> str:
     around = [" ".join(fill[i] for i in rng.integers(0, len(fill), int(rng.integers(0, 8)))) if fill and rng.random() < 0.5 else "" for _ in range(2)]
     return " ".join(x for x in (around[0], sentence.format(_SPOKEN[rng.integers(len(_SPOKEN))]), around[1]) if x)
@@ -315,66 +321,113 @@ def _share(scores: np.ndarray, share: float) -> float:
     return float(np.nextafter(some[n], 2)) if 0 <= n < len(some) else float(np.nextafter(some[0], 2)) if len(some) else 0.5
 
 
-def fit(negatives: list[str], templates: dict[str, list[str]] | None = None, held: list[str] | None = None, steps: int = 60, seed: int = 11) -> Model:
-    """A model from windows without licences; ``held`` (by default every fifth of them) and held-out prose about licences calibrate it."""
-    templates = templates or TEMPLATES
-    rng = np.random.default_rng(seed)
-    families = [*sorted(templates), UNKNOWN, NONE]
-    fill = sorted({w for t in negatives[:200] for w in t.split()})[:2000]
-    texts, target = [], []
-    for k, family in enumerate(families[:-2]):
-        for t in templates[family]:
-            made = [t, *(variants(rng, t, fill) for _ in range(VARIANTS))]
-            texts += made
-            target += [k] * len(made)
-    others = [_other(rng, i, fill) for i in range(OTHER_ROWS)]
-    apart, others = others[::4], [t for i, t in enumerate(others) if i % 4]
-    texts += others
-    target += [len(families) - 2] * len(others)
-    if held is None:
-        held, negatives = negatives[::5], [t for i, t in enumerate(negatives) if i % 5]
-    learnt = negatives or ["and of the in to"]
-    learnt = [*learnt, *(_shuffled(rng, t) for t in learnt[::2]), *(_about(rng, t, fill) for i, t in enumerate(ABOUT) if i % 4 for _ in range(20))]
-    spoken = [_about(rng, t, fill) for t in ABOUT[::4] for _ in range(20)]
-    texts += learnt
-    target += [len(families) - 1] * len(learnt)
-    x = _vectors(texts)
-    y = np.array(target)
-    at = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    flat = np.concatenate(x)
-    value = np.repeat(1 / np.sqrt(np.array([len(v) for v in x]) + SHORT), [len(v) for v in x]).astype(np.float32)
-    used, local = np.unique(flat, return_inverse=True)
-    weight = 1 / np.bincount(y, minlength=len(families)).astype(np.float32)[y] / len(families)
-    w, b = np.zeros((len(families), len(used)), np.float32), np.zeros((len(families), 1), np.float32)  # a family's weights lie together
-    grad2 = np.full_like(w, 1e-6)
-    hot = np.eye(len(families), dtype=np.float32)[:, y]
-    by_bucket = np.argsort(local, kind="stable")
-    at_bucket, value_bucket = at[by_bucket], value[by_bucket]
-    bucket_cut = np.searchsorted(local[by_bucket], np.arange(len(used)))
-    row_cut = np.searchsorted(at, np.arange(len(x)))
-    filled = np.flatnonzero([len(v) > 0 for v in x])
+def _counted_share(counts: np.ndarray, share: float) -> float:
+    """_share of scores that are counted in equal bins of 0 to 1: the least bound of a bin."""
+    down, total = np.cumsum(counts[::-1]), int(counts.sum())
+    most = max(1, int(share * (total + 1)))
+    return 1 - int(np.searchsorted(down, most)) / len(counts) if total else 0.5
+
+
+def _invented(rng: np.random.Generator) -> list[str]:
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return ["".join(letters[i] for i in rng.integers(0, 26, int(rng.integers(2, 10)))) for _ in range(INVENTED)]
+
+
+class Builtin:
+    """The built-in texts, by class, their features, and what is held apart of them."""
+
+    def __init__(self, templates: dict[str, list[str]] | None = None, seed: int = 11):
+        self.templates = templates or TEMPLATES
+        rng = np.random.default_rng(seed)
+        self.families = [*sorted(self.templates), UNKNOWN, NONE]
+        fill = _invented(rng)
+        texts, target = [], []
+        for k, family in enumerate(self.families[:-2]):
+            for t in self.templates[family]:
+                made = [t, *(variants(rng, t, fill) for _ in range(VARIANTS))]
+                texts += made
+                target += [k] * len(made)
+        others = [_other(rng, i, fill) for i in range(OTHER_ROWS)]
+        self.apart, others = others[::4], [t for i, t in enumerate(others) if i % 4]
+        prose = [_about(rng, t, fill) for i, t in enumerate(ABOUT) if i % 4 for _ in range(20)]
+        self.spoken = [_about(rng, t, fill) for t in ABOUT[::4] for _ in range(20)]
+        texts += others + prose
+        self.target = np.array(target + [len(self.families) - 2] * len(others) + [len(self.families) - 1] * len(prose))
+        vectors = _vectors(texts)
+        said = np.bincount(np.concatenate([np.unique(v) for v in vectors]), minlength=BUCKETS)
+        said[np.concatenate(_vectors(fill))] = 0
+        self.used = np.flatnonzero(said > 1)
+        self.feature = np.zeros(BUCKETS, np.uint16)  # of each bucket; 0, without a weight, if none
+        self.feature[self.used] = np.arange(1, len(self.used) + 1)
+        own = [self.feature[v] for v in vectors]
+        known = [f[f > 0] for f in own]
+        self.rows = np.concatenate(known), np.array([len(f) for f in known]), np.array([(f == 0).sum() for f in own])
+
+    def model(self, w: np.ndarray, b: np.ndarray) -> Model:
+        weights = np.zeros((BUCKETS, len(w)), np.float32)
+        weights[self.used] = w[:, 1:].T
+        known = [(k, t) for k, family in enumerate(self.families[:-2]) for t in self.templates[family]]
+        made = [_told(t) for _, t in known]
+        return Model(self.families, weights, b.ravel(), 0.5, 0.5, [(k, g) for (k, _), (g, _) in zip(known, made, strict=True)], np.unique(np.concatenate([n for _, n in made])))
+
+
+def _likely(w: np.ndarray, b: np.ndarray, rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities, a class in each line, and the weight of an n-gram of windows: their features one after another, how many each has, and its other n-grams."""
+    features, hits, rest = rows
+    value = 1 / np.sqrt(hits + rest + SHORT)
+    some = np.flatnonzero(hits)
+    head = (np.cumsum(hits) - hits)[some]
+    score = np.zeros((len(w), len(hits)))
+    for own, x in zip(score, w, strict=True):
+        if len(some):
+            own[some] += np.add.reduceat(x[features], head, dtype=np.float64)
+    score = score * value + b
+    p = np.exp(score - score.max(axis=0))
+    return p / p.sum(axis=0), value
+
+
+def _gradient(pull: np.ndarray, value: np.ndarray, rows: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, whole: bool = False) -> np.ndarray:
+    """Sums by class of ``pull`` for each of ``n`` features, and for the bias behind them; ``whole`` rounds each window's part, so that sums are exact."""
+    features, hits, _ = rows
+    out = np.zeros((len(pull), n + 1))
+    at = np.repeat(np.arange(len(hits)), hits)
+    part = np.rint(pull * value) if whole else pull * value
+    for own, x in zip(out, part, strict=True):
+        own[:n] = np.bincount(features, x[at], n)
+    out[:, n] = (np.rint(pull) if whole else pull).sum(axis=1)
+    return out
+
+
+def descend(built: Builtin, windows: int, whole, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, by class and feature, and biases; ``whole(w, b)`` sums the gradient over all ``windows``."""
+    k, n = len(built.families), len(built.used) + 1
+    size = np.bincount(built.target, minlength=k)
+    share = np.ones(k)
+    share[-1] = PROSE if windows else 1
+    weight = (share / size / k)[built.target]
+    w, b = np.zeros((k, n), np.float32), np.zeros((k, 1))
+    grad2, bias2 = np.full(w.shape, 1e-6), np.full(b.shape, 1e-6)
+    hot = np.eye(k)[:, built.target]
     for _ in range(steps):
-        score = np.repeat(b, len(x), axis=1)
-        score[:, filled] += np.add.reduceat(w[:, local] * value, row_cut[filled], axis=1)
-        p = np.exp(score - score.max(axis=0))
-        p /= p.sum(axis=0)
-        pull = (p - hot) * weight
-        g = np.add.reduceat(pull[:, at_bucket] * value_bucket, bucket_cut, axis=1) + 1e-5 * w
-        grad2 += g**2
-        w -= 0.3 * g / np.sqrt(grad2)
-        b -= 0.5 * pull.sum(axis=1, keepdims=True)
-    b = b.ravel()
-    weights = np.zeros((BUCKETS, len(families)), np.float32)
-    weights[used] = w.T
-    known = [(k, t) for k, family in enumerate(families[:-2]) for t in templates[family]]
-    made = [_told(t) for _, t in known]
-    model = Model(families, weights, b, 0.5, 0.5, [(k, g) for (k, _), (g, _) in zip(known, made, strict=True)], np.unique(np.concatenate([n for _, n in made])))
-    model.margin = min(0.8, max(0.3, _share(np.array([x for t in apart for x in _confident(model, t)]), FALSE_SHARE)))
-    (plain, strange), (prose, spoken_of) = ((1 - p[:, -1], p[:, -2]) for p in (_probabilities(model, own) for own in (held, spoken)))
-    model.strange = min(0.9, max(0.3, _share(strange, FALSE_UNKNOWN), _share(spoken_of, FALSE_SHARE)))
-    model.least = min(0.6, max(0.5, _share(plain, FALSE_SHARE)))
-    model.unsure = min(0.999, max(0.5, model.least, _share(plain, FALSE_UNKNOWN), _share(prose, FALSE_SHARE)))
-    return model
+        p, value = _likely(w, b, built.rows)
+        g = _gradient((p - hot) * weight, value, built.rows, n)
+        if windows:
+            g += whole(w, b) * ((1 - PROSE) / windows / k)
+        own = g[:, :n] + 1e-5 * w
+        grad2 += own**2
+        w -= (RATE * own / np.sqrt(grad2)).astype(np.float32)
+        bias2 += g[:, n:] ** 2
+        b -= RATE * g[:, n:] / np.sqrt(bias2)
+    return w, b
+
+
+def calibrate(model: Model, built: Builtin, plain: np.ndarray, strange: np.ndarray) -> None:
+    """Sets the thresholds of a model, by counts of all windows' probabilities of naming a licence, and an other one."""
+    model.margin = min(0.8, max(0.3, _share(np.array([x for t in built.apart for x in _confident(model, t)]), FALSE_SHARE)))
+    p = _probabilities(model, built.spoken)
+    model.strange = min(0.9, max(0.3, _counted_share(strange, FALSE_UNKNOWN), _share(p[:, -2], FALSE_SHARE)))
+    model.least = min(0.6, max(0.5, _counted_share(plain, FALSE_SHARE)))
+    model.unsure = min(0.999, max(0.5, model.least, _counted_share(plain, FALSE_UNKNOWN), _share(1 - p[:, -1], FALSE_SHARE)))
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -396,24 +449,151 @@ def _probabilities(model: Model, texts: list[str]) -> np.ndarray:
 
 
 _NAMES = r"(?i)licen[sc]e|copyright|spdx|\bgpl\b|\bcc by\b|public domain|all rights reserved"
-_FITTED: dict[str, Model] = {}
-
-
-def train(docs: DataFrame, templates: dict[str, list[str]] | None = None, negative_docs: int = NEGATIVE_DOCS) -> Model:
-    """A model whose negatives are windows of lines that name no licence, of the ``negative_docs`` documents that are smallest by a hash. The last one is kept for the same sample."""
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").select(F.xxhash64("text").alias("_h"), "text")
-    few = texts.select("_h").distinct().orderBy("_h").limit(negative_docs)
-    lines = texts.join(F.broadcast(few), "_h", "left_semi").dropDuplicates(["_h"]).select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(_NAMES))
-    words = F.filter(F.split("line", r"\s+"), lambda x: x != "")
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 1), F.lit(WINDOW)), lambda i: F.array_join(F.slice("w", i + 1, WINDOW), " "))
-    windows = lines.select(words.alias("w")).where(F.size("w") > 0).select(F.explode(cut).alias("line")).distinct()
-    rows = [r["line"] for r in windows.orderBy(F.xxhash64("line"), "line").limit(NEGATIVE_LINES + CALIBRATION_LINES).collect()]
-    key = hashlib.blake2b("\n".join([repr(templates), *rows]).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _FITTED:
-        _FITTED.clear()
-        n = max(len(rows) // 5, min(NEGATIVE_LINES, len(rows) - CALIBRATION_LINES))
-        _FITTED[key] = fit(rows[:n], templates, rows[n:])
-    return _FITTED[key]
+_BLOCK = pa.schema([("windows", pa.int64()), ("features", pa.binary()), ("hits", pa.binary()), ("rest", pa.binary())])
+
+
+def _line_windows(column: pa.Array, pieces: int = BLOCK * WINDOW):
+    """Word hashes, and the window of each word, of lines without a word of licences; ``pieces`` words at most at once."""
+    lines = pc.list_flatten(pc.split_pattern(column.cast(pa.large_string()).drop_null(), "\n"))
+    lines = lines.filter(pc.invert(pc.match_substring_regex(lines, _NAMES)))
+    data, offsets = textops.utf8(lines)
+    for a, b in textops.chunks(offsets, 4 * CHUNK_BYTES):
+        hashes, _, _, first = textops.words(data, offsets[a : b + 1], textops.NOT_ALNUM)
+        size = np.diff(first)
+        n = -(-size // WINDOW)
+        begin = np.repeat(first[:-1], n) + WINDOW * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        cut = np.append(begin, len(hashes))
+        for i in range(0, len(begin), pieces // WINDOW):
+            own = cut[i : i + pieces // WINDOW + 1]
+            yield hashes[own[0] : own[-1]], np.repeat(np.arange(len(own) - 1), np.diff(own))
+
+
+def _features(shared):
+    """Blocks of windows as features, as _likely takes them; ``shared``, broadcast: features of buckets, and a model for its templates."""
+
+    def blocks(hashes, window):
+        feature, model, pairs = shared.value
+        n = int(window[-1]) + 1
+        parts = _grams(hashes, window)
+        at, own = np.concatenate([window[p] for p, _ in parts]), [_bucket(g) for _, g in parts]
+        near = np.bincount(window[parts[1][0]], pairs[own[1]], n)
+        kept = np.ones(n, bool)
+        cut = np.searchsorted(window, np.arange(n + 1))
+        even = np.zeros(len(model.families))
+        for k in np.flatnonzero(near >= FEW_PAIRS).tolist():
+            alike, named, _, _ = model.closest(hashes[cut[k] : cut[k + 1]], even)
+            kept[k] = alike < CONFIRM or named < NAMED
+        own = feature[np.concatenate(own)]
+        order = np.argsort(at, kind="stable")
+        at, own = at[order], own[order]
+        known = (own > 0) & kept[at]
+        hits = np.bincount(at[known], minlength=n)
+        rest = np.bincount(at, minlength=n) - hits
+        if kept.any():
+            yield int(kept.sum()), own[known].astype("<u2").tobytes(), hits[kept].astype("u1").tobytes(), rest[kept].astype("u1").tobytes()
+
+    def run(batches):
+        for batch in batches:
+            for hashes, window in _line_windows(batch.column(0)):
+                for block in blocks(hashes, window):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(block, _BLOCK, strict=True)], schema=_BLOCK)
+
+    return run
+
+
+def _stored(batch: pa.RecordBatch):
+    for features, hits, rest in zip(*(batch.column(c).to_pylist() for c in ("features", "hits", "rest")), strict=True):
+        yield np.frombuffer(features, "<u2"), np.frombuffer(hits, "u1").astype(np.int64), np.frombuffer(rest, "u1").astype(np.int64)
+
+
+def _add_up(measure):
+    """Adds up arrays of int64, one for each block, in a task; they leave it in slabs."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            for rows in _stored(batch):
+                own = measure(rows)
+                total = own if total is None else total + own
+        if total is not None:
+            for k, part in enumerate(np.array_split(total, SLABS)):
+                yield pa.RecordBatch.from_pydict({"slab": pa.array([k], pa.int32()), "sums": pa.array([part.tobytes()], pa.binary())})
+
+    return run
+
+
+def _add_slabs(batches):
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(x, np.int64)
+            total[k] = total[k] + own if k in total else own
+    for k, x in total.items():
+        yield pa.RecordBatch.from_pydict({"slab": pa.array([k], pa.int32()), "sums": pa.array([x.tobytes()], pa.binary())})
+
+
+def total(blocks: DataFrame, measure) -> np.ndarray:
+    """The sum over all blocks of the int64 arrays that ``measure`` makes of them."""
+    parts = blocks.mapInArrow(_add_up(measure), "slab int, sums binary").repartition(SLABS, "slab").mapInArrow(_add_slabs, "slab int, sums binary")
+    return np.concatenate([np.frombuffer(r["sums"], np.int64) for r in sorted(parts.collect(), key=lambda r: r["slab"])])
+
+
+def _template_pairs(templates: dict[str, list[str]]) -> np.ndarray:
+    """The buckets of word bigrams that the templates of one family alone have."""
+    by = np.zeros(BUCKETS, np.int64)
+    for own in templates.values():
+        hashes = [textops.words(*textops.utf8(pa.array([t])), textops.NOT_ALNUM)[0] for t in own]
+        by[np.unique(np.concatenate([_bucket(_grams(h, np.zeros(len(h), np.int64))[1][1]) for h in hashes]))] += 1
+    return by == 1
+
+
+def windows(docs: DataFrame, built: Builtin) -> DataFrame:
+    """Blocks of all negative windows of ``docs`` (text), stored."""
+    model = built.model(np.zeros((len(built.families), len(built.used) + 1), np.float32), np.zeros(len(built.families)))
+    model.weights = model.weights[:0]
+    shared = docs.sparkSession.sparkContext.broadcast((built.feature, model, _template_pairs(built.templates)))
+    made = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(_features(shared), "windows long, features binary, hits binary, rest binary")
+    return materialize(made, "license-windows")
+
+
+def whole_gradient(blocks: DataFrame, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The gradient of all windows' log loss as no licence, by class and feature, with the bias behind."""
+    shared = blocks.sparkSession.sparkContext.broadcast((w, b))
+
+    def measure(rows):
+        w, b = shared.value
+        p, value = _likely(w, b, rows)
+        p[-1] -= 1
+        return _gradient(p * UNIT, value, rows, w.shape[1], True).astype(np.int64).ravel()
+
+    found = total(blocks, measure)
+    shared.unpersist()
+    return found.reshape(len(w), -1) / UNIT
+
+
+def score_counts(blocks: DataFrame, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many windows have which probability of naming a licence, and which of an other licence, in BINS equal bins."""
+    shared = blocks.sparkSession.sparkContext.broadcast((w, b))
+
+    def measure(rows):
+        p, _ = _likely(*shared.value, rows)
+        at = [np.minimum((x * BINS).astype(np.int64), BINS - 1) for x in (1 - p[-1], p[-2])]
+        return np.concatenate([np.bincount(x, minlength=BINS) for x in at]).astype(np.int64)
+
+    found = total(blocks, measure)
+    return found[:BINS], found[BINS:]
+
+
+def train(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Model:
+    """A model whose negatives are all windows of ``docs`` (text) that name no licence."""
+    built = Builtin(templates)
+    blocks = windows(docs, built)
+    seen = int(blocks.agg(F.sum("windows")).first()[0] or 0)
+    w, b = descend(built, seen, lambda w, b: whole_gradient(blocks, w, b))
+    model = built.model(w, b)
+    model.seen = seen
+    calibrate(model, built, *(score_counts(blocks, w, b) if seen else (np.zeros(BINS, np.int64),) * 2))
+    return model
 
 
 def _scan(model, text: int = 1):
@@ -441,6 +621,6 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scan of all documents by a model of their own sample: doc_id and FINDING."""
+    """scan of all documents by a model of all of them: doc_id and FINDING."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return scan(docs, train(docs))
