@@ -143,3 +143,15 @@ def test_stores_that_cannot_be_mapped_are_read_by_ranges(spark, rows, tmp_path,
         store, at = token_files.open_store(f"{path}/{x['name']}.ids")
         ranged = token_files.RangedFile(store, at, manifest["dtype"])
         assert len(ranged) == len(mapped[0]) and (ranged[:] == mapped[0]).all() and (ranged[3:9] == mapped[0][3:9]).all() and len(ranged[5:5]) == 0
+
+
+def test_a_worker_keeps_more_pieces_than_stretches_between_tasks(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 3)
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 7)
+    path = tokens.default_tokenizer()
+    monkeypatch.setattr(tokens, "_ENCODERS", {path: tokens.Encoder(path)})
+    texts = ["one, two, three, four, five, six, seven, eight, nine, ten"]
+    enc = tokens.encoder(path)
+    first = [enc.encode(texts) for _ in tokens.trimmed(iter([None]))]
+    assert (len(enc.stretches), len(enc.pieces)) == (3, 7)
+    assert [enc.encode(texts)] == first == [enc._whole(texts)]

@@ -17,8 +17,8 @@ import regex
 
 from tidelane.llm import textops
 
-#: Stretches and pieces that a task keeps; when there would be more, it begins anew. Between tasks a worker keeps the first KEPT of each.
-STRETCHES, PIECES, KEPT = 500_000, 400_000, 60_000
+#: Stretches and pieces that a task keeps; when there would be more, it begins anew. Between tasks a worker keeps the first KEPT stretches and KEPT_PIECES pieces.
+STRETCHES, PIECES, KEPT, KEPT_PIECES = 500_000, 600_000, 60_000, 240_000
 
 #: Latin-1 without its odd white space, case and number forms: normal forms and lower case act on each of these characters alone.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
@@ -125,8 +125,8 @@ def trimmed(batches):
         for enc in _ENCODERS.values():
             if len(enc.stretches) > KEPT:
                 enc.stretches = dict(islice(enc.stretches.items(), KEPT))
-            if len(enc.pieces) > KEPT:
-                enc.pieces = dict(islice(enc.pieces.items(), KEPT))
+            if len(enc.pieces) > KEPT_PIECES:
+                enc.pieces = dict(islice(enc.pieces.items(), KEPT_PIECES))
 
 
 def forget() -> None:
