@@ -76,14 +76,22 @@ def profiles(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return a.select(key, "speaker", "total_words", "speaking_time", "avg_energy", "topics", "sentiment", "dominance", "consistency", "role", anchor.alias("anchor"))
 
 
+def _mean(value: Column) -> Column:
+    """Mean to six places by a product, as SQL engines round doubles; ``round`` to places goes by their shortest decimal, which differs at halves."""
+    return F.round(F.avg(value) * 1e6) / 1e6
+
+
 def relations(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Pairs of speakers who follow each other: how often, mean pause and change of energy, topics of what was answered, and the kind of relation. Unknown speakers have none."""
+    """Pairs of speakers who follow each other: how often, mean pause and change of energy, topics of what was answered, and the kind of relation. Unknown speakers have none.
+
+    Means have six places, and the kind goes by these: a change of 0.1 is none above it, whatever sums of doubles leave behind.
+    """
     w = Window.partitionBy(key).orderBy(*order)
     after = {f"_{c}": F.lead(c).over(w) for c in ("speaker", "start_ms", "energy_level")}
     rows = df.withColumns(after).where((F.col("speaker") != F.col("_speaker")) & (F.col("speaker") != "unknown") & (F.col("_speaker") != "unknown"))
     rows = rows.withColumn("_topics", matching(F.col("text"), lex.TOPICS))
     a = rows.groupBy(key, F.least("speaker", "_speaker").alias("a"), F.greatest("speaker", "_speaker").alias("b")).agg(
-        F.count(F.lit(1)).alias("interactions"), F.avg(F.col("_start_ms") - F.col("end_ms")).alias("mean_gap"), F.avg(F.col("_energy_level") - F.col("energy_level")).alias("mean_change"), F.array_compact(F.array(*[F.when(F.bool_or(F.array_contains("_topics", t)), t) for t in lex.TOPICS])).alias("topics")
+        F.count(F.lit(1)).alias("interactions"), _mean(F.col("_start_ms") - F.col("end_ms")).alias("mean_gap"), _mean(F.col("_energy_level") - F.col("energy_level")).alias("mean_change"), F.array_compact(F.array(*[F.when(F.bool_or(F.array_contains("_topics", t)), t) for t in lex.TOPICS])).alias("topics")
     )
     quick = F.when(F.col("mean_change") > 0.1, "dynamic_conversation").otherwise("collaborative_discussion")
     kind = F.when(F.col("interactions") < 2, "minimal").when(F.col("mean_gap") < 1000, quick).when(F.col("interactions") > 5, "structured_interview").otherwise("casual_exchange")

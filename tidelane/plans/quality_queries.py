@@ -130,7 +130,7 @@ def speaker_profiles(s, d):
 a AS (SELECT conv_id, least(speaker, ns) AS a, greatest(speaker, ns) AS b, count(*) AS interactions, round(avg(nst - end_ms), 6) AS mean_gap, round(avg(ne - energy_level), 6) AS mean_change, list_filter([{_listed(list(lex.TOPICS))}], lambda x: list_contains(flatten(list(tps)), x)) AS topics FROM q WHERE speaker <> ns GROUP BY 1, 2, 3)
 SELECT *, CASE WHEN interactions < 2 THEN 'minimal' WHEN mean_gap < 1000 THEN CASE WHEN mean_change > 0.1 THEN 'dynamic_conversation' ELSE 'collaborative_discussion' END WHEN interactions > 5 THEN 'structured_interview' ELSE 'casual_exchange' END AS relation FROM a""")
 def relations(s, d):
-    return _d(speakers.relations(_talk(s, d), "conv_id", ["turn"]), "mean_gap", "mean_change", digits=6)
+    return speakers.relations(_talk(s, d), "conv_id", ["turn"])
 
 
 @query("r20_continuity", f"WITH {_TALK_SQL}, {_FLOWS}, {_PROFILES} SELECT conv_id, round((least(1.0, 2 / n) + c + least(1.0, fc / 10)) / 3, 8) AS continuity FROM (SELECT conv_id, count(*) AS n, avg(consistency) AS c FROM pr GROUP BY 1) JOIN (SELECT conv_id, count(*) FILTER (duration > 5000) AS fc FROM fl GROUP BY 1) USING (conv_id)")
