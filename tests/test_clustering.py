@@ -89,3 +89,42 @@ def test_pairs_of_a_tile_by_products():
         assert near[apart < limit].all() and not near[apart > limit * (1 + 1e-6)].any() and (near == near.T).all()
     assert C._near(np.array([[1e200], [2e200], [0.0]]), 0.5)[0, 1]  # no distance in doubles: left to the clustering
     assert C.TILE >= 2048
+
+
+@pytest.mark.parametrize("kept, large, listed", [(150, 64, 12), (150, 3, 2), (40, 2, 12)])
+def test_rounds_equal_naive_agglomeration(monkeypatch, kept, large, listed):
+    """While clusters are more than a table may have, they merge in rounds; also far from the origin, where products lose what is small."""
+    monkeypatch.setattr(C, "KEPT_SUMS", kept)
+    monkeypatch.setattr(C, "LARGE", large)
+    monkeypatch.setattr(C, "LISTED", listed)
+    rng = np.random.default_rng(5)
+    for i in range(12):
+        n = int(rng.integers(1, 30))
+        x = rng.normal(0, rng.choice([0.1, 0.2, 0.3, 0.5]), (n, int(rng.integers(1, 5)))) + (i % 2) * 1e6
+        assert C.chains(x, np.ones(n), 0.5).tolist() == naive(x, 0.5)
+        times = rng.integers(1, 4, n)
+        assert np.repeat(C.chains(x, times.astype(float), 0.5), times).tolist() == naive(np.repeat(x, times, axis=0), 0.5)
+
+
+def test_rounds_ask_for_few_distances(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (1500, 24))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    want = C.chains(x, np.ones(1500), 1.2)
+    asked, far = [], C._distances
+    monkeypatch.setattr(C, "_distances", lambda a, b: asked.append(len(a) * len(b)) or far(a, b))
+    monkeypatch.setattr(C, "KEPT_SUMS", 400**2)
+    assert C.chains(x, np.ones(1500), 1.2).tolist() == want.tolist() and 1 < want.max() < 400
+    assert sum(asked) < 7 * 1500**2
+
+
+def test_blocks_of_one_component_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(C, "TILE", 64)
+    made, pairs = [], C._pairs
+    monkeypatch.setattr(C, "_pairs", lambda tiles, *rest: made.append(tiles.count()) or pairs(tiles, *rest))
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(0, 0.1, (600, 3)), [[9.0, 9.0, 9.0]]])
+    df = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "key string, id int, v array<double>")
+    got = {r.id: r.cluster for r in C.average_linkage(df, ["key"], "v").collect()}
+    assert [got[i] for i in range(601)] == C.chains(x, np.ones(601), 0.5).tolist()
+    assert made[0] <= 601 + C.SHARED * 20 and made[1] <= 1  # each vector once and what is shared; then no pair of blocks
